@@ -15,6 +15,7 @@ from gleaner.functions import text as T
 from gleaner.operators import reviews as R
 from gleaner.operators import segment as SEG
 from gleaner.plans import fixtures as FX
+from gleaner.plans.stages import stage
 
 # Published segmentation setting of the phrase run.
 MIN_TOKENS = 6
@@ -33,11 +34,16 @@ def deduped_reviews(spark, sf_dir):
     return R.dedup_reviews(FX.reviews(spark, sf_dir), keys=("course_id", "review"))
 
 
-def mintoken_units(spark, sf_dir):
+def build_mintoken_units(spark, sf_dir):
     return SEG.segment_units(deduped_reviews(spark, sf_dir), "review", "mintoken",
                              MIN_TOKENS, DROP_IF_SHORT, keep=("review_id", "course_id", "label", "lang"))
 
 
+def mintoken_units(spark, sf_dir):
+    """The phrase-unit table, written once per session and input folder."""
+    return stage(spark, sf_dir, "mintoken_units", lambda: build_mintoken_units(spark, sf_dir))
+
+
 @query
 def filter_dedup_stats(spark, sf_dir):
     raw = FX.reviews(spark, sf_dir)
@@ -57,7 +63,7 @@ def segment_base(spark, sf_dir):
 
 @query
 def segment_mintoken(spark, sf_dir):
-    return mintoken_units(spark, sf_dir).select("review_id", "unit_pos", "unit")
+    return build_mintoken_units(spark, sf_dir).select("review_id", "unit_pos", "unit")
 
 
 @query
@@ -72,3 +78,120 @@ def group_units(spark, sf_dir):
 def corpus_ids(spark, sf_dir):
     units = mintoken_units(spark, sf_dir)
     return R.to_corpus(units, label_col="label").select("id", "text", "label")
+
+
+# ------------------------------------------------ words, diversity, coherence
+from gleaner.operators import coherence as COH  # noqa: E402
+from gleaner.operators import diversity as DIV  # noqa: E402
+from gleaner.operators import words as W  # noqa: E402
+
+# Two cluster views of the phrase units (like the 5-d and 10-d runs) and two
+# top-k cuts give four settings, each a separate fit.
+VIEWS = {"source": "course_id", "lang": "lang"}
+TOPKS = (5, 10)
+TOP_N_WORDS = 10
+
+
+def unit_labels(spark, sf_dir):
+    """(view, cluster, review_id, unit_pos, unit): each unit once per view."""
+    units = mintoken_units(spark, sf_dir)
+    views = F.array(*[F.struct(F.lit(v).alias("view"), F.col(c).cast("string").alias("cluster"))
+                      for v, c in VIEWS.items()])
+    return units.select("review_id", "unit_pos", "unit", F.explode(views).alias("_v")) \
+                .select("_v.view", "_v.cluster", "review_id", "unit_pos", "unit")
+
+
+def chosen_clusters(labels):
+    """(setting, view, cluster): top-k clusters of each view, one row per setting."""
+    ranked = W.top_k_clusters(labels, max(TOPKS), ["view"], "cluster")
+    ks = F.explode(F.array(*[F.lit(k) for k in TOPKS])).alias("top_k")
+    return (ranked.select("view", "cluster", "size_rank", ks)
+                  .filter(F.col("size_rank") <= F.col("top_k"))
+                  .select(F.concat("view", F.lit("_top"), F.col("top_k").cast("string")).alias("setting"),
+                          "view", "top_k", "cluster"))
+
+
+def setting_top_words(spark, sf_dir, variant):
+    labels = unit_labels(spark, sf_dir)
+    chosen = chosen_clusters(labels)
+    # term counts once per (view, cluster); settings reuse them
+    picked = labels.join(F.broadcast(chosen.select("view", "cluster").distinct()), ["view", "cluster"],
+                         "left_semi")
+    tf_view = W.cluster_term_counts(picked, ["view", "cluster"], "unit")
+    # chosen has at most len(VIEWS) * sum(TOPKS) rows: a proven broadcast bound
+    tf = tf_view.join(F.broadcast(chosen.select("setting", "view", "cluster")), ["view", "cluster"]) \
+                .select("setting", "cluster", "term", "tf")
+    if variant == "raw":
+        weights = W.ctfidf(tf, chosen, ["setting"], "cluster")
+    else:
+        weights = W.ctfidf(tf, chosen, ["setting"], "cluster",
+                           stopwords=list(W.ENGLISH_STOPWORDS), max_features=5000, norm="l2")
+    return W.top_words(weights, TOP_N_WORDS, ["setting", "cluster"])
+
+
+@query
+def ctfidf_raw_top_words(spark, sf_dir):
+    t = setting_top_words(spark, sf_dir, "raw")
+    return t.select("setting", "cluster", "rank", "word", F.round("weight", 6).alias("weight"))
+
+
+@query
+def ctfidf_l2_top_words(spark, sf_dir):
+    t = setting_top_words(spark, sf_dir, "l2")
+    return t.select("setting", "cluster", "rank", "word", F.round("weight", 6).alias("weight"))
+
+
+@query
+def rbo_pairs(spark, sf_dir):
+    words = setting_top_words(spark, sf_dir, "raw").withColumnRenamed("cluster", "topic")
+    r = DIV.rbo_pairs(words, p=0.9, top_n=TOP_N_WORDS)
+    return r.select("setting", "topic_a", "topic_b", F.round("rbo", 6).alias("rbo"))
+
+
+@query
+def irbo_by_setting(spark, sf_dir):
+    words = setting_top_words(spark, sf_dir, "raw").withColumnRenamed("cluster", "topic")
+    r = DIV.irbo(words, p=0.9, top_n=TOP_N_WORDS)
+    return r.select("setting", "n_topics", F.round("irbo", 6).alias("irbo"))
+
+
+@query
+def irbo_summary(spark, sf_dir):
+    """Per-setting IRBO plus the mean over views for each top-k (grouping sets)."""
+    words = setting_top_words(spark, sf_dir, "raw").withColumnRenamed("cluster", "topic")
+    r = DIV.irbo(words, p=0.9, top_n=TOP_N_WORDS)
+    r = r.withColumn("top_k", F.regexp_extract("setting", r"_top(\d+)$", 1).cast("int"))
+    g = r.groupingSets([["setting", "top_k"], ["top_k"]], "setting", "top_k").agg(
+        F.avg("irbo").alias("irbo"), F.grouping("setting").alias("_g"))
+    name = F.when(F.col("_g") == 1, F.concat(F.lit("top"), F.col("top_k").cast("string"), F.lit("_avg"))) \
+            .otherwise(F.col("setting"))
+    return g.select(name.alias("name"), F.round("irbo", 6).alias("irbo"))
+
+
+def coherence_inputs(spark, sf_dir):
+    units = mintoken_units(spark, sf_dir)
+    texts = COH.tokenised_texts(units)
+    vocab = COH.vocabulary(texts)
+    words = setting_top_words(spark, sf_dir, "l2").withColumnRenamed("cluster", "topic")
+    topics = COH.clean_topics(words, vocab)
+    return texts, vocab, topics
+
+
+@query
+def vocabulary(spark, sf_dir):
+    units = mintoken_units(spark, sf_dir)
+    return COH.vocabulary(COH.tokenised_texts(units)).select("term", "df")
+
+
+@query
+def coherence_cv(spark, sf_dir):
+    texts, _, topics = coherence_inputs(spark, sf_dir)
+    cv = COH.coherence_cv(texts, topics)
+    return cv.select("setting", F.col("topic").alias("cluster"), "n_words", F.round("c_v", 6).alias("c_v"))
+
+
+@query
+def coherence_summary(spark, sf_dir):
+    texts, _, topics = coherence_inputs(spark, sf_dir)
+    s = COH.coherence_summary(COH.coherence_cv(texts, topics))
+    return s.select("setting", "k", F.round("avg_c_v", 6).alias("avg_c_v"))

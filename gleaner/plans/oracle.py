@@ -50,3 +50,132 @@ ORACLE["corpus_ids"] = (
     f"regexp_replace(unit, '^{S.WS}+|{S.WS}+$', '', 'g') AS text, label FROM num "
     f"WHERE regexp_replace(unit, '^{S.WS}+|{S.WS}+$', '', 'g') <> ''"
 )
+
+
+# ------------------------------------------------ words, diversity, coherence
+def _settings_cte() -> str:
+    return (_units_dedup() + ", "
+            "lab AS (SELECT 'source' AS view, course_id AS cluster, review_id, unit_pos, unit FROM units "
+            "UNION ALL SELECT 'lang' AS view, lang AS cluster, review_id, unit_pos, unit FROM units), "
+            "sizes AS (SELECT view, cluster, count(*) AS size FROM lab "
+            "WHERE cluster IS NOT NULL AND cluster <> '-1' GROUP BY view, cluster), "
+            "ranked AS (SELECT *, row_number() OVER (PARTITION BY view ORDER BY size DESC, cluster) AS size_rank "
+            "FROM sizes), "
+            "chosen AS (SELECT view || '_top' || CAST(k AS VARCHAR) AS setting, view, k AS top_k, cluster "
+            "FROM ranked, (VALUES (5), (10)) t(k) WHERE size_rank <= k), "
+            "toks AS (SELECT view, cluster, unnest(regexp_extract_all(lower(unit), '[\\p{L}\\p{N}_]{2,}')) AS term "
+            "FROM lab), "
+            "tf_view AS (SELECT view, cluster, term, count(*) AS tf FROM toks GROUP BY view, cluster, term), "
+            "tf AS (SELECT c.setting, t.cluster, t.term, t.tf FROM tf_view t JOIN chosen c "
+            "ON t.view = c.view AND t.cluster = c.cluster), "
+            "ncl AS (SELECT setting, count(DISTINCT cluster) AS n FROM chosen GROUP BY setting)")
+
+
+def _top_words_cte(variant: str) -> str:
+    if variant == "raw":
+        body = ("tfx AS (SELECT * FROM tf), ")
+        norm = "w AS (SELECT * FROM w0), "
+    else:
+        body = (f"tf2 AS (SELECT * FROM tf WHERE term NOT IN {S.COH_STOP}), "
+                "tot AS (SELECT setting, term, sum(tf) AS tot FROM tf2 GROUP BY setting, term), "
+                "keep AS (SELECT setting, term FROM (SELECT *, row_number() OVER (PARTITION BY setting "
+                "ORDER BY tot DESC, term) AS r FROM tot) WHERE r <= 5000), "
+                "tfx AS (SELECT tf2.* FROM tf2 SEMI JOIN keep ON tf2.setting = keep.setting AND tf2.term = keep.term), ")
+        norm = ("nrm AS (SELECT setting, cluster, sqrt(sum(weight * weight)) AS nn FROM w0 GROUP BY setting, cluster), "
+                "w AS (SELECT w0.setting, w0.cluster, w0.term, w0.weight / nrm.nn AS weight FROM w0 JOIN nrm "
+                "ON w0.setting = nrm.setting AND w0.cluster = nrm.cluster), ")
+    return (_settings_cte() + ", " + body +
+            "dfq AS (SELECT setting, term, count(*) AS df FROM tfx GROUP BY setting, term), "
+            "w0 AS (SELECT tfx.setting, tfx.cluster, tfx.term, tfx.tf * (ln((1 + ncl.n) / (1 + dfq.df)) + 1) AS weight "
+            "FROM tfx JOIN dfq ON tfx.setting = dfq.setting AND tfx.term = dfq.term "
+            "JOIN ncl ON tfx.setting = ncl.setting), " + norm +
+            "top AS (SELECT * FROM (SELECT setting, cluster, term AS word, weight, CAST(row_number() OVER "
+            "(PARTITION BY setting, cluster ORDER BY round(weight, 9) DESC, term DESC) AS INTEGER) AS rank "
+            "FROM w WHERE weight > 0) WHERE rank <= 10)")
+
+
+ORACLE["ctfidf_raw_top_words"] = ("WITH " + _top_words_cte("raw") +
+                                  " SELECT setting, cluster, rank, word, round(weight, 6) AS weight FROM top")
+ORACLE["ctfidf_l2_top_words"] = ("WITH " + _top_words_cte("l2") +
+                                 " SELECT setting, cluster, rank, word, round(weight, 6) AS weight FROM top")
+
+# Brute-force RBO: every pair of lists, every depth, the set intersection.
+_RBO_CTE = (
+    "lists AS (SELECT setting, cluster AS topic, rank, word FROM top), "
+    "lens AS (SELECT setting, topic, max(rank) AS len FROM lists GROUP BY setting, topic), "
+    "pairs AS (SELECT a.setting, a.topic AS ta, b.topic AS tb, least(a.len, b.len) AS m FROM lens a "
+    "JOIN lens b ON a.setting = b.setting AND a.topic < b.topic), "
+    "depths AS (SELECT setting, ta, tb, m, unnest(generate_series(1, m)) AS i FROM pairs), "
+    "x AS (SELECT d.setting, d.ta, d.tb, d.i, (SELECT count(DISTINCT la.word) FROM lists la JOIN lists lb "
+    "ON la.word = lb.word AND la.setting = lb.setting WHERE la.setting = d.setting AND la.topic = d.ta "
+    "AND lb.topic = d.tb AND la.rank <= d.i AND lb.rank <= d.i) AS xi FROM depths d), "
+    "ov AS (SELECT *, sum(xi / i) OVER (PARTITION BY setting, ta, tb ORDER BY i "
+    "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS overlap FROM x), "
+    "rbo AS (SELECT setting, ta, tb, 0.1 * sum(power(0.9, i - 1) * overlap / i) AS rbo FROM ov "
+    "GROUP BY setting, ta, tb), "
+    "k AS (SELECT setting, count(*) AS n_topics FROM lens GROUP BY setting), "
+    "irbo AS (SELECT k.setting, k.n_topics, CASE WHEN k.n_topics < 2 THEN 1.0 ELSE "
+    "1 - coalesce((SELECT sum(r.rbo) FROM rbo r WHERE r.setting = k.setting), 0) / "
+    "(k.n_topics * (k.n_topics - 1) / 2) END AS irbo FROM k)"
+)
+
+ORACLE["rbo_pairs"] = ("WITH " + _top_words_cte("raw") + ", " + _RBO_CTE +
+                       " SELECT setting, ta AS topic_a, tb AS topic_b, round(rbo, 6) AS rbo FROM rbo "
+                       "WHERE rbo > 0")
+ORACLE["irbo_by_setting"] = ("WITH " + _top_words_cte("raw") + ", " + _RBO_CTE +
+                             " SELECT setting, n_topics, round(irbo, 6) AS irbo FROM irbo")
+ORACLE["irbo_summary"] = ("WITH " + _top_words_cte("raw") + ", " + _RBO_CTE +
+                          " SELECT setting AS name, round(irbo, 6) AS irbo FROM irbo UNION ALL "
+                          "SELECT 'top' || regexp_extract(setting, '_top([0-9]+)$', 1) || '_avg' AS name, "
+                          "round(avg(irbo), 6) AS irbo FROM irbo GROUP BY 1")
+
+_COH_CTE = (
+    "tx AS (SELECT review_id, unit_pos, list_filter(regexp_extract_all(lower(unit), '[a-z]+'), "
+    f"lambda t: t NOT IN {S.COH_STOP}) AS tokens FROM units), "
+    "vocab AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT review_id, unit_pos, unnest(tokens) AS term "
+    "FROM tx) GROUP BY term), "
+    "tjoin AS (SELECT setting, cluster, string_agg(word, ' ' ORDER BY rank) AS txt FROM top GROUP BY setting, cluster), "
+    "ttok0 AS (SELECT setting, cluster, list_filter(regexp_extract_all(lower(txt), '[a-z]+'), "
+    f"lambda t: t NOT IN {S.COH_STOP}) AS tk FROM tjoin), "
+    "ttok AS (SELECT setting, cluster, unnest(generate_series(0, len(tk) - 1)) AS p, unnest(tk) AS word FROM ttok0), "
+    "topics AS (SELECT setting, cluster, row_number() OVER (PARTITION BY setting, cluster ORDER BY p) - 1 AS pos, word "
+    "FROM ttok WHERE word IN (SELECT term FROM vocab)), "
+    "occ AS (SELECT * FROM (SELECT review_id, unit_pos, len(tokens) AS L, "
+    "unnest(generate_series(0, len(tokens) - 1)) AS i, unnest(tokens) AS word FROM tx) "
+    "WHERE word IN (SELECT word FROM topics)), "
+    # every window start containing the occurrence, materialised one by one
+    "win AS (SELECT DISTINCT review_id, unit_pos, s, word FROM (SELECT review_id, unit_pos, word, "
+    "unnest(generate_series(greatest(0, i - 109), least(i, greatest(L - 110, 0)))) AS s FROM occ)), "
+    "cw AS (SELECT word, count(*) AS c FROM win GROUP BY word), "
+    "mem AS (SELECT DISTINCT setting, cluster, word FROM topics), "
+    "wm AS (SELECT w.review_id, w.unit_pos, w.s, m.setting, m.cluster, w.word FROM win w JOIN mem m ON w.word = m.word), "
+    "co AS (SELECT a.setting, a.cluster, a.word AS w1, b.word AS w2, count(*) AS c12 FROM wm a JOIN wm b "
+    "ON a.review_id = b.review_id AND a.unit_pos = b.unit_pos AND a.s = b.s AND a.setting = b.setting "
+    "AND a.cluster = b.cluster AND a.word < b.word GROUP BY a.setting, a.cluster, a.word, b.word), "
+    "nw AS (SELECT setting, sum(nwin) AS n_windows FROM (SELECT DISTINCT t.setting, o.review_id, o.unit_pos, "
+    "greatest(o.L - 109, 1) AS nwin FROM occ o JOIN (SELECT DISTINCT setting, word FROM topics) t "
+    "ON o.word = t.word) GROUP BY setting), "
+    "pp AS (SELECT a.setting, a.cluster, a.pos AS i, a.word AS wi, b.pos AS j, b.word AS wj FROM topics a "
+    "JOIN topics b ON a.setting = b.setting AND a.cluster = b.cluster), "
+    "pc AS (SELECT pp.*, ci.c AS c_i, cj.c AS c_j, n.n_windows AS nn, "
+    "CASE WHEN pp.wi = pp.wj THEN ci.c ELSE coalesce(co.c12, 0) END AS c12 FROM pp "
+    "LEFT JOIN cw ci ON ci.word = pp.wi LEFT JOIN cw cj ON cj.word = pp.wj "
+    "LEFT JOIN co ON co.setting = pp.setting AND co.cluster = pp.cluster AND co.w1 = least(pp.wi, pp.wj) "
+    "AND co.w2 = greatest(pp.wi, pp.wj) JOIN nw n ON n.setting = pp.setting), "
+    "np AS (SELECT *, CASE WHEN c_i IS NULL OR c_j IS NULL THEN 0.0 ELSE "
+    "ln((c12 / nn + 1e-12) / ((c_i / nn) * (c_j / nn))) / (-ln(c12 / nn + 1e-12)) END AS npmi FROM pc), "
+    "v AS (SELECT setting, cluster, i, wj, sum(npmi) AS v FROM np GROUP BY setting, cluster, i, wj), "
+    "vs AS (SELECT setting, cluster, wj, sum(v) AS vs FROM v GROUP BY setting, cluster, wj), "
+    "pw AS (SELECT v.setting, v.cluster, v.i, sum(v.v * vs.vs) AS dot, sqrt(sum(v.v * v.v)) AS nv, "
+    "sqrt(sum(vs.vs * vs.vs)) AS ns FROM v JOIN vs ON v.setting = vs.setting AND v.cluster = vs.cluster "
+    "AND v.wj = vs.wj GROUP BY v.setting, v.cluster, v.i), "
+    "cv AS (SELECT setting, cluster, count(*) AS n_words, avg(CASE WHEN nv = 0 OR ns = 0 THEN 0.0 "
+    "ELSE dot / (nv * ns) END) AS c_v FROM pw GROUP BY setting, cluster)"
+)
+
+ORACLE["vocabulary"] = ("WITH " + _units_dedup() + ", " + _COH_CTE.split(", tjoin AS")[0] +
+                        " SELECT term, df FROM vocab")
+ORACLE["coherence_cv"] = ("WITH " + _top_words_cte("l2") + ", " + _COH_CTE +
+                          " SELECT setting, cluster, n_words, round(c_v, 6) AS c_v FROM cv")
+ORACLE["coherence_summary"] = ("WITH " + _top_words_cte("l2") + ", " + _COH_CTE +
+                               " SELECT setting, count(*) AS k, round(avg(c_v), 6) AS avg_c_v FROM cv GROUP BY setting")
