@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import coherence_tokens
+from gleaner.session import checkpoint_dir
 
 WINDOW = 110
 EPS = 1e-12
@@ -111,6 +112,10 @@ def coherence_cv(texts: DataFrame, topics: DataFrame, setting_cols: Sequence[str
     ``(*setting, topic, pos, word)`` table from ``clean_topics``.
     """
     s, ids = list(setting_cols), list(id_cols)
+    # The topic table is small (settings x topics x top-n words) and is read
+    # by six branches below: checkpoint it once to the shared folder.
+    checkpoint_dir(topics.sparkSession)
+    topics = topics.checkpoint(eager=True)
     words_by_setting = topics.select(*s, "word").distinct()
     all_words = topics.select("word").distinct()
     if all_words.limit(BROADCAST_WORDS_LIMIT + 1).count() <= BROADCAST_WORDS_LIMIT:

@@ -112,6 +112,11 @@ def chosen_clusters(labels):
 
 
 def setting_top_words(spark, sf_dir, variant):
+    """Top words per (setting, cluster); a small table written once per session."""
+    return stage(spark, sf_dir, f"top_words_{variant}", lambda: build_setting_top_words(spark, sf_dir, variant))
+
+
+def build_setting_top_words(spark, sf_dir, variant):
     labels = unit_labels(spark, sf_dir)
     chosen = chosen_clusters(labels)
     # term counts once per (view, cluster); settings reuse them
@@ -131,13 +136,13 @@ def setting_top_words(spark, sf_dir, variant):
 
 @query
 def ctfidf_raw_top_words(spark, sf_dir):
-    t = setting_top_words(spark, sf_dir, "raw")
+    t = build_setting_top_words(spark, sf_dir, "raw")
     return t.select("setting", "cluster", "rank", "word", F.round("weight", 6).alias("weight"))
 
 
 @query
 def ctfidf_l2_top_words(spark, sf_dir):
-    t = setting_top_words(spark, sf_dir, "l2")
+    t = build_setting_top_words(spark, sf_dir, "l2")
     return t.select("setting", "cluster", "rank", "word", F.round("weight", 6).alias("weight"))
 
 
