@@ -200,3 +200,86 @@ def coherence_summary(spark, sf_dir):
     texts, _, topics = coherence_inputs(spark, sf_dir)
     s = COH.coherence_summary(COH.coherence_cv(texts, topics))
     return s.select("setting", "k", F.round("avg_c_v", 6).alias("avg_c_v"))
+
+
+# ------------------------------------------ clusters, representatives, table
+from gleaner.operators import clusters as CL  # noqa: E402
+from gleaner.operators import reps as REP  # noqa: E402
+from gleaner.operators import table as TB  # noqa: E402
+
+TOP_K = 10
+ALPHA = 1.0
+N_SAMPLES = 8
+
+
+def clustered_units(spark, sf_dir):
+    """(dim, cluster_id, outlier, vec_id, phrase, source, vec) for both cluster views."""
+    labels = FX.clusters(spark, sf_dir)
+    vecs = FX.vectors(spark, sf_dir).select("vec_id", "vec")
+    return labels.join(FX.phrases(spark, sf_dir), "vec_id").join(vecs, "vec_id")
+
+
+def reps_table(spark, sf_dir):
+    return stage(spark, sf_dir, "weighted_reps",
+                 lambda: REP.weighted_reps(clustered_units(spark, sf_dir), TOP_K, ALPHA))
+
+
+def labelled_sheet(spark, sf_dir):
+    """Inspection sheet with aspect labels: the course of each representative."""
+    units = clustered_units(spark, sf_dir)
+    reps = reps_table(spark, sf_dir)
+    sheet = REP.cluster_samples(units, reps, N_SAMPLES).drop("aspect_label")
+    src = reps.select("dim", "cluster_id", "rep_id").join(
+        FX.phrases(spark, sf_dir).select(F.col("vec_id").alias("rep_id"), F.col("source").alias("aspect_label")),
+        "rep_id")
+    return sheet.join(src.drop("rep_id"), ["dim", "cluster_id"])
+
+
+@query
+def top_k_clusters(spark, sf_dir):
+    return CL.top_k_clusters(clustered_units(spark, sf_dir), TOP_K).select(
+        "dim", "cluster_id", "size", "size_rank")
+
+
+@query
+def central_phrase(spark, sf_dir):
+    units = clustered_units(spark, sf_dir)
+    top = CL.top_k_clusters(units, TOP_K)
+    cen = CL.central_phrase(units.join(F.broadcast(top.select("dim", "cluster_id")), ["dim", "cluster_id"],
+                                       "left_semi"))
+    return top.join(cen, ["dim", "cluster_id"]).select("dim", "cluster_id", "size", "representative_phrase")
+
+
+@query
+def weighted_centroid(spark, sf_dir):
+    units = clustered_units(spark, sf_dir)
+    top = CL.top_k_clusters(units, TOP_K)
+    chosen = units.join(F.broadcast(top.select("dim", "cluster_id")), ["dim", "cluster_id"], "left_semi")
+    c = REP.weighted_centroid(chosen, ALPHA)
+    return c.select("dim", "cluster_id", F.posexplode("centroid").alias("pos", "value")) \
+            .select("dim", "cluster_id", "pos", F.round("value", 6).alias("value"))
+
+
+@query
+def weighted_reps(spark, sf_dir):
+    r = REP.weighted_reps(clustered_units(spark, sf_dir), TOP_K, ALPHA)
+    return r.select("dim", "cluster_id", "size", "weighted_centroid_phrase",
+                    F.round("rep_cosine_sim", 6).alias("rep_cosine_sim"))
+
+
+@query
+def cluster_samples(spark, sf_dir):
+    s = REP.cluster_samples(clustered_units(spark, sf_dir), reps_table(spark, sf_dir), N_SAMPLES)
+    return s.select("dim", "cluster_id", "size", "rep_phrase", "sample_phrases")
+
+
+@query
+def side_by_side(spark, sf_dir):
+    ranked = TB.rank_in_group(TB.drop_unlabelled(labelled_sheet(spark, sf_dir)))
+    return TB.side_by_side(ranked)
+
+
+@query
+def label_membership(spark, sf_dir):
+    ranked = TB.rank_in_group(TB.drop_unlabelled(labelled_sheet(spark, sf_dir)))
+    return TB.label_membership(ranked).select("aspect_label", "rep_phrase", "appears_in")

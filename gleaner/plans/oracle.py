@@ -179,3 +179,72 @@ ORACLE["coherence_cv"] = ("WITH " + _top_words_cte("l2") + ", " + _COH_CTE +
                           " SELECT setting, cluster, n_words, round(c_v, 6) AS c_v FROM cv")
 ORACLE["coherence_summary"] = ("WITH " + _top_words_cte("l2") + ", " + _COH_CTE +
                                " SELECT setting, count(*) AS k, round(avg(c_v), 6) AS avg_c_v FROM cv GROUP BY setting")
+
+
+# ------------------------------------------ clusters, representatives, table
+_CLU = (
+    "cl AS (SELECT 5 AS dim, vec_id, CASE WHEN label = 0 THEN -1 ELSE label END AS cluster_id, "
+    "least(1.0, abs(CAST(embedding[1] AS DOUBLE)) * 4) AS outlier, embedding AS vec FROM embeddings "
+    "UNION ALL SELECT 10 AS dim, vec_id, CASE WHEN abs(CAST(embedding[3] AS DOUBLE)) < 0.03 THEN -1 ELSE "
+    "1 + CAST(embedding[2] > 0 AS INTEGER) + 2 * CAST(embedding[4] > 0 AS INTEGER) "
+    "+ 4 * CAST(embedding[5] > 0 AS INTEGER) END AS cluster_id, "
+    "least(1.0, abs(CAST(embedding[6] AS DOUBLE)) * 4) AS outlier, embedding AS vec FROM embeddings), "
+    "u AS (SELECT cl.*, d.text AS phrase, d.source FROM cl JOIN documents d ON d.doc_id = cl.vec_id), "
+    "sz AS (SELECT dim, cluster_id, count(*) AS size FROM u WHERE cluster_id <> -1 GROUP BY dim, cluster_id), "
+    "topk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY size DESC, cluster_id) "
+    "AS size_rank FROM sz) WHERE size_rank <= 10), "
+    "uc AS (SELECT u.* FROM u SEMI JOIN topk ON u.dim = topk.dim AND u.cluster_id = topk.cluster_id), "
+    "coords AS (SELECT dim, cluster_id, greatest(0.0, 1 - outlier) AS w, unnest(generate_series(0, len(vec) - 1)) "
+    "AS pos, unnest(vec) AS x FROM uc), "
+    "cen AS (SELECT dim, cluster_id, pos, CASE WHEN sum(w) = 0 THEN avg(CAST(x AS DOUBLE)) ELSE "
+    "sum(w * CAST(x AS DOUBLE)) / sum(w) END AS value FROM coords GROUP BY dim, cluster_id, pos), "
+    "cenv AS (SELECT dim, cluster_id, list(value ORDER BY pos) AS c FROM cen GROUP BY dim, cluster_id), "
+    "sims AS (SELECT uc.dim, uc.cluster_id, uc.vec_id, uc.phrase, "
+    "list_sum(list_transform(list_zip(uc.vec, cenv.c), lambda t: CAST(t[1] AS DOUBLE) * t[2])) / "
+    "(sqrt(list_sum(list_transform(uc.vec, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * "
+    "sqrt(list_sum(list_transform(cenv.c, lambda x: x * x)))) AS sim FROM uc JOIN cenv "
+    "ON uc.dim = cenv.dim AND uc.cluster_id = cenv.cluster_id), "
+    "rep AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim, cluster_id ORDER BY round(sim, 9) DESC, "
+    "vec_id) AS r FROM sims) WHERE r = 1), "
+    "reps AS (SELECT t.dim, t.cluster_id, t.size, rep.phrase AS weighted_centroid_phrase, rep.sim AS rep_cosine_sim, "
+    "rep.vec_id AS rep_id FROM topk t JOIN rep ON t.dim = rep.dim AND t.cluster_id = rep.cluster_id), "
+    "samp AS (SELECT dim, cluster_id, string_agg(phrase, ' | ' ORDER BY outlier, vec_id) AS sample_phrases FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY dim, cluster_id ORDER BY outlier, vec_id) AS r FROM uc) "
+    "WHERE r <= 8 GROUP BY dim, cluster_id), "
+    "sheet AS (SELECT reps.dim, reps.cluster_id, reps.size, reps.weighted_centroid_phrase AS rep_phrase, "
+    "samp.sample_phrases, trim(d.source) AS aspect_label FROM reps JOIN samp ON reps.dim = samp.dim "
+    "AND reps.cluster_id = samp.cluster_id JOIN documents d ON d.doc_id = reps.rep_id), "
+    "rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim ORDER BY size DESC, cluster_id) AS top_n "
+    "FROM sheet WHERE coalesce(aspect_label, '') <> '') WHERE top_n <= 10), "
+    "both_l AS (SELECT aspect_label FROM rk GROUP BY aspect_label "
+    "HAVING count(DISTINCT dim) = 2 AND min(dim) = 5 AND max(dim) = 10)"
+)
+
+ORACLE["top_k_clusters"] = "WITH " + _CLU + " SELECT dim, cluster_id, size, size_rank FROM topk"
+ORACLE["central_phrase"] = (
+    "WITH " + _CLU + ", cp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dim, cluster_id "
+    "ORDER BY outlier, vec_id) AS r FROM uc) WHERE r = 1) "
+    "SELECT t.dim, t.cluster_id, t.size, cp.phrase AS representative_phrase FROM topk t JOIN cp "
+    "ON t.dim = cp.dim AND t.cluster_id = cp.cluster_id")
+ORACLE["weighted_centroid"] = ("WITH " + _CLU + " SELECT dim, cluster_id, CAST(pos AS INTEGER) AS pos, "
+                               "round(value, 6) AS value FROM cen")
+ORACLE["weighted_reps"] = ("WITH " + _CLU + " SELECT dim, cluster_id, size, weighted_centroid_phrase, "
+                           "round(rep_cosine_sim, 6) AS rep_cosine_sim FROM reps")
+ORACLE["cluster_samples"] = ("WITH " + _CLU + " SELECT dim, cluster_id, size, rep_phrase, sample_phrases "
+                             "FROM sheet")
+_FMT = ("CASE WHEN rk.aspect_label IN (SELECT aspect_label FROM both_l) THEN '**' || rk.aspect_label || '**' "
+        "ELSE rk.aspect_label END")
+ORACLE["side_by_side"] = (
+    "WITH " + _CLU + ", rows AS (SELECT CAST(range AS INTEGER) AS top_n FROM range(1, 11)), "
+    f"l AS (SELECT top_n, rep_phrase AS p, {_FMT} AS lab FROM rk WHERE dim = 5), "
+    f"r AS (SELECT top_n, rep_phrase AS p, {_FMT} AS lab FROM rk WHERE dim = 10), "
+    "o AS (SELECT rows.top_n, replace(coalesce(l.p, ''), '|', '\\|') AS left_phrase, "
+    "replace(coalesce(l.lab, ''), '|', '\\|') AS left_label, replace(coalesce(r.p, ''), '|', '\\|') AS right_phrase, "
+    "replace(coalesce(r.lab, ''), '|', '\\|') AS right_label FROM rows LEFT JOIN l ON l.top_n = rows.top_n "
+    "LEFT JOIN r ON r.top_n = rows.top_n) "
+    "SELECT *, '| ' || CAST(top_n AS VARCHAR) || ' | ' || left_phrase || ' | ' || left_label || ' | ' || "
+    "right_phrase || ' | ' || right_label || ' |' AS md_line FROM o")
+ORACLE["label_membership"] = (
+    "WITH " + _CLU + " SELECT aspect_label, arg_max(rep_phrase, dim * 1000 - top_n) AS rep_phrase, "
+    "CASE WHEN count(DISTINCT dim) = 2 THEN 'both' WHEN max(dim) = 5 THEN '5D' ELSE '10D' END AS appears_in "
+    "FROM rk GROUP BY aspect_label")
