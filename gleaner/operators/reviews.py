@@ -75,8 +75,15 @@ def assign_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
     runs over the whole table; only the per-partition counts are broadcast
     (their size is the partition count).
     """
+    from gleaner.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    # Freeze the partition ids: the counts and the rows must see the same
+    # partitioning, which two separate evaluations (AQE may coalesce
+    # differently) do not guarantee.  A reliable checkpoint in the shared
+    # folder also survives executor loss.
     tagged = (df.withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
+                .withColumn("_mid", F.monotonically_increasing_id())
+                .checkpoint(eager=True))
     from pyspark.sql import Window
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(

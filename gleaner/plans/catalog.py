@@ -283,3 +283,83 @@ def side_by_side(spark, sf_dir):
 def label_membership(spark, sf_dir):
     ranked = TB.rank_in_group(TB.drop_unlabelled(labelled_sheet(spark, sf_dir)))
     return TB.label_membership(ranked).select("aspect_label", "rep_phrase", "appears_in")
+
+
+# --------------------------------------------------------------- topic table
+from gleaner.operators import topics as TP  # noqa: E402
+
+EARLY_STOP = 2000
+
+
+def mentions(spark, sf_dir):
+    return TP.valid_mentions(FX.responses(spark, sf_dir))
+
+
+@query
+def topic_fold(spark, sf_dir):
+    return TP.fold_topics(mentions(spark, sf_dir), early_stop=None)
+
+
+@query
+def topic_early_stop(spark, sf_dir):
+    return TP.fold_topics(mentions(spark, sf_dir), early_stop=EARLY_STOP)
+
+
+@query
+def processed_responses(spark, sf_dir):
+    resp = FX.responses(spark, sf_dir)
+    return TP.processed_responses(resp, TP.valid_mentions(resp), EARLY_STOP).select("doc_pos", "response")
+
+
+@query
+def topic_rejects(spark, sf_dir):
+    return TP.topic_rejects(FX.responses(spark, sf_dir))
+
+
+@query
+def parse_topic_lines(spark, sf_dir):
+    return TP.parse_topic_lines(FX.topic_lines(spark, sf_dir)).filter(F.col("status") == "ok") \
+             .select("line_no", "lvl", "name", "count", "desc")
+
+
+def topic_tree(spark, sf_dir):
+    return TP.topic_parents(TP.parse_topic_lines(FX.topic_lines(spark, sf_dir)), max_level=2)
+
+
+@query
+def topic_parents(spark, sf_dir):
+    return topic_tree(spark, sf_dir)
+
+
+@query
+def topic_file_lines(spark, sf_dir):
+    t = TP.with_paths(topic_tree(spark, sf_dir), 2).filter(F.length("desc") > 0)
+    return t.select("node_id", F.concat(F.repeat(F.lit("    "), F.col("lvl") - 1), TP.node_to_str()).alias("line"))
+
+
+@query
+def topic_outline(spark, sf_dir):
+    t = TP.with_paths(topic_tree(spark, sf_dir), 2)
+    return t.select("node_id", F.concat(F.repeat(F.lit("\t"), F.col("lvl") - 1),
+                                        TP.node_to_str(False, False)).alias("line"))
+
+
+@query
+def remove_topic(spark, sf_dir):
+    return TP.remove_topic(topic_tree(spark, sf_dir), "LARGE", 1)
+
+
+@query
+def merge_topics(spark, sf_dir):
+    return TP.merge_topics(topic_tree(spark, sf_dir), [("economy", 1), ("PROMO", 1)], "VALUE",
+                           "Mentions economy and promotional parts.")
+
+
+@query
+def drop_rare_topics(spark, sf_dir):
+    return TP.drop_rare_topics(topic_tree(spark, sf_dir), 0.01)
+
+
+@query
+def topic_top_words(spark, sf_dir):
+    return TP.topic_top_words(topic_tree(spark, sf_dir), 10)

@@ -77,7 +77,8 @@ def topic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """part -> a two-level topic file as lines (line_no, line).
 
     Level 1 = p_type, level 2 = p_brand, count = rows, desc = smallest p_name.
-    Lines are ordered type, then its brands; ``line_no`` is a dense key.
+    Lines are ordered type, then its brands; ``line_no`` is a dense 1-based
+    key (node ids are line numbers, 0 is the root).
     """
     p = table(spark, sf_dir, "part")
     lvl1 = p.groupBy("p_type").agg(F.count(F.lit(1)).alias("n"), F.min("p_name").alias("d"))
@@ -91,4 +92,4 @@ def topic_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A dense line number over a table with one row per (type, brand): its size
     # is bounded by the distinct type x brand pairs, not by the part table.
     w = Window.orderBy("p_type", "p_brand")
-    return lines.select((F.row_number().over(w) - 1).cast("long").alias("line_no"), "line")
+    return lines.select(F.row_number().over(w).cast("long").alias("line_no"), "line")

@@ -248,3 +248,90 @@ ORACLE["label_membership"] = (
     "WITH " + _CLU + " SELECT aspect_label, arg_max(rep_phrase, dim * 1000 - top_n) AS rep_phrase, "
     "CASE WHEN count(DISTINCT dim) = 2 THEN 'both' WHEN max(dim) = 5 THEN '5D' ELSE '10D' END AS appears_in "
     "FROM rk GROUP BY aspect_label")
+
+
+# --------------------------------------------------------------- topic table
+_RESP = (
+    "resp AS (SELECT event_id AS doc_pos, CASE WHEN event_id % 7 = 6 THEN 'None' ELSE '[1] ' || "
+    "upper(substr(event_type, 1, 1)) || lower(substr(event_type, 2)) || ': user ' || CAST(user_id AS VARCHAR) "
+    "END AS response FROM events), "
+    "lines AS (SELECT doc_pos, unnest(generate_series(0, len(string_split(response, chr(10))) - 1)) AS line_pos, "
+    "trim(unnest(string_split(response, chr(10)))) AS line FROM resp), "
+    "parsed AS (SELECT *, regexp_matches(line, '^\\[(\\d+)\\] ([\\w\\s]+):(.+)') AS ok, "
+    "CAST(regexp_extract(line, '^\\[(\\d+)\\] ([\\w\\s]+):(.+)', 1) AS INTEGER) AS lvl, "
+    "trim(regexp_extract(line, '^\\[(\\d+)\\] ([\\w\\s]+):(.+)', 2)) AS name, "
+    "trim(regexp_extract(line, '^\\[(\\d+)\\] ([\\w\\s]+):(.+)', 3)) AS \"desc\" FROM lines), "
+    "m AS (SELECT row_number() OVER (ORDER BY doc_pos, line_pos) AS idx, doc_pos, name, \"desc\", lower(name) AS key "
+    "FROM parsed WHERE ok AND lvl = 1), "
+    # the reference loop, run one mention at a time
+    "sim AS (SELECT 0::BIGINT AS idx, []::VARCHAR[] AS seen, 0 AS run, false AS stopped "
+    "UNION ALL SELECT m.idx, CASE WHEN list_contains(s.seen, m.key) THEN s.seen ELSE list_append(s.seen, m.key) END, "
+    "CASE WHEN list_contains(s.seen, m.key) THEN s.run + 1 ELSE 0 END, "
+    "list_contains(s.seen, m.key) AND s.run + 1 > 2000 FROM sim s JOIN m ON m.idx = s.idx + 1 WHERE NOT s.stopped), "
+    "stop AS (SELECT min(sim.idx) AS stop_idx, min(m.doc_pos) AS stop_doc FROM sim JOIN m ON m.idx = sim.idx "
+    "WHERE stopped)"
+)
+
+
+def _fold(cond: str) -> str:
+    return ("SELECT min(idx) AS topic_order, 1 AS lvl, arg_min(name, idx) AS name, count(*) AS count, "
+            f"arg_min(\"desc\", idx) AS \"desc\" FROM m WHERE {cond} GROUP BY key")
+
+
+ORACLE["topic_fold"] = "WITH RECURSIVE " + _RESP + " " + _fold("true")
+ORACLE["topic_early_stop"] = ("WITH RECURSIVE " + _RESP + " " +
+                              _fold("idx <= coalesce((SELECT stop_idx FROM stop), 9223372036854775807)"))
+ORACLE["processed_responses"] = ("WITH RECURSIVE " + _RESP + " SELECT doc_pos, response FROM resp "
+                                 "WHERE doc_pos < coalesce((SELECT stop_doc FROM stop), 9223372036854775807)")
+ORACLE["topic_rejects"] = (
+    "WITH RECURSIVE " + _RESP + " SELECT doc_pos, CAST(line_pos AS INTEGER) AS line_pos, line, "
+    "CASE WHEN NOT ok THEN 'invalid_format' ELSE 'lower_level' END AS status FROM parsed "
+    "WHERE NOT ok OR lvl <> 1")
+
+_TL = "^\\[(\\d+)\\] (.+) \\(Count: (\\d+)\\)\\s?:(.+)?"
+_TREE = (
+    "l1 AS (SELECT p_type, '' AS p_brand, printf('[1] %s (Count: %d): %s', p_type, count(*), min(p_name)) AS line "
+    "FROM part GROUP BY p_type), "
+    "l2 AS (SELECT p_type, p_brand, printf('    [2] %s (Count: %d): %s', p_brand, count(*), min(p_name)) AS line "
+    "FROM part GROUP BY p_type, p_brand), "
+    "tl AS (SELECT row_number() OVER (ORDER BY p_type, p_brand) AS line_no, trim(line) AS t FROM "
+    "(SELECT * FROM l1 UNION ALL SELECT * FROM l2)), "
+    f"pl AS (SELECT line_no, CAST(regexp_extract(t, '{_TL}', 1) AS INTEGER) AS lvl, "
+    f"trim(regexp_extract(t, '{_TL}', 2)) AS name, CAST(regexp_extract(t, '{_TL}', 3) AS BIGINT) AS count, "
+    f"trim(regexp_extract(t, '{_TL}', 4)) AS \"desc\" FROM tl WHERE regexp_matches(t, '{_TL}')), "
+    "n1 AS (SELECT min(line_no) AS node_id, 1 AS lvl, name, sum(count) AS count, arg_min(\"desc\", line_no) AS \"desc\", "
+    "0 AS parent_id FROM pl WHERE lvl = 1 GROUP BY name), "
+    "c2 AS (SELECT pl.*, (SELECT max(node_id) FROM n1 WHERE n1.node_id < pl.line_no) AS parent_id FROM pl WHERE lvl = 2), "
+    "n2 AS (SELECT min(line_no) AS node_id, 2 AS lvl, name, sum(count) AS count, arg_min(\"desc\", line_no) AS \"desc\", "
+    "parent_id FROM c2 WHERE parent_id IS NOT NULL GROUP BY parent_id, name), "
+    "tree AS (SELECT CAST(node_id AS BIGINT) AS node_id, CAST(lvl AS INTEGER) AS lvl, name, CAST(count AS BIGINT) AS count, "
+    "\"desc\", CAST(parent_id AS BIGINT) AS parent_id FROM (SELECT * FROM n1 UNION ALL SELECT * FROM n2))"
+)
+_NODE = "'[' || CAST(lvl AS VARCHAR) || '] ' || name"
+
+ORACLE["parse_topic_lines"] = "WITH " + _TREE + " SELECT CAST(line_no AS BIGINT) AS line_no, lvl, name, count, \"desc\" FROM pl"
+ORACLE["topic_parents"] = "WITH " + _TREE + " SELECT * FROM tree"
+ORACLE["topic_file_lines"] = (
+    "WITH " + _TREE + " SELECT node_id, repeat('    ', lvl - 1) || " + _NODE +
+    " || ' (Count: ' || CAST(count AS VARCHAR) || '): ' || \"desc\" AS line FROM tree WHERE length(\"desc\") > 0")
+ORACLE["topic_outline"] = "WITH " + _TREE + " SELECT node_id, repeat(chr(9), lvl - 1) || " + _NODE + " AS line FROM tree"
+ORACLE["remove_topic"] = (
+    "WITH " + _TREE + ", v AS (SELECT min(node_id) AS id FROM tree WHERE name = 'LARGE' AND lvl = 1) "
+    "SELECT * FROM tree WHERE node_id <> coalesce((SELECT id FROM v), -99) "
+    "AND parent_id <> coalesce((SELECT id FROM v), -99)")
+ORACLE["merge_topics"] = (
+    "WITH " + _TREE + ", hit AS (SELECT * FROM tree WHERE lvl = 1 AND lower(name) IN ('economy', 'promo')) "
+    "SELECT * FROM tree WHERE node_id NOT IN (SELECT node_id FROM hit) AND parent_id NOT IN (SELECT node_id FROM hit) "
+    "UNION ALL SELECT CAST(-1 AS BIGINT), 1, 'VALUE', CAST(sum(count) AS BIGINT), "
+    "'Mentions economy and promotional parts.', CAST(0 AS BIGINT) FROM hit")
+ORACLE["drop_rare_topics"] = (
+    "WITH " + _TREE + ", tot AS (SELECT lvl, sum(count) AS t FROM tree GROUP BY lvl) "
+    "SELECT tree.lvl, node_id, name, count, \"desc\", parent_id FROM tree JOIN tot ON tree.lvl = tot.lvl "
+    "WHERE count / t >= 0.01")
+ORACLE["topic_top_words"] = (
+    "WITH " + _TREE + ", w AS (SELECT node_id, unnest(generate_series(0, len(ws) - 1)) AS pos, unnest(ws) AS word "
+    "FROM (SELECT node_id, regexp_extract_all(lower(\"desc\"), '[a-zA-Z'']+') AS ws FROM tree)), "
+    "c AS (SELECT node_id, word, count(*) AS n, min(pos) AS first FROM w WHERE word NOT IN "
+    "('the', 'and', 'of', 'to', 'in', 'for', 'a', 'an', 'is') GROUP BY node_id, word) "
+    "SELECT node_id, CAST(rank AS INTEGER) AS rank, word, n AS count FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY node_id ORDER BY n DESC, first) AS rank FROM c) WHERE rank <= 10")
