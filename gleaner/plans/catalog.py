@@ -363,3 +363,39 @@ def drop_rare_topics(spark, sf_dir):
 @query
 def topic_top_words(spark, sf_dir):
     return TP.topic_top_words(topic_tree(spark, sf_dir), 10)
+
+
+# ------------------------------------------------------------ density clusters
+from gleaner.operators import density as DEN  # noqa: E402
+
+EPS = 0.02
+MIN_SAMPLES = 5
+MIN_CLUSTER_SIZE = 5
+
+
+def planar_points(spark, sf_dir):
+    """(vec_id, x): the first two coordinates of each embedding."""
+    e = FX.table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", F.array(F.col("embedding")[0].cast("double"),
+                                      F.col("embedding")[1].cast("double")).alias("x"))
+
+
+@query
+def knn(spark, sf_dir):
+    r = DEN.knn(planar_points(spark, sf_dir), MIN_SAMPLES, cell=EPS)
+    return r.select("src", "dst", F.round("dist", 9).alias("dist"), "rank")
+
+
+@query
+def density_eps_cut(spark, sf_dir):
+    return DEN.density_cluster(planar_points(spark, sf_dir), EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE)
+
+
+@query
+def outlier_score(spark, sf_dir):
+    pts = planar_points(spark, sf_dir)
+    labels = DEN.density_cluster(pts, EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE)
+    nb = DEN.knn(pts, MIN_SAMPLES, cell=EPS, include_self=True)
+    o = DEN.outlier_score(labels, nb, MIN_SAMPLES)
+    return o.select("vec_id", "cluster_id", F.round("core_dist", 9).alias("core_dist"),
+                    F.round("outlier", 6).alias("outlier"))

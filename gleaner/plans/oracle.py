@@ -335,3 +335,35 @@ ORACLE["topic_top_words"] = (
     "('the', 'and', 'of', 'to', 'in', 'for', 'a', 'an', 'is') GROUP BY node_id, word) "
     "SELECT node_id, CAST(rank AS INTEGER) AS rank, word, n AS count FROM (SELECT *, row_number() OVER "
     "(PARTITION BY node_id ORDER BY n DESC, first) AS rank FROM c) WHERE rank <= 10")
+
+
+# ------------------------------------------------------------ density clusters
+_DEN = (
+    "pts AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1 FROM embeddings), "
+    "pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + "
+    "(a.x1 - b.x1) * (a.x1 - b.x1)) AS dist FROM pts a, pts b WHERE a.vec_id <> b.vec_id), "
+    "nn AS (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM pairs), "
+    "cnt AS (SELECT p.vec_id, 1 + count(q.dst) AS n FROM pts p LEFT JOIN pairs q ON q.src = p.vec_id "
+    "AND q.dist <= 0.02 GROUP BY p.vec_id), "
+    "core AS (SELECT vec_id FROM cnt WHERE n >= 5), "
+    "ce AS (SELECT src, dst FROM pairs WHERE dist <= 0.02 AND src IN (SELECT vec_id FROM core) "
+    "AND dst IN (SELECT vec_id FROM core)), "
+    "reach(id, l) AS (SELECT vec_id, vec_id FROM core UNION SELECT ce.dst, reach.l FROM reach JOIN ce "
+    "ON ce.src = reach.id), "
+    "comp AS (SELECT id, min(l) AS component FROM reach GROUP BY id), "
+    "sizes AS (SELECT component, count(*) AS size FROM comp GROUP BY component HAVING count(*) >= 5), "
+    "rk AS (SELECT component, CAST(row_number() OVER (ORDER BY size DESC, component) - 1 AS INTEGER) AS cluster_id "
+    "FROM sizes), "
+    "lab AS (SELECT p.vec_id, coalesce(rk.cluster_id, -1) AS cluster_id FROM pts p LEFT JOIN comp ON comp.id = p.vec_id "
+    "LEFT JOIN rk ON rk.component = comp.component)"
+)
+ORACLE["knn"] = ("WITH RECURSIVE " + _DEN + " SELECT src, dst, round(dist, 9) AS dist, CAST(rank AS INTEGER) AS rank "
+                 "FROM nn WHERE rank <= 5")
+ORACLE["density_eps_cut"] = "WITH RECURSIVE " + _DEN + " SELECT vec_id, cluster_id FROM lab"
+ORACLE["outlier_score"] = (
+    "WITH RECURSIVE " + _DEN + ", cd AS (SELECT src AS vec_id, dist AS core_dist FROM nn WHERE rank = 4), "
+    "j AS (SELECT lab.*, cd.core_dist FROM lab LEFT JOIN cd ON cd.vec_id = lab.vec_id), "
+    "dm AS (SELECT cluster_id, min(core_dist) AS dmin FROM j WHERE cluster_id <> -1 GROUP BY cluster_id) "
+    "SELECT j.vec_id, j.cluster_id, round(j.core_dist, 9) AS core_dist, round(CASE WHEN j.cluster_id = -1 THEN 1.0 "
+    "ELSE 1 - greatest(dm.dmin, 1e-12) / greatest(j.core_dist, 1e-12) END, 6) AS outlier "
+    "FROM j LEFT JOIN dm ON dm.cluster_id = j.cluster_id")
