@@ -399,3 +399,63 @@ def outlier_score(spark, sf_dir):
     o = DEN.outlier_score(labels, nb, MIN_SAMPLES)
     return o.select("vec_id", "cluster_id", F.round("core_dist", 9).alias("core_dist"),
                     F.round("outlier", 6).alias("outlier"))
+
+
+# ------------------------------------------------------ embeddings, reduction
+from gleaner.operators import embed as EMB  # noqa: E402
+
+HASH_DIM = 64
+PROJ_DIMS = (2, 3, 5, 10, 20, 50, 200)
+
+
+def _sparse(df, keys):
+    return (df.select(*keys, F.posexplode("vec").alias("bucket", "value"))
+              .filter(F.col("value") != 0)
+              .select(*keys, "bucket", F.round("value", 6).alias("value")))
+
+
+@query
+def hash_embed(spark, sf_dir):
+    e = EMB.hash_embed(mintoken_units(spark, sf_dir), HASH_DIM)
+    return _sparse(e, ["review_id", "unit_pos"])
+
+
+@query
+def embed_units_plugin(spark, sf_dir):
+    e = EMB.embed_units(mintoken_units(spark, sf_dir), EMB.hashing_encoder_factory(HASH_DIM), "hash64")
+    return _sparse(e, ["review_id", "unit_pos"])
+
+
+@query
+def random_projection(spark, sf_dir):
+    vecs = FX.vectors(spark, sf_dir)
+    r = EMB.reduce_dims(vecs, PROJ_DIMS, "random", seed=42).filter(F.col("dim_label") != "orig")
+    return r.select("vec_id", "dim_label", F.posexplode("vec").alias("pos", "value")) \
+            .select("vec_id", "dim_label", "pos", F.round("value", 6).alias("value"))
+
+
+@query
+def reduce_manifest(spark, sf_dir):
+    r = EMB.reduce_dims(FX.vectors(spark, sf_dir), PROJ_DIMS, "random", seed=42)
+    return EMB.manifest(r).select("dim_label", "n_components", "rows")
+
+
+@query
+def pca_dims(spark, sf_dir):
+    """PCA of the 64-d vectors to 5 and 10 components (no SQL oracle: rows only)."""
+    vecs = FX.vectors(spark, sf_dir)
+    parts = [EMB.pca_reduce(vecs, k, "vec", "p").select("vec_id", F.lit(f"{k}d").alias("dim_label"),
+                                                        F.posexplode("p").alias("pos", "value"))
+             for k in (5, 10)]
+    return parts[0].unionByName(parts[1])
+
+
+@query
+def normalize_cosine(spark, sf_dir):
+    """L2-normalised vectors and their cosine to the first coordinate axis."""
+    from gleaner.functions.vectors import cosine_similarity, normalize_vec
+    v = FX.vectors(spark, sf_dir)
+    n = v.select("vec_id", normalize_vec("vec").alias("nv"), "vec")
+    axis = F.transform(F.col("vec"), lambda x, i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return n.select("vec_id", F.round(F.aggregate("nv", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"),
+                    F.round(cosine_similarity(F.col("vec"), axis), 6).alias("cos_axis0"))

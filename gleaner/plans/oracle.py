@@ -367,3 +367,32 @@ ORACLE["outlier_score"] = (
     "SELECT j.vec_id, j.cluster_id, round(j.core_dist, 9) AS core_dist, round(CASE WHEN j.cluster_id = -1 THEN 1.0 "
     "ELSE 1 - greatest(dm.dmin, 1e-12) / greatest(j.core_dist, 1e-12) END, 6) AS outlier "
     "FROM j LEFT JOIN dm ON dm.cluster_id = j.cluster_id")
+
+
+# ------------------------------------------------------ embeddings, reduction
+_HASH = (
+    "hw AS (SELECT review_id, unit_pos, unnest(regexp_extract_all(lower(unit), '[\\p{L}\\p{N}_]{2,}')) AS w FROM units), "
+    "hb AS (SELECT review_id, unit_pos, CAST(('0x' || substr(md5(w), 1, 8))::UBIGINT % 64 AS INTEGER) AS bucket, "
+    "CASE WHEN ('0x' || substr(md5(w), 9, 8))::UBIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM hw), "
+    "hv AS (SELECT review_id, unit_pos, bucket, round(sum(s), 6) AS value FROM hb GROUP BY ALL HAVING sum(s) <> 0)"
+)
+ORACLE["hash_embed"] = "WITH " + _units_dedup() + ", " + _HASH + " SELECT * FROM hv"
+ORACLE["embed_units_plugin"] = ORACLE["hash_embed"]
+
+
+def _proj(k: int) -> str:
+    return (f"SELECT e.vec_id, '{k}d' AS dim_label, CAST(j.j AS INTEGER) AS pos, round(sum(CAST(e.embedding[i.i + 1] AS DOUBLE) * "
+            f"CASE WHEN ('0x' || substr(md5('42:' || CAST(i.i * {k} + j.j AS VARCHAR)), 1, 8))::UBIGINT % 2 = 0 "
+            f"THEN 1.0 ELSE -1.0 END / sqrt({k})), 6) AS value FROM embeddings e, range(0, 64) i(i), range(0, {k}) j(j) "
+            "GROUP BY e.vec_id, j.j")
+
+
+ORACLE["random_projection"] = " UNION ALL ".join(_proj(k) for k in (2, 3, 5, 10, 20, 50))
+ORACLE["reduce_manifest"] = (
+    "SELECT dim_label, n_components, count(*) AS rows FROM (SELECT 'orig' AS dim_label, 64 AS n_components "
+    "FROM embeddings UNION ALL SELECT k || 'd', k FROM embeddings, (VALUES (2), (3), (5), (10), (20), (50)) t(k)) "
+    "GROUP BY dim_label, n_components")
+ORACLE["normalize_cosine"] = (
+    "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (CAST(x AS DOUBLE) / n) * (CAST(x AS DOUBLE) / n))), 6) "
+    "AS sq_norm, round(CAST(embedding[1] AS DOUBLE) / n, 6) AS cos_axis0 FROM (SELECT *, sqrt(list_sum(list_transform("
+    "embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)")
