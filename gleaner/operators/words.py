@@ -114,17 +114,18 @@ def ctfidf_top_words(units: DataFrame, clusters: DataFrame, variant: str = "raw"
     return top_words(weights, n, [*s, cluster_col])
 
 
-def normalise_topic_words(raw: DataFrame, text_col: str = "value") -> DataFrame:
-    """Topic-word JSON in any of four shapes -> ``(topic_id, rank, word)``.
+def normalise_topic_words(raw: DataFrame, text_col: str = "value",
+                          key_cols: Sequence[str] = ()) -> DataFrame:
+    """Topic-word JSON in any of four shapes -> ``(*keys, topic_id, rank, word)``.
 
     Shapes: ``{"1": [...], "2": "w w"}`` (digit keys, numeric order),
     ``{"topics": [{"top_words"|"words"|"terms": ...}]}``, a list of such
-    objects, or a list of lists.  Words are stripped; empty topics dropped.
-    Runs on a DataFrame of JSON documents (one per row), so many files are
-    parsed in parallel.
+    objects, or a list of lists.  Words are stripped; empty topics dropped;
+    ``topic_id`` counts the surviving topics from 0.  One JSON document per
+    row (``key_cols`` identify it), so many files parse in parallel.
     """
-    doc = F.parse_json(F.col(text_col))
-    with_id = raw.select(F.monotonically_increasing_id().alias("_doc"), doc.alias("j"))
+    keys = list(key_cols)
+    with_j = raw.select(*keys, F.parse_json(F.col(text_col)).alias("j"))
 
     def words_of(v):
         arr = F.try_variant_get(v, "$", "array<string>")
@@ -132,26 +133,30 @@ def normalise_topic_words(raw: DataFrame, text_col: str = "value") -> DataFrame:
         from_str = F.split(F.trim(s), r"\s+")
         return F.coalesce(arr, F.when(s.isNotNull(), from_str))
 
-    # dict with digit keys (and no "topics" key)
-    keyed = (with_id.filter((F.schema_of_variant("j").startswith("OBJECT"))
-                            & F.try_variant_get("j", "$.topics", "string").isNull()
-                            & F.variant_get("j", "$.topics", "variant").isNull())
-             .select("_doc", F.variant_explode("j").alias("pos", "key", "value"))
+    as_map = F.try_variant_get("j", "$", "map<string,variant>")
+    topics_arr = F.try_variant_get("j", "$.topics", "array<variant>")
+    top_arr = F.try_variant_get("j", "$", "array<variant>")
+    # dict with digit keys (and no "topics" key), numeric key order
+    keyed = (with_j.filter(as_map.isNotNull() & ~F.map_contains_key(as_map, "topics"))
+             .select(*keys, F.explode(as_map).alias("key", "value"))
              .filter(F.col("key").rlike(r"^\d+$"))
-             .select("_doc", F.col("key").cast("long").alias("_order"), words_of(F.col("value")).alias("words")))
-    # list-based: top-level array or {"topics": [...]}
-    lst = F.coalesce(F.variant_get("j", "$.topics", "variant"), F.col("j"))
-    items = (with_id.filter(F.schema_of_variant(lst).startswith("ARRAY"))
-             .select("_doc", F.variant_explode(lst).alias("pos", "key", "value")))
-    obj_words = F.coalesce(*[words_of(F.variant_get("value", f"$.{k}", "variant"))
+             .select(*keys, F.col("key").cast("decimal(38,0)").alias("_order"), words_of(F.col("value")).alias("words")))
+    # list-based: top-level array, or the array under "topics"
+    lst = F.when(as_map.isNotNull() & F.map_contains_key(as_map, "topics"), topics_arr).otherwise(top_arr)
+    items = (with_j.select(*keys, lst.alias("_l")).filter(F.col("_l").isNotNull())
+             .select(*keys, F.posexplode("_l").alias("pos", "value")))
+    def non_empty(c):  # the reference's ``a or b or c`` skips empty lists too
+        return F.when(F.size(c) > 0, c)
+    obj_words = F.coalesce(*[non_empty(words_of(F.try_variant_get("value", f"$.{k}", "variant")))
                              for k in ("top_words", "words", "terms")])
-    listed = items.select("_doc", F.col("pos").cast("long").alias("_order"),
+    listed = items.select(*keys, F.col("pos").cast("decimal(38,0)").alias("_order"),
                           F.coalesce(obj_words, words_of(F.col("value"))).alias("words"))
     allw = keyed.unionByName(listed)
-    cleaned = allw.select("_doc", "_order", F.filter(F.transform("words", lambda w: F.trim(w)),
-                                                     lambda w: w != F.lit("")).alias("words"))
+    cleaned = allw.select(*keys, "_order", F.filter(F.transform("words", lambda w: F.trim(w)),
+                                                    lambda w: w != F.lit("")).alias("words"))
     cleaned = cleaned.filter(F.size("words") > 0)
-    w = Window.partitionBy("_doc").orderBy("_order")
+    w = Window.partitionBy(*keys).orderBy("_order") if keys else Window.orderBy("_order")
     return (cleaned.withColumn("topic_id", F.row_number().over(w) - 1)
-                   .select("_doc", "topic_id", F.posexplode("words").alias("rank0", "word"))
-                   .select("_doc", "topic_id", (F.col("rank0") + 1).alias("rank"), "word"))
+                   .select(*keys, "topic_id", F.posexplode("words").alias("rank0", "word"))
+                   .select(*keys, F.col("topic_id").cast("int").alias("topic_id"),
+                           (F.col("rank0") + 1).cast("int").alias("rank"), "word"))

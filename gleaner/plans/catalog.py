@@ -459,3 +459,37 @@ def normalize_cosine(spark, sf_dir):
     axis = F.transform(F.col("vec"), lambda x, i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return n.select("vec_id", F.round(F.aggregate("nv", F.lit(0.0), lambda a, x: a + x * x), 6).alias("sq_norm"),
                     F.round(cosine_similarity(F.col("vec"), axis), 6).alias("cos_axis0"))
+
+
+# ---------------------------------------------------------- sources and sinks
+from gleaner.plans.stages import scratch_path  # noqa: E402
+from gleaner.sources import io as IO  # noqa: E402
+
+
+@query
+def reviews_csv_roundtrip(spark, sf_dir):
+    """Reviews written as multi-line quoted CSV and read back with a fixed schema."""
+    path = scratch_path(spark, sf_dir, "reviews_csv")
+    r = FX.reviews(spark, sf_dir).select(F.col("course_id").alias("CourseId"), F.col("review").alias("Review"),
+                                         F.col("label").cast("string").alias("Label"))
+    IO.write_table(r, path, "csv")
+    return IO.read_reviews(spark, path)
+
+
+@query
+def corpus_roundtrip(spark, sf_dir):
+    """Phrase corpus written as JSON lines (NULL labels omitted) and read back."""
+    path = scratch_path(spark, sf_dir, "corpus_json")
+    IO.write_corpus(R.to_corpus(mintoken_units(spark, sf_dir), label_col="label"), path)
+    c = IO.read_corpus(spark, path)
+    return c.select("id", "text", F.col("label").cast("int").alias("label"))
+
+
+@query
+def topic_words_roundtrip(spark, sf_dir):
+    """Top words written as a digit-keyed JSON object per setting, read back
+    through the four-shape VARIANT normaliser."""
+    path = scratch_path(spark, sf_dir, "topic_words")
+    words = setting_top_words(spark, sf_dir, "raw").withColumnRenamed("cluster", "topic")
+    IO.write_topic_words(words, path, "dict")
+    return IO.read_topic_words(spark, path).select("setting", "topic_id", "rank", "word")

@@ -396,3 +396,13 @@ ORACLE["normalize_cosine"] = (
     "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: (CAST(x AS DOUBLE) / n) * (CAST(x AS DOUBLE) / n))), 6) "
     "AS sq_norm, round(CAST(embedding[1] AS DOUBLE) / n, 6) AS cos_axis0 FROM (SELECT *, sqrt(list_sum(list_transform("
     "embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS n FROM embeddings)")
+
+
+# ---------------------------------------------------------- sources and sinks
+ORACLE["reviews_csv_roundtrip"] = (
+    "SELECT d.source AS course_id, d.text AS review, CAST(l.quality AS VARCHAR) AS label FROM documents d "
+    "LEFT JOIN labels l ON d.doc_id = l.doc_id")
+ORACLE["corpus_roundtrip"] = ORACLE["corpus_ids"]
+ORACLE["topic_words_roundtrip"] = (
+    "WITH " + _top_words_cte("raw") + " SELECT setting, CAST(dense_rank() OVER (PARTITION BY setting ORDER BY cluster) - 1 "
+    "AS INTEGER) AS topic_id, rank, word FROM top")

@@ -32,5 +32,12 @@ def stage(spark: SparkSession, sf_dir: str, key: str, build: Callable[[], DataFr
     return _MEMO[memo_key]
 
 
+def scratch_path(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder for sink outputs under the shared checkpoint folder."""
+    root = checkpoint_dir(spark).rstrip("/")
+    tag = hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    return f"{root}/gleaner-out/{spark.sparkContext.applicationId}/{name}-{tag}"
+
+
 def clear() -> None:
     _MEMO.clear()
