@@ -149,8 +149,9 @@ def normalise_topic_words(raw: DataFrame, text_col: str = "value",
         return F.when(F.size(c) > 0, c)
     obj_words = F.coalesce(*[non_empty(words_of(F.try_variant_get("value", f"$.{k}", "variant")))
                              for k in ("top_words", "words", "terms")])
-    listed = items.select(*keys, F.col("pos").cast("decimal(38,0)").alias("_order"),
-                          F.coalesce(obj_words, words_of(F.col("value"))).alias("words"))
+    is_dict = F.try_variant_get("value", "$", "map<string,variant>").isNotNull()
+    item_words = F.when(is_dict, obj_words).otherwise(F.try_variant_get("value", "$", "array<string>"))
+    listed = items.select(*keys, F.col("pos").cast("decimal(38,0)").alias("_order"), item_words.alias("words"))
     allw = keyed.unionByName(listed)
     cleaned = allw.select(*keys, "_order", F.filter(F.transform("words", lambda w: F.trim(w)),
                                                     lambda w: w != F.lit("")).alias("words"))
