@@ -41,6 +41,18 @@ def segment_units(df: DataFrame, text_col: str = "review", mode: str = "mintoken
                   min_tokens: int = 5, drop_if_short: int = 3,
                   keep=("review_id", "course_id", "label"),
                   stopwords: Sequence[str] | None = None) -> DataFrame:
-    """Reviews -> flat units in one projection (segment + posexplode)."""
-    grouped = add_units(df, text_col, "units", mode, min_tokens, drop_if_short, stopwords)
-    return explode_units(grouped, "units", keep)
+    """Reviews -> flat units in one projection (segment + posexplode).
+
+    The input is narrowed to the kept columns and the text *before* the
+    generator, so exploded rows never carry the review text (or a struct
+    holding it) along - that copy dominated the cost on long documents.
+    """
+    keep = [c for c in keep if c in df.columns and c != text_col]
+    narrow = df.select(*keep, text_col)
+    if mode == "base":
+        expr = T.segment_base(text_col, stopwords)
+    elif mode == "mintoken":
+        expr = T.segment_mintoken(text_col, min_tokens, drop_if_short, stopwords)
+    else:
+        raise ValueError(f"unknown segmentation mode {mode!r}")
+    return narrow.select(*keep, F.posexplode(expr).alias("unit_pos", "unit"))
