@@ -5,13 +5,17 @@ window), probabilities p(w) and p(w, w') as window fractions, NPMI with
 eps = 1e-12, and per topic the mean over its words of the cosine between
 the word's NPMI vector and the sum of all the topic's NPMI vectors.
 
-Windows are never materialised one by one.  Along a long text, the set of
-topic words inside the window only changes where a window starts 109
-tokens before an occurrence or one token after it.  Those change points cut
-the window starts into *segments* of identical word sets; each segment is
-weighted by its number of starts.  Occurrences are matched to segments with
-an equi-join on 110-token buckets plus a range filter, so every text costs
-O(occurrences x words per window), never O(length x window).
+Windows are never materialised one by one.  A text of at most 110 tokens
+is a single window whose topic-word set is computed row by row
+(``array_intersect`` with the broadcast topic-word list, no shuffle).
+Along a longer text the set of topic words inside the window only changes
+where a window starts 109 tokens before an occurrence or one token after
+it; those change points cut the window starts into *segments* of identical
+word sets, each weighted by its number of starts.  Occurrences are matched
+to segments with an equi-join on 110-token buckets plus a range filter, so a
+text costs O(occurrences x words per window), never O(length x window).
+Word pairs are counted per pair with map-side partial aggregation and only
+then restricted to pairs inside one topic.
 
 Denominator: ``'relevant'`` counts windows of texts holding at least one of
 the setting's topic words (what the common library does), ``'all'`` counts
@@ -62,12 +66,17 @@ def clean_topics(topics: DataFrame, vocab: DataFrame, setting_cols: Sequence[str
     return kept.withColumn("pos", F.row_number().over(w) - 1).select(*s, topic_col, "pos", "word")
 
 
-def _window_segments(texts: DataFrame, words: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+def _occurrences(texts: DataFrame, words: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    """``(text..., L, i, word)``: positions of topic words (the only tokens C_v needs)."""
+    ids = list(id_cols)
+    return (texts.select(*ids, F.size("tokens").alias("L"), F.posexplode("tokens").alias("i", "word"))
+                 .join(words, "word", "left_semi"))
+
+
+def _window_segments(occ: DataFrame, id_cols: Sequence[str]) -> DataFrame:
     """``(text..., seg, seg_len, word)``: each distinct topic word present in
     each segment of identical windows, ``seg_len`` windows per segment."""
     ids = list(id_cols)
-    occ = (texts.select(*ids, F.size("tokens").alias("L"), F.posexplode("tokens").alias("i", "word"))
-                .join(words, "word", "left_semi"))
     short = (occ.filter(F.col("L") <= WINDOW)
                 .select(*ids, F.lit(0).alias("seg"), F.lit(1).alias("seg_len"), "word").distinct())
     long_occ = occ.filter(F.col("L") > WINDOW).withColumn("S", F.col("L") - WINDOW)
@@ -88,19 +97,29 @@ def _window_segments(texts: DataFrame, words: DataFrame, id_cols: Sequence[str])
     return short.unionByName(hits)
 
 
-def _window_totals(texts: DataFrame, words_by_setting: DataFrame, setting_cols, id_cols, denominator):
-    s, ids = list(setting_cols), list(id_cols)
-    nonempty = texts.filter(F.size("tokens") > 0).select(
-        *ids, F.greatest(F.size("tokens") - (WINDOW - 1), F.lit(1)).alias("n_win"))
-    if denominator == "all":
-        tot = nonempty.agg(F.sum("n_win").alias("n_windows"))
-        return words_by_setting.select(*s).distinct().crossJoin(tot)  # settings x one row
-    if denominator != "relevant":
-        raise ValueError(f"unknown denominator {denominator!r}")
-    rel = (texts.select(*ids, F.explode(F.array_distinct("tokens")).alias("word"))
-                .join(words_by_setting, "word")
-                .select(*s, *ids).distinct())
-    return rel.join(nonempty, ids).groupBy(*s).agg(F.sum("n_win").alias("n_windows"))
+def _segment_word_sets(texts: DataFrame, topics: DataFrame, ids) -> DataFrame:
+    """``(text..., L, seg, seg_len, ws)``: the sorted distinct topic words of
+    every window segment.
+
+    A text of at most ``WINDOW`` tokens is one window: its word set is an
+    ``array_intersect`` with the topic-word list (one broadcast row), computed
+    row by row with no shuffle.  Longer texts go through occurrences and
+    change-point segments (``_window_segments``).
+    """
+    words = topics.select("word").distinct()
+    word_list = words.agg(F.array_sort(F.collect_list("word")).alias("_tw"))  # one row
+    short = (texts.filter((F.size("tokens") > 0) & (F.size("tokens") <= WINDOW))
+                  .crossJoin(F.broadcast(word_list))
+                  .select(*ids, F.size("tokens").alias("L"), F.lit(0).alias("seg"), F.lit(1).alias("seg_len"),
+                          F.array_sort(F.array_intersect("tokens", "_tw")).alias("ws"))
+                  .filter(F.size("ws") > 0))
+    long_texts = texts.filter(F.size("tokens") > WINDOW)
+    occs = _occurrences(long_texts, F.broadcast(words), ids).checkpoint(eager=True)
+    lengths = occs.select(*ids, "L").distinct()
+    long_sets = (_window_segments(occs, ids)
+                 .groupBy(*ids, "seg", "seg_len").agg(F.array_sort(F.collect_set("word")).alias("ws"))
+                 .join(lengths, ids))
+    return short.unionByName(long_sets.select(*ids, "L", "seg", "seg_len", "ws"))
 
 
 def coherence_cv(texts: DataFrame, topics: DataFrame, setting_cols: Sequence[str] = ("setting",),
@@ -109,28 +128,48 @@ def coherence_cv(texts: DataFrame, topics: DataFrame, setting_cols: Sequence[str
     """Per-topic C_v: ``(*setting, topic, n_words, c_v)``.
 
     ``texts`` is ``(id..., tokens)``; ``topics`` is the cleaned
-    ``(*setting, topic, pos, word)`` table from ``clean_topics``.
+    ``(*setting, topic, pos, word)`` table from ``clean_topics``.  The topic
+    table (settings x topics x top-n words) is broadcast after a size check.
     """
     s, ids = list(setting_cols), list(id_cols)
-    # The topic table is small (settings x topics x top-n words) and is read
-    # by six branches below: checkpoint it once to the shared folder.
+    # The topic table is small and read by several branches below:
+    # checkpoint it once to the shared folder.
     checkpoint_dir(topics.sparkSession)
     topics = topics.checkpoint(eager=True)
+    n_words = topics.select("word").distinct().limit(BROADCAST_WORDS_LIMIT + 1).count()
+    if n_words > BROADCAST_WORDS_LIMIT:
+        raise ValueError("topic word table exceeds the broadcast bound")
     words_by_setting = topics.select(*s, "word").distinct()
-    all_words = topics.select("word").distinct()
-    if all_words.limit(BROADCAST_WORDS_LIMIT + 1).count() <= BROADCAST_WORDS_LIMIT:
-        all_words = F.broadcast(all_words)
-    segs = _window_segments(texts, all_words, ids)
-    # p(w): windows containing w
-    occ = segs.groupBy("word").agg(F.sum("seg_len").alias("c_w"))
-    # p(w, w') for same-topic pairs: join segment words with topic membership
-    members = topics.select("word", *s, topic_col).distinct()
-    sw = segs.join(members, "word")
-    a = sw.select(*ids, "seg", "seg_len", *s, topic_col, F.col("word").alias("w1"))
-    b = sw.select(*ids, "seg", *s, topic_col, F.col("word").alias("w2"))
-    co = (a.join(b, [*ids, "seg", *s, topic_col]).filter(F.col("w1") < F.col("w2"))
-           .groupBy(*s, topic_col, "w1", "w2").agg(F.sum("seg_len").alias("c_12")))
-    totals = _window_totals(texts, words_by_setting, s, ids, denominator)
+
+    sets = _segment_word_sets(texts, topics, ids).checkpoint(eager=True)
+    # p(w): windows containing w (partial aggregation by word)
+    occ = (sets.select("seg_len", F.explode("ws").alias("word"))
+               .groupBy("word").agg(F.sum("seg_len").alias("c_w")))
+    # p(w, w'): pairs of distinct words of one window segment, summed per word
+    # pair first (map-side), then kept only for pairs inside one topic
+    pairs_of = F.flatten(F.transform(
+        "ws", lambda x, i: F.transform(F.slice(F.col("ws"), i + 2, F.size(F.col("ws"))),
+                                       lambda y: F.struct(x.alias("w1"), y.alias("w2")))))
+    pair_counts = (sets.filter(F.size("ws") > 1).select("seg_len", F.explode(pairs_of).alias("_p"))
+                       .groupBy(F.col("_p.w1").alias("w1"), F.col("_p.w2").alias("w2"))
+                       .agg(F.sum("seg_len").alias("c_12")))
+    ta = topics.select(*s, topic_col, F.col("word").alias("w1"))
+    tb = topics.select(*s, topic_col, F.col("word").alias("w2"))
+    topic_pairs = ta.join(tb, [*s, topic_col]).filter(F.col("w1") < F.col("w2")).distinct()
+    co = pair_counts.join(F.broadcast(topic_pairs), ["w1", "w2"])
+
+    # window totals per setting
+    if denominator == "all":
+        tot = texts.filter(F.size("tokens") > 0).agg(
+            F.sum(F.greatest(F.size("tokens") - (WINDOW - 1), F.lit(1))).alias("n_windows"))
+        totals = words_by_setting.select(*s).distinct().crossJoin(tot)  # settings x one row
+    elif denominator == "relevant":
+        # a text is relevant to a setting when it holds one of its words
+        text_words = sets.select(*ids, "L", F.explode("ws").alias("word")).distinct()
+        rel = (text_words.join(F.broadcast(words_by_setting), "word").select(*s, *ids, "L").distinct())
+        totals = rel.groupBy(*s).agg(F.sum(F.greatest(F.col("L") - (WINDOW - 1), F.lit(1))).alias("n_windows"))
+    else:
+        raise ValueError(f"unknown denominator {denominator!r}")
 
     ti = topics.select(*s, topic_col, F.col("pos").alias("i"), F.col("word").alias("wi"))
     tj = topics.select(*s, topic_col, F.col("pos").alias("j"), F.col("word").alias("wj"))

@@ -117,12 +117,16 @@ def setting_top_words(spark, sf_dir, variant):
 
 
 def build_setting_top_words(spark, sf_dir, variant):
+    from gleaner.session import checkpoint_dir
+    checkpoint_dir(spark)
     labels = unit_labels(spark, sf_dir)
-    chosen = chosen_clusters(labels)
+    # chosen (views x k rows) and the term counts (vocabulary x clusters) are
+    # each read by several branches of the c-TF-IDF plan: checkpoint them once
+    chosen = chosen_clusters(labels).checkpoint(eager=True)
     # term counts once per (view, cluster); settings reuse them
     picked = labels.join(F.broadcast(chosen.select("view", "cluster").distinct()), ["view", "cluster"],
                          "left_semi")
-    tf_view = W.cluster_term_counts(picked, ["view", "cluster"], "unit")
+    tf_view = W.cluster_term_counts(picked, ["view", "cluster"], "unit").checkpoint(eager=True)
     # chosen has at most len(VIEWS) * sum(TOPKS) rows: a proven broadcast bound
     tf = tf_view.join(F.broadcast(chosen.select("setting", "view", "cluster")), ["view", "cluster"]) \
                 .select("setting", "cluster", "term", "tf")
