@@ -54,6 +54,22 @@ def hash_embed(units: DataFrame, dim: int = 64, text_col: str = "unit", out: str
     return units.withColumn(out, vec)
 
 
+def hash_embed_sparse(units: DataFrame, dim: int = 64, key_cols: Sequence[str] = ("review_id", "unit_pos"),
+                      text_col: str = "unit", tokens=vectorizer_tokens) -> DataFrame:
+    """The same signed feature hashing as sparse rows ``(key..., bucket, value)``
+    (non-zero buckets only).  Words are exploded and summed per
+    ``(key, bucket)``: a unit's words all sit in one input partition, so the
+    partial aggregation finishes each sum before the shuffle, which carries
+    only the non-zero entries.  O(words) instead of O(words x dim)."""
+    keys = list(key_cols)
+    h = F.md5(F.col("_w"))
+    words = units.select(*keys, F.explode(tokens(text_col)).alias("_w"))
+    signed = words.select(*keys, F.pmod(_hex_int(h, 1), F.lit(dim)).cast("int").alias("bucket"),
+                          F.when(F.pmod(_hex_int(h, 9), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("_s"))
+    return (signed.groupBy(*keys, "bucket").agg(F.sum("_s").alias("value"))
+                  .filter(F.col("value") != 0))
+
+
 # ------------------------------------------------------------- plug-in path
 def hashing_encoder_factory(dim: int = 64) -> Callable[[], Callable]:
     """Encoder factory equal to ``hash_embed`` (used to test the plug-in path)."""

@@ -420,6 +420,13 @@ def _sparse(df, keys):
 
 @query
 def hash_embed(spark, sf_dir):
+    e = EMB.hash_embed_sparse(mintoken_units(spark, sf_dir), HASH_DIM)
+    return e.select("review_id", "unit_pos", "bucket", F.round("value", 6).alias("value"))
+
+
+@query
+def hash_embed_dense(spark, sf_dir):
+    """The dense-vector form of the same encoder (array column per unit)."""
     e = EMB.hash_embed(mintoken_units(spark, sf_dir), HASH_DIM)
     return _sparse(e, ["review_id", "unit_pos"])
 

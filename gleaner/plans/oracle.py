@@ -378,6 +378,7 @@ _HASH = (
 )
 ORACLE["hash_embed"] = "WITH " + _units_dedup() + ", " + _HASH + " SELECT * FROM hv"
 ORACLE["embed_units_plugin"] = ORACLE["hash_embed"]
+ORACLE["hash_embed_dense"] = ORACLE["hash_embed"]
 
 
 def _proj(k: int) -> str:
