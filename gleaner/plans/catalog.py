@@ -111,25 +111,40 @@ def chosen_clusters(labels):
                           "view", "top_k", "cluster"))
 
 
+def chosen_table(spark, sf_dir):
+    """(setting, view, top_k, cluster): the chosen clusters, written once."""
+    return stage(spark, sf_dir, "chosen_clusters", lambda: chosen_clusters(unit_labels(spark, sf_dir)))
+
+
+def term_counts(spark, sf_dir):
+    """(view, cluster, term, tf) for the chosen clusters, written once.
+
+    Each unit is tokenised once and its tokens counted under every view; the
+    chosen-cluster table (views x k rows) is broadcast into a semi join.
+    """
+    def build():
+        units = mintoken_units(spark, sf_dir)
+        chosen = chosen_table(spark, sf_dir).select("view", "cluster").distinct()
+        views = F.array(*[F.struct(F.lit(v).alias("view"), F.col(c).cast("string").alias("cluster"))
+                          for v, c in VIEWS.items()])
+        toks = units.select(W.vectorizer_tokens("unit").alias("_t"), F.explode(views).alias("_v")) \
+                    .select("_v.view", "_v.cluster", "_t")
+        picked = toks.join(F.broadcast(chosen), ["view", "cluster"], "left_semi")
+        return (picked.select("view", "cluster", F.explode("_t").alias("term"))
+                      .groupBy("view", "cluster", "term").agg(F.count(F.lit(1)).alias("tf")))
+    return stage(spark, sf_dir, "term_counts", build)
+
+
 def setting_top_words(spark, sf_dir, variant):
     """Top words per (setting, cluster); a small table written once per session."""
     return stage(spark, sf_dir, f"top_words_{variant}", lambda: build_setting_top_words(spark, sf_dir, variant))
 
 
 def build_setting_top_words(spark, sf_dir, variant):
-    from gleaner.session import checkpoint_dir
-    checkpoint_dir(spark)
-    labels = unit_labels(spark, sf_dir)
-    # chosen (views x k rows) and the term counts (vocabulary x clusters) are
-    # each read by several branches of the c-TF-IDF plan: checkpoint them once
-    chosen = chosen_clusters(labels).checkpoint(eager=True)
-    # term counts once per (view, cluster); settings reuse them
-    picked = labels.join(F.broadcast(chosen.select("view", "cluster").distinct()), ["view", "cluster"],
-                         "left_semi")
-    tf_view = W.cluster_term_counts(picked, ["view", "cluster"], "unit").checkpoint(eager=True)
+    chosen = chosen_table(spark, sf_dir)
     # chosen has at most len(VIEWS) * sum(TOPKS) rows: a proven broadcast bound
-    tf = tf_view.join(F.broadcast(chosen.select("setting", "view", "cluster")), ["view", "cluster"]) \
-                .select("setting", "cluster", "term", "tf")
+    tf = term_counts(spark, sf_dir).join(F.broadcast(chosen.select("setting", "view", "cluster")),
+                                         ["view", "cluster"]).select("setting", "cluster", "term", "tf")
     if variant == "raw":
         weights = W.ctfidf(tf, chosen, ["setting"], "cluster")
     else:
