@@ -328,38 +328,58 @@ def topic_top_words(tree: DataFrame, n: int = 10, id_col: str = "node_id",
 
 
 # ---------------------------------------------------------------- prompts
+# Default token estimator: runs of letters/digits/underscore, or any single
+# other non-space character (a parameter; the model tokenizer is not built).
+TOKEN_EST_RE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_" + _WS + r"]"
+
+
 def estimate_tokens(col) -> F.Column:
-    """Default token estimator: words and punctuation marks (a parameter)."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(F.regexp_count(c, F.lit(r"\w+|[^\w\s]")), F.lit(0))
+    return F.coalesce(F.regexp_count(c, F.lit(TOKEN_EST_RE)), F.lit(0))
+
+
+def _fill(template: str, values: dict) -> F.Column:
+    """``template.format(**values)`` as a column: literal pieces (with ``{{``
+    and ``}}`` unescaped) concatenated with the value columns, so text inside a
+    value is never substituted again."""
+    import string
+    parts = []
+    for literal, field, _spec, _conv in string.Formatter().parse(template):
+        if literal:
+            parts.append(F.lit(literal))
+        if field is not None:
+            parts.append(values[field])
+    return F.concat(*parts) if parts else F.lit("")
 
 
-def build_prompts(docs: DataFrame, topic_names_df: DataFrame, template: str, context_len: int,
+def build_prompts(docs: DataFrame, topic_list_df: DataFrame, template: str, context_len: int,
                   max_top_len: int = 500, doc_col: str = "text", estimator=estimate_tokens) -> DataFrame:
     """Fill ``{Document}`` and ``{Topics}`` for every document.
 
-    Topics are listed by name (text before the first ``:``).  When the
-    prompt exceeds ``context_len``: a document longer than
-    ``context_len - prompt - max_top_len`` is truncated to that many
-    estimator tokens; otherwise the topic list must be pruned
+    ``topic_list_df`` is ``(order, topic)``; the prompt lists topic names
+    (text before the first ``:``).  When the prompt exceeds ``context_len``:
+    a document longer than ``context_len - prompt - max_top_len`` is cut to
+    that many estimator tokens; otherwise the topic list has to be pruned
     (``needs_pruning``, see ``prune_topics``).  The topic string is one
-    aggregated value (its size is the topic list, bounded by the tree)
-    joined to the documents by broadcast.
+    aggregated value (bounded by the topic tree) joined by broadcast.
     """
-    names = topic_names_df.select(F.trim(F.split(F.col("topic"), ":")[0]).alias("t"), "order")
+    names = topic_list_df.select(F.trim(F.split(F.col("topic"), ":")[0]).alias("t"), "order")
     tstr = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "t"))),
                                               lambda s: s["t"]), "\n").alias("topic_str"))
-    prompt_len = F.lit(0) + estimator(F.lit(template))
+    import string
+    prompt_only = "".join(lit for lit, _f, _s, _c in string.Formatter().parse(template))
     d = docs.crossJoin(F.broadcast(tstr))  # one-row table
+    prompt_len = estimator(F.lit(prompt_only))
     doc_len, topic_len = estimator(doc_col), estimator("topic_str")
     over = prompt_len + doc_len + topic_len > context_len
     budget = F.lit(context_len) - prompt_len - max_top_len
     trunc = over & (doc_len > budget)
-    toks = F.regexp_extract_all(F.col(doc_col), F.lit(r"\w+|[^\w\s]"), 0)
+    toks = F.regexp_extract_all(F.col(doc_col), F.lit(TOKEN_EST_RE), 0)
     doc_text = F.when(trunc, F.array_join(F.slice(toks, 1, F.greatest(budget, F.lit(0))), " ")) \
                 .otherwise(F.col(doc_col))
-    filled = F.replace(F.replace(F.lit(template), F.lit("{Document}"), doc_text), F.lit("{Topics}"), F.col("topic_str"))
-    return d.select("*", filled.alias("prompt"), (over & ~trunc).alias("needs_pruning"))
+    filled = _fill(template, {"Document": doc_text, "Topics": F.col("topic_str")})
+    return d.select("*", filled.alias("prompt"), (over & ~trunc).alias("needs_pruning"),
+                    trunc.alias("truncated"))
 
 
 def prune_topics(sims: DataFrame, budget: DataFrame, doc_col: str = "doc_pos", topic_col: str = "topic",

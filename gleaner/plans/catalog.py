@@ -519,3 +519,49 @@ def topic_words_roundtrip(spark, sf_dir):
     words = setting_top_words(spark, sf_dir, "raw").withColumnRenamed("cluster", "topic")
     IO.write_topic_words(words, path, "dict")
     return IO.read_topic_words(spark, path).select("setting", "topic_id", "rank", "word")
+
+
+# ------------------------------------------------- more table / topic operators
+# A prompt template of our own (the reference's wording is not reproduced).
+PROMPT_TEMPLATE = ("You will receive a document and a list of topics.\n"
+                   "[Topics]\n{Topics}\n[Document]\n{Document}\n"
+                   "Answer with lines in the form \"[1] Topic: description\" {{one per line}}.")
+CONTEXT_LEN = 4000
+
+
+@query
+def check_alignment(spark, sf_dir):
+    """Vector keys against document keys: one-sided and duplicated ids."""
+    vecs = FX.table(spark, sf_dir, "embeddings").select("vec_id")
+    docs = FX.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"))
+    return CL.check_alignment(vecs, docs, "vec_id")
+
+
+@query
+def topic_list_forms(spark, sf_dir):
+    """The four string forms of every topic of the tree, with the pre-order path."""
+    t = TP.with_paths(topic_tree(spark, sf_dir), 2)
+    forms = [("name", False, False), ("desc", False, True), ("count", True, False), ("full", True, True)]
+    out = None
+    for label, c, d in forms:
+        part = t.select("node_id", F.lit(label).alias("form"), TP.node_to_str(c, d).alias("topic"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query
+def seed_topics(spark, sf_dir):
+    """Seed-file lines ``[lvl] name: desc`` (from the part topic file) read as seeds."""
+    lines = FX.topic_lines(spark, sf_dir).select(
+        "line_no", F.regexp_replace("line", r" \(Count: \d+\)", "").alias("line"))
+    return TP.read_seed_topics(lines).select("line_no", "lvl", "name", "count", "desc")
+
+
+@query
+def build_prompts(spark, sf_dir):
+    """Generation prompts for every document with the folded topic list."""
+    topics = TP.fold_topics(mentions(spark, sf_dir), early_stop=EARLY_STOP).select(
+        F.col("topic_order").alias("order"), TP.node_to_str(False, True).alias("topic"))
+    docs = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
+    p = TP.build_prompts(docs, topics, PROMPT_TEMPLATE, CONTEXT_LEN, 500, "text")
+    return p.select("doc_id", "prompt", "needs_pruning", "truncated")

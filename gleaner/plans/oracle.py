@@ -407,3 +407,44 @@ ORACLE["corpus_roundtrip"] = ORACLE["corpus_ids"]
 ORACLE["topic_words_roundtrip"] = (
     "WITH " + _top_words_cte("raw") + " SELECT setting, CAST(dense_rank() OVER (PARTITION BY setting ORDER BY cluster) - 1 "
     "AS INTEGER) AS topic_id, rank, word FROM top")
+
+
+# ------------------------------------------------- more table / topic operators
+ORACLE["check_alignment"] = (
+    "WITH l AS (SELECT vec_id, count(*) AS nl FROM embeddings GROUP BY vec_id), "
+    "r AS (SELECT doc_id AS vec_id, count(*) AS nr FROM documents GROUP BY doc_id), "
+    "j AS (SELECT * FROM l FULL OUTER JOIN r USING (vec_id)) "
+    "SELECT CAST(sum(CASE WHEN nr IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS left_only, "
+    "CAST(sum(CASE WHEN nl IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS right_only, "
+    "CAST(sum(CASE WHEN nl > 1 THEN 1 ELSE 0 END) AS BIGINT) AS left_dups, "
+    "CAST(sum(CASE WHEN nr > 1 THEN 1 ELSE 0 END) AS BIGINT) AS right_dups FROM j")
+ORACLE["topic_list_forms"] = (
+    "WITH " + _TREE + " SELECT node_id, 'name' AS form, " + _NODE + " AS topic FROM tree UNION ALL "
+    "SELECT node_id, 'desc', " + _NODE + " || ': ' || \"desc\" FROM tree UNION ALL "
+    "SELECT node_id, 'count', " + _NODE + " || ' (Count: ' || CAST(count AS VARCHAR) || ')' FROM tree UNION ALL "
+    "SELECT node_id, 'full', " + _NODE + " || ' (Count: ' || CAST(count AS VARCHAR) || '): ' || \"desc\" FROM tree")
+ORACLE["seed_topics"] = (
+    "WITH " + _TREE.split(", pl AS")[0] + ", sl AS (SELECT line_no, "
+    "regexp_replace(t, ' \\(Count: \\d+\\)', '') AS t FROM tl) "
+    "SELECT CAST(line_no AS BIGINT) AS line_no, CAST(regexp_extract(t, '^\\[(\\d+)\\] (.+)', 1) AS INTEGER) AS lvl, "
+    "trim(split_part(regexp_extract(t, '^\\[(\\d+)\\] (.+)', 2), ':', 1)) AS name, CAST(1 AS BIGINT) AS count, "
+    "'' AS \"desc\" FROM sl WHERE regexp_matches(t, '^\\[(\\d+)\\] (.+)')")
+_EST = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\p{Z}]"
+_PROMPT_HEAD = "You will receive a document and a list of topics.' || chr(10) || '[Topics]' || chr(10)"
+ORACLE["build_prompts"] = (
+    "WITH RECURSIVE " + _RESP + ", tp AS (SELECT min(idx) AS o, arg_min(name, idx) AS name FROM m "
+    "WHERE idx <= coalesce((SELECT stop_idx FROM stop), 9223372036854775807) GROUP BY key), "
+    "ts AS (SELECT string_agg(trim('[1] ' || name), chr(10) ORDER BY o) AS topic_str FROM tp), "
+    "pl AS (SELECT len(regexp_extract_all('You will receive a document and a list of topics.' || chr(10) || "
+    "'[Topics]' || chr(10) || chr(10) || '[Document]' || chr(10) || chr(10) || "
+    "'Answer with lines in the form \"[1] Topic: description\" {one per line}.', '" + _EST + "')) AS n), "
+    "d AS (SELECT doc_id, text, regexp_extract_all(text, '" + _EST + "') AS toks, "
+    "len(regexp_extract_all(text, '" + _EST + "')) AS dl FROM documents), "
+    "x AS (SELECT d.*, ts.topic_str, pl.n, len(regexp_extract_all(ts.topic_str, '" + _EST + "')) AS tl "
+    "FROM d, ts, pl), "
+    "y AS (SELECT *, n + dl + tl > 4000 AS over, (n + dl + tl > 4000) AND dl > 4000 - n - 500 AS trunc FROM x) "
+    "SELECT doc_id, 'You will receive a document and a list of topics.' || chr(10) || '[Topics]' || chr(10) || "
+    "topic_str || chr(10) || '[Document]' || chr(10) || CASE WHEN trunc THEN "
+    "array_to_string(list_slice(toks, 1, greatest(4000 - n - 500, 0)), ' ') ELSE text END || chr(10) || "
+    "'Answer with lines in the form \"[1] Topic: description\" {one per line}.' AS prompt, "
+    "over AND NOT trunc AS needs_pruning, trunc AS truncated FROM y")
