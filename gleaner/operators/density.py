@@ -182,9 +182,12 @@ def density_cluster(points: DataFrame, eps: float, min_samples: int = 5, min_clu
     comp = connected_components(edges, ids)
     sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     big = sizes.filter(F.col("size") >= min_cluster_size)
-    # one row per cluster: rank by size desc, smallest member (= component id) first
-    w = Window.orderBy(F.col("size").desc(), F.col("component"))
-    ranked = big.withColumn("cluster_id", (F.row_number().over(w) - 1).cast("int"))
+    # cluster ids = rank by size desc, smallest member (= component id) first.
+    # The number of clusters grows with the data, so the rank is a global
+    # sort plus distributed positional ids, not a single-partition window.
+    from gleaner.operators.reviews import assign_row_id
+    ranked = assign_row_id(big.orderBy(F.col("size").desc(), F.col("component")), "_rank") \
+        .withColumn("cluster_id", F.col("_rank").cast("int"))
     labels = comp.join(ranked.select("component", "cluster_id"), "component").select(
         F.col("node").alias(id_col), "cluster_id")
     return (points.select(id_col).join(labels, id_col, "left")
