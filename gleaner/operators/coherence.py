@@ -51,6 +51,18 @@ def vocabulary(texts: DataFrame, id_cols: Sequence[str] = ("review_id", "unit_po
                  .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
+def present_terms(texts: DataFrame, topics: DataFrame) -> DataFrame:
+    """``(term)``: the topic words (after re-tokenising) that occur in some text.
+
+    Equivalent to the vocabulary for ``clean_topics``' membership test, but it
+    only intersects each text with the candidate list (one broadcast row,
+    bounded by the topic table) instead of aggregating every term."""
+    cand = (topics.select(F.explode(coherence_tokens("word")).alias("t")).distinct()
+                  .agg(F.collect_list("t").alias("_c")))
+    return (texts.crossJoin(F.broadcast(cand))  # one-row table
+                 .select(F.explode(F.array_intersect("tokens", "_c")).alias("term")).distinct())
+
+
 def clean_topics(topics: DataFrame, vocab: DataFrame, setting_cols: Sequence[str] = ("setting",),
                  topic_col: str = "topic") -> DataFrame:
     """Re-tokenise topic words like the texts; drop words outside the vocabulary

@@ -155,13 +155,13 @@ def build_setting_top_words(spark, sf_dir, variant):
 
 @query
 def ctfidf_raw_top_words(spark, sf_dir):
-    t = build_setting_top_words(spark, sf_dir, "raw")
+    t = setting_top_words(spark, sf_dir, "raw")
     return t.select("setting", "cluster", "rank", "word", F.round("weight", 6).alias("weight"))
 
 
 @query
 def ctfidf_l2_top_words(spark, sf_dir):
-    t = build_setting_top_words(spark, sf_dir, "l2")
+    t = setting_top_words(spark, sf_dir, "l2")
     return t.select("setting", "cluster", "rank", "word", F.round("weight", 6).alias("weight"))
 
 
@@ -195,8 +195,9 @@ def irbo_summary(spark, sf_dir):
 def coherence_inputs(spark, sf_dir):
     units = mintoken_units(spark, sf_dir)
     texts = COH.tokenised_texts(units)
-    vocab = COH.vocabulary(texts)
     words = setting_top_words(spark, sf_dir, "l2").withColumnRenamed("cluster", "topic")
+    # membership in the vocabulary, checked for the candidate topic words only
+    vocab = COH.present_terms(texts, words)
     topics = COH.clean_topics(words, vocab)
     return texts, vocab, topics
 
