@@ -297,7 +297,7 @@ def density_hierarchy(points: DataFrame, min_samples: int = 5, min_cluster_size:
         comps = mapping.select(F.col("comp").alias("c")).distinct()
         cmap = connected_components(ce, comps, "a", "b")  # (node = previous comp, component = new comp)
         links[lvl] = cmap.select(F.col("node").alias("child"), F.col("component").alias("parent")).persist()
-        mapping = (mapping.join(links[lvl], mapping["comp"] == links[lvl]["child"])
+        mapping = (mapping.join(links[lvl].withColumnRenamed("child", "comp"), "comp")
                           .select("node", F.col("parent").alias("comp")).checkpoint(eager=True))
         maps[lvl] = mapping
         sizes[lvl] = mapping.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).persist()
