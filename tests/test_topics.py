@@ -71,3 +71,21 @@ def test_topic_lines_and_parents(spark):
     merged = {r.name: r["count"] for r in TP.merge_topics(TP.topic_parents(parsed), [("trade", 1), ("HEALTH", 1)],
                                                        "Both", "d").collect()}
     assert merged == {"Both": 7}
+
+
+def test_prune_topics_prefix_under_budget(spark):
+    sims = spark.createDataFrame(
+        [(0, "[1] Alpha", 0.9), (0, "[1] Beta beta beta", 0.8), (0, "[1] Gamma", 0.1), (1, "[1] Alpha", 0.2),
+         (1, "[1] Gamma", 0.7)], "doc_pos long, topic string, sim double")
+    budget = spark.createDataFrame([(0, 8), (1, 4)], "doc_pos long, max_top_len long")
+    kept = sorted((r.doc_pos, r.topic) for r in TP.prune_topics(sims, budget).collect())
+    # costs: "[1] Alpha" = 4 estimator tokens ([ 1 ] Alpha), "[1] Beta beta beta" = 6, "[1] Gamma" = 4
+    assert kept == [(0, "[1] Alpha"), (1, "[1] Gamma")]
+
+
+def test_build_prompts_fills_like_format(spark):
+    docs = spark.createDataFrame([(0, "a {Topics} b"), (1, " ".join(["w"] * 50))], "doc_id long, text string")
+    topics = spark.createDataFrame([(1, "[1] Trade: x"), (2, "[1] Health: y")], "order long, topic string")
+    out = {r.doc_id: r for r in TP.build_prompts(docs, topics, "T:{Topics}|D:{Document}|{{x}}", 30, 5).collect()}
+    assert out[0].prompt == "T:[1] Trade\n[1] Health|D:a {Topics} b|{x}"
+    assert out[1].truncated and out[1].prompt.count("w") < 50
