@@ -98,9 +98,21 @@ def knn(points: DataFrame, k: int, cell: float, id_col: str = "vec_id", vec: str
     occupied = p.select("cell").distinct()
     todo = p.select(F.col(id_col).alias("src"), F.col(vec).alias("xs"), F.col("cell").alias("cs"))
     need = k if include_self else k + 1
+    # start at the ring radius the average density suggests for `need`
+    # neighbours (bounding-box volume, point count: 2d + 1 scalars)
+    import math
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for j in range(d):
+        aggs += [F.min(F.col(vec)[j]).alias(f"lo{j}"), F.max(F.col(vec)[j]).alias(f"hi{j}")]
+    st = p.agg(*aggs).first()
+    vol = 1.0
+    for j in range(d):
+        vol *= max(float(st[f"hi{j}"] - st[f"lo{j}"]), cell)
+    unit_ball = {1: 2.0, 2: math.pi, 3: 4.0 * math.pi / 3.0}.get(d, 1.0)
+    r_est = (need * vol / (unit_ball * max(st["n"], 1))) ** (1.0 / max(d, 1))
     carry = None
     done = []
-    r_prev, r = -1, 1
+    r_prev, r = -1, max(1, math.ceil(r_est / cell))
     w = Window.partitionBy("src").orderBy("dist", "dst")
     for rnd in range(max_rounds):
         last = rnd == max_rounds - 1
