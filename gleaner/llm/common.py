@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.session import checkpoint_dir
@@ -74,6 +74,63 @@ def texts_of(docs: DataFrame, text_col: str, keys: DataFrame) -> DataFrame:
     return keep_keys(keyed, keys, ["k1", "k2"]).groupBy("k1", "k2").agg(F.first("text").alias("text"))
 
 
+# ------------------------------------------------------------- prefix sums
+def _running(values: list[str], group: str | None):
+    """mapInArrow body over sorted rows: sums of the earlier rows of the same group in this partition."""
+    def body(batches):
+        from pyspark import TaskContext
+
+        pid = TaskContext.get().partitionId()
+        last, carry = None, np.zeros(len(values), np.int64)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            head = np.zeros(n, bool)
+            if group is not None:
+                g = batch[group]
+                head[0] = last is None or g[0].as_py() != last
+                head[1:] = pc.not_equal(g.slice(1), g.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+                last = g[n - 1].as_py()
+            run = np.cumsum(head)  # 0: goes on from the batch before
+            at = np.flatnonzero(head)
+            new = []
+            for c, v in enumerate(values):
+                x = batch[v].to_numpy(zero_copy_only=False).astype(np.int64)
+                before = np.cumsum(x) - x
+                base = np.concatenate([[-carry[c]], before[at]])
+                before = before - base[run]
+                new.append(pa.array(before))
+                carry[c] = before[-1] + x[-1]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(n, pid, np.int32)), *new],
+                                             names=[*batch.schema.names, "pid", *[f"{v}_before" for v in values]])
+
+    return body
+
+
+def running_totals(df: DataFrame, order: list[str], values: list[str], stages: Stages, name: str,
+                   group: str | None = None) -> DataFrame:
+    """Add ``<v>_before``: the sum of integer column v over all earlier rows (of the same group).
+
+    Rows are range-sorted by (group, order), so a large group spans many
+    partitions; each partition sums what it holds, and the totals of the
+    partitions before it (one row per partition and group) are joined on.
+    ``group`` must not hold nulls.
+    """
+    keys = [*([group] if group else []), *order]
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", pid int, " + ", ".join(f"{v}_before long" for v in values)
+    local = stages.put(name, df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                       .mapInArrow(_running(values, group), schema))
+    by = ["pid", *([group] if group else [])]
+    sums = local.groupBy(*by).agg(*[F.sum(v).alias(v) for v in values])
+    w = (Window.partitionBy(group) if group else Window.partitionBy()).orderBy("pid").rowsBetween(
+        Window.unboundedPreceding, -1)
+    offsets = stages.put(f"{name}-offsets", sums.select(
+        *by, *[F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{v}_offset") for v in values]))
+    joined = local.join(offsets, by)
+    return joined.select(*df.columns, *[(F.col(f"{v}_before") + F.col(f"{v}_offset")).alias(f"{v}_before") for v in values])
+
+
 # ------------------------------------------------------------- text buffers
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column; nulls count as empty."""
