@@ -90,12 +90,12 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     sound = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(finite, v).alias("v")).where("id is not null and v is not null")
     rows = stages.put("vectors", sound.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
     counts = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("id") % query_every == 0).alias("q"))
-    blocks = stages.put("blocks", counts.where("q > 0").select(
+    stages.put("blocks", counts.where("q > 0").select(
         "dim", F.ceil(F.col("q") / query_block).cast("int").alias("nq"), F.ceil(F.col("n") / candidate_block).cast("int").alias("nc")))
-    dealt = rows.join(blocks, "dim")
+    dealt = lambda: stages.get("vectors").join(stages.get("blocks"), "dim")  # noqa: E731  (a plan of its own for each side)
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    left = dealt.where(F.col("id") % query_every == 0).select("id", "v", "dim", block("nq").alias("qb"), F.explode(F.expr("sequence(0, nc - 1)")).alias("cb"))
-    right = dealt.select("id", "v", "dim", F.explode(F.expr("sequence(0, nq - 1)")).alias("qb"), block("nc").alias("cb"))
+    left = dealt().where(F.col("id") % query_every == 0).select("id", "v", "dim", block("nq").alias("qb"), F.explode(F.expr("sequence(0, nc - 1)")).alias("cb"))
+    right = dealt().select("id", "v", "dim", F.explode(F.expr("sequence(0, nq - 1)")).alias("qb"), block("nc").alias("cb"))
     key = ["dim", "qb", "cb"]
     best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_tile(k), "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
