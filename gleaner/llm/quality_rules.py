@@ -152,7 +152,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     stages = Stages(session(docs), "rules")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"),
                        F.col(text_col).cast("string").alias("text"), _stratum(stratum).alias("stratum"))
+    # stored once: a filter on the verdict would otherwise be pushed below the counts, and repeat them
+    counted = stages.put("counted", with_counts(rows).drop("text"))
     good = labelled_good(labels)
-    known = with_counts(rows.drop("row").join(good, F.col("id") == F.col("label_id")))
+    known = counted.drop("row").join(good, F.col("id") == F.col("label_id"))
     cuts = stages.put("cutoffs", cutoffs(known, alpha, delta))
-    return with_verdict(with_counts(rows), cuts).where("kept").select("row.*")
+    return with_verdict(counted, cuts).where("kept").select("row.*")
