@@ -11,8 +11,9 @@ candidate segments (suffix trees, suffix array).  The steps:
    aggregation, then a semi join that adaptive execution may split).
 3. Records with equal content at two places repeat as a whole.
 4. Different contents of one anchor can share some windows: one
-   representative of each such content is cut from its text as a *segment*,
-   and the operator's own method finds the windows that two segments share.
+   representative of each such content is read from its text, overlapping
+   ones of a text as one *run*, and the operator's own method finds the
+   windows that occur at two places of the runs.
 
 Exact copies of a text share one 128-bit key, so they cost one text.  A text
 that occurs twice and has a window is covered in full.
@@ -31,8 +32,7 @@ from pyspark.sql import functions as F
 from gleaner.llm import common as C
 from gleaner.llm.common import PIECE, Stages
 
-SEGMENT_SCHEMA = "sid long, g long, anchor_at int, n int, symbols binary"
-SPAN_SCHEMA = "sid long, first int, last int"
+SPAN_SCHEMA = "run long, first int, last int"
 
 
 def _anchor_runs(sums: np.ndarray, length: int, k: int, first_of: np.ndarray, end_of: np.ndarray):
@@ -113,37 +113,41 @@ def _records(unit: str, length: int, k: int):
     return body
 
 
-def _segments(unit: str, length: int):
-    """mapInArrow body: (text, want) -> the symbols of each wanted segment."""
-    schema = pa.schema([("sid", pa.int64()), ("g", pa.int64()), ("anchor_at", pa.int32()),
+def merge_spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Union of half-open spans, in order, touching ones joined."""
+    order = np.argsort(first, kind="stable")
+    first, last = first[order], np.maximum.accumulate(last[order])
+    head = np.ones(len(first), bool)
+    head[1:] = first[1:] > last[:-1]
+    at = np.flatnonzero(head)
+    return first[at], last[np.append(at[1:], len(first)) - 1]
+
+
+def _runs(unit: str, length: int):
+    """mapInArrow body: (k1, k2, text, want) -> the symbols of each run of overlapping wanted records."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()),
                         ("n", pa.int32()), ("symbols", pa.binary())])
 
     def body(batches):
         for batch in batches:
             buf, offsets = C.text_buffer(batch["text"])
-            for r, want in enumerate(batch["want"].to_pylist()):
+            k1, k2 = batch["k1"].to_pylist(), batch["k2"].to_pylist()
+            for r in range(batch.num_rows):
                 if unit == "words":
                     symbols, _ = _symbols_of_words(buf, offsets, r, r + 1)
                 else:
                     symbols = buf[int(offsets[r]):int(offsets[r + 1])]
-                rows = [(x["sid"], x["g"], x["at"], x["n"],
-                         symbols[x["at"]:x["at"] + x["n"] - 1 + length].tobytes()) for x in want]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[c] for x in rows], type=schema.field(c).type) for c in range(5)], schema=schema)
+                flat = batch["want"][r].values
+                at = flat.field("at").to_numpy().astype(np.int64)
+                first, last = merge_spans(at, at + flat.field("n").to_numpy() - 1 + length)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(first), k1[r])), pa.array(np.full(len(first), k2[r])), pa.array(first.astype(np.int32)),
+                    pa.array((last - first - length + 1).astype(np.int32)),
+                    pa.array([symbols[i:j].tobytes() for i, j in zip(first.tolist(), last.tolist())], pa.binary())], schema=schema)
 
     return body
 
 
-def merge_spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of half-open spans, in order, touching ones joined."""
-    order = np.argsort(first, kind="stable")
-    first, last = first[order], np.maximum.accumulate(last[order])
-    head = np.ones(len(first), bool)
-    head[1:] = first[1:] > last[:-1]
-    at = np.flatnonzero(head)
-    return first[at], last[np.append(at[1:], len(first)) - 1]
-
-
 def _cut(unit: str):
     """mapInArrow body: (k1, k2, text, spans) -> counts and what is kept."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_removed", pa.int64()),
@@ -180,9 +184,9 @@ def repeated_spans(docs: DataFrame, text_col: str, unit: str, length: int, k: in
                    resolve: Callable[[DataFrame, Stages], DataFrame]) -> DataFrame:
     """(k1, k2, n_removed, n_spans, kept_sha256, kept) of every text that repeats in part.
 
-    ``resolve(segments, stages)`` is the operator's method: it takes segments
-    (sid, g, anchor_at, n, symbols) and gives spans (sid, first, last): the
-    windows first..last - 1 of the segment that another segment holds too.
+    ``resolve(runs, stages)`` is the operator's method: it takes runs (run,
+    n windows, symbols) and gives spans (run, first, last): the windows
+    first..last - 1 of the run that also start anywhere else.
     Texts shorter than ``length`` and texts without repeats give no row.
     """
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -201,25 +205,26 @@ def repeated_spans(docs: DataFrame, text_col: str, unit: str, length: int, k: in
     contents = stages.put("contents", found.groupBy("anchor", "sid").agg(
         F.min(place).alias("p"), F.max(place).alias("q"), F.min(F.struct("k1", "k2", "at", "n")).alias("rep")))
     groups = contents.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    open_ = stages.put("open", contents.join(groups, "anchor", "left_semi")
-                       .select("sid", F.col("anchor").alias("g"), "rep.*", (F.col("p") != F.col("q")).alias("whole")))
+    open_ = contents.join(groups, "anchor", "left_semi").select("rep.*")
     candidates = stages.put("candidates", found.select("k1", "k2").distinct())
     texts = stages.put("texts", C.texts_of(docs, text_col, candidates))
-    want = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("sid", "g", "at", "n")).alias("want"))
-    segments = stages.put("segments", texts.join(want, ["k1", "k2"]).select("text", "want")
-                          .mapInArrow(_segments(unit, length), SEGMENT_SCHEMA))
-    shared = stages.put("shared", resolve(segments, stages))
+    want = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n")).alias("want"))
+    runs = stages.put("runs", texts.join(want, ["k1", "k2"]).select("k1", "k2", "text", "want")
+                      .mapInArrow(_runs(unit, length), "k1 long, k2 long, start int, n int, symbols binary")
+                      .select(F.xxhash64("k1", "k2", "start").alias("run"), "*"))
+    shared = stages.put("shared", resolve(runs.select("run", "n", "symbols"), stages))
 
     whole = (found.join(contents.where("p <> q").select("sid"), "sid", "left_semi")
              .select("k1", "k2", F.col("at").alias("first"), (F.col("at") + F.col("n") + (length - 1)).alias("last")))
-    part = (found.join(shared, "sid")
-            .select("k1", "k2", (F.col("at") + F.col("first")).alias("first"),
-                    (F.col("at") + F.col("last") + (length - 1)).alias("last")))
+    # a content at one place only is its own representative
+    part = (runs.select("run", "k1", "k2", "start").join(shared, "run")
+            .select("k1", "k2", (F.col("start") + F.col("first")).alias("first"),
+                    (F.col("start") + F.col("last") + (length - 1)).alias("last")))
     spans = (whole.union(part).groupBy("k1", "k2")
              .agg(F.collect_list(F.struct("first", "last")).alias("spans")))
     cut = stages.put("cut", texts.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(
         _cut(unit), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
-    for key in ("found", "contents", "open", "candidates", "texts", "segments", "shared"):
+    for key in ("found", "contents", "candidates", "texts", "runs", "shared"):
         stages.drop(key)
     return cut
 

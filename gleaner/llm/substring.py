@@ -1,12 +1,10 @@
 """Substring dedup by prefix-partitioned suffix trees, over words.
 
 A word is removed when a window of ``length`` words covers it whose word
-sequence also starts anywhere else.  Candidate segments come from
-``repeats`` (every segment holds its anchor, a shared k-word prefix of the
-suffixes that start there).  The segments' suffixes are then split by
-prefixes of *variable length* into memory-sized groups: the anchor word
-sequence first, and where a group has more than ``group_size`` suffixes the
-prefix grows word by word up to ``length``.  In a group, the suffix tree is
+sequence also starts anywhere else.  Candidate runs come from
+``repeats``.  The runs' suffixes are then split by
+prefixes of *variable length* into memory-sized groups: a few words first, and where a group has more than ``group_size`` suffixes the
+prefix doubles up to ``length``.  In a group, the suffix tree is
 built as the tree of longest common prefixes of its sorted suffixes; internal
 nodes at least ``length`` words deep are the maximal repeats, and the leaves
 under them are windows that occur more than once.
@@ -29,12 +27,12 @@ GROUP_SUFFIXES = 20_000
 
 
 def _suffixes(length: int, depth: int):
-    """mapInArrow body: segments -> one row per suffix (window), keyed by a prefix of ``depth`` words."""
-    schema = pa.schema([("prefix", pa.int64()), ("sid", pa.int64()), ("at", pa.int32()), ("symbols", pa.binary())])
+    """mapInArrow body: runs -> one row per suffix (window), keyed by a prefix of ``depth`` words."""
+    schema = pa.schema([("prefix", pa.int64()), ("run", pa.int64()), ("at", pa.int32()), ("symbols", pa.binary())])
 
     def body(batches):
         for batch in batches:
-            for sid, n, raw in zip(batch["sid"].to_pylist(), batch["n"].to_pylist(), batch["symbols"]):
+            for run, n, raw in zip(batch["run"].to_pylist(), batch["n"].to_pylist(), batch["symbols"]):
                 words = np.frombuffer(raw.as_buffer(), np.uint64)
                 sums = C.prefix_sums(words)
                 at = np.arange(n)
@@ -42,7 +40,7 @@ def _suffixes(length: int, depth: int):
                 width = 8 * length
                 data = raw.as_py()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(prefix.view(np.int64)), pa.array(np.full(n, sid)), pa.array(at.astype(np.int32)),
+                    pa.array(prefix.view(np.int64)), pa.array(np.full(n, run)), pa.array(at.astype(np.int32)),
                     pa.array([data[8 * i:8 * i + width] for i in range(n)], pa.binary())], schema=schema)
 
     return body
@@ -73,21 +71,21 @@ def _grow_tree(length: int):
         words = np.frombuffer(raw, np.uint64).reshape(-1, length)
         deep = deep_leaves(words, length)
         at = table["at"].to_numpy()[deep].astype(np.int32)
-        return pa.table({"sid": table["sid"].to_numpy()[deep], "first": at, "last": (at + 1).astype(np.int32)},
-                        schema=pa.schema([("sid", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
+        return pa.table({"run": table["run"].to_numpy()[deep], "first": at, "last": (at + 1).astype(np.int32)},
+                        schema=pa.schema([("run", pa.int64()), ("first", pa.int32()), ("last", pa.int32())]))
 
     return body
 
 
 def suffix_tree_repeats(length: int = WINDOW_WORDS, start_depth: int = 4, group_size: int = GROUP_SUFFIXES):
     """The method as a ``resolve`` function of ``repeats.repeated_spans``."""
-    def resolve(segments: DataFrame, stages: Stages) -> DataFrame:
+    def resolve(runs: DataFrame, stages: Stages) -> DataFrame:
         parts: list[DataFrame] = []
-        rest, depth, turn = segments, start_depth, 0
-        total = segments.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"]
+        depth, turn = start_depth, 0
+        total = runs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"]
         groups = max(1, -(-2 * total // group_size))
-        suffixes = stages.put(f"suffixes{turn}", rest.mapInArrow(
-            _suffixes(length, depth), "prefix long, sid long, at int, symbols binary"))
+        suffixes = stages.put(f"suffixes{turn}", runs.mapInArrow(
+            _suffixes(length, depth), "prefix long, run long, at int, symbols binary"))
         while True:
             sizes = stages.put(f"sizes{turn}", suffixes.groupBy("prefix").agg(F.count("*").alias("c")))
             # prefixes of one suffix hang off a leaf edge; small ones are packed into memory-sized groups
@@ -99,7 +97,7 @@ def suffix_tree_repeats(length: int = WINDOW_WORDS, start_depth: int = 4, group_
                 break
             over = suffixes.join(large, "prefix")
             if depth >= length:  # one internal node of full depth: all its suffixes repeat
-                parts.append(over.select("sid", F.col("at").alias("first"), (F.col("at") + 1).alias("last")))
+                parts.append(over.select("run", F.col("at").alias("first"), (F.col("at") + 1).alias("last")))
                 break
             turn, depth = turn + 1, min(length, 2 * depth)
             head = F.expr(f"substring(symbols, 1, {8 * depth})")

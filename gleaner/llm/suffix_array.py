@@ -1,9 +1,8 @@
 """Suffix-array dedup over bytes, by a distributed difference-cover algorithm.
 
 A byte is removed when a string of ``length`` bytes covers it that also
-starts anywhere else.  Candidate regions come from ``repeats``; overlapping
-segments of a text are merged into *runs*, and the suffixes of all runs are
-sorted together:
+starts anywhere else.  Candidate regions come from ``repeats``; the
+suffixes of all of them are sorted together:
 
 * The symbol at place p is the 8 bytes there; p goes on at p + 8, p + 16 ...
   Its class is (p // 8) % 3, and classes 1 and 2 (a difference cover modulo
@@ -196,8 +195,8 @@ def _neighbours(batches):
 
 def suffix_sort_repeats(length: int = STRING_BYTES):
     """The method as a ``resolve`` function of ``repeats.repeated_spans``: see the module's text."""
-    def resolve(segments: DataFrame, stages: Stages) -> DataFrame:
-        runs = segments.select(F.col("sid").alias("run"), "symbols", F.length("symbols").alias("size"))
+    def resolve(runs: DataFrame, stages: Stages) -> DataFrame:
+        runs = runs.select("run", "symbols", F.length("symbols").alias("size"))
         triples = stages.put("triples0", runs.mapInArrow(_first_triples, _TRIPLE_DDL))
         depth, turn = 3 * STEP, 0
         while True:
@@ -239,7 +238,7 @@ def suffix_sort_repeats(length: int = STRING_BYTES):
         w = Window.partitionBy().orderBy("pid", F.col("edge") > 1)
         ends = near.where("edge > 0").withColumn("same2", (F.lag("h").over(w) == F.col("h")) | (F.lead("h").over(w) == F.col("h")))
         hit = near.where("same").select("run", "p").union(ends.where("same2").select("run", "p")).distinct()
-        return hit.select(F.col("run").alias("sid"), F.col("p").alias("first"), (F.col("p") + 1).alias("last"))
+        return hit.select("run", F.col("p").alias("first"), (F.col("p") + 1).alias("last"))
 
     return resolve
 
