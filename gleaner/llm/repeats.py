@@ -9,10 +9,12 @@ candidate segments (suffix trees, suffix array).  The steps:
    the run, place); only about 2 / (L - k + 2) of the positions give one.
 2. Anchors at one place only cannot repeat and are dropped (partial
    aggregation, then a semi join that adaptive execution may split).
-3. Records with equal content at two places repeat as a whole.
+3. The texts around what is left, as *near runs*, go through 1 and 2 again
+   with grams nearly as long as a window, which leaves little that does not
+   repeat.  Records with equal content at two places repeat as a whole.
 4. Different contents of one anchor can share some windows: one
-   representative of each such content is read from its text, overlapping
-   ones of a text as one *run*, and the operator's own method finds the
+   representative of each such content is read, overlapping ones as
+   one *run*, and the operator's own method finds the
    windows that occur at two places of the runs.
 
 Exact copies of a text share one 128-bit key, so they cost one text.  A text
@@ -81,20 +83,26 @@ def _symbols_of_bytes(buf, offsets, i, j):
     return C.byte_symbols(buf[lo:hi]), offsets[i:j + 1] - lo
 
 
-SYMBOLS = {"words": _symbols_of_words, "bytes": _symbols_of_bytes}
+def _stored_words(buf, offsets, i, j):
+    lo, hi = int(offsets[i]), int(offsets[j])
+    return buf[lo:hi].copy().view(np.uint64), (offsets[i:j + 1] - lo) // 8
+
+
+#: How to read the symbols of texts, and of runs that were cut from them.
+SYMBOLS = {("words", "text"): _symbols_of_words, ("bytes", "text"): _symbols_of_bytes,
+           ("words", "symbols"): _stored_words, ("bytes", "symbols"): _symbols_of_bytes}
 
 
-def _records(unit: str, length: int, k: int):
-    """mapInArrow body: (k1, k2, text) -> records (anchor, content, k1, k2, at, n)."""
-    schema = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("k1", pa.int64()),
-                        ("k2", pa.int64()), ("at", pa.int32()), ("n", pa.int32())])
+def _records(unit: str, column: str, keys: tuple[str, ...], length: int, k: int):
+    """mapInArrow body: (keys, text or symbols) -> records (anchor, content, keys, at, n)."""
+    read = SYMBOLS[unit, column]
 
     def body(batches):
         for batch in batches:
-            buf, offsets = C.text_buffer(batch["text"])
-            k1, k2 = batch["k1"].to_numpy(), batch["k2"].to_numpy()
+            buf, offsets = C.text_buffer(batch[column])
+            names = [batch[c].to_numpy() for c in keys]
             for i, j in C.runs_of_texts(offsets):
-                symbols, first = SYMBOLS[unit](buf, offsets, i, j)
+                symbols, first = read(buf, offsets, i, j)
                 # pieces of windows; a piece overlaps the next by length - 1 symbols
                 for p in range(0, max(1, len(symbols) - length + 1), PIECE):
                     q = min(len(symbols), p + PIECE + length - 1)
@@ -105,10 +113,10 @@ def _records(unit: str, length: int, k: int):
                         continue
                     anchor, content, start, n = found
                     doc = np.searchsorted(first, start + p, "right") - 1
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)),
-                        pa.array(k1[i + doc]), pa.array(k2[i + doc]),
-                        pa.array((start + p - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))], schema=schema)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), *[pa.array(x[i + doc]) for x in names],
+                         pa.array((start + p - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                        names=["anchor", "content", *keys, "at", "n"])
 
     return body
 
@@ -123,27 +131,27 @@ def merge_spans(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.nda
     return first[at], last[np.append(at[1:], len(first)) - 1]
 
 
-def _runs(unit: str, length: int):
-    """mapInArrow body: (k1, k2, text, want) -> the symbols of each run of overlapping wanted records."""
-    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int32()),
-                        ("n", pa.int32()), ("symbols", pa.binary())])
+def _runs(unit: str, column: str, keys: tuple[str, ...], length: int):
+    """mapInArrow body: (keys, text or symbols, want) -> each run of overlapping wanted records."""
+    read = SYMBOLS[unit, column]
 
     def body(batches):
         for batch in batches:
-            buf, offsets = C.text_buffer(batch["text"])
-            k1, k2 = batch["k1"].to_pylist(), batch["k2"].to_pylist()
+            buf, offsets = C.text_buffer(batch[column])
+            names = [batch[c].to_pylist() for c in keys]
             for r in range(batch.num_rows):
-                if unit == "words":
-                    symbols, _ = _symbols_of_words(buf, offsets, r, r + 1)
-                else:
+                if unit == "bytes":
                     symbols = buf[int(offsets[r]):int(offsets[r + 1])]
+                else:
+                    symbols, _ = read(buf, offsets, r, r + 1)
                 flat = batch["want"][r].values
                 at = flat.field("at").to_numpy().astype(np.int64)
                 first, last = merge_spans(at, at + flat.field("n").to_numpy() - 1 + length)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(np.full(len(first), k1[r])), pa.array(np.full(len(first), k2[r])), pa.array(first.astype(np.int32)),
-                    pa.array((last - first - length + 1).astype(np.int32)),
-                    pa.array([symbols[i:j].tobytes() for i, j in zip(first.tolist(), last.tolist())], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [*[pa.array(np.full(len(first), x[r])) for x in names], pa.array(first.astype(np.int32)),
+                     pa.array((last - first - length + 1).astype(np.int32)),
+                     pa.array([symbols[i:j].tobytes() for i, j in zip(first.tolist(), last.tolist())], pa.binary())],
+                    names=[*keys, "start", "n", "symbols"])
 
     return body
 
@@ -180,6 +188,14 @@ def _cut(unit: str):
     return body
 
 
+def _at_two_places(records: DataFrame, place: tuple[str, ...], stages: Stages) -> DataFrame:
+    """Records whose anchor is at two places at least."""
+    where = F.xxhash64(*place, "at")
+    multi = (records.groupBy("anchor").agg(F.min(where).alias("p"), F.max(where).alias("q"))
+             .where("p <> q").select("anchor"))
+    return records.join(stages.put("multi-" + place[0], multi), "anchor", "left_semi")
+
+
 def repeated_spans(docs: DataFrame, text_col: str, unit: str, length: int, k: int, stages: Stages,
                    resolve: Callable[[DataFrame, Stages], DataFrame]) -> DataFrame:
     """(k1, k2, n_removed, n_spans, kept_sha256, kept) of every text that repeats in part.
@@ -191,40 +207,49 @@ def repeated_spans(docs: DataFrame, text_col: str, unit: str, length: int, k: in
     """
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(t.alias("text")).select(*C.text_key(F.col("text")), "text")
+    place = ("k1", "k2")
     records = stages.put("records", keyed.mapInArrow(
-        _records(unit, length, k), "anchor long, content long, k1 long, k2 long, at int, n int"))
-    place = F.xxhash64("k1", "k2", "at")
-    multi = (records.groupBy("anchor").agg(F.min(place).alias("p"), F.max(place).alias("q"))
-             .where("p <> q").select("anchor"))
-    found = stages.put("found", records.join(stages.put("multi", multi), "anchor", "left_semi")
-                       .select("*", F.xxhash64("anchor", "content").alias("sid")))
+        _records(unit, "text", place, length, k), "anchor long, content long, k1 long, k2 long, at int, n int").drop("content"))
+    found = stages.put("found", _at_two_places(records, place, stages))
+    candidates = stages.put("candidates", found.select(*place).distinct())
+    texts = stages.put("texts", C.texts_of(docs, text_col, candidates))
+    want = found.groupBy(*place).agg(F.collect_list(F.struct("at", "n")).alias("want"))
+    near = stages.put("near", texts.join(want, [*place]).mapInArrow(
+        _runs(unit, "text", place, length), "k1 long, k2 long, start int, n int, symbols binary")
+        .select(F.xxhash64("k1", "k2", "start").alias("near"), "*"))
     stages.drop("records")
-    stages.drop("multi")
-
-    # contents: at two places, or a segment to compare with the anchor's others
+    stages.drop("found")
+
+    # again on what is left, with grams nearly as long as a window
+    long_k = length - max(1, length // 8)
+    place = ("near",)
+    records = stages.put("records2", near.select("near", "symbols").mapInArrow(
+        _records(unit, "symbols", place, length, max(k, long_k)), "anchor long, content long, near long, at int, n int"))
+    found = stages.put("found2", _at_two_places(records, place, stages).withColumn("sid", F.xxhash64("anchor", "content")))
+    # contents: at two places, or a run to compare with the anchor's others
+    where = F.xxhash64("near", "at")
     contents = stages.put("contents", found.groupBy("anchor", "sid").agg(
-        F.min(place).alias("p"), F.max(place).alias("q"), F.min(F.struct("k1", "k2", "at", "n")).alias("rep")))
+        F.min(where).alias("p"), F.max(where).alias("q"), F.min(F.struct("near", "at", "n")).alias("rep")))
     groups = contents.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    open_ = contents.join(groups, "anchor", "left_semi").select("rep.*")
-    candidates = stages.put("candidates", found.select("k1", "k2").distinct())
-    texts = stages.put("texts", C.texts_of(docs, text_col, candidates))
-    want = open_.groupBy("k1", "k2").agg(F.collect_list(F.struct("at", "n")).alias("want"))
-    runs = stages.put("runs", texts.join(want, ["k1", "k2"]).select("k1", "k2", "text", "want")
-                      .mapInArrow(_runs(unit, length), "k1 long, k2 long, start int, n int, symbols binary")
-                      .select(F.xxhash64("k1", "k2", "start").alias("run"), "*"))
+    want = (contents.join(groups, "anchor", "left_semi").select("rep.*")
+            .groupBy("near").agg(F.collect_list(F.struct("at", "n")).alias("want")))
+    runs = stages.put("runs", near.select("near", "symbols").join(want, "near").mapInArrow(
+        _runs(unit, "symbols", place, length), "near long, start int, n int, symbols binary")
+        .select(F.xxhash64("near", "start").alias("run"), "*"))
     shared = stages.put("shared", resolve(runs.select("run", "n", "symbols"), stages))
 
     whole = (found.join(contents.where("p <> q").select("sid"), "sid", "left_semi")
-             .select("k1", "k2", F.col("at").alias("first"), (F.col("at") + F.col("n") + (length - 1)).alias("last")))
+             .select("near", F.col("at").alias("first"), (F.col("at") + F.col("n") + (length - 1)).alias("last")))
     # a content at one place only is its own representative
-    part = (runs.select("run", "k1", "k2", "start").join(shared, "run")
-            .select("k1", "k2", (F.col("start") + F.col("first")).alias("first"),
+    part = (runs.select("run", "near", "start").join(shared, "run")
+            .select("near", (F.col("start") + F.col("first")).alias("first"),
                     (F.col("start") + F.col("last") + (length - 1)).alias("last")))
-    spans = (whole.union(part).groupBy("k1", "k2")
-             .agg(F.collect_list(F.struct("first", "last")).alias("spans")))
+    spans = whole.union(part).join(near.select("near", "k1", "k2", F.col("start").alias("base")), "near")
+    spans = (spans.select("k1", "k2", (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("last")).alias("last"))
+             .groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans")))
     cut = stages.put("cut", texts.join(spans, ["k1", "k2"]).select("k1", "k2", "text", "spans").mapInArrow(
         _cut(unit), "k1 long, k2 long, n_removed long, n_spans long, kept_sha256 string, kept binary"))
-    for key in ("found", "contents", "candidates", "texts", "runs", "shared"):
+    for key in ("records2", "found2", "contents", "candidates", "texts", "near", "runs", "shared"):
         stages.drop(key)
     return cut
 

@@ -1,11 +1,11 @@
 """Substring dedup by prefix-partitioned suffix trees, over words.
 
 A word is removed when a window of ``length`` words covers it whose word
-sequence also starts anywhere else.  Candidate runs come from
-``repeats``.  The runs' suffixes are then split by
-prefixes of *variable length* into memory-sized groups: a few words first, and where a group has more than ``group_size`` suffixes the
-prefix doubles up to ``length``.  In a group, the suffix tree is
-built as the tree of longest common prefixes of its sorted suffixes; internal
+sequence also starts anywhere else.  Candidate runs come from ``repeats``.
+The runs' suffixes are then split by prefixes of *variable length* into
+memory-sized groups: a few words first, and where a group has more than
+``group_size`` suffixes the prefix doubles up to ``length``.  In a group, the
+suffix tree is built as the tree of longest common prefixes of its sorted suffixes; internal
 nodes at least ``length`` words deep are the maximal repeats, and the leaves
 under them are windows that occur more than once.
 """
