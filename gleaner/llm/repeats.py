@@ -13,9 +13,9 @@ candidate segments (suffix trees, suffix array).  The steps:
    with grams nearly as long as a window, which leaves little that does not
    repeat.  Records with equal content at two places repeat as a whole.
 4. Different contents of one anchor can share some windows: one
-   representative of each such content is read, overlapping ones as
-   one *run*, and the operator's own method finds the
-   windows that occur at two places of the runs.
+   representative of each such content is read as a *run*, its anchor gram
+   reduced to one symbol, and the operator's own method finds the windows
+   that occur at two places of the runs.
 
 Exact copies of a text share one 128-bit key, so they cost one text.  A text
 that occurs twice and has a window is covered in full.
@@ -73,6 +73,17 @@ def _anchor_runs(sums: np.ndarray, length: int, k: int, first_of: np.ndarray, en
     return a[start], content, start, n
 
 
+def _anchor_place(sums: np.ndarray, k: int, anchor: np.ndarray, start: np.ndarray, w: int) -> np.ndarray:
+    """Where the anchor gram of each record lies, from the record's start (the last of equal ones)."""
+    g = C.gram_hash(sums, k)
+    out = np.empty(len(start), np.int32)
+    for i in range(0, len(start), 50_000):
+        at = start[i:i + 50_000]
+        same = g[at[:, None] + np.arange(w)] == anchor[i:i + 50_000, None]
+        out[i:i + 50_000] = w - 1 - same[:, ::-1].argmax(axis=1)
+    return out
+
+
 def _symbols_of_words(buf, offsets, i, j):
     starts, ends = C.word_spans(buf, int(offsets[i]), int(offsets[j]), offsets[i:j])
     return C.word_hash(buf, starts, ends), np.searchsorted(starts, offsets[i:j + 1])
@@ -93,7 +104,7 @@ SYMBOLS = {("words", "text"): _symbols_of_words, ("bytes", "text"): _symbols_of_
            ("words", "symbols"): _stored_words, ("bytes", "symbols"): _symbols_of_bytes}
 
 
-def _records(unit: str, column: str, keys: tuple[str, ...], length: int, k: int):
+def _records(unit: str, column: str, keys: tuple[str, ...], length: int, k: int, place: bool = False):
     """mapInArrow body: (keys, text or symbols) -> records (anchor, content, keys, at, n)."""
     read = SYMBOLS[unit, column]
 
@@ -108,15 +119,17 @@ def _records(unit: str, column: str, keys: tuple[str, ...], length: int, k: int)
                     q = min(len(symbols), p + PIECE + length - 1)
                     lo = np.clip(first[:-1], p, q) - p
                     hi = np.clip(first[1:], p, q) - p
-                    found = _anchor_runs(C.prefix_sums(symbols[p:q]), length, k, lo, hi)
+                    sums = C.prefix_sums(symbols[p:q])
+                    found = _anchor_runs(sums, length, k, lo, hi)
                     if found is None:
                         continue
                     anchor, content, start, n = found
                     doc = np.searchsorted(first, start + p, "right") - 1
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), *[pa.array(x[i + doc]) for x in names],
-                         pa.array((start + p - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                        names=["anchor", "content", *keys, "at", "n"])
+                         pa.array((start + p - first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)),
+                         *([pa.array(_anchor_place(sums, k, anchor, start, length - k + 1))] if place else [])],
+                        names=["anchor", "content", *keys, "at", "n", *(["gram_at"] if place else [])])
 
     return body
 
@@ -156,6 +169,31 @@ def _runs(unit: str, column: str, keys: tuple[str, ...], length: int):
     return body
 
 
+def _reduced(unit: str, length: int, k: int):
+    """mapInArrow body: (near, symbols, want) -> each wanted record with its anchor gram as one symbol.
+
+    All windows of a record hold its anchor's k symbols, so a window of
+    ``length`` symbols is one of ``length - k + 1`` symbols of the reduced
+    record; two windows are equal exactly when their reduced ones are.
+    """
+    def body(batches):
+        for batch in batches:
+            near = batch["near"].to_pylist()
+            for r, raw in enumerate(batch["symbols"].to_pylist()):
+                symbols = np.frombuffer(raw, np.uint64 if unit == "words" else np.uint8).astype(np.uint64)
+                rows = []
+                for x in batch["want"][r].as_py():
+                    i, g, j = x["at"], x["at"] + x["gram_at"], x["at"] + x["n"] - 1 + length
+                    gram = np.array([x["anchor"]], np.int64).view(np.uint64)
+                    rows.append((i, x["n"], np.concatenate([symbols[i:g], gram, symbols[g + k:j]]).tobytes()))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(rows), near[r])), pa.array([x[0] for x in rows], pa.int32()),
+                    pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())],
+                    names=["near", "at", "n", "symbols"])
+
+    return body
+
+
 def _cut(unit: str):
     """mapInArrow body: (k1, k2, text, spans) -> counts and what is kept."""
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n_removed", pa.int64()),
@@ -197,12 +235,13 @@ def _at_two_places(records: DataFrame, place: tuple[str, ...], stages: Stages) -
 
 
 def repeated_spans(docs: DataFrame, text_col: str, unit: str, length: int, k: int, stages: Stages,
-                   resolve: Callable[[DataFrame, Stages], DataFrame]) -> DataFrame:
+                   resolve: Callable[[DataFrame, int, Stages], DataFrame]) -> DataFrame:
     """(k1, k2, n_removed, n_spans, kept_sha256, kept) of every text that repeats in part.
 
-    ``resolve(runs, stages)`` is the operator's method: it takes runs (run,
-    n windows, symbols) and gives spans (run, first, last): the windows
-    first..last - 1 of the run that also start anywhere else.
+    ``resolve(runs, width, stages)`` is the operator's method: it takes reduced
+    runs (run, n windows, 64-bit symbols) and gives spans (run, first, last):
+    the windows first..last - 1, of ``width`` reduced symbols, that also start
+    anywhere else.
     Texts shorter than ``length`` and texts without repeats give no row.
     """
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -221,29 +260,30 @@ def repeated_spans(docs: DataFrame, text_col: str, unit: str, length: int, k: in
     stages.drop("found")
 
     # again on what is left, with grams nearly as long as a window
-    long_k = length - max(1, length // 8)
+    long_k = max(k, length - max(1, length // 10))
     place = ("near",)
     records = stages.put("records2", near.select("near", "symbols").mapInArrow(
-        _records(unit, "symbols", place, length, max(k, long_k)), "anchor long, content long, near long, at int, n int"))
+        _records(unit, "symbols", place, length, long_k, True),
+        "anchor long, content long, near long, at int, n int, gram_at int"))
     found = stages.put("found2", _at_two_places(records, place, stages).withColumn("sid", F.xxhash64("anchor", "content")))
-    # contents: at two places, or a run to compare with the anchor's others
+    # contents: at two places, or to be compared with the anchor's others
     where = F.xxhash64("near", "at")
     contents = stages.put("contents", found.groupBy("anchor", "sid").agg(
-        F.min(where).alias("p"), F.max(where).alias("q"), F.min(F.struct("near", "at", "n")).alias("rep")))
+        F.min(where).alias("p"), F.max(where).alias("q"), F.min(F.struct("near", "at", "n", "gram_at")).alias("rep")))
     groups = contents.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    want = (contents.join(groups, "anchor", "left_semi").select("rep.*")
-            .groupBy("near").agg(F.collect_list(F.struct("at", "n")).alias("want")))
+    want = (contents.join(groups, "anchor", "left_semi").select("anchor", "rep.*")
+            .groupBy("near").agg(F.collect_list(F.struct("at", "n", "gram_at", "anchor")).alias("want")))
     runs = stages.put("runs", near.select("near", "symbols").join(want, "near").mapInArrow(
-        _runs(unit, "symbols", place, length), "near long, start int, n int, symbols binary")
-        .select(F.xxhash64("near", "start").alias("run"), "*"))
-    shared = stages.put("shared", resolve(runs.select("run", "n", "symbols"), stages))
+        _reduced(unit, length, long_k), "near long, at int, n int, symbols binary")
+        .select(F.xxhash64("near", "at").alias("run"), "*"))
+    shared = stages.put("shared", resolve(runs.select("run", "n", "symbols"), length - long_k + 1, stages))
 
     whole = (found.join(contents.where("p <> q").select("sid"), "sid", "left_semi")
              .select("near", F.col("at").alias("first"), (F.col("at") + F.col("n") + (length - 1)).alias("last")))
     # a content at one place only is its own representative
-    part = (runs.select("run", "near", "start").join(shared, "run")
-            .select("near", (F.col("start") + F.col("first")).alias("first"),
-                    (F.col("start") + F.col("last") + (length - 1)).alias("last")))
+    part = (runs.select("run", "near", "at").join(shared, "run")
+            .select("near", (F.col("at") + F.col("first")).alias("first"),
+                    (F.col("at") + F.col("last") + (length - 1)).alias("last")))
     spans = whole.union(part).join(near.select("near", "k1", "k2", F.col("start").alias("base")), "near")
     spans = (spans.select("k1", "k2", (F.col("base") + F.col("first")).alias("first"), (F.col("base") + F.col("last")).alias("last"))
              .groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("spans")))

@@ -77,11 +77,11 @@ def _grow_tree(length: int):
     return body
 
 
-def suffix_tree_repeats(length: int = WINDOW_WORDS, start_depth: int = 4, group_size: int = GROUP_SUFFIXES):
+def suffix_tree_repeats(start_depth: int = 2, group_size: int = GROUP_SUFFIXES):
     """The method as a ``resolve`` function of ``repeats.repeated_spans``."""
-    def resolve(runs: DataFrame, stages: Stages) -> DataFrame:
+    def resolve(runs: DataFrame, length: int, stages: Stages) -> DataFrame:
         parts: list[DataFrame] = []
-        depth, turn = start_depth, 0
+        depth, turn = min(start_depth, length), 0
         total = runs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("s")).first()["s"]
         groups = max(1, -(-2 * total // group_size))
         suffixes = stages.put(f"suffixes{turn}", runs.mapInArrow(
@@ -127,7 +127,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "doc_id", *C.text_key(F.col("text")), F.size("w").cast("long").alias("n_words"),
         F.sha2(F.array_join("w", " "), 256).alias("full_sha256")))
     cut = R.repeated_spans(docs, text_col, "words", length, min(anchor, length), stages,
-                           suffix_tree_repeats(length, min(4, length), group_size))
+                           suffix_tree_repeats(group_size=group_size))
     return R.per_text(narrow, cut, stages, "n_words", length).select(
         "doc_id", "n_words", "n_removed", "n_spans", "kept_sha256")
 
@@ -142,7 +142,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = WINDOW
     """
     stages = Stages(session(docs), "substring")
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    cut = R.repeated_spans(docs, text_col, "words", length, min(anchor, length), stages, suffix_tree_repeats(length))
+    cut = R.repeated_spans(docs, text_col, "words", length, min(anchor, length), stages, suffix_tree_repeats())
     copies = (docs.select(t.alias("t")).select(*C.text_key(F.col("t")), F.size(
         F.filter(F.split("t", C.WORD_GAP), lambda w: w != "")).alias("s"))
         .groupBy("k1", "k2").agg(F.count("*").alias("m"), F.first("s").alias("s"))

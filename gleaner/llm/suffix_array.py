@@ -1,21 +1,21 @@
 """Suffix-array dedup over bytes, by a distributed difference-cover algorithm.
 
 A byte is removed when a string of ``length`` bytes covers it that also
-starts anywhere else.  Candidate regions come from ``repeats``; the
-suffixes of all of them are sorted together:
-
-* The symbol at place p is the 8 bytes there; p goes on at p + 8, p + 16 ...
-  Its class is (p // 8) % 3, and classes 1 and 2 (a difference cover modulo
-  3) are the sample.
-* Triples of symbols of sampled places are sorted and named by rank; triples
-  of names (24, then 72 bytes on) are sorted and named again, until a name
-  stands for ``length`` bytes or more.  Names that occur once rule out the
-  strings that hold them, so such places leave early.
-* Remaining places (class 0) are merged in: against class 1 by (symbol, rank
-  at p + 8), against class 2 by (two symbols, rank at p + 16).  Each
+starts anywhere else.  Candidate runs come from ``repeats``, the long gram
+that all strings of a run share reduced to one symbol; the suffixes of all
+runs are sorted together:
+
+* Places 1 and 2 modulo 3 (a difference cover) are the sample.  Their triples
+  of symbols are sorted and named by rank; triples of names (3, then 9 symbols
+  on) are sorted and named again, until a name stands for a whole string.
+  Names that occur once rule out the strings that hold them, so such places
+  leave early.
+* Remaining places (0 modulo 3) are merged in: against class 1 by (symbol,
+  rank at p + 1), against class 2 by (two symbols, rank at p + 2).  Each
   comparison is one range-sort with running counts; the counts add up to the
   rank among all suffixes.
-* Neighbours in that order whose first ``length`` bytes are equal repeat.
+* Neighbours in that order whose prefixes of one string's length are equal
+  repeat.
 """
 
 from __future__ import annotations
@@ -31,16 +31,6 @@ from gleaner.llm.common import Stages, session
 
 STRING_BYTES = 200
 ANCHOR_BYTES = 64
-STEP = 8
-
-
-def _symbols(raw: bytes, n: int) -> np.ndarray:
-    """The 8 bytes at each of n places as a number of the same order (zero bytes after the end)."""
-    b = np.frombuffer(raw + b"\0" * STEP, np.uint8)
-    out = np.zeros(n, np.uint64)
-    for i in range(STEP):
-        out = (out << np.uint64(8)) | b[i:i + n].astype(np.uint64)
-    return (out ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _at(x: np.ndarray, p: np.ndarray, default: int) -> np.ndarray:
@@ -51,7 +41,7 @@ def _at(x: np.ndarray, p: np.ndarray, default: int) -> np.ndarray:
 
 def _sampled(n: int) -> np.ndarray:
     p = np.arange(n)
-    return p[(p // STEP) % 3 != 0]
+    return p[p % 3 != 0]
 
 
 _TRIPLE = pa.schema([("run", pa.int64()), ("p", pa.int32()), ("c0", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64())])
@@ -62,12 +52,12 @@ def _first_triples(batches):
     """Triples of symbols at the sampled places of each run (run, symbols)."""
     for batch in batches:
         for run, raw in zip(batch["run"].to_pylist(), batch["symbols"].to_pylist()):
-            s = _symbols(raw, len(raw))
+            s = np.frombuffer(raw, np.int64)
             p = _sampled(len(s))
             low = np.iinfo(np.int64).min
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.full(len(p), run)), pa.array(p.astype(np.int32)), pa.array(s[p]),
-                pa.array(_at(s, p + STEP, low)), pa.array(_at(s, p + 2 * STEP, low))], schema=_TRIPLE)
+                pa.array(_at(s, p + 1, low)), pa.array(_at(s, p + 2, low))], schema=_TRIPLE)
 
 
 def _names_array(n: int, places: np.ndarray, names: np.ndarray) -> np.ndarray:
@@ -83,18 +73,18 @@ def _alive(batch, r: int, length: int, depth: int) -> tuple[np.ndarray, np.ndarr
     p, name = flat.field("p").to_numpy().astype(np.int64), flat.field("name").to_numpy()
     names = _names_array(n, p, np.abs(name))
     dead = np.zeros(n + 1, np.int64)
-    left = (np.arange(n) // STEP) % 3 != 0  # sampled places that left earlier
+    left = np.arange(n) % 3 != 0  # sampled places that left earlier
     left[p] = False
     left = np.flatnonzero(left)
     np.add.at(dead, np.maximum(0, left - length + 1), 1)
     np.add.at(dead, left + 1, -1)
-    span = depth + 2 * STEP
+    span = depth + 2
     if span <= min(n, length):
-        # Equal strings have a place among p, p + 8, p + 16 that is sampled in both:
+        # Equal strings have a place among p, p + 1, p + 2 that is sampled in both:
         # where all sampled names of the three occur once, the string does too.
-        lone = (np.arange(n) // STEP) % 3 == 0
+        lone = np.arange(n) % 3 == 0
         lone[p] = name < 0
-        q = np.flatnonzero(lone[:n - span + 1] & lone[STEP:n - span + 1 + STEP] & lone[2 * STEP:n - span + 1 + 2 * STEP])
+        q = np.flatnonzero(lone[:n - span + 1] & lone[1:n - span + 2] & lone[2:n - span + 3])
         np.add.at(dead, np.maximum(0, q + span - length), 1)
         np.add.at(dead, q + 1, -1)
     alive = np.cumsum(dead[:-1]) == 0
@@ -137,12 +127,12 @@ def _merge_rows(length: int, depth: int):
                 if not len(p):
                     continue
                 raw = batch["symbols"][r].as_py()
-                s = _symbols(raw, len(raw))
-                sums = C.prefix_sums(C.byte_symbols(np.frombuffer(raw, np.uint8)))
+                s = np.frombuffer(raw, np.int64)
+                sums = C.prefix_sums(s.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(p), run)), pa.array(p.astype(np.int32)),
-                    pa.array(((p // STEP) % 3).astype(np.int32)), pa.array(s[p]), pa.array(_at(s, p + STEP, 0)),
-                    pa.array(names[p]), pa.array(_at(names, p + STEP, 0)), pa.array(_at(names, p + 2 * STEP, 0)),
+                    pa.array((p % 3).astype(np.int32)), pa.array(s[p]), pa.array(_at(s, p + 1, 0)),
+                    pa.array(names[p]), pa.array(_at(names, p + 1, 0)), pa.array(_at(names, p + 2, 0)),
                     pa.array(C.range_hash(sums, p, p + length).view(np.int64))], schema=schema)
 
     return body
@@ -193,12 +183,12 @@ def _neighbours(batches):
         yield out((*held, np.full(1, 2, np.int32)), first)
 
 
-def suffix_sort_repeats(length: int = STRING_BYTES):
+def suffix_sort_repeats():
     """The method as a ``resolve`` function of ``repeats.repeated_spans``: see the module's text."""
-    def resolve(runs: DataFrame, stages: Stages) -> DataFrame:
-        runs = runs.select("run", "symbols", F.length("symbols").alias("size"))
+    def resolve(runs: DataFrame, length: int, stages: Stages) -> DataFrame:
+        runs = runs.select("run", "symbols", (F.length("symbols") / 8).cast("int").alias("size"))
         triples = stages.put("triples0", runs.mapInArrow(_first_triples, _TRIPLE_DDL))
-        depth, turn = 3 * STEP, 0
+        depth, turn = 3, 0
         while True:
             named = _name(triples, stages, turn)
             whole = stages.put(f"named{turn}", named.groupBy("run").agg(
@@ -257,6 +247,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = stages.put("narrow", docs.select(
         F.col(id_col).alias("doc_id"), *C.text_key(text), F.octet_length(text).cast("long").alias("n_bytes"),
         F.sha2(t, 256).alias("full_sha256")))
-    cut = R.repeated_spans(docs, text_col, "bytes", length, min(anchor, length), stages, suffix_sort_repeats(length))
+    cut = R.repeated_spans(docs, text_col, "bytes", length, min(anchor, length), stages, suffix_sort_repeats())
     return R.per_text(narrow, cut, stages, "n_bytes", length).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
