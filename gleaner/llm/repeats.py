@@ -185,11 +185,12 @@ def _reduced(unit: str, length: int, k: int):
                 for x in batch["want"][r].as_py():
                     i, g, j = x["at"], x["at"] + x["gram_at"], x["at"] + x["n"] - 1 + length
                     gram = np.array([x["anchor"]], np.int64).view(np.uint64)
-                    rows.append((i, x["n"], np.concatenate([symbols[i:g], gram, symbols[g + k:j]]).tobytes()))
+                    rows.append((i, x["n"], x["anchor"], np.concatenate([symbols[i:g], gram, symbols[g + k:j]]).tobytes()))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(len(rows), near[r])), pa.array([x[0] for x in rows], pa.int32()),
-                    pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.binary())],
-                    names=["near", "at", "n", "symbols"])
+                    pa.array([x[1] for x in rows], pa.int32()), pa.array([x[2] for x in rows], pa.int64()),
+                    pa.array([x[3] for x in rows], pa.binary())],
+                    names=["near", "at", "n", "g", "symbols"])
 
     return body
 
@@ -239,7 +240,7 @@ def repeated_spans(docs: DataFrame, text_col: str, unit: str, length: int, k: in
     """(k1, k2, n_removed, n_spans, kept_sha256, kept) of every text that repeats in part.
 
     ``resolve(runs, width, stages)`` is the operator's method: it takes reduced
-    runs (run, n windows, 64-bit symbols) and gives spans (run, first, last):
+    runs (run, anchor g, n windows, 64-bit symbols) and gives spans (run, first, last):
     the windows first..last - 1, of ``width`` reduced symbols, that also start
     anywhere else.
     Texts shorter than ``length`` and texts without repeats give no row.
@@ -274,9 +275,9 @@ def repeated_spans(docs: DataFrame, text_col: str, unit: str, length: int, k: in
     want = (contents.join(groups, "anchor", "left_semi").select("anchor", "rep.*")
             .groupBy("near").agg(F.collect_list(F.struct("at", "n", "gram_at", "anchor")).alias("want")))
     runs = stages.put("runs", near.select("near", "symbols").join(want, "near").mapInArrow(
-        _reduced(unit, length, long_k), "near long, at int, n int, symbols binary")
+        _reduced(unit, length, long_k), "near long, at int, n int, g long, symbols binary")
         .select(F.xxhash64("near", "at").alias("run"), "*"))
-    shared = stages.put("shared", resolve(runs.select("run", "n", "symbols"), length - long_k + 1, stages))
+    shared = stages.put("shared", resolve(runs.select("run", "g", "n", "symbols"), length - long_k + 1, stages))
 
     whole = (found.join(contents.where("p <> q").select("sid"), "sid", "left_semi")
              .select("near", F.col("at").alias("first"), (F.col("at") + F.col("n") + (length - 1)).alias("last")))

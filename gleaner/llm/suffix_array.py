@@ -16,6 +16,10 @@ runs are sorted together:
   rank among all suffixes.
 * Neighbours in that order whose prefixes of one string's length are equal
   repeat.
+
+Runs of different anchors cannot share a string.  So the sort is dealt out by
+anchor: many small groups go to one task, which does these steps in memory; a
+group too large for a task is range-sorted over all of them.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from gleaner.llm.common import Stages, session
 
 STRING_BYTES = 200
 ANCHOR_BYTES = 64
+GROUP_RUNS = 4096
+BUCKET_RUNS = 1024
 
 
 def _at(x: np.ndarray, p: np.ndarray, default: int) -> np.ndarray:
@@ -183,58 +189,152 @@ def _neighbours(batches):
         yield out((*held, np.full(1, 2, np.int32)), first)
 
 
-def suffix_sort_repeats():
-    """The method as a ``resolve`` function of ``repeats.repeated_spans``: see the module's text."""
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Dense ranks from 1 of the rows of some columns of small non-negative numbers."""
+    out = keys[0]
+    for key in keys[1:]:
+        out = np.unique(out * (int(key.max(initial=0)) + 1) + key, return_inverse=True)[1]
+    return np.unique(out, return_inverse=True)[1] + 1
+
+
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """Rank of each row when sorted by the columns."""
+    out = np.empty(len(keys[0]), np.int64)
+    out[np.lexsort(keys[::-1])] = np.arange(len(out))
+    return out
+
+
+def repeated_places(symbols: np.ndarray, sizes: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    """The same method for some runs in memory: which places start a string that starts elsewhere too.
+
+    symbols: of all runs; sizes: symbols of each run; windows: strings of each run.
+    """
+    first = np.cumsum(sizes) - sizes
+    pos = np.arange(len(symbols)) - np.repeat(first, sizes)
+    left = np.repeat(sizes, sizes) - pos
+
+    def ahead(x, d):
+        return np.where(left > d, np.append(x[d:], np.zeros(min(d, len(x)), x.dtype)), 0)
+
+    r = _ranks(np.unique(symbols, return_inverse=True)[1])
+    cls = pos % 3
+    sample = np.flatnonzero(cls != 0)
+    names, source, depth = np.zeros(len(symbols), np.int64), r, 1
+    while depth < length:  # names for 3, 9, 27 ... symbols
+        names[sample] = _ranks(source[sample], ahead(source, depth)[sample], ahead(source, 2 * depth)[sample])
+        source, depth = names, 3 * depth
+    at = np.flatnonzero(pos < np.repeat(windows, sizes))
+    c, total = cls[at], np.zeros(len(at), np.int64)
+    r1, r2, s1 = ahead(names, 1)[at], ahead(names, 2)[at], ahead(r, 1)[at]
+    keys = {(0, 1): (r[at], r1), (0, 2): (r[at], s1, r2), (1, 2): (names[at],)}
+    for (a, b), key in keys.items():
+        rows = np.flatnonzero((c == a) | (c == b))
+        place = _order(*[k[rows] for k in key])
+        by_class = {}
+        for x in (a, b):
+            own = c[rows] == x
+            by_class[x] = np.empty(int(own.sum()), np.int64)
+            by_class[x][np.argsort(place[own], kind="stable")] = np.arange(own.sum())
+            # places of the own class are counted once: class 0 against class 2, the others against each other
+            once = (x == 0 and b == 2) or (a, b) == (1, 2)
+            total[rows[own]] += place[own] - (0 if once else by_class[x])
+    sums = C.prefix_sums(symbols)
+    h = C.range_hash(sums, at, at + length)
+    order = np.lexsort((at, h, total))
+    equal = h[order[1:]] == h[order[:-1]]
+    hit = np.zeros(len(at), bool)
+    hit[order[1:][equal]] = True
+    hit[order[:-1][equal]] = True
+    return at[hit]
+
+
+def _sort_group(length: int):
+    """applyInArrow body: the runs of some whole anchor groups -> strings that repeat."""
+    schema = pa.schema([("run", pa.int64()), ("first", pa.int32()), ("last", pa.int32())])
+
+    def body(table: pa.Table) -> pa.Table:
+        raw = table["symbols"].to_pylist()
+        sizes = np.array([len(x) // 8 for x in raw], np.int64)
+        symbols = np.frombuffer(b"".join(raw), np.uint64)
+        place = repeated_places(symbols, sizes, table["n"].to_numpy().astype(np.int64), length)
+        start = np.cumsum(sizes) - sizes
+        of = np.searchsorted(start, place, "right") - 1
+        p = (place - start[of]).astype(np.int32)
+        return pa.table({"run": table["run"].to_numpy()[of], "first": p, "last": (p + 1).astype(np.int32)}, schema=schema)
+
+    return body
+
+
+def suffix_sort_repeats(group_runs: int = GROUP_RUNS, bucket_runs: int = BUCKET_RUNS):
+    """The method as a ``resolve`` function of ``repeats.repeated_spans``.
+
+    Strings of different anchors differ, so anchor groups are sorted apart:
+    groups of up to ``group_runs`` runs are packed into buckets that one task
+    sorts in memory, larger ones are sorted by range over all tasks.
+    """
     def resolve(runs: DataFrame, length: int, stages: Stages) -> DataFrame:
-        runs = runs.select("run", "symbols", (F.length("symbols") / 8).cast("int").alias("size"))
-        triples = stages.put("triples0", runs.mapInArrow(_first_triples, _TRIPLE_DDL))
-        depth, turn = 3, 0
-        while True:
-            named = _name(triples, stages, turn)
-            whole = stages.put(f"named{turn}", named.groupBy("run").agg(
-                F.collect_list(F.struct("p", "name")).alias("named")).join(runs.select("run", "size"), "run"))
-            if depth >= length:
-                break
-            stages.drop(f"triples{turn}")
-            turn += 1
-            triples = stages.put(f"triples{turn}", whole.mapInArrow(_next_triples(length, depth), _TRIPLE_DDL))
-            depth *= 3
-        rows = stages.put("suffixes", whole.join(runs.select("run", "symbols"), "run").mapInArrow(
-            _merge_rows(length, depth),
-            "run long, p int, cls int, s0 long, s1 long, r0 long, r1 long, r2 long, h long"))
-
-        def counted(classes: list[int], key: list[str], name: str) -> DataFrame:
-            part = rows.where(F.col("cls").isin(classes)).select(
-                *key, "run", "p", "cls", "h", F.lit(1).alias("all"),
-                *[(F.col("cls") == c).cast("int").alias(f"c{c}") for c in classes])
-            return C.running_totals(part, [*key, "cls", "run", "p"], ["all", *[f"c{c}" for c in classes]], stages, name)
-
-        def share(df: DataFrame, value) -> DataFrame:
-            return df.select("run", "p", "h", value.alias("v"))
-
-        a = counted([0, 1], ["s0", "r1"], "with1")
-        b = counted([0, 2], ["s0", "s1", "r2"], "with2")
-        c = counted([1, 2], ["r0"], "sample")
-        own = lambda x, y: F.when(F.col("cls") == x, F.col(f"c{x}_before")).otherwise(F.col(f"c{y}_before"))
-        ranked = (share(a, F.col("all_before") - own(0, 1))
-                  .union(share(b, F.when(F.col("cls") == 0, F.col("all_before"))
-                               .otherwise(F.col("all_before") - F.col("c2_before"))))
-                  .union(share(c, F.col("all_before")))
-                  .groupBy("run", "p").agg(F.sum("v").alias("rank"), F.first("h").alias("h")))
-        order = ["rank", "h", "run", "p"]
-        near = stages.put("neighbours", ranked.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
-            _neighbours, "run long, p int, h long, same boolean, pid int, edge int"))
-        # first and last row of each partition: compared with the neighbour partition's
-        w = Window.partitionBy().orderBy("pid", F.col("edge") > 1)
-        ends = near.where("edge > 0").withColumn("same2", (F.lag("h").over(w) == F.col("h")) | (F.lead("h").over(w) == F.col("h")))
-        hit = near.where("same").select("run", "p").union(ends.where("same2").select("run", "p")).distinct()
-        return hit.select("run", F.col("p").alias("first"), (F.col("p") + 1).alias("last"))
+        size = stages.put("groups", runs.groupBy("g").agg(F.count("*").alias("c")))
+        small = size.where(f"c > 1 and c <= {group_runs}")
+        buckets = max(1, -(-int(small.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("s")).first()["s"]) // bucket_runs))
+        packed = runs.join(small.select("g"), "g").withColumn("bucket", F.pmod(F.xxhash64("g"), F.lit(buckets)))
+        found = packed.groupBy("bucket").applyInArrow(_sort_group(length), R.SPAN_SCHEMA)
+        large = size.where(f"c > {group_runs}").select("g")
+        if not large.limit(1).count():
+            return found
+        return found.union(sort_by_range(runs.join(large, "g", "left_semi"), length, stages))
 
     return resolve
 
 
+def sort_by_range(runs: DataFrame, length: int, stages: Stages) -> DataFrame:
+    """The method with distributed sorts, for runs of any number: see the module's text."""
+    runs = stages.put("large", runs.select("run", "symbols", (F.length("symbols") / 8).cast("int").alias("size")))
+    triples = stages.put("triples0", runs.mapInArrow(_first_triples, _TRIPLE_DDL))
+    depth, turn = 3, 0
+    while True:
+        named = _name(triples, stages, turn)
+        whole = stages.put(f"named{turn}", named.groupBy("run").agg(
+            F.collect_list(F.struct("p", "name")).alias("named")).join(runs.select("run", "size"), "run"))
+        if depth >= length:
+            break
+        stages.drop(f"triples{turn}")
+        turn += 1
+        triples = stages.put(f"triples{turn}", whole.mapInArrow(_next_triples(length, depth), _TRIPLE_DDL))
+        depth *= 3
+    rows = stages.put("suffixes", whole.join(runs.select("run", "symbols"), "run").mapInArrow(
+        _merge_rows(length, depth),
+        "run long, p int, cls int, s0 long, s1 long, r0 long, r1 long, r2 long, h long"))
+
+    def counted(classes: list[int], key: list[str], name: str) -> DataFrame:
+        part = rows.where(F.col("cls").isin(classes)).select(
+            *key, "run", "p", "cls", "h", F.lit(1).alias("all"),
+            *[(F.col("cls") == c).cast("int").alias(f"c{c}") for c in classes])
+        return C.running_totals(part, [*key, "cls", "run", "p"], ["all", *[f"c{c}" for c in classes]], stages, name)
+
+    def share(df: DataFrame, value) -> DataFrame:
+        return df.select("run", "p", "h", value.alias("v"))
+
+    a = counted([0, 1], ["s0", "r1"], "with1")
+    b = counted([0, 2], ["s0", "s1", "r2"], "with2")
+    c = counted([1, 2], ["r0"], "sample")
+    own = lambda x, y: F.when(F.col("cls") == x, F.col(f"c{x}_before")).otherwise(F.col(f"c{y}_before"))
+    ranked = (share(a, F.col("all_before") - own(0, 1))
+              .union(share(b, F.when(F.col("cls") == 0, F.col("all_before"))
+                           .otherwise(F.col("all_before") - F.col("c2_before"))))
+              .union(share(c, F.col("all_before")))
+              .groupBy("run", "p").agg(F.sum("v").alias("rank"), F.first("h").alias("h")))
+    order = ["rank", "h", "run", "p"]
+    near = stages.put("neighbours", ranked.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(
+        _neighbours, "run long, p int, h long, same boolean, pid int, edge int"))
+    # first and last row of each partition: compared with the neighbour partition's
+    w = Window.partitionBy().orderBy("pid", F.col("edge") > 1)
+    ends = near.where("edge > 0").withColumn("same2", (F.lag("h").over(w) == F.col("h")) | (F.lead("h").over(w) == F.col("h")))
+    hit = near.where("same").select("run", "p").union(ends.where("same2").select("run", "p")).distinct()
+    return hit.select("run", F.col("p").alias("first"), (F.col("p") + 1).alias("last"))
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = STRING_BYTES,
-                 anchor: int = ANCHOR_BYTES) -> DataFrame:
+                 anchor: int = ANCHOR_BYTES, group_runs: int = GROUP_RUNS) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null texts are empty; texts shorter than ``length`` bytes lose nothing;
@@ -247,6 +347,6 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = stages.put("narrow", docs.select(
         F.col(id_col).alias("doc_id"), *C.text_key(text), F.octet_length(text).cast("long").alias("n_bytes"),
         F.sha2(t, 256).alias("full_sha256")))
-    cut = R.repeated_spans(docs, text_col, "bytes", length, min(anchor, length), stages, suffix_sort_repeats())
+    cut = R.repeated_spans(docs, text_col, "bytes", length, min(anchor, length), stages, suffix_sort_repeats(group_runs))
     return R.per_text(narrow, cut, stages, "n_bytes", length).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
