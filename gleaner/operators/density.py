@@ -123,12 +123,14 @@ def knn(points: DataFrame, k: int, cell: float, id_col: str = "vec_id", vec: str
                    .checkpoint(eager=True))
         kth = top.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("kd"))
         ok = (F.col("n") >= need) & (F.col("kd") <= F.lit(float(r * cell)))
-        settled = kth.filter(ok | F.lit(last)).select("src")
+        settled = kth.filter(ok).select("src")
         done.append(top.join(settled, "src", "left_semi"))
         todo = todo.join(settled, "src", "left_anti")
         carry = top.join(settled, "src", "left_anti").select("src", "dst", "dist")
-        if last or todo.limit(1).count() == 0:
+        if todo.limit(1).count() == 0:
             break
+        if last:
+            raise RuntimeError(f"{max_rounds} rounds left points whose neighbours are not certain; raise max_rounds or cell")
         r_prev, r = r, r * 2
     res = done[0]
     for x in done[1:]:
@@ -140,17 +142,22 @@ def knn(points: DataFrame, k: int, cell: float, id_col: str = "vec_id", vec: str
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src",
-                         dst: str = "dst", max_rounds: int = 64) -> DataFrame:
+                         dst: str = "dst", max_rounds: int | None = None) -> DataFrame:
     """``(node, component)`` with component = smallest node id of its component.
 
     Large-star then small-star until the edge set stops changing; each
     round's edges are checkpointed (reliable, shared folder) so lineage stays
-    short and a lost executor recomputes one round only.
+    short and a lost executor recomputes one round only.  ``max_rounds`` is a
+    guard: reaching it unconverged raises, it never cuts the result.
     """
     checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter(F.col("u") != F.col("v"))
     e = e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint(eager=True)
-    for _ in range(max_rounds):
+    rounds = 0
+    while True:
+        if max_rounds is not None and rounds >= max_rounds:
+            raise RuntimeError(f"components did not converge in {max_rounds} rounds")
+        rounds += 1
         # large-star: each node links its larger neighbours to its smallest neighbour-or-self
         sym = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         m = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

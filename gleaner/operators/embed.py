@@ -171,14 +171,14 @@ def pca_reduce(vectors: DataFrame, k: int, vec: str = "vec", out: str = "vec_k")
 def reduce_dims(vectors: DataFrame, dims: Sequence[int] = REDUCED_DIMS, method: str = "random",
                 seed: int = 42, vec: str = "vec", key_cols: Sequence[str] = ("vec_id",),
                 model_col: str | None = None) -> DataFrame:
-    """``(key..., dim_label, n_components, vec)`` for every k <= d plus ``orig``."""
+    """``(key..., dim_label, n_components, vec)`` for every k plus ``orig``; a k above d raises."""
     keys = list(key_cols) + ([model_col] if model_col else [])
     d = vectors.select(F.max(F.size(vec))).first()[0]
     parts = [vectors.select(*keys, F.lit("orig").alias("dim_label"), F.lit(d).alias("n_components"),
                             F.transform(vec, lambda x: x.cast("double")).alias("vec"))]
     for k in dims:
         if k > d:
-            continue
+            raise ValueError(f"{k} dimensions asked of vectors that have {d}")
         r = random_projection(vectors, k, seed, vec, "_r", d) if method == "random" \
             else pca_reduce(vectors, k, vec, "_r")
         parts.append(r.select(*keys, F.lit(f"{k}d").alias("dim_label"), F.lit(k).alias("n_components"),

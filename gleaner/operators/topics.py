@@ -28,9 +28,9 @@ from gleaner.operators.reviews import assign_row_id, normalize_strip
 
 _WS = r"\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}"
 # FIXED VALUES: line formats of generated topics, topic files and seed files.
-MENTION_RE = r"(?sU)^\[(\d+)\] ([\w" + _WS + r"]+):(.+)"
-TOPIC_LINE_RE = r"(?sU)^\[(\d+)\] (.+) \(Count: (\d+)\)[" + _WS + r"]?:(.+)?"
-SEED_LINE_RE = r"(?sU)^\[(\d+)\] (.+)"
+MENTION_RE = r"(?sU)^\[([0-9]+)\] ([\w" + _WS + r"]+):(.+)"
+TOPIC_LINE_RE = r"(?sU)^\[([0-9]+)\] (.+) \(Count: ([0-9]+)\)[" + _WS + r"]?:(.+)?"
+SEED_LINE_RE = r"(?sU)^\[([0-9]+)\] (.+)"
 DESC_WORD_RE = r"[a-zA-Z']+"
 
 
@@ -44,8 +44,8 @@ def explode_responses(responses: DataFrame, doc_col: str = "doc_pos", resp_col:
 def parse_topic_mentions(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Add ``lvl, name, desc, status``; status is ``ok``, ``invalid_format``
     or ``lower_level`` (only level-1 mentions are accepted)."""
-    ok = F.col(line_col).rlike(MENTION_RE)
-    lvl = F.regexp_extract(line_col, MENTION_RE, 1).cast("int")
+    lvl = F.regexp_extract(line_col, MENTION_RE, 1).try_cast("int")  # null beyond the range of a level
+    ok = F.col(line_col).rlike(MENTION_RE) & lvl.isNotNull()
     status = (F.when(~ok, F.lit("invalid_format"))
                .when(lvl != 1, F.lit("lower_level")).otherwise(F.lit("ok")))
     return lines.select(
@@ -74,7 +74,7 @@ def valid_mentions(responses: DataFrame, doc_col: str = "doc_pos", resp_col: str
     return with_idx.withColumn("key", F.lower("name"))
 
 
-def early_stop_index(mentions: DataFrame, n: int | None = 2000) -> DataFrame:
+def early_stop_index(mentions: DataFrame, n: int | None = 2000, doc_col: str = "doc_pos") -> DataFrame:
     """One row ``(stop_idx, stop_doc)``: the mention at which generation stops
     (the (n+1)-th consecutive duplicate), or NULLs when it never stops."""
     firsts = mentions.groupBy("lvl", "key").agg(F.min("idx").alias("p"))
@@ -87,7 +87,7 @@ def early_stop_index(mentions: DataFrame, n: int | None = 2000) -> DataFrame:
                   .withColumn("next_p", F.coalesce(F.lead("p").over(w), F.col("_total") + 1))
                   .filter(F.col("next_p") > F.col("p") + n + 1))
     stop = gaps.agg(F.min(F.col("p") + n + 1).alias("stop_idx"))
-    doc = mentions.select("idx", F.col("doc_pos").alias("stop_doc"))
+    doc = mentions.select("idx", F.col(doc_col).alias("stop_doc"))
     return stop.join(doc, stop["stop_idx"] == doc["idx"], "left").select("stop_idx", "stop_doc")
 
 
@@ -137,11 +137,11 @@ def parse_topic_lines(lines: DataFrame, line_col: str = "line", no_col: str = "l
     """
     t = normalize_strip(line_col)
     base = lines.select(no_col, t.alias("_t")).filter(F.col("_t") != "")
-    ok = F.col("_t").rlike(TOPIC_LINE_RE)
     g = lambda i: F.regexp_extract("_t", TOPIC_LINE_RE, i)
+    ok = F.col("_t").rlike(TOPIC_LINE_RE) & g(1).try_cast("int").isNotNull() & g(3).try_cast("long").isNotNull()
     return base.select(
-        no_col, F.when(ok, g(1).cast("int")).alias("lvl"), F.when(ok, normalize_strip(g(2))).alias("name"),
-        F.when(ok, g(3).cast("long")).alias("count"), F.when(ok, normalize_strip(g(4))).alias("desc"),
+        no_col, F.when(ok, g(1).try_cast("int")).alias("lvl"), F.when(ok, normalize_strip(g(2))).alias("name"),
+        F.when(ok, g(3).try_cast("long")).alias("count"), F.when(ok, normalize_strip(g(4))).alias("desc"),
         F.when(ok, F.lit("ok")).otherwise(F.lit("reject")).alias("status"))
 
 
@@ -153,11 +153,12 @@ def read_seed_topics(lines: DataFrame, line_col: str = "line", no_col: str = "li
     is the name, so a seed never matches a generated topic of that name).
     """
     t = normalize_strip(line_col)
-    base = lines.select(no_col, t.alias("_t")).filter((F.col("_t") != "") & F.col("_t").rlike(SEED_LINE_RE))
+    lvl = F.regexp_extract("_t", SEED_LINE_RE, 1).try_cast("int")
+    base = lines.select(no_col, t.alias("_t")).filter((F.col("_t") != "") & F.col("_t").rlike(SEED_LINE_RE) & lvl.isNotNull())
     name = F.regexp_extract("_t", SEED_LINE_RE, 2)
     if cut_at_colon:
         name = F.split(name, ":")[0]
-    return base.select(no_col, F.regexp_extract("_t", SEED_LINE_RE, 1).cast("int").alias("lvl"),
+    return base.select(no_col, lvl.alias("lvl"),
                        normalize_strip(name).alias("name"), F.lit(1).cast("long").alias("count"),
                        F.lit("").alias("desc"))
 

@@ -122,10 +122,11 @@ def normalise_topic_words(raw: DataFrame, text_col: str = "value",
     ``{"topics": [{"top_words"|"words"|"terms": ...}]}``, a list of such
     objects, or a list of lists.  Words are stripped; empty topics dropped;
     ``topic_id`` counts the surviving topics from 0.  One JSON document per
-    row (``key_cols`` identify it), so many files parse in parallel.
+    row (``key_cols`` identify it), so many files parse in parallel.  A document
+    that is not JSON, or an object with any other key, has no topics.
     """
     keys = list(key_cols)
-    with_j = raw.select(*keys, F.parse_json(F.col(text_col)).alias("j"))
+    with_j = raw.select(*keys, F.try_parse_json(F.col(text_col)).alias("j"))
 
     def words_of(v):
         arr = F.try_variant_get(v, "$", "array<string>")
@@ -137,7 +138,8 @@ def normalise_topic_words(raw: DataFrame, text_col: str = "value",
     topics_arr = F.try_variant_get("j", "$.topics", "array<variant>")
     top_arr = F.try_variant_get("j", "$", "array<variant>")
     # dict with digit keys (and no "topics" key), numeric key order
-    keyed = (with_j.filter(as_map.isNotNull() & ~F.map_contains_key(as_map, "topics"))
+    digits = F.forall(F.map_keys(as_map), lambda k: F.rlike(k, F.lit(r"^\d+$")))
+    keyed = (with_j.filter(as_map.isNotNull() & ~F.map_contains_key(as_map, "topics") & digits)
              .select(*keys, F.explode(as_map).alias("key", "value"))
              .filter(F.col("key").rlike(r"^\d+$"))
              .select(*keys, F.col("key").cast("decimal(38,0)").alias("_order"), words_of(F.col("value")).alias("words")))

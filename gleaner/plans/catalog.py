@@ -425,7 +425,7 @@ def outlier_score(spark, sf_dir):
 from gleaner.operators import embed as EMB  # noqa: E402
 
 HASH_DIM = 64
-PROJ_DIMS = (2, 3, 5, 10, 20, 50, 200)
+PROJ_DIMS = (2, 3, 5, 10, 20, 50)
 
 
 def _sparse(df, keys):
