@@ -165,10 +165,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"),
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    good = labelled_good(labels, label=label_col)
-    known = rows.where("not held_out").join(good, F.col("doc_id") == F.col("label_id")).select(F.col("doc_id").alias("id"), "text", "good")
-    chosen = stages.put("labelled", known.withColumn("o", F.xxhash64(F.lit(77), F.col("id").cast("string")))
-                        .orderBy("o", "id").limit(max_train).drop("o"))
+    # choose by the narrow label table alone, so that no text is sorted to be dropped
+    good = labelled_good(labels, label=label_col).where(~held_out(F.col("label_id")))
+    chosen = stages.put("chosen", good.withColumn("o", F.xxhash64(F.lit(77), F.col("label_id").cast("string")))
+                        .orderBy("o", "label_id").limit(max_train).drop("o"))
+    known = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))  # max_train rows at most
+    chosen = stages.put("labelled", known.select(F.col("doc_id").alias("id"), "text", "good"))
     weights = train(chosen, bits, max_train)
     scored = rows.mapInArrow(_score(weights, bits), f"doc_id {id_type}, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
