@@ -77,17 +77,18 @@ def levels(calls: DataFrame, stages: Stages) -> DataFrame:
     known = nodes.select("conv", F.col("call").alias("before"))
     needs = stages.put("needs", nodes.select("conv", "call", F.explode("w").alias("before")).join(known, ["conv", "before"], "left_semi"))
     done = stages.put("level0", nodes.join(needs, ["conv", "call"], "left_anti").select("conv", "call", F.lit(0).alias("level")))
-    turn = 0
+    turn, n = 0, done.count()
     while True:
         level = done.select("conv", F.col("call").alias("before"), F.col("level").alias("l"))
         open_ = needs.join(done, ["conv", "call"], "left_anti").join(level, ["conv", "before"], "left")
         ready = (open_.groupBy("conv", "call").agg(F.max("l").alias("l"), F.count_if(F.col("l").isNull()).alias("open"))
                  .where("open = 0").select("conv", "call", (F.col("l") + 1).alias("level")))
         turn += 1
-        new = stages.put(f"level{turn}", ready)
-        if not new.limit(1).count():
+        done = stages.put(f"level{turn}", done.union(ready))
+        stages.drop(f"level{turn - 1}")
+        n, known_n = done.count(), n
+        if n == known_n:
             return done
-        done = done.union(new)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, stages: Stages | None = None) -> DataFrame:
@@ -108,8 +109,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, stages: Stage
     answer = (results.where("conv is not null and call is not null").groupBy("conv", "call")
               .agg(F.min(F.struct("turn", "content"))["content"].alias("content"), F.count("*").alias("n_results")))
     both = first.select("conv", "call", "c.*", "n_calls").hint("shuffle_hash").join(answer.hint("shuffle_hash"), ["conv", "call"], "full")
-    rows = both.join(level, ["conv", "call"], "left").join(
-        schemas.withColumnRenamed("tool", "name"), "name", "left")  # a row per tool that the caller listed
+    linked = stages.put("linked", both.join(level, ["conv", "call"], "left"))
+    rows = linked.join(schemas.withColumnRenamed("tool", "name"), "name", "left")  # a row per tool that the caller listed
     args = F.try_parse_json("arguments")
     rows = rows.withColumn("args", args)
     rows = rows.withColumn("fields", F.expr("case when schema_of_variant(args) like 'OBJECT%' then try_cast(args as map<string, variant>) end"))
