@@ -2,9 +2,10 @@
 
 Calls and results are hash-joined on (conversation, call id); results are
 reduced to one row an id first, so a common id costs no pairs.  Calls are put
-in topological order by rounds: a call's level is one more than the highest
-level of the calls that it waits for; calls on a cycle get none.  Arguments
-are parsed as variants, checked against their tool's schema, and serialised as
+in topological order: a call's level is one more than the highest level of
+the calls that it waits for; calls on a cycle get none.  Chains are followed
+by pointers that double in reach, so a long conversation takes few rounds.
+Arguments are parsed as variants, checked against their tool's schema, and serialised as
 canonical JSON (keys sorted, no spaces).
 """
 
@@ -68,27 +69,67 @@ def problems(args: str = "args", fields: str = "fields", schema: str = "schema")
 
 
 def levels(calls: DataFrame, stages: Stages) -> DataFrame:
-    """(conv, call, level) for calls(conv, call, waits_for array): rounds until nothing changes.
+    """(conv, call, level) for calls(conv, call, waits_for array).
 
     A call that waits for an unknown call does not wait; one that waits for
-    itself or lies behind a cycle gets no row.
+    itself or lies behind a cycle gets no row.  Calls that wait for exactly
+    one other form trees: each follows its pointer towards its tree's head (a
+    call that waits for none or for several), and pointers double in reach
+    every round, so a chain of n calls takes about log2(n) rounds.  What is
+    left are the heads: one that waits for several gets its level once all of
+    them have one, in as many rounds as such calls lie behind each other.
     """
-    nodes = stages.put("nodes", calls.groupBy("conv", "call").agg(F.array_distinct(F.flatten(F.collect_set("waits_for"))).alias("w")))
-    known = nodes.select("conv", F.col("call").alias("before"))
-    needs = stages.put("needs", nodes.select("conv", "call", F.explode("w").alias("before")).join(known, ["conv", "before"], "left_semi"))
-    done = stages.put("level0", nodes.join(needs, ["conv", "call"], "left_anti").select("conv", "call", F.lit(0).alias("level")))
-    turn, n = 0, done.count()
-    while True:
-        level = done.select("conv", F.col("call").alias("before"), F.col("level").alias("l"))
-        open_ = needs.join(done, ["conv", "call"], "left_anti").join(level, ["conv", "before"], "left")
-        ready = (open_.groupBy("conv", "call").agg(F.max("l").alias("l"), F.count_if(F.col("l").isNull()).alias("open"))
-                 .where("open = 0").select("conv", "call", (F.col("l") + 1).alias("level")))
-        turn += 1
+    nodes = stages.put("nodes", calls.select("conv", "call").distinct())
+    needs = stages.put("needs", calls.select("conv", "call", F.explode("waits_for").alias("before")).distinct()
+                       .join(nodes.withColumnRenamed("call", "before"), ["conv", "before"], "left_semi"))
+    fan = stages.put("fan", nodes.join(needs.groupBy("conv", "call").agg(F.count("*").alias("n"), F.min("before").alias("up")),
+                                       ["conv", "call"], "left"))
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    jumps = _follow(fan.select("conv", "call", F.when(single, F.col("up")).otherwise(F.col("call")).alias("head"),
+                               F.when(single, 1).otherwise(0).cast("long").alias("steps"), (~single).alias("at_head")), stages)
+    several = needs.join(fan.where("n > 1"), ["conv", "call"], "left_semi")
+    reach = jumps.where("at_head").select("conv", F.col("call").alias("before"), "head", (F.col("steps") + 1).alias("gap"))
+    edges = stages.put("edges", several.join(reach, ["conv", "before"], "left").groupBy("conv", "call", "head").agg(F.max("gap").alias("gap")))
+    top = _head_levels(fan.where("n is null").select("conv", "call", F.lit(0).cast("long").alias("level")), edges, stages)
+    return (jumps.where("at_head").join(top.withColumnRenamed("call", "head"), ["conv", "head"])
+            .select("conv", "call", (F.col("level") + F.col("steps")).alias("level")))
+
+
+def _follow(start: DataFrame, stages: Stages) -> DataFrame:
+    """Double the pointers of (conv, call, head, steps, at_head) until no further call reaches its head.
+
+    A round settles at least one call of every chain that has a head, so a
+    round without news leaves only calls on or behind a cycle.
+    """
+    jumps, n, known = stages.put("jump0", start), -1, 0
+    turn = 0
+    while n != known:
+        turn, n = turn + 1, known
+        target = jumps.select("conv", F.col("call").alias("head"), F.col("head").alias("h"), F.col("steps").alias("s"), F.col("at_head").alias("a"))
+        moved = jumps.where("not at_head").join(target, ["conv", "head"]).select(
+            "conv", "call", F.col("h").alias("head"), (F.col("steps") + F.col("s")).alias("steps"), F.col("a").alias("at_head"))
+        jumps = stages.put(f"jump{turn}", jumps.where("at_head").union(moved))
+        stages.drop(f"jump{turn - 1}")
+        known = jumps.where("at_head").count()
+    return jumps
+
+
+def _head_levels(sources: DataFrame, edges: DataFrame, stages: Stages) -> DataFrame:
+    """(conv, call, level) of sources and of the calls of edges(conv, call, head, gap) whose heads all have a level."""
+    done = stages.put("level0", sources)
+    n, known, turn = -1, 0, 0
+    if edges.isEmpty():
+        return done
+    while n != known:
+        turn, n = turn + 1, known
+        level = done.select("conv", F.col("call").alias("head"), "level")
+        ready = (edges.join(done, ["conv", "call"], "left_anti").join(level, ["conv", "head"], "left")
+                 .groupBy("conv", "call").agg(F.max(F.col("level") + F.col("gap")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+                 .where("open = 0").select("conv", "call", "level"))
         done = stages.put(f"level{turn}", done.union(ready))
         stages.drop(f"level{turn - 1}")
-        n, known_n = done.count(), n
-        if n == known_n:
-            return done
+        known = done.count()
+    return done
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, stages: Stages | None = None) -> DataFrame:
@@ -109,8 +150,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, stages: Stage
     answer = (results.where("conv is not null and call is not null").groupBy("conv", "call")
               .agg(F.min(F.struct("turn", "content"))["content"].alias("content"), F.count("*").alias("n_results")))
     both = first.select("conv", "call", "c.*", "n_calls").hint("shuffle_hash").join(answer.hint("shuffle_hash"), ["conv", "call"], "full")
-    linked = stages.put("linked", both.join(level, ["conv", "call"], "left"))
-    rows = linked.join(schemas.withColumnRenamed("tool", "name"), "name", "left")  # a row per tool that the caller listed
+    rows = both.join(level, ["conv", "call"], "left").join(schemas.withColumnRenamed("tool", "name"), "name", "left")  # a row per tool that the caller listed
     args = F.try_parse_json("arguments")
     rows = rows.withColumn("args", args)
     rows = rows.withColumn("fields", F.expr("case when schema_of_variant(args) like 'OBJECT%' then try_cast(args as map<string, variant>) end"))

@@ -272,6 +272,25 @@ def test_tool_calls(spark):
     assert "not an object" in got["e"].problems and got["z"].problems == "result without call"
 
 
+def test_tool_call_levels(spark):
+    """Chains, diamonds, stars, cycles and unknown ids against repeated relaxation."""
+    rnd = np.random.default_rng(3)
+    waits = {(1, f"c{i}"): [f"c{i - 1}"] for i in range(70)}  # c-1 is unknown
+    waits |= {(2, f"s{i}"): ["hub"] for i in range(20)} | {(2, "hub"): ["root"], (2, "root"): None}
+    waits |= {(3, "x"): ["y"], (3, "y"): ["x"], (3, "behind"): ["y"], (3, "self"): ["self"], (3, "both"): ["free", "x"], (3, "free"): []}
+    waits |= {(4, f"d{i}"): [f"d{j}" for j in rnd.integers(0, i, int(rnd.integers(0, 4)))] if i else [] for i in range(60)}
+    want = {k: 0 for k, w in waits.items() if not any((k[0], b) in waits for b in w or [])}
+    for _ in range(len(waits)):
+        for (conv, call), w in waits.items():
+            before = [(conv, b) for b in w or [] if (conv, b) in waits]
+            if before and all(b in want for b in before):
+                want[conv, call] = 1 + max(want[b] for b in before)
+    df = spark.createDataFrame([(*k, w) for k, w in waits.items()] + [(2, "hub", ["root"])], "conv long, call string, waits_for array<string>")
+    got = tool_calls.levels(df, Stages(spark, "test")).collect()
+    assert len(got) == len(want) and {(r.conv, r.call): r.level for r in got} == want
+    assert tool_calls.levels(df.limit(0), Stages(spark, "test")).count() == 0
+
+
 def test_components(spark):
     edges = [(i * 37 % 61, (i + 1) * 37 % 61) for i in range(60)] + [(100, 101), (101, 100), (102, 102), (None, 3)]
     got = graph.components(spark.createDataFrame(edges, "a long, b long"), Stages(spark, "test")).collect()
