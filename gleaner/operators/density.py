@@ -3,13 +3,17 @@
 The reference calls a single-machine hierarchical density library.  Here
 the pieces are distributed DataFrame jobs:
 
-* ``eps_neighbors`` - exact pairs within ``eps``: points are hashed to grid
-  cells of side ``eps`` and each point probes the 3^d cells around it (an
-  equi-join on the cell key), then the exact distance is checked.  For
-  low-dimensional inputs (the reduced vectors, d <= 3).
-* ``knn`` - exact k nearest neighbours by the same blocking with growing
-  rings: a point is settled once its k-th candidate lies inside the radius
-  the searched rings are guaranteed to cover; the rest search wider rings.
+* ``eps_neighbors`` - exact pairs within ``eps``.  Up to three dimensions,
+  points are hashed to grid cells of side ``eps`` and each probes the cells
+  around it; beyond, slabs are used as for ``knn``.
+* ``knn`` - exact k nearest neighbours of whole vectors in any dimension,
+  Euclidean or cosine.  Equal vectors count as one point until the end.
+  Points are sorted along one direction and cut into slabs of equal size; a
+  projection never enlarges a distance, so a point is settled once its k-th
+  candidate is nearer than the nearest slab not yet searched.  The rest search
+  twice as many slabs, down to the last.  With many dimensions and no
+  structure every exact search compares most pairs; work per task stays
+  bounded by the slab size times the points that probe it.
 * ``connected_components`` - large-star / small-star rounds (Kiveris et al.
   2014) on an edge table, each round checkpointed to the shared folder.
 * ``density_cluster`` - DBSCAN* on core points: a point with at least
@@ -56,6 +60,8 @@ def eps_neighbors(points: DataFrame, eps: float, id_col: str = "vec_id", vec: st
                   dims: int | None = None) -> DataFrame:
     """``(src, dst, dist)`` for every ordered pair of distinct points within ``eps``."""
     d = dims or _dims(points, vec)
+    if d > 3:
+        return _eps_by_slabs(points, eps, id_col, vec, d)
     p = points.select(id_col, vec, _cell(vec, eps).alias("cell"))
     probe = p.select(F.col(id_col).alias("src"), F.col(vec).alias("xs"),
                      F.explode(_offsets(d, 1)).alias("off"), "cell") \
@@ -66,79 +72,123 @@ def eps_neighbors(points: DataFrame, eps: float, id_col: str = "vec_id", vec: st
                 .filter(F.col("dist") <= F.lit(float(eps))))
 
 
-def _ring_probe(todo: DataFrame, d: int, r: int, r_prev: int) -> DataFrame:
-    """``(src, xs, cell)`` for every cell at Chebyshev distance in (r_prev, r]
-    from the point's own cell; offsets are generated in the engine."""
-    cur = todo
-    offs = []
-    for j in range(d):
-        name = f"_o{j}"
-        cur = cur.withColumn(name, F.explode(F.sequence(F.lit(-r), F.lit(r))))
-        offs.append(F.col(name))
-    far = F.greatest(*[F.abs(o) for o in offs]) if d > 1 else F.abs(offs[0])
-    cur = cur.filter(far > r_prev)
-    cell = F.array(*[F.col("cs")[j] + offs[j] for j in range(d)])
-    return cur.select("src", "xs", cell.alias("cell"))
-
-
-def knn(points: DataFrame, k: int, cell: float, id_col: str = "vec_id", vec: str = "x",
-        include_self: bool = False, max_rounds: int = 12) -> DataFrame:
-    """Exact k nearest neighbours ``(src, dst, dist, rank)`` (ties by dst).
-
-    ``cell`` is the grid side.  Round r probes only the new ring of cells
-    (Chebyshev distance r_prev < . <= r) and merges it with the candidates
-    already found; after round r every point within ``r * cell`` has been
-    seen, so a point whose k-th candidate is that close is final.  The rest
-    double r.  Work per point is proportional to the cells actually probed.
+# ------------------------------------------------------------------- slabs
+SLAB_ROWS = 256
+
+
+def _slabs(points: DataFrame, id_col: str, vec: str, d: int, rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """(points with their projection and slab, (slab, lo, hi), number of slabs).
+
+    The direction is a fixed random one, weighted by the coordinates' spread
+    (d numbers on the driver).
+    """
+    import numpy as np
+
+    from gleaner.operators.reviews import assign_row_id
+    spread = points.select(*[F.stddev_pop(F.col(vec)[j]).alias(f"s{j}") for j in range(d)]).first() if d else []
+    u = np.random.default_rng(11).normal(size=d) * np.array([x or 0.0 for x in spread])
+    u = u / (np.linalg.norm(u) or 1.0)
+    line = F.array(*[F.lit(float(x)) for x in u]).cast("array<double>")
+    along = F.aggregate(F.zip_with(vec, line, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+    ordered = points.select(F.col(id_col).alias("id"), F.col(vec).alias("x"), along.alias("at")).orderBy("at", "id")
+    cut = assign_row_id(ordered, "pos").select("id", "x", "at", F.expr(f"pos div {int(rows)}").alias("slab")).checkpoint(eager=True)
+    ends = cut.groupBy("slab").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).checkpoint(eager=True)
+    return cut, ends, ends.count()
+
+
+def _ring(todo: DataFrame, cut: DataFrame, n_slabs: int, r: int, r_prev: int) -> DataFrame:
+    """(src, dst, xs, xd, gap) with the points of slabs at r_prev < distance <= r from the source's own;
+    ``gap`` is the distance along the line, at most the true one."""
+    ring = F.filter(F.sequence(F.greatest(F.col("s") - r, F.lit(0)), F.least(F.col("s") + r, F.lit(n_slabs - 1))),
+                    lambda t: F.abs(t - F.col("s")) > r_prev)
+    probe = todo.select("src", "xs", "ps", F.explode(ring).alias("slab"))
+    other = cut.select("slab", F.col("id").alias("dst"), F.col("x").alias("xd"), F.col("at").alias("pd"))
+    return probe.join(other, "slab").select("src", "dst", "xs", "xd", F.abs(F.col("ps") - F.col("pd")).alias("gap"))
+
+
+def _unseen(todo: DataFrame, ends: DataFrame, r: int) -> DataFrame:
+    """Add ``free``: no point in a slab beyond r is nearer than this (null: there is none)."""
+    left = ends.select((F.col("slab") + r + 1).alias("s"), "hi")
+    right = ends.select((F.col("slab") - r - 1).alias("s"), "lo")
+    free = F.least(F.col("ps") - F.col("hi"), F.col("lo") - F.col("ps"))  # skips nulls
+    slack = F.lit(1e-9) * (1 + F.abs("ps"))  # rounding of the projections
+    return todo.join(left, "s", "left").join(right, "s", "left").withColumn("free", free - slack).drop("hi", "lo")
+
+
+def _sources(cut: DataFrame) -> DataFrame:
+    return cut.select(F.col("id").alias("src"), F.col("x").alias("xs"), F.col("at").alias("ps"), F.col("slab").alias("s"))
+
+
+def _eps_by_slabs(points: DataFrame, eps: float, id_col: str, vec: str, d: int) -> DataFrame:
+    checkpoint_dir(points.sparkSession)
+    p = points.select(id_col, F.transform(vec, lambda v: v.cast("double")).alias("x"))
+    cut, ends, n_slabs = _slabs(p, id_col, "x", d, SLAB_ROWS)
+    todo, found, r_prev, r = _sources(cut), [], -1, 1
+    while not found or not todo.isEmpty():
+        near = _ring(todo, cut, n_slabs, r, r_prev).filter((F.col("src") != F.col("dst")) & (F.col("gap") <= eps + 1e-9 * (1 + eps)))
+        found.append(near.select("src", "dst", _dist("xs", "xd").alias("dist")).filter(F.col("dist") <= F.lit(float(eps)))
+                     .checkpoint(eager=True))
+        todo = _unseen(todo, ends, r).filter(F.col("free") <= eps).drop("free").checkpoint(eager=True)
+        r_prev, r = r, 2 * r + 1
+    res = found[0]
+    for x in found[1:]:
+        res = res.unionByName(x)
+    return res
+
+
+def knn(points: DataFrame, k: int, id_col: str = "vec_id", vec: str = "x", include_self: bool = False,
+        metric: str = "euclidean", slab_rows: int = SLAB_ROWS) -> DataFrame:
+    """Exact k nearest neighbours ``(src, dst, dist, rank)`` (ties by dst); all others where there are fewer.
+
+    ``metric="cosine"`` gives 1 - cosine.  Null vectors, and zero vectors
+    under cosine, take no part.  Ids are distinct.
     """
     checkpoint_dir(points.sparkSession)
-    d = _dims(points, vec)
-    p = points.select(id_col, vec, _cell(vec, cell).alias("cell")).persist()
-    pts = p.select(F.col(id_col).alias("dst"), F.col(vec).alias("xd"), "cell")
-    occupied = p.select("cell").distinct()
-    todo = p.select(F.col(id_col).alias("src"), F.col(vec).alias("xs"), F.col("cell").alias("cs"))
+    x = F.transform(vec, lambda v: v.cast("double"))
+    p = points.filter(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), x.alias("x"))
+    if metric == "cosine":
+        norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v))
+        p = p.withColumn("n", norm).filter("n > 0").select("id", F.transform("x", lambda v: v / F.col("n")).alias("x"))
+    elif metric != "euclidean":
+        raise ValueError(f"unknown metric {metric}")
     need = k if include_self else k + 1
-    # start at the ring radius the average density suggests for `need`
-    # neighbours (bounding-box volume, point count: 2d + 1 scalars)
-    import math
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for j in range(d):
-        aggs += [F.min(F.col(vec)[j]).alias(f"lo{j}"), F.max(F.col(vec)[j]).alias(f"hi{j}")]
-    st = p.agg(*aggs).first()
-    vol = 1.0
-    for j in range(d):
-        vol *= max(float(st[f"hi{j}"] - st[f"lo{j}"]), cell)
-    unit_ball = {1: 2.0, 2: math.pi, 3: 4.0 * math.pi / 3.0}.get(d, 1.0)
-    r_est = (need * vol / (unit_ball * max(st["n"], 1))) ** (1.0 / max(d, 1))
-    carry = None
-    done = []
-    r_prev, r = -1, max(1, math.ceil(r_est / cell))
-    w = Window.partitionBy("src").orderBy("dist", "dst")
-    for rnd in range(max_rounds):
-        last = rnd == max_rounds - 1
-        probe = _ring_probe(todo, d, r, r_prev).join(occupied, "cell", "left_semi")
-        new = probe.join(pts, "cell").select("src", "dst", _dist("xs", "xd").alias("dist"))
-        cand = new if carry is None else new.unionByName(carry)
-        top = (cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= need)
-                   .checkpoint(eager=True))
-        kth = top.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("kd"))
-        ok = (F.col("n") >= need) & (F.col("kd") <= F.lit(float(r * cell)))
-        settled = kth.filter(ok).select("src")
-        done.append(top.join(settled, "src", "left_semi"))
-        todo = todo.join(settled, "src", "left_anti")
-        carry = top.join(settled, "src", "left_anti").select("src", "dst", "dist")
-        if todo.limit(1).count() == 0:
-            break
-        if last:
-            raise RuntimeError(f"{max_rounds} rounds left points whose neighbours are not certain; raise max_rounds or cell")
-        r_prev, r = r, r * 2
+    # equal vectors: one point, with its `need` smallest ids
+    first = Window.partitionBy("x").orderBy("id")
+    groups = (p.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= need)
+               .groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("members"))
+               .select(F.col("members")[0].alias("rep"), "x", "members").checkpoint(eager=True))
+    cut, ends, n_slabs = _slabs(groups, "rep", "x", _dims(groups, "x"), slab_rows)
+    todo = _sources(cut).withColumn("kd", F.lit(None).cast("double"))
+    nearest = Window.partitionBy("src").orderBy("dist", "dst")
+    carry, done, r_prev, r = None, [], -1, 1
+    while not done or not todo.isEmpty():
+        reach = todo.select("src", "kd")
+        cand = _ring(todo.drop("kd"), cut, n_slabs, r, r_prev)
+        if carry is not None:
+            cand = cand.join(reach, "src").filter(F.col("kd").isNull() | (F.col("gap") <= F.col("kd") + 1e-9 * (1 + F.col("kd"))))
+        cand = cand.select("src", "dst", _dist("xs", "xd").alias("dist"))
+        cand = cand if carry is None else cand.unionByName(carry)
+        top = cand.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= need).drop("rank").checkpoint(eager=True)
+        kth = top.groupBy("src").agg(F.count("*").alias("n"), F.max("dist").alias("d"))
+        state = _unseen(todo.drop("kd"), ends, r).join(kth, "src", "left")
+        open_ = F.col("free").isNotNull() & ((F.coalesce("n", F.lit(0)) < need) | (F.col("d") >= F.col("free")))
+        todo = state.filter(open_).select("src", "xs", "ps", "s", F.when(F.col("n") >= need, F.col("d")).alias("kd")).checkpoint(eager=True)
+        done.append(top.join(todo.select("src"), "src", "left_anti"))
+        carry = top.join(todo.select("src"), "src", "left_semi")
+        r_prev, r = r, 2 * r + 1
     res = done[0]
-    for x in done[1:]:
-        res = res.unionByName(x)
+    for t in done[1:]:
+        res = res.unionByName(t)
+    out = groups.select(F.col("rep").alias("dst"), "members")
+    res = (res.join(out, "dst").select("src", F.explode("members").alias("dst"), "dist")
+              .withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= need).drop("rank"))
+    who = p.join(groups.select("x", F.col("rep").alias("src")), "x").select("id", "src")
+    res = who.join(res, "src").select(F.col("id").alias("src"), "dst", "dist")
     if not include_self:
         res = res.filter(F.col("src") != F.col("dst"))
-        res = res.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return res.select("src", "dst", "dist", F.col("rank").cast("int").alias("rank"))
+    res = res.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k)
+    dist = F.col("dist") * F.col("dist") / 2 if metric == "cosine" else F.col("dist")
+    return res.select("src", "dst", dist.alias("dist"), F.col("rank").cast("int").alias("rank"))
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src",
@@ -192,27 +242,34 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
 
 
 def core_points(points: DataFrame, eps: float, min_samples: int, id_col: str = "vec_id",
-                vec: str = "x") -> tuple[DataFrame, DataFrame]:
-    """(core ids with neighbour counts, eps pairs).  The point itself counts."""
+                vec: str = "x", weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(core ids with neighbour counts, eps pairs).  The point itself counts; ``weight`` is a point's multiplicity."""
     pairs = eps_neighbors(points, eps, id_col, vec)
-    counts = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
-    nb = points.select(F.col(id_col).alias("src")).join(counts, "src", "left") \
-               .select("src", (F.coalesce("_n", F.lit(0)) + 1).alias("n_neighbors"))
+    n = points.select(F.col(id_col).alias("src"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_w"))
+    counts = pairs.join(n.withColumnsRenamed({"src": "dst"}), "dst").groupBy("src").agg(F.sum("_w").alias("_n"))
+    nb = n.join(counts, "src", "left").select("src", (F.coalesce("_n", F.lit(0)) + F.col("_w")).alias("n_neighbors"))
     core = nb.filter(F.col("n_neighbors") >= min_samples)
     return core, pairs
 
 
 def density_cluster(points: DataFrame, eps: float, min_samples: int = 5, min_cluster_size: int = 5,
                     id_col: str = "vec_id", vec: str = "x") -> DataFrame:
-    """``(vec_id, cluster_id)`` for every point; -1 is noise (DBSCAN*)."""
-    core, pairs = core_points(points, eps, min_samples, id_col, vec)
+    """``(vec_id, cluster_id)`` for every point; -1 is noise (DBSCAN*), null vectors included.
+
+    Equal vectors are one point with a multiplicity, so copies make no pairs.
+    """
     checkpoint_dir(points.sparkSession)
+    x = F.transform(vec, lambda v: v.cast("double"))
+    p = points.filter(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), x.alias("x"))
+    groups = p.groupBy("x").agg(F.min("id").alias("rep"), F.count("*").alias("n")).checkpoint(eager=True)
+    core, pairs = core_points(groups, eps, min_samples, "rep", "x", "n")
     core = core.checkpoint(eager=True)
     ids = core.select(F.col("src").alias("id"))
     edges = (pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
                   .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
     comp = connected_components(edges, ids)
-    sizes = comp.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    sizes = (comp.join(groups.select(F.col("rep").alias("node"), "n"), "node")
+                 .groupBy("component").agg(F.sum("n").alias("size")))
     big = sizes.filter(F.col("size") >= min_cluster_size)
     # cluster ids = rank by size desc, smallest member (= component id) first.
     # The number of clusters grows with the data, so the rank is a global
@@ -220,9 +277,9 @@ def density_cluster(points: DataFrame, eps: float, min_samples: int = 5, min_clu
     from gleaner.operators.reviews import assign_row_id
     ranked = assign_row_id(big.orderBy(F.col("size").desc(), F.col("component")), "_rank") \
         .withColumn("cluster_id", F.col("_rank").cast("int"))
-    labels = comp.join(ranked.select("component", "cluster_id"), "component").select(
-        F.col("node").alias(id_col), "cluster_id")
-    return (points.select(id_col).join(labels, id_col, "left")
+    labels = comp.join(ranked.select("component", "cluster_id"), "component").select(F.col("node").alias("rep"), "cluster_id")
+    who = p.join(groups.select("x", "rep"), "x").select(F.col("id").alias(id_col), "rep")
+    return (points.select(id_col).join(who.join(labels, "rep").select(id_col, "cluster_id"), id_col, "left")
                   .select(id_col, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")))
 
 
@@ -248,12 +305,12 @@ def outlier_score(labels: DataFrame, neighbors: DataFrame, min_samples: int, id_
 # --------------------------------------------------------------------------
 # Approximate variable-density hierarchy (HDBSCAN*-style), fully distributed
 # --------------------------------------------------------------------------
-def _mutual_reachability_edges(points: DataFrame, min_samples: int, k_graph: int, cell: float,
+def _mutual_reachability_edges(points: DataFrame, min_samples: int, k_graph: int,
                                id_col: str, vec: str) -> DataFrame:
     """``(u, v, w)``: kNN-graph edges weighted by mutual reachability
     ``max(core_u, core_v, d(u, v))``; core = distance to the min_samples-th
     point (itself included)."""
-    nb = knn(points, max(k_graph, min_samples), cell, id_col, vec, include_self=True)
+    nb = knn(points, max(k_graph, min_samples), id_col, vec, include_self=True)
     core = nb.filter(F.col("rank") == min_samples).select(F.col("src").alias("node"), F.col("dist").alias("core"))
     e = nb.filter(F.col("src") != F.col("dst")).select(
         F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "dist")
@@ -264,7 +321,7 @@ def _mutual_reachability_edges(points: DataFrame, min_samples: int, k_graph: int
 
 
 def density_hierarchy(points: DataFrame, min_samples: int = 5, min_cluster_size: int = 5, levels: int = 16,
-                      k_graph: int | None = None, cell: float = 0.02, id_col: str = "vec_id",
+                      k_graph: int | None = None, id_col: str = "vec_id",
                       vec: str = "x") -> DataFrame:
     """Variable-density clusters ``(vec_id, cluster_id)``; -1 is noise.
 
@@ -295,7 +352,7 @@ def density_hierarchy(points: DataFrame, min_samples: int = 5, min_cluster_size:
     """
     spark = points.sparkSession
     checkpoint_dir(spark)
-    e = _mutual_reachability_edges(points, min_samples, k_graph or 2 * min_samples, cell, id_col, vec) \
+    e = _mutual_reachability_edges(points, min_samples, k_graph or 2 * min_samples, id_col, vec) \
         .checkpoint(eager=True)
     probs = [i / levels for i in range(1, levels + 1)]
     row = e.agg(F.percentile_approx("w", probs, 100000).alias("q"), F.min("w").alias("lo")).first()

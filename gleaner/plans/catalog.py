@@ -325,6 +325,15 @@ def topic_early_stop(spark, sf_dir):
     return TP.fold_topics(mentions(spark, sf_dir), early_stop=EARLY_STOP)
 
 
+@query
+def topic_fold_seeds(spark, sf_dir):
+    """Early stop and folding that start from the topic file's seeds and two of the events' own topics."""
+    lines = FX.topic_lines(spark, sf_dir).select("line_no", F.regexp_replace("line", r" \(Count: \d+\)", "").alias("line"))
+    own = spark.range(2).select((F.col("id") + 1_000_000).alias("line_no"),
+                                F.element_at(F.array(F.lit("[1] CLICK: seed"), F.lit("[1] view: seed")), (F.col("id") + 1).cast("int")).alias("line"))
+    return TP.fold_topics(mentions(spark, sf_dir), EARLY_STOP, TP.read_seed_topics(lines.unionByName(own))).drop("topic_order")
+
+
 @query
 def processed_responses(spark, sf_dir):
     resp = FX.responses(spark, sf_dir)
@@ -343,7 +352,7 @@ def parse_topic_lines(spark, sf_dir):
 
 
 def topic_tree(spark, sf_dir):
-    return TP.topic_parents(TP.parse_topic_lines(FX.topic_lines(spark, sf_dir)), max_level=2)
+    return TP.topic_parents(TP.parse_topic_lines(FX.topic_lines(spark, sf_dir)))
 
 
 @query
@@ -353,15 +362,12 @@ def topic_parents(spark, sf_dir):
 
 @query
 def topic_file_lines(spark, sf_dir):
-    t = TP.with_paths(topic_tree(spark, sf_dir), 2).filter(F.length("desc") > 0)
-    return t.select("node_id", F.concat(F.repeat(F.lit("    "), F.col("lvl") - 1), TP.node_to_str()).alias("line"))
+    return TP.topic_file_lines(topic_tree(spark, sf_dir)).select(F.element_at("path", -1).alias("node_id"), "line")
 
 
 @query
 def topic_outline(spark, sf_dir):
-    t = TP.with_paths(topic_tree(spark, sf_dir), 2)
-    return t.select("node_id", F.concat(F.repeat(F.lit("\t"), F.col("lvl") - 1),
-                                        TP.node_to_str(False, False)).alias("line"))
+    return TP.topic_outline(topic_tree(spark, sf_dir)).select(F.element_at("path", -1).alias("node_id"), "line")
 
 
 @query
@@ -388,34 +394,38 @@ def topic_top_words(spark, sf_dir):
 # ------------------------------------------------------------ density clusters
 from gleaner.operators import density as DEN  # noqa: E402
 
-EPS = 0.02
+EPS = 1.2
 MIN_SAMPLES = 5
 MIN_CLUSTER_SIZE = 5
 
 
-def planar_points(spark, sf_dir):
-    """(vec_id, x): the first two coordinates of each embedding."""
-    e = FX.table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", F.array(F.col("embedding")[0].cast("double"),
-                                      F.col("embedding")[1].cast("double")).alias("x"))
+def density_points(spark, sf_dir):
+    """(vec_id, x): the whole embeddings."""
+    return FX.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("x"))
 
 
 @query
 def knn(spark, sf_dir):
-    r = DEN.knn(planar_points(spark, sf_dir), MIN_SAMPLES, cell=EPS)
+    r = DEN.knn(density_points(spark, sf_dir), MIN_SAMPLES)
+    return r.select("src", "dst", F.round("dist", 9).alias("dist"), "rank")
+
+
+@query
+def knn_cosine(spark, sf_dir):
+    r = DEN.knn(density_points(spark, sf_dir), MIN_SAMPLES, metric="cosine")
     return r.select("src", "dst", F.round("dist", 9).alias("dist"), "rank")
 
 
 @query
 def density_eps_cut(spark, sf_dir):
-    return DEN.density_cluster(planar_points(spark, sf_dir), EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE)
+    return DEN.density_cluster(density_points(spark, sf_dir), EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE)
 
 
 @query
 def outlier_score(spark, sf_dir):
-    pts = planar_points(spark, sf_dir)
+    pts = density_points(spark, sf_dir)
     labels = DEN.density_cluster(pts, EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE)
-    nb = DEN.knn(pts, MIN_SAMPLES, cell=EPS, include_self=True)
+    nb = DEN.knn(pts, MIN_SAMPLES, include_self=True)
     o = DEN.outlier_score(labels, nb, MIN_SAMPLES)
     return o.select("vec_id", "cluster_id", F.round("core_dist", 9).alias("core_dist"),
                     F.round("outlier", 6).alias("outlier"))
@@ -541,7 +551,7 @@ def check_alignment(spark, sf_dir):
 @query
 def topic_list_forms(spark, sf_dir):
     """The four string forms of every topic of the tree, with the pre-order path."""
-    t = TP.with_paths(topic_tree(spark, sf_dir), 2)
+    t = TP.with_paths(topic_tree(spark, sf_dir))
     forms = [("name", False, False), ("desc", False, True), ("count", True, False), ("full", True, True)]
     out = None
     for label, c, d in forms:
@@ -565,4 +575,4 @@ def build_prompts(spark, sf_dir):
         F.col("topic_order").alias("order"), TP.node_to_str(False, True).alias("topic"))
     docs = FX.table(spark, sf_dir, "documents").select("doc_id", "text")
     p = TP.build_prompts(docs, topics, PROMPT_TEMPLATE, CONTEXT_LEN, 500, "text")
-    return p.select("doc_id", "prompt", "needs_pruning", "truncated")
+    return p.select("doc_id", "prompt", "pruned", "truncated")

@@ -281,6 +281,25 @@ def _fold(cond: str) -> str:
 ORACLE["topic_fold"] = "WITH RECURSIVE " + _RESP + " " + _fold("true")
 ORACLE["topic_early_stop"] = ("WITH RECURSIVE " + _RESP + " " +
                               _fold("idx <= coalesce((SELECT stop_idx FROM stop), 9223372036854775807)"))
+_SEEDED = _RESP.replace("SELECT 0::BIGINT AS idx, []::VARCHAR[] AS seen",
+                        "SELECT 0::BIGINT AS idx, (SELECT list(DISTINCT lower(name)) FROM sd WHERE lvl = 1) AS seen")
+
+
+def _seed_fold() -> str:
+    """The seeds with the mentions that they take, then the other topics."""
+    lines = ("sl AS (SELECT line_no, regexp_replace(t, ' \\(Count: \\d+\\)', '') AS t FROM tl UNION ALL "
+             "SELECT * FROM (VALUES (1000000, '[1] CLICK: seed'), (1000001, '[1] view: seed')) v(line_no, t)), "
+             "sd AS (SELECT line_no, CAST(regexp_extract(t, '^\\[(\\d+)\\] (.+)', 1) AS INTEGER) AS lvl, "
+             "trim(split_part(regexp_extract(t, '^\\[(\\d+)\\] (.+)', 2), ':', 1)) AS name FROM sl)")
+    return ("WITH RECURSIVE " + _TREE.split(", pl AS")[0] + ", " + lines + ", " + _SEEDED + ", "
+            "k AS (SELECT * FROM m WHERE idx <= coalesce((SELECT stop_idx FROM stop), 9223372036854775807)), "
+            "f AS (SELECT *, row_number() OVER (PARTITION BY lvl, lower(name) ORDER BY line_no) AS nth FROM sd) "
+            "SELECT lvl, name, 1 + CASE WHEN lvl = 1 AND nth = 1 THEN (SELECT count(*) FROM k WHERE k.key = lower(f.name)) "
+            "ELSE 0 END AS count, '' AS \"desc\" FROM f UNION ALL "
+            "SELECT 1, arg_min(name, idx), count(*), arg_min(\"desc\", idx) FROM k "
+            "WHERE key NOT IN (SELECT lower(name) FROM sd WHERE lvl = 1) GROUP BY key")
+
+
 ORACLE["processed_responses"] = ("WITH RECURSIVE " + _RESP + " SELECT doc_pos, response FROM resp "
                                  "WHERE doc_pos < coalesce((SELECT stop_doc FROM stop), 9223372036854775807)")
 ORACLE["topic_rejects"] = (
@@ -322,8 +341,9 @@ ORACLE["remove_topic"] = (
 ORACLE["merge_topics"] = (
     "WITH " + _TREE + ", hit AS (SELECT * FROM tree WHERE lvl = 1 AND lower(name) IN ('economy', 'promo')) "
     "SELECT * FROM tree WHERE node_id NOT IN (SELECT node_id FROM hit) AND parent_id NOT IN (SELECT node_id FROM hit) "
-    "UNION ALL SELECT CAST(-1 AS BIGINT), 1, 'VALUE', CAST(sum(count) AS BIGINT), "
+    "UNION ALL SELECT (SELECT max(node_id) + 1 FROM tree), 1, 'VALUE', CAST(sum(count) AS BIGINT), "
     "'Mentions economy and promotional parts.', CAST(0 AS BIGINT) FROM hit")
+ORACLE["topic_fold_seeds"] = _seed_fold()
 ORACLE["drop_rare_topics"] = (
     "WITH " + _TREE + ", tot AS (SELECT lvl, sum(count) AS t FROM tree GROUP BY lvl) "
     "SELECT tree.lvl, node_id, name, count, \"desc\", parent_id FROM tree JOIN tot ON tree.lvl = tot.lvl "
@@ -339,14 +359,14 @@ ORACLE["topic_top_words"] = (
 
 # ------------------------------------------------------------ density clusters
 _DEN = (
-    "pts AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1 FROM embeddings), "
-    "pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, sqrt((a.x0 - b.x0) * (a.x0 - b.x0) + "
-    "(a.x1 - b.x1) * (a.x1 - b.x1)) AS dist FROM pts a, pts b WHERE a.vec_id <> b.vec_id), "
+    "pts AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), "
+    "pairs AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_distance(a.x, b.x) AS dist "
+    "FROM pts a, pts b WHERE a.vec_id <> b.vec_id), "
     "nn AS (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM pairs), "
     "cnt AS (SELECT p.vec_id, 1 + count(q.dst) AS n FROM pts p LEFT JOIN pairs q ON q.src = p.vec_id "
-    "AND q.dist <= 0.02 GROUP BY p.vec_id), "
+    "AND q.dist <= 1.2 GROUP BY p.vec_id), "
     "core AS (SELECT vec_id FROM cnt WHERE n >= 5), "
-    "ce AS (SELECT src, dst FROM pairs WHERE dist <= 0.02 AND src IN (SELECT vec_id FROM core) "
+    "ce AS (SELECT src, dst FROM pairs WHERE dist <= 1.2 AND src IN (SELECT vec_id FROM core) "
     "AND dst IN (SELECT vec_id FROM core)), "
     "reach(id, l) AS (SELECT vec_id, vec_id FROM core UNION SELECT ce.dst, reach.l FROM reach JOIN ce "
     "ON ce.src = reach.id), "
@@ -359,6 +379,11 @@ _DEN = (
 )
 ORACLE["knn"] = ("WITH RECURSIVE " + _DEN + " SELECT src, dst, round(dist, 9) AS dist, CAST(rank AS INTEGER) AS rank "
                  "FROM nn WHERE rank <= 5")
+ORACLE["knn_cosine"] = (
+    "WITH pts AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings), "
+    "nn AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_distance(a.x, b.x) AS dist FROM pts a, pts b "
+    "WHERE a.vec_id <> b.vec_id) SELECT src, dst, round(dist, 9) AS dist, CAST(rank AS INTEGER) AS rank FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM nn) WHERE rank <= 5")
 ORACLE["density_eps_cut"] = "WITH RECURSIVE " + _DEN + " SELECT vec_id, cluster_id FROM lab"
 ORACLE["outlier_score"] = (
     "WITH RECURSIVE " + _DEN + ", cd AS (SELECT src AS vec_id, dist AS core_dist FROM nn WHERE rank = 4), "
@@ -438,13 +463,13 @@ ORACLE["build_prompts"] = (
     "pl AS (SELECT len(regexp_extract_all('You will receive a document and a list of topics.' || chr(10) || "
     "'[Topics]' || chr(10) || chr(10) || '[Document]' || chr(10) || chr(10) || "
     "'Answer with lines in the form \"[1] Topic: description\" {one per line}.', '" + _EST + "')) AS n), "
-    "d AS (SELECT doc_id, text, regexp_extract_all(text, '" + _EST + "') AS toks, "
+    "d AS (SELECT doc_id, text, regexp_extract_all(text, '[\\t\\n\\x0B\\f\\r\\x1C-\\x1F \\x85\\p{Z}]*(?:" + _EST + ")') AS cut, "
     "len(regexp_extract_all(text, '" + _EST + "')) AS dl FROM documents), "
     "x AS (SELECT d.*, ts.topic_str, pl.n, len(regexp_extract_all(ts.topic_str, '" + _EST + "')) AS tl "
     "FROM d, ts, pl), "
     "y AS (SELECT *, n + dl + tl > 4000 AS over, (n + dl + tl > 4000) AND dl > 4000 - n - 500 AS trunc FROM x) "
     "SELECT doc_id, 'You will receive a document and a list of topics.' || chr(10) || '[Topics]' || chr(10) || "
     "topic_str || chr(10) || '[Document]' || chr(10) || CASE WHEN trunc THEN "
-    "array_to_string(list_slice(toks, 1, greatest(4000 - n - 500, 0)), ' ') ELSE text END || chr(10) || "
+    "array_to_string(list_slice(cut, 1, greatest(4000 - n - 500, 0)), '') ELSE coalesce(text, '') END || chr(10) || "
     "'Answer with lines in the form \"[1] Topic: description\" {one per line}.' AS prompt, "
-    "over AND NOT trunc AS needs_pruning, trunc AS truncated FROM y")
+    "tl > 4000 - n - CASE WHEN trunc THEN greatest(4000 - n - 500, 0) ELSE dl END AS pruned, trunc AS truncated FROM y")

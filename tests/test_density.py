@@ -28,7 +28,7 @@ def _rand_pts(seed, n=150):
 
 def test_knn_exact(spark):
     pts = _rand_pts(1)
-    got = {(r.src, r.rank): r.dst for r in DEN.knn(_points(spark, pts), 4, cell=0.02).collect()}
+    got = {(r.src, r.rank): r.dst for r in DEN.knn(_points(spark, pts), 4, slab_rows=16).collect()}
     for i, p in enumerate(pts):
         d = sorted((math.dist(p, q), j) for j, q in enumerate(pts) if j != i)
         for k in range(4):
@@ -73,3 +73,40 @@ def test_components_chain(spark):
     comp = DEN.connected_components(edges)
     assert comp.select(F.countDistinct("component")).first()[0] == 1
     assert comp.agg(F.max("component")).first()[0] == 0
+
+
+def _nearest(pts, i, k, dist=math.dist):
+    return sorted((dist(pts[i], q), j) for j, q in enumerate(pts) if j != i)[:k]
+
+
+def test_knn_many_dimensions_copies_and_outlier(spark):
+    rnd = random.Random(9)
+    pts = [tuple(rnd.gauss(0, 1) for _ in range(10)) for _ in range(60)]
+    pts += [pts[0]] * 8 + [(1e6,) * 10]
+    df = spark.createDataFrame([(i, list(p)) for i, p in enumerate(pts)] + [(999, None)], "vec_id long, x array<double>")
+    got = {(r.src, r.rank): (r.dst, r.dist) for r in DEN.knn(df, 4, slab_rows=8).collect()}
+    assert len(got) == 4 * len(pts)
+    for i in range(len(pts)):
+        for rank, (d, j) in enumerate(_nearest(pts, i, 4), 1):
+            assert got[i, rank][0] == j and abs(got[i, rank][1] - d) < 1e-6
+    labels = {r.vec_id: r.cluster_id for r in DEN.density_cluster(df, 3.0, 4, 4).collect()}
+    assert labels.pop(999) == -1 and labels == _brute_dbscan(pts, 3.0, 4, 4)
+
+
+def test_knn_cosine(spark):
+    rnd = random.Random(4)
+    pts = [tuple(rnd.gauss(0, 1) for _ in range(5)) for _ in range(40)]
+    cos = lambda a, b: 1 - sum(x * y for x, y in zip(a, b)) / (math.hypot(*a) * math.hypot(*b))
+    df = spark.createDataFrame([(i, list(p)) for i, p in enumerate(pts)] + [(99, [0.0] * 5)], "vec_id long, x array<double>")
+    got = {(r.src, r.rank): r.dst for r in DEN.knn(df, 3, metric="cosine", slab_rows=8).collect()}
+    assert got == {(i, n): j for i in range(40) for n, (_, j) in enumerate(_nearest(pts, i, 3, cos), 1)}
+
+
+def test_few_and_equal_points(spark):
+    few = _points(spark, [(0, 0), (1, 0), (0, 5), (9, 9)])
+    assert DEN.knn(few, 5).count() == 12
+    assert DEN.knn(few.limit(0), 5).count() == 0 and DEN.density_cluster(few.limit(0), 1.0).count() == 0
+    equal = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("x"))
+    near = DEN.knn(equal, 3).groupBy("dst").count().collect()
+    assert {r.dst: r["count"] for r in near} == {0: 3999, 1: 3999, 2: 3999, 3: 3}
+    assert [tuple(r) for r in DEN.density_cluster(equal, 0.5).groupBy("cluster_id").count().collect()] == [(0, 4000)]
