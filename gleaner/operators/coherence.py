@@ -215,7 +215,14 @@ def coherence_cv(texts: DataFrame, topics: DataFrame, setting_cols: Sequence[str
                     .agg(F.count(F.lit(1)).alias("n_words"), F.avg(cos).alias("c_v")))
 
 
-def coherence_summary(per_topic: DataFrame, setting_cols: Sequence[str] = ("setting",)) -> DataFrame:
-    """Mean C_v per setting with the number of topics (NULL when none)."""
+def coherence_summary(per_topic: DataFrame, setting_cols: Sequence[str] = ("setting",),
+                      settings: DataFrame | None = None) -> DataFrame:
+    """Mean C_v per setting with the number of topics.
+
+    ``settings`` names every setting: one without topics has k = 0 and a NULL mean.
+    """
     s = list(setting_cols)
-    return per_topic.groupBy(*s).agg(F.count(F.lit(1)).alias("k"), F.avg("c_v").alias("avg_c_v"))
+    out = per_topic.groupBy(*s).agg(F.count(F.lit(1)).alias("k"), F.avg("c_v").alias("avg_c_v"))
+    if settings is None:
+        return out
+    return settings.select(*s).distinct().join(out, s, "left").fillna(0, subset=["k"])

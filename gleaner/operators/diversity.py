@@ -77,11 +77,16 @@ def rbo_pairs(words: DataFrame, p: float = 0.9, top_n: int | None = 10,
 
 def irbo(words: DataFrame, p: float = 0.9, top_n: int | None = 10,
          setting_cols: Sequence[str] = ("setting",), topic_col: str = "topic",
-         variant: str = "reference") -> DataFrame:
-    """``(*setting, n_topics, irbo)``; 1.0 when fewer than two non-empty topics."""
+         variant: str = "reference", settings: DataFrame | None = None) -> DataFrame:
+    """``(*setting, n_topics, irbo)``; 1.0 when fewer than two non-empty topics.
+
+    ``settings`` names every setting: one without topics has 0 topics and 1.0.
+    """
     s = list(setting_cols)
     _, lens = _lists(words, s, topic_col, top_n)
     k = lens.groupBy(*s).agg(F.count(F.lit(1)).alias("n_topics"))
+    if settings is not None:
+        k = settings.select(*s).distinct().join(k, s, "left").fillna(0, subset=["n_topics"])
     tot = rbo_pairs(words, p, top_n, s, topic_col, variant).groupBy(*s).agg(F.sum("rbo").alias("_sum"))
     out = k.join(tot, s, "left").fillna(0.0, subset=["_sum"])
     pairs = F.col("n_topics") * (F.col("n_topics") - 1) / 2

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.stopwords import TOPIC_FILLER
 from gleaner.operators.reviews import assign_row_id, normalize_strip
+from gleaner.session import checkpoint_dir
 
 _WS = r"\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}"
 # FIXED VALUES: line formats of generated topics, topic files and seed files.
@@ -61,60 +62,88 @@ def processed_limit(responses: DataFrame, doc_col: str = "doc_pos", resp_col: st
     return responses.agg(F.min(F.when(F.col(resp_col) == "Error", F.col(doc_col))).alias("first_error"))
 
 
+def _until_error(responses: DataFrame, doc_col: str, resp_col: str) -> DataFrame:
+    lim = processed_limit(responses, doc_col, resp_col)
+    return responses.crossJoin(F.broadcast(lim)).filter(  # one-row table
+        F.col("first_error").isNull() | (F.col(doc_col) <= F.col("first_error"))).drop("first_error")
+
+
 def valid_mentions(responses: DataFrame, doc_col: str = "doc_pos", resp_col: str = "response") -> DataFrame:
     """Accepted mentions ``(idx, doc_pos, line_pos, name, desc, key)`` with a
     dense 1-based index in document order, cut at the first failed call."""
-    lim = processed_limit(responses, doc_col, resp_col)
-    kept = responses.crossJoin(F.broadcast(lim)).filter(  # one-row table
-        F.col("first_error").isNull() | (F.col(doc_col) <= F.col("first_error"))).drop("first_error")
-    parsed = parse_topic_mentions(explode_responses(kept, doc_col, resp_col))
+    parsed = parse_topic_mentions(explode_responses(_until_error(responses, doc_col, resp_col), doc_col, resp_col))
     ok = parsed.filter(F.col("status") == "ok").select(doc_col, "line_pos", "lvl", "name", "desc")
     ordered = ok.orderBy(doc_col, "line_pos")
     with_idx = assign_row_id(ordered, "idx").withColumn("idx", F.col("idx") + 1)
     return with_idx.withColumn("key", F.lower("name"))
 
 
-def early_stop_index(mentions: DataFrame, n: int | None = 2000, doc_col: str = "doc_pos") -> DataFrame:
+def _keyed_seeds(seeds: DataFrame) -> DataFrame:
+    """Seed topics with their key; ``topic_order`` ends at 0, before the first mention."""
+    last = seeds.agg(F.max("line_no").alias("_last"))
+    return seeds.crossJoin(F.broadcast(last)).select(  # one-row table
+        (F.col("line_no") - F.col("_last")).cast("long").alias("topic_order"), "lvl", "name", "count", "desc",
+        F.lower("name").alias("key"))
+
+
+def early_stop_index(mentions: DataFrame, n: int | None = 2000, doc_col: str = "doc_pos",
+                     seeds: DataFrame | None = None) -> DataFrame:
     """One row ``(stop_idx, stop_doc)``: the mention at which generation stops
-    (the (n+1)-th consecutive duplicate), or NULLs when it never stops."""
+    (the (n+1)-th consecutive duplicate), or NULLs when it never stops.
+
+    A mention of a topic of ``seeds`` is a duplicate from the start, so a run
+    can begin before the first new topic (p_0 = 0).
+    """
+    if n is None:
+        return mentions.agg(F.lit(None).cast("long").alias("stop_idx"), F.lit(None).cast("long").alias("stop_doc"))
     firsts = mentions.groupBy("lvl", "key").agg(F.min("idx").alias("p"))
+    if seeds is not None:
+        firsts = firsts.join(_keyed_seeds(seeds).select("lvl", "key"), ["lvl", "key"], "left_anti")
+    start = mentions.sparkSession.range(1).select(F.lit(0).cast("long").alias("p"))
     total = mentions.agg(F.max("idx").alias("_total"))
-    if n is None:
-        return total.select(F.lit(None).cast("long").alias("stop_idx"), F.lit(None).cast("long").alias("stop_doc"))
     # one row per distinct topic: the ordering window runs over topics, not mentions
     w = Window.orderBy("p")
-    gaps = (firsts.crossJoin(F.broadcast(total))
+    gaps = (firsts.select("p").unionByName(start).crossJoin(F.broadcast(total))  # one-row table
                   .withColumn("next_p", F.coalesce(F.lead("p").over(w), F.col("_total") + 1))
                   .filter(F.col("next_p") > F.col("p") + n + 1))
-    stop = gaps.agg(F.min(F.col("p") + n + 1).alias("stop_idx"))
-    doc = mentions.select("idx", F.col(doc_col).alias("stop_doc"))
-    return stop.join(doc, stop["stop_idx"] == doc["idx"], "left").select("stop_idx", "stop_doc")
+    stop = gaps.agg(F.min(F.col("p") + n + 1).alias("idx"))
+    # one row looks up its mention; the aggregate restores the NULL row
+    return (mentions.select("idx", F.col(doc_col).alias("_doc")).join(F.broadcast(stop), "idx")
+                    .agg(F.min("idx").alias("stop_idx"), F.min("_doc").alias("stop_doc")))
 
 
-def fold_topics(mentions: DataFrame, early_stop: int | None = 2000) -> DataFrame:
+def fold_topics(mentions: DataFrame, early_stop: int | None = 2000, seeds: DataFrame | None = None,
+                doc_col: str = "doc_pos") -> DataFrame:
     """Topic table ``(topic_order, lvl, name, count, desc)`` in first-seen order.
 
     The first mention's casing and description win; every later mention of
     the same lower-cased name adds 1.  Mentions after the early-stop index
-    are not processed (the stopping mention itself is counted).
+    are not processed (the stopping mention itself is counted).  ``seeds``
+    (see ``read_seed_topics``) come first, with orders up to 0; a mention adds
+    1 to the first seed of its level and name.
     """
-    stop = early_stop_index(mentions, early_stop)
+    stop = early_stop_index(mentions, early_stop, doc_col, seeds)
     kept = mentions.crossJoin(F.broadcast(stop.select("stop_idx"))).filter(  # one-row table
         F.col("stop_idx").isNull() | (F.col("idx") <= F.col("stop_idx")))
-    return (kept.groupBy("lvl", "key")
-                .agg(F.count(F.lit(1)).alias("count"),
-                     F.min_by(F.struct("name", "desc"), F.col("idx")).alias("_f"),
-                     F.min("idx").alias("topic_order"))
-                .select("topic_order", "lvl", F.col("_f.name").alias("name"), "count",
-                        F.col("_f.desc").alias("desc")))
+    folded = kept.groupBy("lvl", "key").agg(F.count(F.lit(1)).alias("count"), F.min("idx").alias("topic_order"))
+    cols = ["topic_order", "lvl", "name", "count", "desc"]
+    texts = mentions.select(F.col("idx").alias("topic_order"), "name", "desc")
+    if seeds is None:
+        return folded.join(texts, "topic_order").select(*cols)
+    known = _keyed_seeds(seeds)
+    first = known.groupBy("lvl", "key").agg(F.min("topic_order").alias("topic_order"))
+    more = folded.drop("topic_order").join(first, ["lvl", "key"]).select("topic_order", F.col("count").alias("_more"))
+    old = known.join(more, "topic_order", "left").withColumn("count", F.col("count") + F.coalesce("_more", F.lit(0)))
+    new = folded.join(first.select("lvl", "key"), ["lvl", "key"], "left_anti").join(texts, "topic_order")
+    return old.select(*cols).unionByName(new.select(*cols))
 
 
 def processed_responses(responses: DataFrame, mentions: DataFrame, early_stop: int | None = 2000,
-                        doc_col: str = "doc_pos") -> DataFrame:
+                        doc_col: str = "doc_pos", seeds: DataFrame | None = None) -> DataFrame:
     """Responses of the documents actually processed: up to the first failed
     call (inclusive) and before the document where early stop fired."""
     lim = processed_limit(responses, doc_col)
-    stop = early_stop_index(mentions, early_stop)
+    stop = early_stop_index(mentions, early_stop, doc_col, seeds)
     both = lim.crossJoin(stop)  # one row x one row
     return (responses.crossJoin(F.broadcast(both))
                      .filter((F.col("first_error").isNull() | (F.col(doc_col) <= F.col("first_error")))
@@ -123,8 +152,8 @@ def processed_responses(responses: DataFrame, mentions: DataFrame, early_stop: i
 
 
 def topic_rejects(responses: DataFrame, doc_col: str = "doc_pos", resp_col: str = "response") -> DataFrame:
-    """Lines the parser skipped, with the reason."""
-    parsed = parse_topic_mentions(explode_responses(responses, doc_col, resp_col))
+    """Lines the parser skipped up to the first failed call, with the reason."""
+    parsed = parse_topic_mentions(explode_responses(_until_error(responses, doc_col, resp_col), doc_col, resp_col))
     return parsed.filter(F.col("status") != "ok").select(doc_col, "line_pos", "line", "status")
 
 
@@ -276,12 +305,14 @@ def merge_topics(tree: DataFrame, originals: Sequence[tuple[str, int]], new_name
     reference.  The merged node sits under the first listed match's parent;
     if a node called ``new_name`` already exists there it is reused and, by
     default, keeps its own count too (``keep_existing_count=False`` gives the
-    reference's overwrite).  Merged nodes are removed with their subtrees.
+    reference's overwrite).  Merged nodes are removed with their subtrees.  A
+    new node gets the next free id, so merges can follow each other.
     """
     spark = tree.sparkSession
     mapping = spark.createDataFrame([(n.lower(), int(lv), i) for i, (n, lv) in enumerate(originals)],
                                     "key string, lvl int, ord int")
-    t = with_paths(tree)
+    checkpoint_dir(spark)
+    t = with_paths(tree).checkpoint(eager=True)  # read six times below; as small as the topic file
     hits = t.withColumn("key", F.lower("name")).join(F.broadcast(mapping), ["key", "lvl"])
     agg = hits.agg(F.sum("count").alias("_total"),
                    F.min_by("parent_id", F.struct("ord", "path")).alias("_parent"),
@@ -292,8 +323,10 @@ def merge_topics(tree: DataFrame, originals: Sequence[tuple[str, int]], new_name
                  .select(F.col("node_id").alias("_exist"), F.col("count").alias("_exist_count")))
     existing = existing.join(merged_ids.withColumnRenamed("node_id", "_exist"), "_exist", "left_anti")
     victims = merged_ids.join(existing.select(F.col("_exist").alias("node_id")), "node_id", "left_anti")
-    kept = t.join(F.broadcast(victims.withColumnRenamed("node_id", "_v")),
-                  F.array_contains(t["path"], F.col("_v")), "left_anti")
+    gone = (t.select("node_id", F.explode("path").alias("_v"))
+             .join(victims.withColumnRenamed("node_id", "_v"), "_v", "left_semi").select("node_id"))
+    kept = t.join(gone, "node_id", "left_anti")
+    agg = agg.crossJoin(t.agg((F.max("node_id") + 1).alias("_free")))  # one row x one row
     info = agg.crossJoin(existing.groupBy().agg(F.first("_exist").alias("_exist"),
                                                 F.first("_exist_count").alias("_exist_count")))
     add = F.coalesce(F.col("_exist_count"), F.lit(0)) if keep_existing_count else F.lit(0)
@@ -302,7 +335,7 @@ def merge_topics(tree: DataFrame, originals: Sequence[tuple[str, int]], new_name
     kept = kept.withColumn("desc", F.when(F.col("node_id") == F.col("_exist"), F.lit(new_desc))
                                      .otherwise(F.col("desc")))
     new_node = info.filter(F.col("_exist").isNull() & F.col("_total").isNotNull()).select(
-        F.lit(-1).cast("long").alias("node_id"), (F.col("_lvl")).alias("lvl"), F.lit(new_name).alias("name"),
+        F.col("_free").alias("node_id"), (F.col("_lvl")).alias("lvl"), F.lit(new_name).alias("name"),
         F.col("_total").alias("count"), F.lit(new_desc).alias("desc"), F.col("_parent").alias("parent_id"))
     cols = ["node_id", "lvl", "name", "count", "desc", "parent_id"]
     return kept.select(*cols).unionByName(new_node.select(*cols))
@@ -353,34 +386,58 @@ def _fill(template: str, values: dict) -> F.Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def _words(c: F.Column) -> F.Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}_]+)"), 1))
+
+
+def word_cosine(topic: F.Column, doc_words: F.Column) -> F.Column:
+    """Cosine of the word sets of a topic and a document, but for the document's own length."""
+    words = _words(topic)
+    return F.size(F.array_intersect(doc_words, words)) / F.sqrt(F.greatest(F.size(words), F.lit(1)).cast("double"))
+
+
 def build_prompts(docs: DataFrame, topic_list_df: DataFrame, template: str, context_len: int,
-                  max_top_len: int = 500, doc_col: str = "text", estimator=estimate_tokens) -> DataFrame:
+                  max_top_len: int = 500, doc_col: str = "text", estimator=estimate_tokens,
+                  similarity=word_cosine) -> DataFrame:
     """Fill ``{Document}`` and ``{Topics}`` for every document.
 
     ``topic_list_df`` is ``(order, topic)``; the prompt lists topic names
-    (text before the first ``:``).  When the prompt exceeds ``context_len``:
-    a document longer than ``context_len - prompt - max_top_len`` is cut to
-    that many estimator tokens; otherwise the topic list has to be pruned
-    (``needs_pruning``, see ``prune_topics``).  The topic string is one
-    aggregated value (bounded by the topic tree) joined by broadcast.
+    (text before the first ``:``).  When the prompt exceeds ``context_len``, a
+    document longer than ``context_len - prompt - max_top_len`` is cut after
+    that many estimator tokens (a prefix of the original text).  If the topics
+    still do not fit, the most similar ones that fit in what is left are
+    listed, best first (``pruned``; ties by text): a running sum of their
+    tokens stays within the budget.  The topic list is one value, bounded by
+    the topic tree and joined by broadcast; similarity is computed inside the
+    row, so no document x topic table is made.  A null text counts as empty.
     """
-    names = topic_list_df.select(F.trim(F.split(F.col("topic"), ":")[0]).alias("t"), "order")
-    tstr = names.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "t"))),
-                                              lambda s: s["t"]), "\n").alias("topic_str"))
     import string
+    names = topic_list_df.select(F.trim(F.split(F.col("topic"), ":")[0]).alias("t"), "order")
+    tlist = names.agg(F.transform(F.array_sort(F.collect_list(F.struct("order", "t"))), lambda s: s["t"]).alias("_topics"))
     prompt_only = "".join(lit for lit, _f, _s, _c in string.Formatter().parse(template))
-    d = docs.crossJoin(F.broadcast(tstr))  # one-row table
+    d = docs.crossJoin(F.broadcast(tlist)).withColumn("topic_str", F.array_join("_topics", "\n"))  # one-row table
+    text = F.coalesce(F.col(doc_col), F.lit(""))
     prompt_len = estimator(F.lit(prompt_only))
-    doc_len, topic_len = estimator(doc_col), estimator("topic_str")
+    doc_len, topic_len = estimator(text), estimator("topic_str")
     over = prompt_len + doc_len + topic_len > context_len
-    budget = F.lit(context_len) - prompt_len - max_top_len
+    budget = F.greatest(F.lit(context_len) - prompt_len - max_top_len, F.lit(0))
     trunc = over & (doc_len > budget)
-    toks = F.regexp_extract_all(F.col(doc_col), F.lit(TOKEN_EST_RE), 0)
-    doc_text = F.when(trunc, F.array_join(F.slice(toks, 1, F.greatest(budget, F.lit(0))), " ")) \
-                .otherwise(F.col(doc_col))
-    filled = _fill(template, {"Document": doc_text, "Topics": F.col("topic_str")})
-    return d.select("*", filled.alias("prompt"), (over & ~trunc).alias("needs_pruning"),
-                    trunc.alias("truncated"))
+    # whatever is no token is white space before one: the pieces joined again are the text
+    pieces = F.regexp_extract_all(text, F.lit(f"[{_WS}]*(?:{TOKEN_EST_RE})"), 0)
+    d = d.withColumn("truncated", trunc)
+    d = d.withColumn("_doc", F.when(F.col("truncated"), F.array_join(F.slice(pieces, 1, budget), "")).otherwise(text))
+    d = d.withColumn("_room", F.lit(context_len) - prompt_len - estimator("_doc"))
+    d = d.withColumn("pruned", topic_len > F.col("_room"))
+    ranked = F.array_sort(F.transform("_topics", lambda t: F.struct((-similarity(t, F.col("_dw"))).alias("s"), t.alias("t"))))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("kept"))
+    best = F.aggregate(ranked, none, lambda acc, x: F.struct(
+        (acc["n"] + estimator(x["t"])).cast("long").alias("n"),
+        F.when(acc["n"] + estimator(x["t"]) <= F.col("_room"), F.concat(acc["kept"], F.array(x["t"]))).otherwise(acc["kept"]).alias("kept")),
+        lambda acc: acc["kept"])
+    d = d.withColumn("_dw", F.when(F.col("pruned"), _words(F.col("_doc"))))
+    shown = F.when(F.col("pruned"), F.array_join(best, "\n")).otherwise(F.col("topic_str"))
+    filled = _fill(template, {"Document": F.col("_doc"), "Topics": shown})
+    return d.withColumn("prompt", filled).drop("_topics", "_doc", "_room", "_dw")
 
 
 def prune_topics(sims: DataFrame, budget: DataFrame, doc_col: str = "doc_pos", topic_col: str = "topic",

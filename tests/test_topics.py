@@ -89,3 +89,45 @@ def test_build_prompts_fills_like_format(spark):
     out = {r.doc_id: r for r in TP.build_prompts(docs, topics, "T:{Topics}|D:{Document}|{{x}}", 30, 5).collect()}
     assert out[0].prompt == "T:[1] Trade\n[1] Health|D:a {Topics} b|{x}"
     assert out[1].truncated and out[1].prompt.count("w") < 50
+
+
+def test_prompts_fit_and_cut_prefixes(spark):
+    texts = ["don't stop: it's  a\twell-known\nthing " * 6, "tax and trade", "care " * 12, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    topics = spark.createDataFrame([(i, f"[1] {n}: x") for i, n in enumerate(["Alpha", "Trade tax", "Beta gamma", "Care", "Delta"])],
+                                   "order long, topic string")
+    out = TP.build_prompts(docs, topics, "{Topics}|{Document}", 26, 12)
+    rows = {r.doc_id: r for r in out.select("*", TP.estimate_tokens("prompt").alias("n")).collect()}
+    assert all(r.n <= 26 for r in rows.values()) and len(rows) == 5
+    for r in rows.values():
+        shown, doc = r.prompt.split("|")
+        assert (texts[r.doc_id] or "").startswith(doc) and (r.truncated or doc == (texts[r.doc_id] or ""))
+        assert r.pruned == (len(shown.split("\n")) < 5)
+    assert rows[0].truncated and rows[2].pruned and rows[2].prompt.split("\n")[0].split("|")[0] == "[1] Care"
+    assert not rows[1].pruned or rows[1].prompt.startswith("[1] Trade tax")
+
+
+def test_seeds_in_fold_and_early_stop(spark):
+    seeds = TP.read_seed_topics(spark.createDataFrame([(1, "[1] Trade: s"), (2, "[2] Tax"), (3, "[1] TRADE")], "line_no long, line string"))
+    m = TP.valid_mentions(_resp(spark, ["[1] trade: a", "[1] Trade: b", "[1] Health: h", "[1] health: i"]))
+    rows = [(r.name, r["count"]) for r in TP.fold_topics(m, None, seeds).orderBy("topic_order").collect()]
+    assert rows == [("Trade", 3), ("Tax", 1), ("TRADE", 1), ("Health", 2)]
+    # the run of duplicates begins at index 0
+    assert tuple(TP.early_stop_index(m, 1, seeds=seeds).first()) == (2, 1)
+    assert tuple(TP.early_stop_index(m, 2, seeds=seeds).first()) == (None, None)
+    other = m.withColumnRenamed("doc_pos", "document")
+    assert tuple(TP.early_stop_index(other, 1, "document", seeds).first()) == (2, 1)
+
+
+def test_two_merges_and_third_level(spark):
+    lines = ["[1] A (Count: 1): a", "[2] B (Count: 2): b", "[3] C (Count: 3): c", "[1] D (Count: 4): d", "[1] E (Count: 5): e"]
+    tree = TP.topic_parents(TP.parse_topic_lines(spark.createDataFrame(list(enumerate(lines, 1)), "line_no long, line string")))
+    assert tree.count() == 5
+    once = TP.merge_topics(tree, [("d", 1)], "M", "m")
+    twice = {r.name: (r.node_id, r["count"]) for r in TP.merge_topics(once, [("e", 1)], "N", "n").collect()}
+    assert twice == {"A": (1, 1), "B": (2, 2), "C": (3, 3), "M": (6, 4), "N": (7, 5)}
+
+
+def test_rejects_end_at_the_failed_call(spark):
+    resp = _resp(spark, ["None", "Error", "None"])
+    assert [r.doc_pos for r in TP.topic_rejects(resp).orderBy("doc_pos").collect()] == [0, 1]
