@@ -18,8 +18,8 @@ def quality(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group linked by 3-word shingles at a Jaccard similarity of 0.9 or more."""
-    return jaccard.keep_one(docs)
+    """One document of each group linked by 5-word shingles at a Jaccard similarity of 0.8 or more."""
+    return jaccard.keep_one(docs, n=5, percent=80)
 
 
 def repeated_passages(spark, docs, sf_dir):

@@ -313,3 +313,17 @@ def test_pipeline_stages_keep_columns(spark, docs):
     for name, stage in corpus_pipeline.STAGES[1:4]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard", "substring_dedup", "mixing", "packing"]
+
+
+def test_pipeline_near_duplicates_between_the_thresholds(spark):
+    """Pairs below 0.9 on three words but at 0.8 or more on five are near copies for the stage."""
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(200)]
+    changed = [f"new{i}" if i in (20, 70, 120, 170) else w for i, w in enumerate(base)]
+    other = [f"v{i}" for i in range(200)]
+    rows = [(1, base), (2, changed), (3, other), (4, other + [f"tail{i}" for i in range(30)]), (5, [f"u{i}" for i in range(200)])]
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 0, "", "") for i, w in rows], SCHEMA)
+    stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 3, 5]
+    assert jaccard.keep_one(docs).count() == 5  # op6's own limits link none of them
