@@ -226,8 +226,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets of n-word shingles; a text of fewer words has its whole sequence as
     one shingle; an empty or null text has none, links with nothing and is
     its own component.  component_id is the smallest doc_id reachable by
-    links (null ids count as largest); repeated rows have equal sets.
+    links (null ids count as largest); repeated rows have equal sets.  Where
+    ids are null or repeat, components may share a component_id.
     """
+    return _rooted(docs, id_col, text_col, n, percent, fold, row_block, pivots).drop("root")
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, fold: bool = True,
+            row_block: int = ROW_BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """The rows of ``jaccard_components`` with ``root``, the set node that names the component (null without words)."""
     stages = Stages(session(docs), "jaccard")
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     id_type = dict(docs.dtypes)[id_col]
@@ -258,11 +265,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = first.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
     nodes = stages.put("nodes", nodes)
     smallest = stages.put("smallest", nodes.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("sets")))
-    where = stages.put("where", nodes.join(smallest, "root").select("node", "component_id"))
+    where = stages.put("where", nodes.join(smallest, "root").select("node", "root", "component_id"))
     for key in ("shared", "clusters", "chosen", "sets", "members", "linked", "nodes", "smallest"):
         stages.drop(key)
     return (sigs.select("doc_id", "n_shingles", "node", "k1", "k2").join(where, "node", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k1", "k2"))
+            .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root", "k1", "k2"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM,
@@ -272,10 +279,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     Documents without words are groups of their own.  Rows that share an id
     and a group (repeated rows) keep one, the smallest text key first.
     """
-    found = jaccard_components(docs, id_col, text_col, n, percent)
+    found = _rooted(docs, id_col, text_col, n, percent)
     stages = Stages(session(docs), "keep-one")
     found = stages.put("found", found)
-    grouped = found.where("n_shingles > 0").groupBy("component_id")
+    grouped = found.where("n_shingles > 0").groupBy("root")  # an id may be null or in several components
     best = stages.put("best", grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("m"))
                       .select("m.doc_id", "m.k1", "m.k2"))
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

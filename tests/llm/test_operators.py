@@ -327,3 +327,16 @@ def test_pipeline_near_duplicates_between_the_thresholds(spark):
     stage = dict(corpus_pipeline.STAGES)["ngram_jaccard"]
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == [1, 3, 5]
     assert jaccard.keep_one(docs).count() == 5  # op6's own limits link none of them
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    """Each unlinked text stays, whether its id is null or that of another text."""
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")), (5, text("d")), (5, text("e")), (5, text("e")),
+            (None, text("d")), (7, text("f")), (5, text("f")), (None, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "", "") for i, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(docs).collect()]
+    want = [(None, text("a")), (None, text("b")), (None, text("c")), (5, text("d")), (5, text("e")), (5, text("f")), (None, ""), (None, None)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    found = jaccard.jaccard_components(docs)
+    assert found.columns == ["doc_id", "n_shingles", "component_id", "k1", "k2"] and found.count() == len(rows)
