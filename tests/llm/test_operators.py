@@ -340,3 +340,22 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     assert sorted(kept, key=str) == sorted(want, key=str)
     found = jaccard.jaccard_components(docs)
     assert found.columns == ["doc_id", "n_shingles", "component_id", "k1", "k2"] and found.count() == len(rows)
+
+
+def test_classifier_learns_from_whole_texts(spark):
+    """The only sign of quality stands after the 2000th word; long texts in pieces count as whole ones."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(4)
+    text = lambda i: " ".join([f"w{x}" for x in rnd.integers(0, 50, 2100)] + ["fine" if i % 2 else "junk"] * 60)
+    docs = spark.createDataFrame([(i, text(i)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    held = {r.doc_id: r.score for r in classifier.score_quality(docs, labels).collect() if r.held_out}
+    good, bad = [s for i, s in held.items() if i % 2], [s for i, s in held.items() if not i % 2]
+    assert good and bad and min(good) > max(bad)
+    column = pa.array([None, "", "one", "Ab  c\n" * 40, "x" * 500, " " * 200, "é b9 ! " * 90 + "y" * 300, "last two"])
+    for limit in (1, 7, 64):
+        for (at, x), (want_at, want_x) in zip(classifier.examples(column, 10, limit), classifier.examples(column, 10), strict=True):
+            assert at.tolist() == want_at.tolist() and x.tolist() == pytest.approx(want_x.tolist())
+    few = docs.selectExpr("doc_id AS id", "text", "doc_id % 2 = 1 AS good")
+    assert np.abs(classifier.train(few, shard_bytes=50_000)).max() > 0  # more shards than SHARDS
