@@ -28,7 +28,7 @@ def op1_packing(spark, sf_dir):
 @query
 def op2_tool_calls(spark, sf_dir):
     calls, results = tool_calls.calls_of_conversations(table(spark, sf_dir, "conversations"))
-    linked = tool_calls.link(calls, results, tool_calls.schema_table(spark, tool_calls.TOOLS))
+    linked = tool_calls.link_all(calls, results, tool_calls.schema_table(spark, tool_calls.TOOLS))
     return linked.withColumnsRenamed({"conv": "conv_id", "call": "call_id"})
 
 

@@ -1,7 +1,9 @@
 """Chat formatting: linking tool calls and results, in DataFrame functions only.
 
-Calls and results are hash-joined on (conversation, call id); results are
-reduced to one row an id first, so a common id costs no pairs.  Calls are put
+Calls and results are hash-joined on (conversation, call id); both are
+reduced to the first row of an id for that, so a common id costs no pairs.
+Further calls and results of an id are rows of their own, numbered, with what
+the join found for their id.  Calls are put
 in topological order: a call's level is one more than the highest level of
 the calls that it waits for; calls on a cycle get none.  Chains are followed
 by pointers that double in reach, so a long conversation takes few rounds.
@@ -13,10 +15,10 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import Stages, session
+from gleaner.llm.common import BROADCAST_ROWS, Stages, session
 
 _SCHEMA = ("struct<required:array<string>, additionalProperties:boolean, properties:map<string, "
            "struct<type:string, minimum:double, maximum:double, `enum`:array<string>>>>")
@@ -132,37 +134,96 @@ def _head_levels(sources: DataFrame, edges: DataFrame, stages: Stages) -> DataFr
     return done
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, stages: Stages | None = None) -> DataFrame:
+_KEY = ["conv", "call"]
+
+
+def _looked_up(table: DataFrame) -> DataFrame:
+    """A stored table of one narrow row an id, to be broadcast if it is small."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+
+
+def _numbered(rows: DataFrame, order: list[str], stages: Stages, name: str) -> tuple[DataFrame, DataFrame]:
+    """(first rows, further rows) of each (conv, call) by ``order``, with ``occurrence`` (from 1) and ``n``, the id's rows.
+
+    Only rows of repeated ids are sorted: by range, so that one id may span
+    many tasks, each of which counts on from the rows of the tasks before it.
+    """
+    many = stages.put(f"{name}-repeated", rows.groupBy(*_KEY).agg(F.count("*").alias("n")).where("n > 1"))
+    one = lambda: F.lit(1).cast("long")
+    if many.isEmpty():
+        return rows.withColumn("occurrence", one()).withColumn("n", one()), rows.withColumn("occurrence", one()).withColumn("n", one()).where("false")
+    tagged = rows.join(_looked_up(many), _KEY, "left")
+    by = [*_KEY, *order, "salt"]  # the salt deals equal rows to several tasks
+    placed = (tagged.where("n is not null").withColumn("salt", F.monotonically_increasing_id())
+              .repartitionByRange(*by).sortWithinPartitions(*by).withColumn("at", F.monotonically_increasing_id()))
+    placed = stages.put(f"{name}-placed", placed.withColumn("task", F.shiftright("at", 33)).drop("salt"))
+    spans = placed.groupBy("task", *_KEY).agg(F.min("at").alias("start"), F.count("*").alias("rows"))
+    before = Window.partitionBy(*_KEY).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    spans = stages.put(f"{name}-spans", spans.select("task", *_KEY, "start", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("earlier")))
+    counted = placed.join(spans, ["task", *_KEY]).withColumn("occurrence", F.col("at") - F.col("start") + F.col("earlier") + 1)
+    counted = counted.select(*rows.columns, "occurrence", "n")
+    single = tagged.where("n is null").select(*rows.columns, one().alias("occurrence"), one().alias("n"))
+    return single.union(counted.where("occurrence = 1")), counted.where("occurrence > 1")
+
+
+def link_all(calls: DataFrame, results: DataFrame, schemas: DataFrame, stages: Stages | None = None) -> DataFrame:
     """Link calls(conv, call, turn, name, arguments, waits_for) with results(conv, call, turn, content).
 
-    One row per (conversation, call id), the call of the smallest turn
-    counting where an id repeats, and one per result id without a call
-    (``problems`` then says so).  Columns: conv, call, turn, level, name,
-    valid, problems, n_results, record (canonical JSON of the call with the
-    result of the smallest turn).  Null ids take no part.  Texts that are not
-    JSON, unknown tools and cycles are reported, never raised; empty tables
-    give an empty table.
+    One row per call, and one per result that is not in the record of a call:
+    the first call of a (conversation, call id) takes the first result into
+    its record, further results and results without a call (``problems`` then
+    says so) have rows of their own.  Columns: conv, call, kind (call or
+    result), occurrence (number of the call or result within its id, by turn
+    and content), turn, level and name (a result has those of its call; the
+    name is that of the first), valid, problems, n_results, record (canonical
+    JSON; a result's holds no arguments).  Null ids take no part.  Texts that
+    are not JSON, unknown tools and cycles are reported, never raised; empty
+    tables give an empty table.
     """
     stages = stages or Stages(session(calls), "tool-calls")
     calls = calls.where("conv is not null and call is not null")
+    results = results.where("conv is not null and call is not null")
     level = levels(calls.select("conv", "call", F.coalesce("waits_for", F.array().cast("array<string>")).alias("waits_for")), stages)
-    first = calls.groupBy("conv", "call").agg(F.min(F.struct("turn", "name", "arguments")).alias("c"), F.count("*").alias("n_calls"))
-    answer = (results.where("conv is not null and call is not null").groupBy("conv", "call")
-              .agg(F.min(F.struct("turn", "content"))["content"].alias("content"), F.count("*").alias("n_results")))
-    both = first.select("conv", "call", "c.*", "n_calls").hint("shuffle_hash").join(answer.hint("shuffle_hash"), ["conv", "call"], "full")
-    rows = both.join(level, ["conv", "call"], "left").join(schemas.withColumnRenamed("tool", "name"), "name", "left")  # a row per tool that the caller listed
+    first, again = _numbered(calls.select("conv", "call", "turn", "name", "arguments"), ["turn", "name", "arguments"], stages, "calls")
+    answer, more = _numbered(results.select("conv", "call", "turn", "content"), ["turn", "content"], stages, "results")
+    asked = first.withColumnRenamed("n", "n_calls").drop("occurrence")
+    answered = answer.select("conv", "call", F.col("turn").alias("r_turn"), "content", F.col("n").alias("n_results"))
+    both = asked.hint("shuffle_hash").join(answered.hint("shuffle_hash"), _KEY, "full").join(level, _KEY, "left")
+    no = lambda kind: F.lit(None).cast(kind)
+    is_call = F.col("n_calls").isNotNull()
+    columns = [*_KEY, "kind", "occurrence", "turn", "level", "name", "arguments", "content", "n_calls", "n_results"]
+    rows = both.select(*_KEY, F.when(is_call, "call").otherwise("result").alias("kind"), F.lit(1).cast("long").alias("occurrence"),
+                       F.when(is_call, F.col("turn")).otherwise(F.col("r_turn")).alias("turn"), *columns[5:])
+    # further rows look up what is known of their id, without texts
+    repeated = stages.put("repeated", again.select(*_KEY).union(more.select(*_KEY)).distinct())
+    if not repeated.isEmpty():
+        known = both.select(*_KEY, "level", F.col("name").alias("first_name"), "n_calls", "n_results")
+        known = _looked_up(stages.put("known", known.join(_looked_up(repeated), _KEY, "left_semi")))
+        again = again.drop("n").join(known, _KEY).select(*_KEY, F.lit("call").alias("kind"), "occurrence", "turn", "level", "name", "arguments",
+                                                         no("string").alias("content"), "n_calls", "n_results")
+        more = more.drop("n").join(known, _KEY).select(*_KEY, F.lit("result").alias("kind"), "occurrence", "turn", "level",
+                                                       F.col("first_name").alias("name"), no("string").alias("arguments"), "content", "n_calls", "n_results")
+        rows = rows.union(again).union(more)
+    rows = rows.join(schemas.withColumnRenamed("tool", "name"), "name", "left")  # a row per tool that the caller listed
     args = F.try_parse_json("arguments")
     rows = rows.withColumn("args", args)
     rows = rows.withColumn("fields", F.expr("case when schema_of_variant(args) like 'OBJECT%' then try_cast(args as map<string, variant>) end"))
-    wrong = F.concat(problems(), F.when(F.col("n_calls") > 1, F.array(F.lit("repeated id"))).otherwise(F.array().cast("array<string>")),
-                     F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("problems", F.when(F.col("n_calls").isNull(), F.array(F.lit("result without call"))).otherwise(wrong))
-    record = F.to_json(F.struct(F.coalesce("args", F.to_variant_object(F.struct(F.col("arguments").alias("raw")))).alias("arguments"),
+    none = F.array().cast("array<string>")
+    wrong = F.concat(problems(), F.when(F.col("n_calls") > 1, F.array(F.lit("repeated id"))).otherwise(none),
+                     F.when(F.col("level").isNull(), F.array(F.lit("cycle"))).otherwise(none))
+    rows = rows.withColumn("problems", F.when(F.col("n_calls").isNull(), F.array(F.lit("result without call")))
+                           .when(F.col("kind") == "result", none).otherwise(wrong))
+    given = F.coalesce("args", F.to_variant_object(F.struct(F.col("arguments").alias("raw"))))
+    record = F.to_json(F.struct(F.when(F.col("kind") == "call", given).alias("arguments"),
                                 F.col("call").alias("id"), "name", F.col("content").alias("result")))
-    return rows.select("conv", "call", "turn", "level", "name", (F.size("problems") == 0).alias("valid"),
+    return rows.select("conv", "call", "kind", "occurrence", "turn", "level", "name", (F.size("problems") == 0).alias("valid"),
                        F.array_join("problems", "; ").alias("problems"),
-                       F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"),
-                       F.when(F.col("n_calls").isNotNull(), record).alias("record"))
+                       F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), record.alias("record"))
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, stages: Stages | None = None) -> DataFrame:
+    """A summary of ``link_all``: one row per (conversation, call id), its first call, or its first result if none calls it."""
+    return link_all(calls, results, schemas, stages).where("occurrence = 1").drop("kind", "occurrence")
 
 
 TOOLS = {

@@ -359,3 +359,27 @@ def test_classifier_learns_from_whole_texts(spark):
             assert at.tolist() == want_at.tolist() and x.tolist() == pytest.approx(want_x.tolist())
     few = docs.selectExpr("doc_id AS id", "text", "doc_id % 2 = 1 AS good")
     assert np.abs(classifier.train(few, shard_bytes=50_000)).max() > 0  # more shards than SHARDS
+
+
+def test_tool_calls_keep_every_call_and_result(spark):
+    """Repeated ids, on one hot id too: no call's arguments and no result's content is lost, and nothing pairs up."""
+    calls = [(1, "a", 0, "search", '{"text": "x", "limit": 5}', []), (1, "a", 4, "search", '{"text": "y"}', []), (1, "a", 2, "other", "{}", []),
+             (1, "b", 1, "search", '{"text": "z", "limit": 1}', ["a"])] + [(2, "hot", i // 2, "search", f'{{"limit": {i}}}', []) for i in range(300)]
+    results = [(1, "a", 1, "ok"), (1, "a", 3, "late"), (1, "a", 3, "late"), (1, "z", 9, "lost"), (1, "z", 10, "too"), (1, "b", 5, None)]
+    results += [(2, "hot", i, f"r{i}") for i in range(200)]
+    out = tool_calls.link_all(spark.createDataFrame(calls, "conv long, call string, turn long, name string, arguments string, waits_for array<string>"),
+                              spark.createDataFrame(results, "conv long, call string, turn long, content string"),
+                              tool_calls.schema_table(spark, tool_calls.TOOLS)).collect()
+    got = {(r.call, r.kind, r.occurrence): r for r in out}
+    assert len(out) == len(got) == 304 + 199 + 2 + 2
+    assert [got["a", "call", k].turn for k in (1, 2, 3)] == [0, 2, 4] and got["b", "call", 1].level == 1
+    assert got["a", "call", 1].record == '{"arguments":{"limit":5,"text":"x"},"id":"a","name":"search","result":"ok"}'
+    assert got["a", "call", 2].problems == "unknown tool; repeated id" and got["a", "call", 2].n_results == 3
+    assert got["a", "call", 3].record == '{"arguments":{"text":"y"},"id":"a","name":"search"}'
+    assert got["a", "call", 3].problems == "missing limit; repeated id"
+    assert [got["a", "result", k].record for k in (2, 3)] == ['{"id":"a","name":"search","result":"late"}'] * 2
+    assert [(got["z", "result", k].record, got["z", "result", k].turn, got["z", "result", k].problems) for k in (1, 2)] == [
+        ('{"id":"z","result":"lost"}', 9, "result without call"), ('{"id":"z","result":"too"}', 10, "result without call")]
+    hot = [got["hot", "call", k + 1].record for k in range(300)]
+    assert [r.split("}")[0] for r in hot] == ['{"arguments":{"limit":%d' % a for a in sorted(range(300), key=lambda i: (i // 2, f'{{"limit": {i}}}'))]
+    assert all(f'"result":"r{k}"' in (got["hot", "result", k + 1] if k else got["hot", "call", 1]).record for k in range(200))
