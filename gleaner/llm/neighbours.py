@@ -45,17 +45,27 @@ def cosine_bounds(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def tile_best(ids_a, a, ids_b, b, k: int) -> list[tuple[int, int, float]]:
-    """(query, candidate, cosine): each query's k best candidates of this tile, ties to the smaller id."""
+    """(query, candidate, cosine): each query row's k best candidate ids of this tile, ties to the smaller id.
+
+    An id with several vectors counts once, with its best.
+    """
+    by_id = np.argsort(ids_b, kind="stable")
+    ids_b, b = ids_b[by_id], b[by_id]
+    heads = np.flatnonzero(np.append(True, ids_b[1:] != ids_b[:-1]))
     norm_a, norm_b = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
     low, high = cosine_bounds(a / norm_a[:, None], b / norm_b[:, None])
     out = []
     for r in range(len(a)):
         own = ids_b == ids_a[r]
         lower = np.where(own, -np.inf, low[r])
-        kth = np.partition(lower, -k)[-k] if len(lower) >= k else -np.inf
+        best = lower if len(heads) == len(lower) else np.maximum.reduceat(lower, heads)
+        kth = np.partition(best, -k)[-k] if len(best) >= k else -np.inf
         at = np.flatnonzero((high[r] >= kth) & ~own)
         score = (b[at] * a[r]).sum(axis=1) / (norm_a[r] * norm_b[at])
-        order = np.lexsort((ids_b[at], -score))[:k]
+        order = np.lexsort((ids_b[at], -score))
+        if len(heads) < len(ids_b):
+            order = order[np.sort(np.unique(ids_b[at[order]], return_index=True)[1])]
+        order = order[:k]
         out.extend((int(ids_a[r]), int(ids_b[at[i]]), float(score[i])) for i in order)
     return out
 
@@ -81,22 +91,24 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     Queries are the vectors whose id is divisible by ``query_every``;
     candidates are all others of the same dimension.  Vectors that are null,
     empty, zero, or hold null or non-finite components take no part, nor do
-    rows without an id; rows that repeat an id count once, with the smallest
-    vector.  An empty table gives an empty table.
+    rows without an id.  Rows equal in id and vector count once; different
+    vectors of one id are all queries and candidates (not of each other), and
+    the best cosine of two ids counts.  An empty table gives an empty table.
     """
     stages = Stages(session(vectors), "nearest")
     v = F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     sound = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(finite, v).alias("v")).where("id is not null and v is not null")
-    rows = stages.put("vectors", sound.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
+    rows = stages.put("vectors", sound.distinct().withColumn("dim", F.size("v")))
     counts = rows.groupBy("dim").agg(F.count("*").alias("n"), F.count_if(F.col("id") % query_every == 0).alias("q"))
     stages.put("blocks", counts.where("q > 0").select(
         "dim", F.ceil(F.col("q") / query_block).cast("int").alias("nq"), F.ceil(F.col("n") / candidate_block).cast("int").alias("nc")))
     dealt = lambda: stages.get("vectors").join(stages.get("blocks"), "dim")  # noqa: E731  (a plan of its own for each side)
-    block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("id", "v"), F.col(n)).cast("int")
     left = dealt().where(F.col("id") % query_every == 0).select("id", "v", "dim", block("nq").alias("qb"), F.explode(F.expr("sequence(0, nc - 1)")).alias("cb"))
     right = dealt().select("id", "v", "dim", F.explode(F.expr("sequence(0, nq - 1)")).alias("qb"), block("nc").alias("cb"))
     key = ["dim", "qb", "cb"]
     best = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_tile(k), "query_id long, vec_id long, score double")
+    best = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(w)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

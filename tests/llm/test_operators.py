@@ -383,3 +383,25 @@ def test_tool_calls_keep_every_call_and_result(spark):
     hot = [got["hot", "call", k + 1].record for k in range(300)]
     assert [r.split("}")[0] for r in hot] == ['{"arguments":{"limit":%d' % a for a in sorted(range(300), key=lambda i: (i // 2, f'{{"limit": {i}}}'))]
     assert all(f'"result":"r{k}"' in (got["hot", "result", k + 1] if k else got["hot", "call", 1]).record for k in range(200))
+
+
+def test_nearest_with_several_vectors_of_one_id(spark):
+    """Every vector of an id is a query and a candidate; ids stay distinct in the result."""
+    rnd = np.random.default_rng(6)
+    rows = [(int(i), v.tolist()) for i, v in zip(rnd.integers(0, 30, 150), rnd.normal(size=(150, 8)))]
+    rows += [(3, (np.array(rows[0][1]) + 0.001 * j).tolist()) for j in range(8)] + rows[:9]  # one id fills a tile's best
+    found = {}
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), query_every=5, query_block=4, candidate_block=25).collect():
+        found.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    x = np.array([v for _, v in rows])
+    score = (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    best = {}
+    for a, (q, _) in enumerate(rows):
+        for b, (c, _) in enumerate(rows):
+            if q % 5 == 0 and c != q:
+                best[q, c] = max(best.get((q, c), -2), score[a, b])
+    assert set(found) == {q for q, _ in best}
+    for q in found:
+        want = sorted(((-s, c) for (p, c), s in best.items() if p == q))[:5]
+        assert [found[q][k + 1][0] for k in range(5)] == [c for _, c in want]
+        assert [found[q][k + 1][1] for k in range(5)] == pytest.approx([-s for s, _ in want])
