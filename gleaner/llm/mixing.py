@@ -77,12 +77,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     of a source is its target rounded to whole words.
     """
     stages = stages or Stages(session(docs), "mixing")
+    return _takes(docs, id_col, text_col, source_col, weights, percent, max_epochs, stages, [])
+
+
+def _row_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
+    """Two 64-bit hashes (r1, r2) of a row's columns other than id and text."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    return [k.alias(name) for k, name in zip(C.text_key(F.to_json(F.struct(*rest), exact) if rest else F.lit("")), ("r1", "r2"))]
+
+
+def _takes(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[int, ...], percent: int,
+           max_epochs: int, stages: Stages, row_key: list[Column]) -> DataFrame:
+    """The rows of ``mix``, with the columns of ``row_key``, which also order equal documents."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = F.col(source_col).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), n_words(t).alias("size"),
                        F.when(src.isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), src)).alias("grp"),
-                       random_key(F.col(id_col)).alias("key"), *C.text_key(t))
-    placed = C.running_totals(rows, ["key", "size", "k1", "k2"], ["size"], stages, "placed", group="grp")
+                       random_key(F.col(id_col)).alias("key"), *C.text_key(t), *row_key)
+    extra = rows.columns[6:]
+    placed = C.running_totals(rows, ["key", "size", "k1", "k2", *extra], ["size"], stages, "placed", group="grp")
     placed = stages.put("prefix", placed)
     sizes = stages.put("sizes", placed.groupBy("grp").agg(F.sum("size").alias("source_size")))
     goal = stages.put("targets", targets(sizes, stages, weights, percent, max_epochs))
@@ -90,7 +104,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as bigint) div greatest(source_size, 1)")).otherwise(F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("size_before")))
     return placed.join(goal, "grp").select("doc_id", "size", "source_size", "target",
-                                           (epochs * F.col("size") + part).cast("long").alias("taken"), "k1", "k2")
+                                           (epochs * F.col("size") + part).cast("long").alias("taken"), "k1", "k2", *extra)
 
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -101,21 +115,30 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by one space.  Documents of which nothing is taken go.
     """
     stages = Stages(session(docs), "mixing")
-    found = stages.put("mix", mix(docs, id_col, text_col, source_col, weights, percent, max_epochs, stages)
-                       .where("taken > 0").select(F.col("doc_id").alias("m_id"), "size", "taken", "k1", "k2"))
-    # repeated rows have several takes; sum them by (id, text) and deal them out again by row
-    shares = stages.put("shares", found.groupBy("m_id", "k1", "k2", "size").agg(
-        F.sum("taken").alias("taken")).withColumnsRenamed({"k1": "m1", "k2": "m2"}))
+    row_key = _row_key(docs, id_col, text_col)
+    found = stages.put("mix", _takes(docs, id_col, text_col, source_col, weights, percent, max_epochs, stages, row_key)
+                       .where("taken > 0").select(F.col("doc_id").alias("m_id"), "size", "taken", "k1", "k2", "r1", "r2"))
+    # rows equal in every column have several takes; sum them and deal them out again by row
+    key = ["k1", "k2", "r1", "r2"]
+    renamed = lambda p: {c: p + c for c in key}
+    shares = stages.put("shares", found.groupBy("m_id", *key, "size").agg(
+        F.sum("taken").alias("taken")).withColumnsRenamed(renamed("m")))
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-                      F.col(id_col).alias("id"), t.alias("t")).select("row", "id", "t", *C.text_key(F.col("t")))
-    twice = stages.put("twice", one.groupBy("id", "k1", "k2").agg(F.count("*").alias("c")).where("c > 1")
-                       .withColumnsRenamed({"id": "t_id", "k1": "t1", "k2": "t2"}))
-    same = lambda i, a, b: F.col("id").eqNullSafe(F.col(i)) & (F.col("k1") == F.col(a)) & (F.col("k2") == F.col(b))
-    single = one.join(twice, same("t_id", "t1", "t2"), "left_anti")
-    folded = (one.join(twice, same("t_id", "t1", "t2"), "left_semi").groupBy("id", "k1", "k2")
-              .agg(F.first("row").alias("row"), F.first("t").alias("t")).select("row", "id", "t", "k1", "k2"))
-    taken = single.union(folded).join(shares, same("m_id", "m1", "m2"))
+    one = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), t.alias("t"), *row_key)
+    one = one.select("row", "id", "t", *C.text_key(F.col("t")), "r1", "r2")
+    twice = stages.put("twice", one.groupBy("id", *key).agg(F.count("*").alias("c")).where("c > 1")
+                       .withColumnsRenamed({"id": "t_id", **renamed("t")}))
+
+    def same(p):
+        on = F.col("id").eqNullSafe(F.col(f"{p}_id"))
+        for c in key:
+            on = on & (F.col(c) == F.col(p + c))
+        return on
+
+    single = one.join(twice, same("t"), "left_anti")
+    folded = (one.join(twice, same("t"), "left_semi").groupBy("id", *key)
+              .agg(F.first("row").alias("row"), F.first("t").alias("t")).select("row", "id", "t", *key))
+    taken = single.union(folded).join(shares, same("m"))
     copies = taken.withColumn("copy", F.explode(F.expr("sequence(0, cast((taken - 1) div size as int))")))
     words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
     part = F.array_join(F.slice(F.array_remove(F.split("t", C.WORD_GAP), ""), 1, words.cast("int")), " ")

@@ -405,3 +405,14 @@ def test_nearest_with_several_vectors_of_one_id(spark):
         want = sorted(((-s, c) for (p, c), s in best.items() if p == q))[:5]
         assert [found[q][k + 1][0] for k in range(5)] == [c for _, c in want]
         assert [found[q][k + 1][1] for k in range(5)] == pytest.approx([-s for s, _ in want])
+
+
+def test_mixed_rows_fold_only_equal_rows(spark):
+    """Rows of one id and text but another source or language keep their own takes and columns."""
+    ten = "a b c d e f g h i j"
+    rows = [(9, ten, "en", "s0"), (9, ten, "fr", "s0"), (1, ten.upper(), None, "s0"), (9, ten, "en", "s1"), (9, ten, "en", "s1"), (2, ten.upper(), "en", "s1")]
+    docs = spark.createDataFrame([(*r, 0, "", "") for r in rows], SCHEMA).repartition(3)
+    words = Counter()  # s0 is taken twice (its cap), s1 once
+    for r in mixing.mixed_rows(docs).collect():
+        words[r.doc_id, r.lang, r.source] += len(r.text.split())
+    assert words == {(9, "en", "s0"): 20, (9, "fr", "s0"): 20, (1, None, "s0"): 20, (9, "en", "s1"): 20, (2, "en", "s1"): 10}
