@@ -416,3 +416,20 @@ def test_mixed_rows_fold_only_equal_rows(spark):
     for r in mixing.mixed_rows(docs).collect():
         words[r.doc_id, r.lang, r.source] += len(r.text.split())
     assert words == {(9, "en", "s0"): 20, (9, "fr", "s0"): 20, (1, None, "s0"): 20, (9, "en", "s1"): 20, (2, "en", "s1"): 10}
+
+
+def test_packing_of_added_tokens_and_long_texts(spark):
+    """A text that holds <|endoftext|>, and one of over 20,000 characters, against tokenizers as the file sets it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one<|endoftext|> two  three", "<|endoftext|>", "<|endoftext", " ".join(_texts()[6].split() * 3), "é日本 <|endoftext|>" * 3000]
+    assert sum(len(t) > 20_000 for t in texts) == 2
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "", "") for i, t in enumerate(texts)], SCHEMA).coalesce(1)
+    ids = [np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4") for t in texts]
+    assert 50256 in ids[0].tolist()
+    found = packing.pack_documents(docs).collect()
+    assert {r.doc_id: r.doc_tokens for r in found} == {i: len(x) for i, x in enumerate(ids)}
+    for r in found:
+        assert zlib.crc32(ids[r.doc_id][r.start:r.start + r.length].tobytes()) == r.ids_crc32
