@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import classifier, jaccard, mixing, neighbours, packing, quality_rules, substring, suffix_array, tool_calls, warc
+from gleaner.llm import (alignment, classifier, codes, jaccard, mixing, neighbours, packing, page_text, quality_rules, substring,
+                         suffix_array, tool_calls, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -70,3 +71,18 @@ def op9_classifier(spark, sf_dir):
 @query
 def op10_suffix_dedup(spark, sf_dir):
     return suffix_array.suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_vector_codes(spark, sf_dir):
+    return codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_page_text(spark, sf_dir):
+    return page_text.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    return alignment.token_alignment(table(spark, sf_dir, "documents"))
