@@ -4,9 +4,9 @@
   an article or main element, ``CHROME`` inside an element whose name, role or
   class says menu, footer, advert, form, notice, comment and so on, ``OPEN``
   where no element says either.
-* Pages of a host are sorted by URL path; the partner of a page is the
-  neighbour with the longer common path prefix, or the other one if that
-  neighbour is a near copy.  The lines of both pages, of whatever zone, are
+* Pages of a host are sorted by URL path (pages of equal lines are one); the
+  partner of a page is the neighbour with the longest common path prefix that
+  is not a near copy of it.  The lines of both pages, of whatever zone, are
   aligned by a longest common subsequence; shared lines are the template.
 * Chrome lines are deleted, article lines kept, and open lines deleted where
   the alignment finds them shared.  Article lines are kept although shared,
@@ -35,6 +35,8 @@ from gleaner.llm.common import Stages, session
 ARTICLE, CHROME, OPEN = 0, 1, 2
 #: Pages in one pairing task group.
 RUN = 512
+#: Places before and after a page at which a partner is looked for.
+REACH = 4
 #: A neighbour that shares more than half of the open and article lines of at least this many words is a near copy.
 LONG_LINE = 10
 
@@ -307,19 +309,20 @@ def common_prefix(a: str, b: str) -> int:
 
 # ---------------------------------------------------------------------- rows
 def _parse(batches):
-    """mapInArrow body: (page_id, url, html) -> lines, zones, line hashes, host, path and a key of the row."""
+    """mapInArrow body: (page_id, url, html) -> lines, zones, line hashes, host, path and a key of host, lines and zones."""
     for batch in batches:
         cols: dict[str, list] = {c: [] for c in ("k1", "k2", "host", "path", "lines", "zones", "hashes", "long")}
         for url, page in zip(batch["url"].to_pylist(), batch["html"].to_pylist()):
             lines, zones = page_lines(page)
-            key = xxhash.xxh3_128((url or "\0") + "\0" + (page or "")).intdigest()
             host, path = url_key(url)
+            hashes = [xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines]
+            key = xxhash.xxh3_128(repr((host, hashes, zones))).intdigest()
             cols["k1"].append((key >> 64) - (1 << 63))
             cols["k2"].append((key & (1 << 64) - 1) - (1 << 63))
             cols["host"].append(host)
             cols["path"].append(path)
             keep = [z != CHROME for z in zones]
-            cols["hashes"].append([xxhash.xxh3_64_intdigest(x) - (1 << 63) for x in lines])
+            cols["hashes"].append(hashes)
             cols["long"].append([k and x.count(" ") + 1 >= LONG_LINE for x, k in zip(lines, keep)])
             # chrome lines are not needed any more, but keep their place
             cols["lines"].append([x if k else "" for x, k in zip(lines, keep)])
@@ -335,7 +338,7 @@ _PARSED = ("page_id {id}, url string, k1 long, k2 long, host string, path string
 
 
 def _difference(table: pa.Table) -> pa.Table:
-    """applyInArrow body: pages of a run in URL order (and one before and after) -> shared open lines of the run's own pages."""
+    """applyInArrow body: pages of a run in URL order (and ``REACH`` before and after) -> shared open lines of the run's own pages."""
     table = table.sort_by("at")
     hosts, paths, at = table["host"].to_pylist(), table["path"].to_pylist(), table["at"].to_pylist()
     hashes, long_, zones, own = (table[c].to_pylist() for c in ("hashes", "long", "zones", "own"))
@@ -343,8 +346,9 @@ def _difference(table: pa.Table) -> pa.Table:
     for i in range(len(at)):
         if not own[i]:
             continue
-        near = [j for j in (i - 1, i + 1) if 0 <= j < len(at) and hosts[j] == hosts[i] and abs(at[j] - at[i]) == 1]
-        near.sort(key=lambda j: -common_prefix(paths[i], paths[j]))
+        near = [j for j in range(max(0, i - REACH), min(len(at), i + REACH + 1))
+                if j != i and hosts[j] == hosts[i] and abs(at[j] - at[i]) <= REACH]
+        near.sort(key=lambda j: (-common_prefix(paths[i], paths[j]), abs(j - i), j))
         for j in near:
             mine = template_lines(hashes[i], long_[i], hashes[j])
             if mine is None:
@@ -361,12 +365,11 @@ def _difference(table: pa.Table) -> pa.Table:
 
 def shared_lines(parsed: DataFrame, stages: Stages, run: int = RUN) -> DataFrame:
     """(k1, k2, shared): for pages of ``parsed``, the indexes of open lines that the nearest page of the host shares."""
-    pages = (parsed.where("host is not null and size(hashes) > 0").select("host", "path", "k1", "k2", "hashes", "long", "zones")
-             .dropDuplicates(["host", "path", "k1", "k2"]).withColumn("one", F.lit(1)))
+    same = ["host", "hashes", "long", "zones"]  # equal wherever the key is
+    pages = (parsed.where("host is not null and size(hashes) > 0").groupBy("k1", "k2")
+             .agg(F.min("path").alias("path"), *[F.first(c).alias(c) for c in same]).withColumn("one", F.lit(1)))
     order = C.running_totals(pages, ["host", "path", "k1", "k2"], ["one"], stages, "order").withColumnRenamed("one_before", "at")
-    runs = F.expr(f"""transform(filter(array(at div {run},
-        if(at % {run} = {run} - 1, at div {run} + 1, null), if(at % {run} = 0, at div {run} - 1, null)), r -> r is not null and r >= 0),
-        r -> struct(r as run, r = at div {run} as own))""")
+    runs = F.expr(f"transform(sequence(greatest(0, (at - {REACH}) div {run}), (at + {REACH}) div {run}), r -> struct(r as run, r = at div {run} as own))")
     dealt = order.select("*", F.explode(runs).alias("r")).select("host", "path", "k1", "k2", "hashes", "long", "zones", "at", "r.run", "r.own")
     return stages.put("shared", dealt.groupBy("run").applyInArrow(_difference, "k1 long, k2 long, shared array<int>"))
 
@@ -375,9 +378,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """One row per page: page_id, url, text (blocks joined by a newline; empty if none), n_chars.
 
     Null and empty html gives an empty text.  A page without a readable host,
-    or alone on its host, has no partner: all its lines that are not chrome
-    are kept.  Rows equal in url and html are one page in the alignment and
-    get the same text; ids may be null or repeat.  Other columns are ignored.
+    alone on its host, or with near copies only within reach has no partner:
+    all its lines that are not chrome are kept.  Rows of a host with equal
+    lines are one page in the alignment; ids may be null or repeat.  Other columns are ignored.
     An empty table gives an empty result.
     """
     stages = Stages(session(pages), "page-text")
