@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ class Stages:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/gleaner-llm/{name}-{uuid.uuid4().hex}"
+        for roots in _watchers:
+            roots.append(self)
 
     def put(self, key: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{key}")
@@ -46,11 +50,32 @@ class Stages:
 
     def drop(self, key: str) -> None:
         """Remove a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}")
+        self._delete(f"{self.root}/{key}")
+
+    def drop_all(self) -> None:
+        self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_watchers: list[list[Stages]] = []
+
+
+@contextmanager
+def scratch():
+    """The ``Stages`` that operators open inside the block; all are removed at its end."""
+    opened: list[Stages] = []
+    _watchers.append(opened)
+    try:
+        yield opened
+    finally:
+        _watchers.remove(opened)
+        for stages in opened:
+            stages.drop_all()
+
+
 def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -224,6 +249,10 @@ def gram_hash(sums: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:-k]) * down[:n])
 
 
+#: Words of more bytes get a non-linear hash of their own: long texts over two letters can share a polynomial hash.
+LONG_WORD = 64
+
+
 def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
     """64-bit hash of each word; ``fold`` lower-cases A-Z first.  Works piece by piece."""
     out = np.empty(len(starts), np.uint64)
@@ -235,6 +264,8 @@ def word_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool
         if fold:
             b = np.where((b >= 65) & (b <= 90), b + 32, b).astype(np.uint8)
         out[i:j] = range_hash(prefix_sums(byte_symbols(b)), starts[i:j] - lo, ends[i:j] - lo)
+        for w in (np.flatnonzero(ends[i:j] - starts[i:j] > LONG_WORD) + i).tolist():
+            out[w] = xxhash.xxh3_64_intdigest(b[starts[w] - lo:ends[w] - lo].tobytes())
         i = j
     return out
 

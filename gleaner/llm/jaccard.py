@@ -1,20 +1,22 @@
 """N-gram Jaccard join as a blocked sparse matrix product.
 
 The rows of the incidence matrix are documents, the columns distinct word
-n-grams.  Documents with equal n-gram sets collapse to one row.
-
-* Column blocks: by the size bound, two sets that reach the threshold differ
-  in at most ``d`` n-grams, so of more than ``d`` blocks of columns they agree
-  exactly on at least one.  Rows that share the content of a column block are
-  candidates; no others can link.
-* Row blocks: connected candidates are dealt to row blocks of bounded size.
-  Each tile multiplies its rows' incidence matrix with its transpose, column
-  chunk by column chunk, and keeps the pairs whose overlap count reaches
-  ``threshold * union`` (exact integers).  A tile gives a spanning forest of
-  its links, never all pairs.
-* A candidate cluster of several row blocks first multiplies each block with
-  itself and with a few common pivot rows; only rows that this leaves outside
-  the cluster's main component are multiplied with all its other rows.
+n-grams.  Documents with equal n-gram sets collapse to one row (a node).
+
+* Columns: n-grams are ordered from rare to frequent (frequent ones are those
+  of a sample of the texts; any order is right, this one keeps columns short).
+  Two sets of which one holds ``m`` n-grams reach the threshold only if they
+  share one of the first ``m - ceil(t m) + 1`` of each, so only these columns
+  are multiplied.  A column of up to ``ROW_BLOCK`` rows gives all its pairs.
+* A longer column first pairs its rows with a few pivot rows of each size
+  class.  Jaccard distance is a metric: of the rows that this leaves outside
+  the column's main component, a pair needs a comparison only if the two
+  distances to the pivot differ by no more than the threshold allows.
+* Pairs are discarded by size, then by parity bitmaps: the bits in which two
+  bitmaps differ are a lower bound of the n-grams in which the sets differ.
+* The rest is multiplied in tiles, one row against a block of rows, counting
+  overlaps; a pair links at ``threshold * union`` (exact integers).  Only
+  verified links are closed into components.
 """
 
 from __future__ import annotations
@@ -30,9 +32,15 @@ from gleaner.llm.graph import components
 
 NGRAM = 3
 PERCENT = 90
-ROW_BLOCK = 2048
-PIVOTS = 16
-_GROWTH = 1.5  # ratio of the largest to the smallest set size of a size class
+#: Rows of a column that are paired directly.
+ROW_BLOCK = 16
+#: Pivot rows of each size class of a longer column.
+PIVOTS = 1
+#: Rows in a tile beside its own row.
+TILE = 256
+#: One text in SAMPLE is read for the order of columns; at most FREQUENT n-grams count as frequent (8 bytes each, broadcast).
+SAMPLE = 16
+FREQUENT = 1 << 18
 
 
 def ngram_sets(column, n: int, fold: bool):
@@ -53,57 +61,89 @@ def max_difference(a: int, b: int, percent: int) -> int:
     return int((a + b) * (100 - percent) // (100 + percent))
 
 
-def column_blocks(grams: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the contents of the column blocks of one set (for each size class that it can link in)."""
-    n = len(grams)
-    if max_difference(n, -(-100 * n // percent), percent) == 0:
-        return np.empty(0, np.int64)  # only an equal set can link
-    top = int(np.floor(np.log(n) / np.log(_GROWTH) + 1e-9))
-    out = []
-    for cls in (top, top + 1):
-        low, high = int(np.ceil(_GROWTH ** cls - 1e-9)), int(np.ceil(_GROWTH ** (cls + 1) - 1e-9)) - 1
-        if cls == top:
-            low, high = min(low, n), max(high, n)
-            largest = min(high, 100 * n // percent)
-        elif 100 * n < percent * low:
-            continue  # too small for that class
-        else:
-            largest = min(high, 100 * n // percent)
-        # 15 % more blocks than needed, so that empty ones can be left out
-        bound = max_difference(high, high, percent)
-        blocks = bound + 1 + bound * 15 // 100 + 2
-        part = (C.mix(grams + np.uint64(cls)) % np.uint64(blocks)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        held = np.add.reduceat(C.mix(grams[order] ^ np.uint64(0xA5A5_5A5A_1234_9876)), heads)
-        size = np.diff(np.append(heads, n)).astype(np.uint64)
-        tag = np.uint64((cls << 40) + (blocks << 20))
-        keys = C.mix(C.mix(held + size) ^ (part[heads].astype(np.uint64) + tag))
-        empty = blocks - len(heads)
-        if blocks - max_difference(n, largest, percent) - empty < 1:
-            gone = np.setdiff1d(np.arange(blocks), part[heads]).astype(np.uint64)
-            keys = np.append(keys, C.mix(gone + tag))
-        out.append(keys.view(np.int64))
-    return np.concatenate(out)
-
-
-def _signatures(n: int, percent: int, fold: bool):
-    """mapInArrow body: (row, text) -> (row..., set size, set key, block keys)."""
+def prefix_length(n: int, percent: int) -> int:
+    """How many of its first columns a set of n n-grams sends; 0 where only an equal set can link."""
+    if max_difference(n, 100 * n // percent, percent) == 0:
+        return 0
+    return n - -(-percent * n // 100) + 1
+
+
+def bitmap(grams: np.ndarray) -> bytes:
+    """Parity of the n-grams that fall on each of at least 64, and at least n, bits (a power of two)."""
+    bits = 1 << max(6, int(len(grams) - 1).bit_length())
+    odd = np.bincount((C.mix(grams) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def fewest_differences(a: bytes, b: bytes) -> int:
+    """No sets with these bitmaps differ in fewer n-grams."""
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    n = min(len(a), len(b))
+    return (_folded(x, len(a), n) ^ _folded(y, len(b), n)).bit_count()
+
+
+def _folded(x: int, size: int, to: int) -> int:
+    while size > to:
+        size //= 2
+        x = (x >> 8 * size) ^ (x & (1 << 8 * size) - 1)
+    return x
+
+
+def _node(grams: np.ndarray) -> int | None:
+    return int((C.mix(grams).sum(dtype=np.uint64) ^ np.uint64(len(grams))).view(np.int64)) if len(grams) else None
+
+
+def _signatures(n: int, fold: bool):
+    """mapInArrow body: (doc_id, k1, k2, text) -> the row without text, its set's size and key."""
     def body(batches):
         for batch in batches:
-            size, set_key, keys, at = [], [], [], [0]
+            size, node = [], []
             for grams in ngram_sets(batch["text"], n, fold):
                 size.append(len(grams))
-                set_key.append(int((C.mix(grams).sum(dtype=np.uint64) ^ np.uint64(len(grams))).view(np.int64)) if len(grams) else None)
-                blocks = column_blocks(grams, percent)
-                keys.append(blocks)
-                at.append(at[-1] + len(blocks))
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+                node.append(_node(grams))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["k1"], batch["k2"], pa.array(size, pa.int64()), pa.array(node, pa.int64())],
+                                             names=["doc_id", "k1", "k2", "n_shingles", "node"])
+
+    return body
+
+
+def _gram_counts(n: int, fold: bool):
+    """mapInArrow body: text -> (gram, number of texts of the batch that hold it)."""
+    def body(batches):
+        for batch in batches:
+            grams = list(ngram_sets(batch["text"], n, fold))
+            if grams:
+                gram, count = np.unique(np.concatenate(grams), return_counts=True)
+                for i in range(0, len(gram), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(gram[i:i + 100_000].view(np.int64)), pa.array(count[i:i + 100_000])],
+                                                     names=["gram", "c"])
+
+    return body
+
+
+def _columns(n: int, percent: int, fold: bool, frequent):
+    """mapInArrow body: (node, text) -> (node, n, bits, columns): size, bitmap and first columns of each set."""
+    def body(batches):
+        gram, count = frequent.value
+        for batch in batches:
+            nodes, sizes, bits, cols, at = [], [], [], [], [0]
+            for node, grams in zip(batch["node"].to_pylist(), ngram_sets(batch["text"], n, fold)):
+                first = prefix_length(len(grams), percent)
+                if not first:
+                    continue
+                weight = np.zeros(len(grams), np.int64)
+                if len(gram):
+                    i = np.minimum(np.searchsorted(gram, grams), len(gram) - 1)
+                    weight = np.where(gram[i] == grams, count[i], 0)
+                cols.append(grams[np.lexsort((C.mix(grams), weight))[:first]].view(np.int64))
+                nodes.append(node)
+                sizes.append(len(grams))
+                bits.append(bitmap(grams))
+                at.append(at[-1] + first)
+            flat = np.concatenate(cols) if cols else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["k1"], batch["k2"], pa.array(size, pa.int64()), pa.array(set_key, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))],
-                names=["doc_id", "k1", "k2", "n_shingles", "node", "blocks"])
+                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["node", "n", "bits", "columns"])
 
     return body
 
@@ -118,103 +158,138 @@ def _sets(n: int, fold: bool):
     return body
 
 
-def overlap_counts(left: list[np.ndarray], right: list[np.ndarray], chunk: int = 2048) -> np.ndarray:
-    """Matrix of |a & b| for the sets of two row blocks, accumulated by column chunks."""
-    rows = np.concatenate([np.repeat(np.arange(len(left)), [len(x) for x in left]),
-                           np.repeat(len(left) + np.arange(len(right)), [len(x) for x in right])])
-    grams = np.concatenate([*left, *right])
-    columns, column, df = np.unique(grams, return_inverse=True, return_counts=True)
-    shared = df[column] > 1  # a column of one row adds to no pair
-    new = np.cumsum(df > 1) - 1
-    rows, column = rows[shared], new[column[shared]]
-    order = np.argsort(column, kind="stable")
-    rows, column = rows[order], column[order]
-    total = np.zeros((len(left), len(right)), np.float32)
-    n_columns = int(column[-1]) + 1 if len(column) else 0
-    for lo in range(0, n_columns, chunk):
-        i, j = np.searchsorted(column, [lo, lo + chunk])
-        block = np.zeros((len(left) + len(right), min(chunk, n_columns - lo)), np.float32)
-        block[rows[i:j], column[i:j] - lo] = 1
-        total += block[:len(left)] @ block[len(left):].T
-    return total.astype(np.int64)
-
-
-def forest(links: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that span the components of a boolean link matrix (rows a, columns b)."""
-    parent: dict[int, int] = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i in range(len(a)):
-        for y in b[np.flatnonzero(links[i])].tolist():
-            x = int(a[i])
-            if x != y and find(x) != find(y):
-                parent[find(x)] = find(y)
-                out.append((x, y))
-    return out
+def _close_bitmaps(percent: int):
+    """mapInArrow body: pairs with bitmaps -> the pairs whose bitmaps allow a link."""
+    def body(batches):
+        for batch in batches:
+            keep = [fewest_differences(x, y) <= max_difference(i, j, percent) for x, y, i, j in
+                    zip(*(batch[c].to_pylist() for c in ("bits_a", "bits_b", "na", "nb")))]
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return body
+
+
+def overlap_counts(row: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """|row & x| for the sets of a tile: a sparse product over the columns of ``row``."""
+    sizes = np.array([len(x) for x in others], np.int64)
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(row, flat), len(row) - 1)
+    shared = np.concatenate([[0], np.cumsum(row[at] == flat)])
+    ends = np.cumsum(sizes)
+    return shared[ends] - shared[ends - sizes]
 
 
 def _tile(percent: int):
-    """applyInArrow body: the rows of a tile (side 0 against side 1; all against all if only side 0) -> links."""
+    """applyInArrow body: the set of row a and those of a block of rows -> (a, b, both, total) of the links."""
     def body(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
         node = table["node"].to_numpy()
         grams = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
-        size = np.array([len(g) for g in grams], np.int64)
-        a = np.flatnonzero(side == 0)
-        b = np.flatnonzero(side == 1) if (side == 1).any() else a
-        if not len(a):
-            a = b
-        both = overlap_counts([grams[i] for i in a], [grams[i] for i in b])
-        union = size[a][:, None] + size[b][None, :] - both
-        edges = forest((100 * both >= percent * union) & (both > 0), node[a], node[b])
-        return pa.table({"a": pa.array([x for x, _ in edges], pa.int64()), "b": pa.array([y for _, y in edges], pa.int64())})
+        own, rest = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if not len(own) or not len(rest):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "distance": pa.array([], pa.float64())})
+        row = grams[own[0]]
+        both = overlap_counts(row, [grams[i] for i in rest])
+        union = len(row) + np.array([len(grams[i]) for i in rest]) - both
+        link = 100 * both >= percent * union
+        return pa.table({"a": pa.array(np.full(int(link.sum()), node[own[0]])), "b": pa.array(node[rest][link]),
+                         "distance": pa.array((1 - both / union)[link])})
 
     return body
 
 
-def _links(rows: DataFrame, percent: int) -> DataFrame:
-    return rows.groupBy("cluster", "i", "j").applyInArrow(_tile(percent), "a long, b long")
-
-
-def _tile_links(members: DataFrame, stages: Stages, percent: int, row_block: int, pivots: int) -> DataFrame:
-    """Links (a spanning set) among the rows of each candidate cluster: members(cluster, node, grams)."""
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("rows"))
-    sizes = stages.put("cluster-sizes", sizes.withColumn("nb", F.ceil(F.col("rows") / row_block).cast("int")))
-    block = lambda nb: F.pmod(F.xxhash64("node"), F.col(nb)).cast("int")
-    placed = members.join(sizes, "cluster").withColumn("i", block("nb"))
-    own = placed.select("cluster", "i", F.lit(-1).alias("j"), F.lit(0).alias("side"), "node", "grams")
-    first = Window.partitionBy("cluster").orderBy("node")
-    pivot = (placed.where("nb > 1").withColumn("r", F.row_number().over(first)).where(f"r <= {pivots}")
-             .select("cluster", F.explode(F.expr("sequence(0, nb - 1)")).alias("i2"), "i", "node", "grams").where("i2 <> i")
-             .select("cluster", F.col("i2").alias("i"), F.lit(-1).alias("j"), F.lit(0).alias("side"), "node", "grams"))
-    links = stages.put("links1", _links(own.union(pivot), percent))
-    large = stages.put("large", sizes.where("nb > 1"))
-    if not large.limit(1).count():
-        return links
-    # rows outside the main component of their cluster, against all rows of other components
+def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, stages: Stages, name: str) -> DataFrame:
+    """(a, b, distance) of the pairs (a, b) that link: bounds first, then tiles of whole sets."""
+    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    near = pairs.join(left, "a").join(right, "b").mapInArrow(_close_bitmaps(percent), "a long, b long")
+    near = stages.put(f"{name}-near", near)
+    tiles = near.groupBy("a").agg(F.expr(f"count(*) div {TILE} + 1").alias("tiles"))
+    dealt = stages.put(f"{name}-dealt", near.join(tiles, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tiles")).alias("tile")))
+    own = dealt.select("a", "tile").distinct().select("a", "tile", F.lit(0).alias("side"), F.col("a").alias("node"))
+    rows = own.unionByName(dealt.select("a", "tile", F.lit(1).alias("side"), F.col("b").alias("node"))).join(sets, "node")
+    found = stages.put(name, rows.groupBy("a", "tile").applyInArrow(_tile(percent), "a long, b long, distance double"))
+    stages.drop(f"{name}-near")
+    stages.drop(f"{name}-dealt")
+    return found
+
+
+def _sizes_allow(percent: int):
+    return F.expr(f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)")
+
+
+def _links(nodes: DataFrame, sets: DataFrame, percent: int, stages: Stages, row_block: int, pivots: int) -> DataFrame:
+    """Links (a, b) whose components are those of all links among the nodes."""
+    cell = nodes.select(F.explode("columns").alias("key"), "node", "n")
+    shared = stages.put("shared", cell.groupBy("key").agg(
+        F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h")).where("c > 1"))
+    # columns held by the same rows are one
+    one = stages.put("one", shared.groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c"))
+    cell = stages.put("cells", cell.join(one, "key"))
+    stages.drop("shared")
+    short = cell.where(F.col("c") <= row_block)
+    members = short.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))  # at most row_block
+    pairs = members.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> "
+                                            "struct(x.node as a, y.node as b, x.n as na, y.n as nb))))")).alias("p")).select("p.*")
+    # longer columns: pivots of each size class; the class ratio is the threshold
+    size_class = F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) if percent < 100 else F.col("n"))
+    long_ = stages.put("long", cell.where(F.col("c") > row_block).withColumn("cls", size_class))
+    first = Window.partitionBy("key", "cls").orderBy("node")
+    pivot = stages.put("pivots", long_.withColumn("r", F.row_number().over(first)).where(F.col("r") <= pivots)
+                       .select("key", "cls", F.col("node").alias("a"), F.col("n").alias("na"), "r"))
+    star = long_.join(pivot, ["key", "cls"]).select("key", "a", F.col("node").alias("b"), "na", F.col("n").alias("nb"), "r").where("a <> b")
+    ordered = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
+                          F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb"))
+    pairs = pairs.unionByName(ordered).where(_sizes_allow(percent)).select("a", "b").distinct()
+    links = _verified(pairs, nodes, sets, percent, stages, "links1")
+    if not long_.limit(1).count():
+        return links.select("a", "b")
+
+    # rows outside the main component of a long column, against all its rows of other components
     roots = components(links, stages, "round1")
-    parts = stages.put("parts", members.join(large, "cluster").join(roots, "node", "left")
-                       .select("cluster", "node", "nb", F.coalesce("root", "node").alias("part")))
-    count = parts.groupBy("cluster", "part").agg(F.count("*").alias("c"))
-    main = count.groupBy("cluster").agg(F.max(F.struct("c", "part")).getField("part").alias("main"))
-    rest = parts.join(main, "cluster").where("part <> main").select("cluster", "node")
-    left = stages.put("rest", rest.join(rest.groupBy("cluster").agg(
-        F.ceil(F.count("*") / row_block).cast("int").alias("nr")), "cluster"))
-    if not left.limit(1).count():
-        return links
-    nr = left.select("cluster", "nr").distinct()
-    a = (left.join(large, "cluster").withColumn("i", block("nr"))
-         .select("cluster", "i", F.explode(F.expr("sequence(0, nb - 1)")).alias("j"), F.lit(0).alias("side"), "node"))
-    b = (parts.join(nr, "cluster").withColumn("j", block("nb"))
-         .select("cluster", F.explode(F.expr("sequence(0, nr - 1)")).alias("i"), "j", F.lit(1).alias("side"), "node"))
-    tiles = a.union(b.select(*a.columns)).join(members.select("node", "grams"), "node")
-    return links.union(_links(tiles, percent))
+    placed = long_.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part"))
+    placed = stages.put("placed", placed)
+    parts = placed.groupBy("key", "part").agg(F.count("*").alias("c"))
+    main = parts.groupBy("key").agg(F.max(F.struct("c", "part")).getField("part").alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    main = stages.put("main", main.select("key", "main"))
+    open_ = placed.join(main, "key")
+    # distance to the main component's pivot where it is a link; a row that is not linked is further than the threshold
+    rest = open_.where("part <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
+    near = _pivot_distances(open_, links, pivot)
+    every = open_.join(near, ["key", "node"], "left").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), "main", "pivot", "d")
+    more = rest.join(every, "key").where(_sizes_allow(percent)).where("pa <> pb and (pb = main or a < b)")
+    far = stages.put("far", more.select("a", "b", "pivot", "d"))
+    stages.drop("placed")
+    # the pivot's distance to a rules b out if it exceeds d(pivot, b) by more than the threshold
+    probes = far.where("pivot is not null").select(F.col("a"), F.col("pivot").alias("b")).distinct()
+    reach = _distances(probes, sets, stages, "probes").select("a", F.col("b").alias("pivot"), F.col("distance").alias("da"))
+    limit = 1 - percent / 100 + 1e-9
+    wanted = far.join(reach, ["a", "pivot"], "left").where(F.col("da").isNull() | (F.col("da") - F.col("d") <= limit))
+    wanted = wanted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links2 = _verified(wanted, nodes, sets, percent, stages, "links2")
+    for key in ("one", "cells", "long", "pivots", "main", "far"):
+        stages.drop(key)
+    return links.select("a", "b").unionByName(links2.select("a", "b"))
+
+
+def _pivot_distances(rows: DataFrame, links: DataFrame, pivot: DataFrame) -> DataFrame:
+    """(key, node, pivot, d): one pivot of the column that the node links with, and the distance."""
+    both = links.select("a", "b", "distance").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    own = pivot.select("key", F.col("a").alias("p")).distinct()
+    found = both.join(own.withColumnRenamed("p", "a"), "a").select("key", F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("distance").alias("d"))
+    found = found.unionByName(own.select("key", F.col("p").alias("node"), F.col("p").alias("pivot"), F.lit(0.0).alias("d")))
+    return (found.join(rows.select("key", "node"), ["key", "node"], "left_semi")
+            .groupBy("key", "node").agg(F.min(F.struct("d", "pivot")).alias("m")).select("key", "node", "m.pivot", "m.d"))
+
+
+def _distances(pairs: DataFrame, sets: DataFrame, stages: Stages, name: str) -> DataFrame:
+    """(a, b, distance) of every pair, in tiles of up to ``TILE`` rows."""
+    tiles = pairs.groupBy("b").agg(F.expr(f"count(*) div {TILE} + 1").alias("tiles"))
+    dealt = stages.put(f"{name}-dealt", pairs.join(tiles, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("tiles")).alias("tile")))
+    own = dealt.select("b", "tile").distinct().select(F.col("b").alias("a"), "tile", F.lit(0).alias("side"), F.col("b").alias("node"))
+    rows = own.unionByName(dealt.select(F.col("b").alias("a"), "tile", F.lit(1).alias("side"), F.col("a").alias("node"))).join(sets, "node")
+    found = rows.groupBy("a", "tile").applyInArrow(_tile(0), "a long, b long, distance double")
+    return stages.put(name, found.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM,
@@ -229,44 +304,48 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links (null ids count as largest); repeated rows have equal sets.  Where
     ids are null or repeat, components may share a component_id.
     """
-    return _rooted(docs, id_col, text_col, n, percent, fold, row_block, pivots).drop("root")
+    stages = Stages(session(docs), "jaccard")
+    return _rooted(docs, id_col, text_col, n, percent, stages, fold, row_block, pivots).drop("root")
 
 
-def _rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, fold: bool = True,
+def _rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, stages: Stages, fold: bool = True,
             row_block: int = ROW_BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """The rows of ``jaccard_components`` with ``root``, the set node that names the component (null without words)."""
-    stages = Stages(session(docs), "jaccard")
+    if not 0 < percent <= 100:
+        raise ValueError("percent must be above 0 and at most 100")
+    spark = session(docs)
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("text")).select("doc_id", *C.text_key(F.col("text")), "text")
     sigs = stages.put("signatures", rows.mapInArrow(
-        _signatures(n, percent, fold),
-        f"doc_id {id_type}, k1 long, k2 long, n_shingles long, node long, blocks array<long>"))
-
-    # column blocks that different sets share: star edges from the smallest set
-    keys = sigs.select(F.explode("blocks").alias("key"), "node")
-    shared = stages.put("shared", keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
-                        .where("a <> b").select("key", "a"))
-    edges = keys.join(shared, "key").where("node <> a").select("a", F.col("node").alias("b"))
-    clusters = stages.put("clusters", components(edges, stages, "candidates")
-                          .select("node", F.col("root").alias("cluster")))
-
-    # the sets of the candidates, from one text each
-    text = sigs.join(clusters, "node", "left_semi").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"))
-    text = stages.put("chosen", text.select("node", "k.*"))
-    texts = C.texts_of(docs, text_col, text.select("k1", "k2")).join(text, ["k1", "k2"]).select("node", "text")
-    sets = stages.put("sets", texts.mapInArrow(_sets(n, fold), "node long, grams binary"))
-    members = stages.put("members", sets.join(clusters, "node"))
-    links = _tile_links(members, stages, percent, row_block, pivots)
+        _signatures(n, fold), f"doc_id {id_type}, k1 long, k2 long, n_shingles long, node long"))
+
+    # each set once, from one text
+    chosen = stages.put("chosen", sigs.where("node is not null").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"))
+                        .select("node", "k.*"))
+    texts = stages.put("texts", C.texts_of(docs, text_col, chosen.select("k1", "k2")).join(chosen, ["k1", "k2"]).select("node", "text"))
+    counts = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_gram_counts(n, fold), "gram long, c long")
+    top = (counts.groupBy("gram").agg(F.sum("c").alias("c")).where("c > 2")
+           .orderBy(F.col("c").desc(), "gram").limit(FREQUENT).collect())
+    gram = np.array([r["gram"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(gram)
+    frequent = spark.sparkContext.broadcast((gram[order], np.array([r["c"] for r in top], np.int64)[order]))
+    nodes = stages.put("nodes", texts.mapInArrow(_columns(n, percent, fold, frequent), "node long, n long, bits binary, columns array<long>"))
+    held = nodes.select(F.explode("columns").alias("key"), "node")
+    shared = held.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+    partners = stages.put("partners", held.join(shared, "key").select("node").distinct())
+    sets = stages.put("sets", C.keep_keys(texts, partners, ["node"]).mapInArrow(_sets(n, fold), "node long, grams binary"))
+    stages.drop("texts")
+    links = _links(nodes.join(partners, "node", "left_semi"), sets, percent, stages, row_block, pivots)
     linked = stages.put("linked", components(links, stages, "linked"))
 
     # equal sets are one node
     first = sigs.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"))
-    nodes = first.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
-    nodes = stages.put("nodes", nodes)
-    smallest = stages.put("smallest", nodes.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("sets")))
-    where = stages.put("where", nodes.join(smallest, "root").select("node", "root", "component_id"))
-    for key in ("shared", "clusters", "chosen", "sets", "members", "linked", "nodes", "smallest"):
+    named = first.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first")
+    named = stages.put("named", named)
+    smallest = stages.put("smallest", named.groupBy("root").agg(F.min("first").alias("component_id")))
+    where = stages.put("where", named.join(smallest, "root").select("node", "root", "component_id"))
+    for key in ("chosen", "nodes", "partners", "sets", "links1", "links2", "linked", "named", "smallest"):
         stages.drop(key)
     return (sigs.select("doc_id", "n_shingles", "node", "k1", "k2").join(where, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root", "k1", "k2"))
@@ -279,9 +358,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     Documents without words are groups of their own.  Rows that share an id
     and a group (repeated rows) keep one, the smallest text key first.
     """
-    found = _rooted(docs, id_col, text_col, n, percent)
     stages = Stages(session(docs), "keep-one")
-    found = stages.put("found", found)
+    found = stages.put("found", _rooted(docs, id_col, text_col, n, percent, stages))
+    stages.drop("signatures")
+    stages.drop("where")
     grouped = found.where("n_shingles > 0").groupBy("root")  # an id may be null or in several components
     best = stages.put("best", grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")).alias("m"))
                       .select("m.doc_id", "m.k1", "m.k2"))
@@ -294,5 +374,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     twice = stages.put("twice", kept.groupBy("id", "k1", "k2").agg(F.count("*").alias("c")).where("c > 1"))
     one = kept.join(twice.drop("c"), (kept["id"].eqNullSafe(twice["id"])) & (kept["k1"] == twice["k1"]) & (kept["k2"] == twice["k2"]), "left_anti").select("row")
     more = (kept.join(twice.drop("c"), (kept["id"].eqNullSafe(twice["id"])) & (kept["k1"] == twice["k1"]) & (kept["k2"] == twice["k2"]), "left_semi")
-            .groupBy("id", "k1", "k2").agg(F.first("row").alias("row")).select("row"))
+            .groupBy("id", "k1", "k2").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row"))
     return one.union(more).union(rows.where("not words").select("row")).select("row.*")
