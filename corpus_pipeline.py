@@ -9,7 +9,7 @@ stage's ``docs``.
 from __future__ import annotations
 
 from gleaner.llm import jaccard, mixing, packing, quality_rules, substring
-from gleaner.llm.common import Stages
+from gleaner.llm.common import Stages, scratch
 
 
 def quality(spark, docs, sf_dir):
@@ -53,7 +53,8 @@ def run(spark, sf_dir):
     stages = Stages(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stages.put(name, stage(spark, docs, sf_dir))
+        with scratch():  # an operator's own tables go once its result is stored
+            docs = stages.put(name, stage(spark, docs, sf_dir))
         if i:
             stages.drop(STAGES[i - 1][0])
     return docs
