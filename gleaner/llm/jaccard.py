@@ -9,9 +9,9 @@ n-grams.  Documents with equal n-gram sets collapse to one row (a node).
   share one of the first ``m - ceil(t m) + 1`` of each, so only these columns
   are multiplied.  A column of up to ``ROW_BLOCK`` rows gives all its pairs.
 * A longer column first pairs its rows with a few pivot rows of each size
-  class.  Jaccard distance is a metric: of the rows that this leaves outside
-  the column's main component, a pair needs a comparison only if the two
-  distances to the pivot differ by no more than the threshold allows.
+  class.  The rows that this leaves outside the column's main component are
+  then held, block by block, against all rows of other components; a block
+  gives only the pairs that the bounds below allow.
 * Pairs are discarded by size, then by parity bitmaps: the bits in which two
   bitmaps differ are a lower bound of the n-grams in which the sets differ.
 * The rest is multiplied in tiles, one row against a block of rows, counting
@@ -33,11 +33,13 @@ from gleaner.llm.graph import components
 NGRAM = 3
 PERCENT = 90
 #: Rows of a column that are paired directly.
-ROW_BLOCK = 16
+ROW_BLOCK = 3
 #: Pivot rows of each size class of a longer column.
 PIVOTS = 1
 #: Rows in a tile beside its own row.
 TILE = 256
+#: Rows in a block of the second pass over a longer column.
+BLOCK = 512
 #: One text in SAMPLE is read for the order of columns; at most FREQUENT n-grams count as frequent (8 bytes each, broadcast).
 SAMPLE = 16
 FREQUENT = 1 << 18
@@ -93,16 +95,29 @@ def _node(grams: np.ndarray) -> int | None:
     return int((C.mix(grams).sum(dtype=np.uint64) ^ np.uint64(len(grams))).view(np.int64)) if len(grams) else None
 
 
-def _signatures(n: int, fold: bool):
-    """mapInArrow body: (doc_id, k1, k2, text) -> the row without text, its set's size and key."""
+def _signatures(n: int, percent: int, fold: bool, frequent):
+    """mapInArrow body: (doc_id, k1, k2, text) -> the row without text, its set's size, key, bitmap and first columns."""
     def body(batches):
+        gram, count = frequent.value
         for batch in batches:
-            size, node = [], []
+            size, node, bits, cols, at = [], [], [], [], [0]
             for grams in ngram_sets(batch["text"], n, fold):
                 size.append(len(grams))
                 node.append(_node(grams))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["k1"], batch["k2"], pa.array(size, pa.int64()), pa.array(node, pa.int64())],
-                                             names=["doc_id", "k1", "k2", "n_shingles", "node"])
+                first = prefix_length(len(grams), percent) if len(grams) else 0
+                bits.append(bitmap(grams) if first else None)
+                if first:
+                    weight = np.zeros(len(grams), np.int64)
+                    if len(gram):
+                        i = np.minimum(np.searchsorted(gram, grams), len(gram) - 1)
+                        weight = np.where(gram[i] == grams, count[i], 0)
+                    cols.append(grams[np.lexsort((C.mix(grams), weight))[:first]].view(np.int64))
+                at.append(at[-1] + first)
+            flat = np.concatenate(cols) if cols else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], batch["k1"], batch["k2"], pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))],
+                names=["doc_id", "k1", "k2", "n_shingles", "node", "bits", "columns"])
 
     return body
 
@@ -121,33 +136,6 @@ def _gram_counts(n: int, fold: bool):
     return body
 
 
-def _columns(n: int, percent: int, fold: bool, frequent):
-    """mapInArrow body: (node, text) -> (node, n, bits, columns): size, bitmap and first columns of each set."""
-    def body(batches):
-        gram, count = frequent.value
-        for batch in batches:
-            nodes, sizes, bits, cols, at = [], [], [], [], [0]
-            for node, grams in zip(batch["node"].to_pylist(), ngram_sets(batch["text"], n, fold)):
-                first = prefix_length(len(grams), percent)
-                if not first:
-                    continue
-                weight = np.zeros(len(grams), np.int64)
-                if len(gram):
-                    i = np.minimum(np.searchsorted(gram, grams), len(gram) - 1)
-                    weight = np.where(gram[i] == grams, count[i], 0)
-                cols.append(grams[np.lexsort((C.mix(grams), weight))[:first]].view(np.int64))
-                nodes.append(node)
-                sizes.append(len(grams))
-                bits.append(bitmap(grams))
-                at.append(at[-1] + first)
-            flat = np.concatenate(cols) if cols else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat))], names=["node", "n", "bits", "columns"])
-
-    return body
-
-
 def _sets(n: int, fold: bool):
     """mapInArrow body: (node, text) -> the n-gram set as bytes."""
     def body(batches):
@@ -198,19 +186,21 @@ def _tile(percent: int):
     return body
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, stages: Stages, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts, percent: int, stages: Stages, name: str, fold: bool, n: int) -> DataFrame:
     """(a, b, distance) of the pairs (a, b) that link: bounds first, then tiles of whole sets."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
     near = pairs.join(left, "a").join(right, "b").mapInArrow(_close_bitmaps(percent), "a long, b long")
     near = stages.put(f"{name}-near", near)
+    needed = stages.put(f"{name}-needed", near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = stages.put(f"{name}-sets", texts(needed).mapInArrow(_sets(n, fold), "node long, grams binary"))
     tiles = near.groupBy("a").agg(F.expr(f"count(*) div {TILE} + 1").alias("tiles"))
     dealt = stages.put(f"{name}-dealt", near.join(tiles, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tiles")).alias("tile")))
     own = dealt.select("a", "tile").distinct().select("a", "tile", F.lit(0).alias("side"), F.col("a").alias("node"))
     rows = own.unionByName(dealt.select("a", "tile", F.lit(1).alias("side"), F.col("b").alias("node"))).join(sets, "node")
     found = stages.put(name, rows.groupBy("a", "tile").applyInArrow(_tile(percent), "a long, b long, distance double"))
-    stages.drop(f"{name}-near")
-    stages.drop(f"{name}-dealt")
+    for key in ("near", "needed", "sets", "dealt"):
+        stages.drop(f"{name}-{key}")
     return found
 
 
@@ -218,15 +208,12 @@ def _sizes_allow(percent: int):
     return F.expr(f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)")
 
 
-def _links(nodes: DataFrame, sets: DataFrame, percent: int, stages: Stages, row_block: int, pivots: int) -> DataFrame:
-    """Links (a, b) whose components are those of all links among the nodes."""
-    cell = nodes.select(F.explode("columns").alias("key"), "node", "n")
-    shared = stages.put("shared", cell.groupBy("key").agg(
-        F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h")).where("c > 1"))
+def _links(cell: DataFrame, nodes: DataFrame, texts, percent: int, stages: Stages, row_block: int, pivots: int, fold: bool, n: int) -> DataFrame:
+    """Links (a, b) whose components are those of all links among the nodes; cell(key, node, n) is a stored table."""
+    shared = cell.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
     # columns held by the same rows are one
     one = stages.put("one", shared.groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c"))
-    cell = stages.put("cells", cell.join(one, "key"))
-    stages.drop("shared")
+    cell = stages.put("once", cell.join(one, "key"))
     short = cell.where(F.col("c") <= row_block)
     members = short.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))  # at most row_block
     pairs = members.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> "
@@ -236,60 +223,64 @@ def _links(nodes: DataFrame, sets: DataFrame, percent: int, stages: Stages, row_
     long_ = stages.put("long", cell.where(F.col("c") > row_block).withColumn("cls", size_class))
     first = Window.partitionBy("key", "cls").orderBy("node")
     pivot = stages.put("pivots", long_.withColumn("r", F.row_number().over(first)).where(F.col("r") <= pivots)
-                       .select("key", "cls", F.col("node").alias("a"), F.col("n").alias("na"), "r"))
-    star = long_.join(pivot, ["key", "cls"]).select("key", "a", F.col("node").alias("b"), "na", F.col("n").alias("nb"), "r").where("a <> b")
+                       .select("key", "cls", F.col("node").alias("a"), F.col("n").alias("na")))
+    star = long_.join(pivot, ["key", "cls"]).select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb")).where("a <> b")
     ordered = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
                           F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb"))
     pairs = pairs.unionByName(ordered).where(_sizes_allow(percent)).select("a", "b").distinct()
-    links = _verified(pairs, nodes, sets, percent, stages, "links1")
+    links = _verified(pairs, nodes, texts, percent, stages, "links1", fold, n)
     if not long_.limit(1).count():
         return links.select("a", "b")
 
     # rows outside the main component of a long column, against all its rows of other components
     roots = components(links, stages, "round1")
-    placed = long_.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part"))
-    placed = stages.put("placed", placed)
+    placed = stages.put("placed", long_.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part")))
     parts = placed.groupBy("key", "part").agg(F.count("*").alias("c"))
     main = parts.groupBy("key").agg(F.max(F.struct("c", "part")).getField("part").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    main = stages.put("main", main.select("key", "main"))
-    open_ = placed.join(main, "key")
-    # distance to the main component's pivot where it is a link; a row that is not linked is further than the threshold
-    rest = open_.where("part <> main").select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    near = _pivot_distances(open_, links, pivot)
-    every = open_.join(near, ["key", "node"], "left").select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"), "main", "pivot", "d")
-    more = rest.join(every, "key").where(_sizes_allow(percent)).where("pa <> pb and (pb = main or a < b)")
-    far = stages.put("far", more.select("a", "b", "pivot", "d"))
-    stages.drop("placed")
-    # the pivot's distance to a rules b out if it exceeds d(pivot, b) by more than the threshold
-    probes = far.where("pivot is not null").select(F.col("a"), F.col("pivot").alias("b")).distinct()
-    reach = _distances(probes, sets, stages, "probes").select("a", F.col("b").alias("pivot"), F.col("distance").alias("da"))
-    limit = 1 - percent / 100 + 1e-9
-    wanted = far.join(reach, ["a", "pivot"], "left").where(F.col("da").isNull() | (F.col("da") - F.col("d") <= limit))
-    wanted = wanted.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links2 = _verified(wanted, nodes, sets, percent, stages, "links2")
-    for key in ("one", "cells", "long", "pivots", "main", "far"):
+    open_ = stages.put("open", placed.join(main.select("key", "main"), "key").join(nodes.select("node", "bits"), "node"))
+    blocks = open_.groupBy("key").agg(F.expr(f"count_if(part <> main) div {BLOCK} + 1").alias("ni"), F.expr(f"count(*) div {BLOCK} + 1").alias("nj"))
+    dealt = open_.join(blocks, "key").select("*", F.xxhash64("node").alias("h"))
+    row = ["node", "n", "part", "bits", F.expr("part = main").alias("inside")]
+    rest = dealt.where("part <> main").select("key", F.expr("pmod(h, ni)").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), F.lit(0).alias("side"), *row)
+    every = dealt.select("key", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), F.expr("pmod(h, nj)").alias("j"), F.lit(1).alias("side"), *row)
+    near = rest.unionByName(every).groupBy("key", "i", "j").applyInArrow(_close_blocks(percent), "a long, b long")
+    links2 = _verified(near.distinct(), nodes, texts, percent, stages, "links2", fold, n)
+    for key in ("one", "once", "long", "pivots", "placed", "open"):
         stages.drop(key)
     return links.select("a", "b").unionByName(links2.select("a", "b"))
 
 
-def _pivot_distances(rows: DataFrame, links: DataFrame, pivot: DataFrame) -> DataFrame:
-    """(key, node, pivot, d): one pivot of the column that the node links with, and the distance."""
-    both = links.select("a", "b", "distance").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
-    own = pivot.select("key", F.col("a").alias("p")).distinct()
-    found = both.join(own.withColumnRenamed("p", "a"), "a").select("key", F.col("b").alias("node"), F.col("a").alias("pivot"), F.col("distance").alias("d"))
-    found = found.unionByName(own.select("key", F.col("p").alias("node"), F.col("p").alias("pivot"), F.lit(0.0).alias("d")))
-    return (found.join(rows.select("key", "node"), ["key", "node"], "left_semi")
-            .groupBy("key", "node").agg(F.min(F.struct("d", "pivot")).alias("m")).select("key", "node", "m.pivot", "m.d"))
+def _bit_rows(bits: list[bytes], to: int) -> np.ndarray:
+    """Bitmaps of one length as rows of ``to`` bytes."""
+    x = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1)
+    while x.shape[1] > to:
+        x = x[:, :x.shape[1] // 2] ^ x[:, x.shape[1] // 2:]
+    return x
+
 
+def _close_blocks(percent: int):
+    """applyInArrow body: rows of a block outside the main component (side 0) against a block of all rows (side 1) -> close pairs."""
+    def body(table: pa.Table) -> pa.Table:
+        side, node, size, part = (table[c].to_numpy() for c in ("side", "node", "n", "part"))
+        inside = table["inside"].to_numpy()
+        bits = table["bits"].to_pylist()
+        width = np.array([len(x) for x in bits])
+        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for wa in np.unique(width[side == 0]):
+            for wb in np.unique(width[side == 1]):
+                a, b = np.flatnonzero((side == 0) & (width == wa)), np.flatnonzero((side == 1) & (width == wb))
+                to = min(wa, wb)
+                right = _bit_rows([bits[i] for i in b], to)
+                for i, left in zip(a, _bit_rows([bits[i] for i in a], to)):
+                    both = size[i] + size[b]
+                    apart = np.bitwise_count(right ^ left).sum(axis=1, dtype=np.int64)
+                    close = (apart <= both * (100 - percent) // (100 + percent)) & (part[b] != part[i]) & (inside[b] | (node[i] < node[b]))
+                    close &= 100 * np.minimum(size[b], size[i]) >= percent * np.maximum(size[b], size[i])
+                    found_a.append(np.minimum(node[b[close]], node[i]))
+                    found_b.append(np.maximum(node[b[close]], node[i]))
+        return pa.table({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
 
-def _distances(pairs: DataFrame, sets: DataFrame, stages: Stages, name: str) -> DataFrame:
-    """(a, b, distance) of every pair, in tiles of up to ``TILE`` rows."""
-    tiles = pairs.groupBy("b").agg(F.expr(f"count(*) div {TILE} + 1").alias("tiles"))
-    dealt = stages.put(f"{name}-dealt", pairs.join(tiles, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("tiles")).alias("tile")))
-    own = dealt.select("b", "tile").distinct().select(F.col("b").alias("a"), "tile", F.lit(0).alias("side"), F.col("b").alias("node"))
-    rows = own.unionByName(dealt.select(F.col("b").alias("a"), "tile", F.lit(1).alias("side"), F.col("a").alias("node"))).join(sets, "node")
-    found = rows.groupBy("a", "tile").applyInArrow(_tile(0), "a long, b long, distance double")
-    return stages.put(name, found.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    return body
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM,
@@ -317,26 +308,33 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, s
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     id_type = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("doc_id"), t.alias("text")).select("doc_id", *C.text_key(F.col("text")), "text")
-    sigs = stages.put("signatures", rows.mapInArrow(
-        _signatures(n, fold), f"doc_id {id_type}, k1 long, k2 long, n_shingles long, node long"))
 
-    # each set once, from one text
-    chosen = stages.put("chosen", sigs.where("node is not null").groupBy("node").agg(F.min(F.struct("k1", "k2")).alias("k"))
-                        .select("node", "k.*"))
-    texts = stages.put("texts", C.texts_of(docs, text_col, chosen.select("k1", "k2")).join(chosen, ["k1", "k2"]).select("node", "text"))
-    counts = texts.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(_gram_counts(n, fold), "gram long, c long")
+    sample = rows.where(F.pmod("k1", F.lit(SAMPLE)) == 0).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    counts = sample.select("text").mapInArrow(_gram_counts(n, fold), "gram long, c long")
     top = (counts.groupBy("gram").agg(F.sum("c").alias("c")).where("c > 2")
            .orderBy(F.col("c").desc(), "gram").limit(FREQUENT).collect())
     gram = np.array([r["gram"] for r in top], np.int64).view(np.uint64)
     order = np.argsort(gram)
     frequent = spark.sparkContext.broadcast((gram[order], np.array([r["c"] for r in top], np.int64)[order]))
-    nodes = stages.put("nodes", texts.mapInArrow(_columns(n, percent, fold, frequent), "node long, n long, bits binary, columns array<long>"))
-    held = nodes.select(F.explode("columns").alias("key"), "node")
+    sigs = stages.put("signatures", rows.mapInArrow(
+        _signatures(n, percent, fold, frequent),
+        f"doc_id {id_type}, k1 long, k2 long, n_shingles long, node long, bits binary, columns array<long>"))
+
+    held = sigs.select(F.explode("columns").alias("key"), "node", F.col("n_shingles").alias("n"))
     shared = held.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    partners = stages.put("partners", held.join(shared, "key").select("node").distinct())
-    sets = stages.put("sets", C.keep_keys(texts, partners, ["node"]).mapInArrow(_sets(n, fold), "node long, grams binary"))
-    stages.drop("texts")
-    links = _links(nodes.join(partners, "node", "left_semi"), sets, percent, stages, row_block, pivots)
+    shared = stages.put("shared", shared)
+    cell = stages.put("cells", C.keep_keys(held, shared, ["key"]).distinct())
+    partners = cell.select("node").distinct()
+    nodes = stages.put("nodes", sigs.join(partners, "node", "left_semi").groupBy("node").agg(
+        F.min("n_shingles").alias("n"), F.min("bits").alias("bits")))
+
+    def texts(needed: DataFrame) -> DataFrame:
+        """(node, text) for the nodes of a stored table, each from one text."""
+        chosen = stages.put("chosen", sigs.join(needed, "node", "left_semi").groupBy("node")
+                            .agg(F.min(F.struct("k1", "k2")).alias("k")).select("node", "k.*"))
+        return C.texts_of(docs, text_col, chosen.select("k1", "k2")).join(chosen, ["k1", "k2"]).select("node", "text")
+
+    links = _links(cell, nodes, texts, percent, stages, row_block, pivots, fold, n)
     linked = stages.put("linked", components(links, stages, "linked"))
 
     # equal sets are one node
@@ -345,7 +343,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, s
     named = stages.put("named", named)
     smallest = stages.put("smallest", named.groupBy("root").agg(F.min("first").alias("component_id")))
     where = stages.put("where", named.join(smallest, "root").select("node", "root", "component_id"))
-    for key in ("chosen", "nodes", "partners", "sets", "links1", "links2", "linked", "named", "smallest"):
+    for key in ("chosen", "shared", "cells", "nodes", "links1", "links2", "linked", "named", "smallest"):
         stages.drop(key)
     return (sigs.select("doc_id", "n_shingles", "node", "k1", "k2").join(where, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root", "k1", "k2"))

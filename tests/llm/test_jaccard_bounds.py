@@ -80,6 +80,7 @@ def test_prefixes_of_linked_sets_share_a_column():
 def test_groups_of_near_copies_and_shared_passages(spark, monkeypatch, n, percent, row_block, tile):
     """A large group of near copies, chains at the threshold, and one passage in many documents."""
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "BLOCK", tile)
     rnd = random.Random(11)
     words = lambda k, c: [f"{c}{rnd.randrange(2000)}" for _ in range(k)]
     base, passage = words(60, "b"), words(20, "p")
