@@ -5,15 +5,13 @@ the pieces are distributed DataFrame jobs:
 
 * ``eps_neighbors`` - exact pairs within ``eps``.  Up to three dimensions,
   points are hashed to grid cells of side ``eps`` and each probes the cells
-  around it; beyond, slabs are used as for ``knn``.
+  around it; beyond, blocks around pivots meet in tiles (``tiles``).
 * ``knn`` - exact k nearest neighbours of whole vectors in any dimension,
-  Euclidean or cosine.  Equal vectors count as one point until the end.
-  Points are sorted along one direction and cut into slabs of equal size; a
-  projection never enlarges a distance, so a point is settled once its k-th
-  candidate is nearer than the nearest slab not yet searched.  The rest search
-  twice as many slabs, down to the last.  With many dimensions and no
-  structure every exact search compares most pairs; work per task stays
-  bounded by the slab size times the points that probe it.
+  Euclidean or cosine.  Equal vectors count as one point until the end.  A
+  block first searches itself; the k-th distance found there bounds how far
+  the cell has to look, and only cells that the triangle inequality leaves are
+  met.  With many dimensions and no structure every exact search compares most
+  pairs; work per task stays bounded by two blocks.
 * ``connected_components`` - large-star / small-star rounds (Kiveris et al.
   2014) on an edge table, each round checkpointed to the shared folder.
 * ``density_cluster`` - DBSCAN* on core points: a point with at least
@@ -29,9 +27,11 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.operators import tiles
 from gleaner.session import checkpoint_dir
 
 
@@ -61,7 +61,7 @@ def eps_neighbors(points: DataFrame, eps: float, id_col: str = "vec_id", vec: st
     """``(src, dst, dist)`` for every ordered pair of distinct points within ``eps``."""
     d = dims or _dims(points, vec)
     if d > 3:
-        return _eps_by_slabs(points, eps, id_col, vec, d)
+        return _eps_by_tiles(points, eps, id_col, vec)
     p = points.select(id_col, vec, _cell(vec, eps).alias("cell"))
     probe = p.select(F.col(id_col).alias("src"), F.col(vec).alias("xs"),
                      F.explode(_offsets(d, 1)).alias("off"), "cell") \
@@ -72,80 +72,64 @@ def eps_neighbors(points: DataFrame, eps: float, id_col: str = "vec_id", vec: st
                 .filter(F.col("dist") <= F.lit(float(eps))))
 
 
-# ------------------------------------------------------------------- slabs
-SLAB_ROWS = 256
+# ------------------------------------------------------------------- tiles
+#: Vectors with copies are broadcast up to this many.
+COPIED_VECTORS = 20_000
+_SALTS = 32
 
 
-def _slabs(points: DataFrame, id_col: str, vec: str, d: int, rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """(points with their projection and slab, (slab, lo, hi), number of slabs).
-
-    The direction is a fixed random one, weighted by the coordinates' spread
-    (d numbers on the driver).
-    """
-    import numpy as np
-
-    from gleaner.operators.reviews import assign_row_id
-    spread = points.select(*[F.stddev_pop(F.col(vec)[j]).alias(f"s{j}") for j in range(d)]).first() if d else []
-    u = np.random.default_rng(11).normal(size=d) * np.array([x or 0.0 for x in spread])
-    u = u / (np.linalg.norm(u) or 1.0)
-    line = F.array(*[F.lit(float(x)) for x in u]).cast("array<double>")
-    along = F.aggregate(F.zip_with(vec, line, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    ordered = points.select(F.col(id_col).alias("id"), F.col(vec).alias("x"), along.alias("at")).orderBy("at", "id")
-    cut = assign_row_id(ordered, "pos").select("id", "x", "at", F.expr(f"pos div {int(rows)}").alias("slab")).checkpoint(eager=True)
-    ends = cut.groupBy("slab").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).checkpoint(eager=True)
-    return cut, ends, ends.count()
+def _vectors(points: DataFrame, id_col: str, vec: str) -> DataFrame:
+    """(id, x) with double vectors; null vectors and such with null or NaN parts are left out."""
+    p = points.select(F.col(id_col).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("x"))
+    return p.filter(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
 
 
-def _ring(todo: DataFrame, cut: DataFrame, n_slabs: int, r: int, r_prev: int) -> DataFrame:
-    """(src, dst, xs, xd, gap) with the points of slabs at r_prev < distance <= r from the source's own;
-    ``gap`` is the distance along the line, at most the true one."""
-    ring = F.filter(F.sequence(F.greatest(F.col("s") - r, F.lit(0)), F.least(F.col("s") + r, F.lit(n_slabs - 1))),
-                    lambda t: F.abs(t - F.col("s")) > r_prev)
-    probe = todo.select("src", "xs", "ps", F.explode(ring).alias("slab"))
-    other = cut.select("slab", F.col("id").alias("dst"), F.col("x").alias("xd"), F.col("at").alias("pd"))
-    return probe.join(other, "slab").select("src", "dst", "xs", "xd", F.abs(F.col("ps") - F.col("pd")).alias("gap"))
+def _representatives(p: DataFrame, groups: DataFrame) -> DataFrame:
+    """(id, rep) of p(id, x): the point that stands for all equal vectors; groups(x, rep, n).
 
+    Only vectors with copies are looked up: by broadcast where they are few,
+    else spread over salts, so that a much copied vector is not one key.
+    """
+    copied = groups.filter("n > 1").select("x", "rep")
+    if copied.limit(COPIED_VECTORS + 1).count() <= COPIED_VECTORS:
+        joined = p.join(F.broadcast(copied), "x", "left")
+    else:
+        spread = copied.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        joined = p.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")).join(spread, ["x", "salt"], "left")
+    return joined.select("id", F.coalesce("rep", "id").alias("rep"))
 
-def _unseen(todo: DataFrame, ends: DataFrame, r: int) -> DataFrame:
-    """Add ``free``: no point in a slab beyond r is nearer than this (null: there is none)."""
-    left = ends.select((F.col("slab") + r + 1).alias("s"), "hi")
-    right = ends.select((F.col("slab") - r - 1).alias("s"), "lo")
-    free = F.least(F.col("ps") - F.col("hi"), F.col("lo") - F.col("ps"))  # skips nulls
-    slack = F.lit(1e-9) * (1 + F.abs("ps"))  # rounding of the projections
-    return todo.join(left, "s", "left").join(right, "s", "left").withColumn("free", free - slack).drop("hi", "lo")
 
+def _eps_by_tiles(points: DataFrame, eps: float, id_col: str, vec: str) -> DataFrame:
+    import pyarrow as pa
 
-def _sources(cut: DataFrame) -> DataFrame:
-    return cut.select(F.col("id").alias("src"), F.col("x").alias("xs"), F.col("at").alias("ps"), F.col("slab").alias("s"))
+    checkpoint_dir(points.sparkSession)
+    blocks = tiles.Blocks(_vectors(points, id_col, vec))
+    id_type = dict(points.dtypes)[id_col]
 
+    def pairs(table):
+        a, b, own = tiles.split(table)
+        x, ids = tiles.matrix(table["x"]), table["id"].combine_chunks()
+        src, dst, dist = [], [], []
+        for i, j, d in tiles.close_pairs(x[a], x[b], float(eps)):
+            src.append(a[i]), dst.append(b[j]), dist.append(d)
+            if not own:
+                src.append(b[j]), dst.append(a[i]), dist.append(d)
+        src, dst, dist = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (src, dst, dist))
+        keep = src != dst
+        return pa.table({"src": ids.take(pa.array(src[keep])), "dst": ids.take(pa.array(dst[keep])), "dist": pa.array(dist[keep].astype(float))})
 
-def _eps_by_slabs(points: DataFrame, eps: float, id_col: str, vec: str, d: int) -> DataFrame:
-    checkpoint_dir(points.sparkSession)
-    p = points.select(id_col, F.transform(vec, lambda v: v.cast("double")).alias("x"))
-    cut, ends, n_slabs = _slabs(p, id_col, "x", d, SLAB_ROWS)
-    todo, found, r_prev, r = _sources(cut), [], -1, 1
-    while not found or not todo.isEmpty():
-        near = _ring(todo, cut, n_slabs, r, r_prev).filter((F.col("src") != F.col("dst")) & (F.col("gap") <= eps + 1e-9 * (1 + eps)))
-        found.append(near.select("src", "dst", _dist("xs", "xd").alias("dist")).filter(F.col("dist") <= F.lit(float(eps)))
-                     .checkpoint(eager=True))
-        todo = _unseen(todo, ends, r).filter(F.col("free") <= eps).drop("free").checkpoint(eager=True)
-        r_prev, r = r, 2 * r + 1
-    res = found[0]
-    for x in found[1:]:
-        res = res.unionByName(x)
-    return res
+    return blocks.tiles(eps).groupBy("lo", "hi").applyInArrow(pairs, f"src {id_type}, dst {id_type}, dist double")
 
 
 def knn(points: DataFrame, k: int, id_col: str = "vec_id", vec: str = "x", include_self: bool = False,
-        metric: str = "euclidean", slab_rows: int = SLAB_ROWS) -> DataFrame:
+        metric: str = "euclidean", slab_rows: int = tiles.BLOCK_ROWS) -> DataFrame:
     """Exact k nearest neighbours ``(src, dst, dist, rank)`` (ties by dst); all others where there are fewer.
 
     ``metric="cosine"`` gives 1 - cosine.  Null vectors, and zero vectors
     under cosine, take no part.  Ids are distinct.
     """
     checkpoint_dir(points.sparkSession)
-    x = F.transform(vec, lambda v: v.cast("double"))
-    p = points.filter(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), x.alias("x"))
+    p = _vectors(points, id_col, vec)
     if metric == "cosine":
         norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v))
         p = p.withColumn("n", norm).filter("n > 0").select("id", F.transform("x", lambda v: v / F.col("n")).alias("x"))
@@ -157,32 +141,15 @@ def knn(points: DataFrame, k: int, id_col: str = "vec_id", vec: str = "x", inclu
     groups = (p.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= need)
                .groupBy("x").agg(F.array_sort(F.collect_list("id")).alias("members"))
                .select(F.col("members")[0].alias("rep"), "x", "members").checkpoint(eager=True))
-    cut, ends, n_slabs = _slabs(groups, "rep", "x", _dims(groups, "x"), slab_rows)
-    todo = _sources(cut).withColumn("kd", F.lit(None).cast("double"))
+    if groups.isEmpty():
+        t = dict(points.dtypes)[id_col]
+        return points.sparkSession.createDataFrame([], f"src {t}, dst {t}, dist double, rank int")
+    found = _nearest_by_tiles(groups.select(F.col("rep").alias("id"), "x"), need, slab_rows)
     nearest = Window.partitionBy("src").orderBy("dist", "dst")
-    carry, done, r_prev, r = None, [], -1, 1
-    while not done or not todo.isEmpty():
-        reach = todo.select("src", "kd")
-        cand = _ring(todo.drop("kd"), cut, n_slabs, r, r_prev)
-        if carry is not None:
-            cand = cand.join(reach, "src").filter(F.col("kd").isNull() | (F.col("gap") <= F.col("kd") + 1e-9 * (1 + F.col("kd"))))
-        cand = cand.select("src", "dst", _dist("xs", "xd").alias("dist"))
-        cand = cand if carry is None else cand.unionByName(carry)
-        top = cand.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= need).drop("rank").checkpoint(eager=True)
-        kth = top.groupBy("src").agg(F.count("*").alias("n"), F.max("dist").alias("d"))
-        state = _unseen(todo.drop("kd"), ends, r).join(kth, "src", "left")
-        open_ = F.col("free").isNotNull() & ((F.coalesce("n", F.lit(0)) < need) | (F.col("d") >= F.col("free")))
-        todo = state.filter(open_).select("src", "xs", "ps", "s", F.when(F.col("n") >= need, F.col("d")).alias("kd")).checkpoint(eager=True)
-        done.append(top.join(todo.select("src"), "src", "left_anti"))
-        carry = top.join(todo.select("src"), "src", "left_semi")
-        r_prev, r = r, 2 * r + 1
-    res = done[0]
-    for t in done[1:]:
-        res = res.unionByName(t)
     out = groups.select(F.col("rep").alias("dst"), "members")
-    res = (res.join(out, "dst").select("src", F.explode("members").alias("dst"), "dist")
-              .withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= need).drop("rank"))
-    who = p.join(groups.select("x", F.col("rep").alias("src")), "x").select("id", "src")
+    res = (found.join(out, "dst").select("src", F.explode("members").alias("dst"), "dist")
+                .withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= need).drop("rank"))
+    who = _representatives(p, groups.select("x", "rep", F.size("members").alias("n"))).withColumnRenamed("rep", "src")
     res = who.join(res, "src").select(F.col("id").alias("src"), "dst", "dist")
     if not include_self:
         res = res.filter(F.col("src") != F.col("dst"))
@@ -191,6 +158,43 @@ def knn(points: DataFrame, k: int, id_col: str = "vec_id", vec: str = "x", inclu
     return res.select("src", "dst", dist.alias("dist"), F.col("rank").cast("int").alias("rank"))
 
 
+def _nearest_by_tiles(points: DataFrame, k: int, rows: int) -> DataFrame:
+    """(src, dst, dist): the k nearest points of each of points(id, x), itself included, ties by id."""
+    import pyarrow as pa
+
+    blocks = tiles.Blocks(points, rows)
+    id_type = dict(points.dtypes)["id"]
+
+    def search(table):
+        a, b, own = tiles.split(table)
+        x, ids = tiles.matrix(table["x"]), table["id"].combine_chunks()
+        order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        src, dst, dist = [], [], []
+        for one, two in ((a, b),) if own else ((a, b), (b, a)):
+            if len(one) and len(two):
+                for i, j, d in tiles.nearest(x[one], x[two], order[two], k):
+                    src.append(one[i]), dst.append(two[j]), dist.append(d)
+        src, dst, dist = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (src, dst, dist))
+        return pa.table({"src": ids.take(pa.array(src)), "dst": ids.take(pa.array(dst)), "dist": pa.array(dist.astype(float))})
+
+    schema = f"src {id_type}, dst {id_type}, dist double"
+    alone = blocks.table.drop("cell").select("*", F.col("block").alias("lo"), F.col("block").alias("hi"), F.lit(0).alias("side"))
+    first = alone.groupBy("lo", "hi").applyInArrow(search, schema).checkpoint(eager=True)
+    if blocks.parts.sum() == 1:
+        return first
+    # how far each cell has to look: the largest k-th distance of its points, unbounded where a block has fewer
+    kth = first.groupBy("src").agg(F.count("*").alias("c"), F.max("dist").alias("d"))
+    reach = np.full(len(blocks.pivots), 0.0)
+    far = blocks.table.select(F.col("id").alias("src"), "cell").join(kth, "src").groupBy("cell").agg(
+        F.min("c").alias("c"), F.max("d").alias("d")).collect()  # one row a pivot
+    for r in far:
+        reach[r["cell"]] = r["d"] if r["c"] >= k else np.inf
+    more = blocks.tiles(reach, own=False).groupBy("lo", "hi").applyInArrow(search, schema)
+    best = Window.partitionBy("src").orderBy("dist", "dst")
+    return (first.unionByName(more).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
+            .checkpoint(eager=True))
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src",
                          dst: str = "dst", max_rounds: int | None = None) -> DataFrame:
     """``(node, component)`` with component = smallest node id of its component.
@@ -259,14 +263,9 @@ def density_cluster(points: DataFrame, eps: float, min_samples: int = 5, min_clu
     Equal vectors are one point with a multiplicity, so copies make no pairs.
     """
     checkpoint_dir(points.sparkSession)
-    x = F.transform(vec, lambda v: v.cast("double"))
-    p = points.filter(F.col(vec).isNotNull()).select(F.col(id_col).alias("id"), x.alias("x"))
+    p = _vectors(points, id_col, vec)
     groups = p.groupBy("x").agg(F.min("id").alias("rep"), F.count("*").alias("n")).checkpoint(eager=True)
-    core, pairs = core_points(groups, eps, min_samples, "rep", "x", "n")
-    core = core.checkpoint(eager=True)
-    ids = core.select(F.col("src").alias("id"))
-    edges = (pairs.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-                  .join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+    ids, edges = _core_links(groups.select(F.col("rep").alias("id"), "x", "n"), eps, min_samples)
     comp = connected_components(edges, ids)
     sizes = (comp.join(groups.select(F.col("rep").alias("node"), "n"), "node")
                  .groupBy("component").agg(F.sum("n").alias("size")))
@@ -278,11 +277,60 @@ def density_cluster(points: DataFrame, eps: float, min_samples: int = 5, min_clu
     ranked = assign_row_id(big.orderBy(F.col("size").desc(), F.col("component")), "_rank") \
         .withColumn("cluster_id", F.col("_rank").cast("int"))
     labels = comp.join(ranked.select("component", "cluster_id"), "component").select(F.col("node").alias("rep"), "cluster_id")
-    who = p.join(groups.select("x", "rep"), "x").select(F.col("id").alias(id_col), "rep")
+    who = _representatives(p, groups).withColumnRenamed("id", id_col)
     return (points.select(id_col).join(who.join(labels, "rep").select(id_col, "cluster_id"), id_col, "left")
                   .select(id_col, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")))
 
 
+def _core_links(points: DataFrame, eps: float, min_samples: int, rows: int = tiles.BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(core ids, links (src, dst) whose components are those of all core pairs within eps) of points(id, x, n).
+
+    A tile gives one count a row, then, among core points, a spanning forest:
+    at most as many links as it has rows, however dense the region is.
+    """
+    import pyarrow as pa
+
+    blocks = tiles.Blocks(points, rows)
+    id_type = dict(points.dtypes)["id"]
+
+    def count(table):
+        a, b, own = tiles.split(table)
+        x, ids, n = tiles.matrix(table["x"]), table["id"].combine_chunks(), table["n"].to_numpy()
+        total = np.zeros(len(x), np.int64)
+        for i, j, _ in tiles.close_pairs(x[a], x[b], float(eps)):
+            np.add.at(total, a[i], n[b[j]])
+            if not own:
+                np.add.at(total, b[j], n[a[i]])
+        held = np.flatnonzero(total)
+        return pa.table({"id": ids.take(pa.array(held)), "c": pa.array(total[held])})
+
+    def forest(table):
+        a, b, own = tiles.split(table)
+        x, ids = tiles.matrix(table["x"]), table["id"].combine_chunks()
+        parent = list(range(len(x)))
+
+        def find(v):
+            while parent[v] != v:
+                parent[v] = parent[parent[v]]
+                v = parent[v]
+            return v
+
+        src, dst = [], []
+        for i, j, _ in tiles.close_pairs(x[a], x[b], float(eps), 64):
+            for u, v in zip(a[i].tolist(), b[j].tolist()):
+                p, q = find(u), find(v)
+                if p != q:
+                    parent[p] = q
+                    src.append(u), dst.append(v)
+        return pa.table({"src": ids.take(pa.array(src, pa.int64())), "dst": ids.take(pa.array(dst, pa.int64()))})
+
+    counts = blocks.tiles(eps).groupBy("lo", "hi").applyInArrow(count, f"id {id_type}, c long")
+    core = counts.groupBy("id").agg(F.sum("c").alias("c")).filter(F.col("c") >= min_samples).select("id").checkpoint(eager=True)
+    kept = blocks.table.join(core, "id", "left_semi").select(*blocks.table.columns)
+    links = blocks.tiles(eps, table=kept).groupBy("lo", "hi").applyInArrow(forest, f"src {id_type}, dst {id_type}").checkpoint(eager=True)
+    return core, links
+
+
 def outlier_score(labels: DataFrame, neighbors: DataFrame, min_samples: int, id_col: str = "vec_id",
                   floor: float = 1e-12) -> DataFrame:
     """``(vec_id, cluster_id, core_dist, outlier)`` in [0, 1], 0 = most central.
@@ -294,12 +342,15 @@ def outlier_score(labels: DataFrame, neighbors: DataFrame, min_samples: int, id_
     """
     cd = neighbors.filter(F.col("rank") == min_samples).select(F.col("src").alias(id_col),
                                                               F.col("dist").alias("core_dist"))
-    lab = labels.join(cd, id_col, "left")
-    dmin = lab.filter(F.col("cluster_id") != -1).groupBy("cluster_id").agg(F.min("core_dist").alias("_dmin"))
+    lab = labels.join(cd, id_col, "left").select(id_col, "cluster_id", "core_dist")
+    # noise needs no cluster minimum, and would be the hot key of that join
+    noise = lab.filter(F.col("cluster_id") == -1).withColumn("outlier", F.lit(1.0))
+    own = lab.filter(F.col("cluster_id") != -1)
+    dmin = own.groupBy("cluster_id").agg(F.min("core_dist").alias("_dmin"))
     d = F.greatest(F.col("core_dist"), F.lit(floor))
-    score = F.when(F.col("cluster_id") == -1, F.lit(1.0)).otherwise(
-        1 - F.greatest(F.col("_dmin"), F.lit(floor)) / d)
-    return lab.join(dmin, "cluster_id", "left").select(id_col, "cluster_id", "core_dist", score.alias("outlier"))
+    score = 1 - F.greatest(F.col("_dmin"), F.lit(floor)) / d
+    scored = own.join(dmin, "cluster_id").select(id_col, "cluster_id", "core_dist", score.alias("outlier"))
+    return scored.unionByName(noise)
 
 
 # --------------------------------------------------------------------------

@@ -110,3 +110,34 @@ def test_few_and_equal_points(spark):
     near = DEN.knn(equal, 3).groupBy("dst").count().collect()
     assert {r.dst: r["count"] for r in near} == {0: 3999, 1: 3999, 2: 3999, 3: 3}
     assert [tuple(r) for r in DEN.density_cluster(equal, 0.5).groupBy("cluster_id").count().collect()] == [(0, 4000)]
+
+
+def test_dense_ball_gives_few_links(spark):
+    """4,000 different points inside one eps ball: links grow with the points, not with their pairs."""
+    pts = spark.range(4000).select(F.col("id").alias("vec_id"), F.array(F.rand(3) / 100, F.rand(4) / 100, F.rand(5) / 100, F.rand(6) / 100).alias("x"))
+    pts = pts.checkpoint()
+    core, links = DEN._core_links(pts.select(F.col("vec_id").alias("id"), "x", F.lit(1).cast("long").alias("n")), 0.5, 5, 500)
+    assert core.count() == 4000
+    blocks = 4000 // 500 * 3  # cells are cut into blocks of at most 500 rows
+    assert links.count() <= 4000 * blocks
+    assert [tuple(r) for r in DEN.density_cluster(pts, 0.5).groupBy("cluster_id").count().collect()] == [(0, 4000)]
+
+
+def test_blocks_skip_far_cells(spark):
+    from gleaner.operators import tiles
+    rnd = random.Random(2)
+    rows = [(i, [c * 100.0 + rnd.random() for _ in range(6)]) for i, c in enumerate([0, 1, 2, 3] * 100)]
+    df = spark.createDataFrame(rows, "id long, x array<double>")
+    blocks = tiles.Blocks(df, 40)
+    met = {(r.cell, r.other) for r in blocks.partners(5.0).collect()}
+    group = [round(p[0] / 100 - 0.005) for p in blocks.pivots]
+    assert met and all(group[a] == group[b] for a, b in met)
+    pairs = {(r.src, r.dst) for r in DEN.eps_neighbors(df.withColumnRenamed("id", "vec_id"), 0.9).collect()}
+    assert pairs == {(i, j) for i, p in rows for j, q in rows if i != j and math.dist(p, q) <= 0.9}
+
+
+def test_many_copied_vectors_are_spread_over_salts(spark, monkeypatch):
+    monkeypatch.setattr(DEN, "COPIED_VECTORS", 0)
+    pts = [(0.0, 0.0)] * 30 + [(1.0, 0.0)] * 3 + [(5.0, 5.0)]
+    got = {r.vec_id: r.cluster_id for r in DEN.density_cluster(_points(spark, pts), 0.5, 3, 3).collect()}
+    assert got == _brute_dbscan(pts, 0.5, 3, 3)
