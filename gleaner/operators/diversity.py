@@ -75,6 +75,26 @@ def rbo_pairs(words: DataFrame, p: float = 0.9, top_n: int | None = 10,
                   .agg(F.sum(rbo_weight(F.col("_d"), F.col("_m"), p, variant)).alias("rbo")))
 
 
+def _rbo_total(words: DataFrame, p: float, top_n: int | None, s: list[str], topic_col: str, variant: str) -> DataFrame:
+    """``(*setting, _sum)``: RBO summed over all topic pairs, without forming a pair.
+
+    What a shared word adds to a pair depends only on its two ranks and the
+    two list lengths, so topics are counted by (word, rank, length) and the
+    classes of a word are paired, with the number of their topic pairs.
+    """
+    first, lens = _lists(words, s, topic_col, top_n)
+    classes = first.join(lens, [*s, topic_col]).groupBy(*s, "word", "rank", "len").agg(F.count(F.lit(1)).alias("c"))
+    a = classes.select(*s, "word", F.col("rank").alias("ra"), F.col("len").alias("la"), F.col("c").alias("ca"))
+    b = classes.select(*s, "word", F.col("rank").alias("rb"), F.col("len").alias("lb"), F.col("c").alias("cb"))
+    same = (F.col("ra") == F.col("rb")) & (F.col("la") == F.col("lb"))
+    pairs = F.when(same, F.col("ca") * (F.col("ca") - 1) / 2).otherwise(F.col("ca") * F.col("cb"))
+    met = (a.join(b, [*s, "word"]).filter(F.struct("ra", "la") <= F.struct("rb", "lb"))
+            .select(*s, pairs.alias("n"), F.greatest("ra", "rb").alias("d"), F.least("la", "lb").alias("m"))
+            .filter((F.col("d") <= F.col("m")) & (F.col("n") > 0)))
+    by_depth = met.groupBy(*s, "d", "m").agg(F.sum("n").alias("n"))
+    return by_depth.groupBy(*s).agg(F.sum(F.col("n") * rbo_weight(F.col("d"), F.col("m"), p, variant)).alias("_sum"))
+
+
 def irbo(words: DataFrame, p: float = 0.9, top_n: int | None = 10,
          setting_cols: Sequence[str] = ("setting",), topic_col: str = "topic",
          variant: str = "reference", settings: DataFrame | None = None) -> DataFrame:
@@ -87,7 +107,7 @@ def irbo(words: DataFrame, p: float = 0.9, top_n: int | None = 10,
     k = lens.groupBy(*s).agg(F.count(F.lit(1)).alias("n_topics"))
     if settings is not None:
         k = settings.select(*s).distinct().join(k, s, "left").fillna(0, subset=["n_topics"])
-    tot = rbo_pairs(words, p, top_n, s, topic_col, variant).groupBy(*s).agg(F.sum("rbo").alias("_sum"))
+    tot = _rbo_total(words, p, top_n, s, topic_col, variant)
     out = k.join(tot, s, "left").fillna(0.0, subset=["_sum"])
     pairs = F.col("n_topics") * (F.col("n_topics") - 1) / 2
     return out.select(*s, F.col("n_topics").cast("long").alias("n_topics"),

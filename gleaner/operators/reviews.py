@@ -72,8 +72,8 @@ def assign_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
     The DataFrame form of ``zipWithIndex``: count rows per partition (a table
     with one row per partition), prefix-sum those counts, and add each row's
     index inside its partition.  No row passes through Python and no window
-    runs over the whole table; only the per-partition counts are broadcast
-    (their size is the partition count).
+    runs over the whole table; only the per-partition counts are summed on the
+    driver and broadcast (their size is the partition count).
     """
     from gleaner.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
@@ -84,13 +84,11 @@ def assign_row_id(df: DataFrame, out: str = "row_id") -> DataFrame:
     tagged = (df.withColumn("_pid", F.spark_partition_id())
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))
-    from pyspark.sql import Window
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    offsets = offsets.fillna(0, subset=["_off"])
+    ahead, before = [], 0
+    for pid, n in sorted(tuple(r) for r in tagged.groupBy("_pid").count().collect()):
+        ahead.append((pid, before))
+        before += n
+    offsets = df.sparkSession.createDataFrame(ahead, "_pid int, _off long")
     local_index = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
     return (tagged.join(F.broadcast(offsets), "_pid")
                   .withColumn(out, (F.col("_off") + local_index).cast("long"))

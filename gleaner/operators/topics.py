@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.stopwords import TOPIC_FILLER
+from gleaner.operators.ordered import with_last_seen, with_next
 from gleaner.operators.reviews import assign_row_id, normalize_strip
 from gleaner.session import checkpoint_dir
 
@@ -101,10 +102,9 @@ def early_stop_index(mentions: DataFrame, n: int | None = 2000, doc_col: str = "
         firsts = firsts.join(_keyed_seeds(seeds).select("lvl", "key"), ["lvl", "key"], "left_anti")
     start = mentions.sparkSession.range(1).select(F.lit(0).cast("long").alias("p"))
     total = mentions.agg(F.max("idx").alias("_total"))
-    # one row per distinct topic: the ordering window runs over topics, not mentions
-    w = Window.orderBy("p")
-    gaps = (firsts.select("p").unionByName(start).crossJoin(F.broadcast(total))  # one-row table
-                  .withColumn("next_p", F.coalesce(F.lead("p").over(w), F.col("_total") + 1))
+    # one row per distinct topic: the order runs over topics, not mentions
+    gaps = (with_next(firsts.select("p").unionByName(start), "p", "next_p").crossJoin(F.broadcast(total))  # one-row table
+                  .withColumn("next_p", F.coalesce("next_p", F.col("_total") + 1))
                   .filter(F.col("next_p") > F.col("p") + n + 1))
     stop = gaps.agg(F.min(F.col("p") + n + 1).alias("idx"))
     # one row looks up its mention; the aggregate restores the NULL row
@@ -199,8 +199,8 @@ def topic_parents(parsed: DataFrame, max_level: int | None = None, no_col: str =
     whose level has no such node is dropped (orphan); a repeated name under
     the same parent adds its count to the first one.  Returns
     ``(node_id, lvl, name, count, desc, parent_id)``.  Levels are resolved one
-    after another (tree depth is small); the ordering windows run over the
-    topic file, one row per line.
+    after another (tree depth is small); the last node seen is carried along
+    ranges of lines.
     """
     lines = parsed.filter(F.col("status") == "ok").select(no_col, "lvl", "name", "count", "desc")
     if max_level is None:
@@ -215,15 +215,11 @@ def topic_parents(parsed: DataFrame, max_level: int | None = None, no_col: str =
             marks = created.select(F.col("node_id").alias(no_col), F.col("node_id").alias("_mark"))
             seq = cand.withColumn("_mark", F.lit(None).cast("long")).unionByName(
                 marks, allowMissingColumns=True)
-            w = Window.orderBy(no_col, F.col("_mark").asc_nulls_first()) \
-                      .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            cand = (seq.withColumn("parent_id", F.last("_mark", ignorenulls=True).over(w))
+            cand = (with_last_seen(seq, [no_col, "_mark"], "_mark", "parent_id")
                        .filter(F.col("_mark").isNull() & F.col("lvl").isNotNull()).drop("_mark")
                        .filter(F.col("parent_id").isNotNull()))
-        g = Window.partitionBy("parent_id", "name").orderBy(no_col)
-        nodes = (cand.withColumn("_first", F.first(no_col).over(g))
-                     .groupBy("parent_id", "name", "_first")
-                     .agg(F.sum("count").alias("count"),
+        nodes = (cand.groupBy("parent_id", "name")
+                     .agg(F.min(no_col).alias("_first"), F.sum("count").alias("count"),
                           F.min_by(F.col("desc"), F.col(no_col)).alias("desc"))
                      .select(F.col("_first").cast("long").alias("node_id"), F.lit(lvl).alias("lvl"), "name",
                              "count", "desc", "parent_id"))

@@ -43,6 +43,19 @@ def cluster_term_counts(units: DataFrame, group_cols: Sequence[str] = ("setting"
                  .groupBy(*g, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+#: Parts of a setting's vocabulary that are cut to ``n`` terms each before the final cut.
+_PARTS = 64
+
+
+def _top_terms(terms: DataFrame, group: list[str], n: int, order: list) -> DataFrame:
+    """The first ``n`` rows of each group, in two steps: no task sorts more than a part of a vocabulary, or ``n`` terms a part."""
+    part = F.pmod(F.xxhash64("term"), F.lit(_PARTS))
+    first = Window.partitionBy(*group, "_part").orderBy(*order)
+    last = Window.partitionBy(*group).orderBy(*order)
+    some = terms.withColumn("_part", part).withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= n).drop("_part")
+    return some.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= n).drop("_r")
+
+
 def ctfidf(tf: DataFrame, clusters: DataFrame, setting_cols: Sequence[str] = ("setting",),
            cluster_col: str = "cluster", stopwords: Sequence[str] | None = None,
            max_features: int | None = None, norm: str | None = None) -> DataFrame:
@@ -59,8 +72,7 @@ def ctfidf(tf: DataFrame, clusters: DataFrame, setting_cols: Sequence[str] = ("s
         tf = tf.filter(~F.col("term").isin(list(stopwords)))
     if max_features is not None:
         totals = tf.groupBy(*s, "term").agg(F.sum("tf").alias("_tot"))
-        w = Window.partitionBy(*s).orderBy(F.col("_tot").desc(), F.col("term"))
-        keep = totals.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_features)
+        keep = _top_terms(totals, s, max_features, [F.col("_tot").desc(), F.col("term")])
         tf = tf.join(keep.select(*s, "term"), [*s, "term"], "left_semi")
     n = clusters.groupBy(*s).agg(F.countDistinct(cluster_col).alias("_n"))
     df_ = tf.groupBy(*s, "term").agg(F.count(F.lit(1)).alias("_df"))
@@ -75,14 +87,24 @@ def ctfidf(tf: DataFrame, clusters: DataFrame, setting_cols: Sequence[str] = ("s
 
 
 def top_words(weights: DataFrame, n: int = 10, group_cols: Sequence[str] = ("setting", "cluster"),
-              positive_only: bool = True) -> DataFrame:
+              positive_only: bool = True, pad_zero: Sequence[str] | None = None) -> DataFrame:
     """Top ``n`` terms per cluster by weight (desc), ties by term desc.
 
     Returns ``(*group_cols, rank, word, weight)``.  Zero-weight words are not
-    padded in (``positive_only``).  ``row_number() <= n`` is planned as a
-    per-group limit before the shuffle.
+    padded in (``positive_only``).  With ``pad_zero`` (the columns that name a
+    setting) a cluster of fewer words is filled up to ``n`` with words of its
+    setting that it lacks, at weight 0, in the same tie order.
+    ``row_number() <= n`` is planned as a per-group limit before the shuffle.
     """
     g = list(group_cols)
+    if pad_zero is not None:
+        s = list(pad_zero)
+        # a cluster of fewer than n words lacks at least n of the last 2n words of its setting
+        last = _top_terms(weights.select(*s, "term").distinct(), s, 2 * n, [F.col("term").desc()])
+        few = weights.groupBy(*g).agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") < n).drop("_c")
+        extra = few.join(last, s).join(weights.select(*g, "term"), [*g, "term"], "left_anti").withColumn("weight", F.lit(0.0))
+        weights = weights.select(*g, "term", "weight").unionByName(extra.select(*g, "term", "weight"))
+        positive_only = False
     if positive_only:
         weights = weights.filter(F.col("weight") > 0)
     w = Window.partitionBy(*g).orderBy(F.round("weight", 9).desc(), F.col("term").desc())

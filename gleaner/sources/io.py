@@ -82,9 +82,16 @@ def read_corpus(spark: SparkSession, path: str, schema: Ty.StructType = CORPUS_S
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with 1-based ``line_no`` in file order."""
-    lines = spark.read.text(path).withColumnRenamed("value", "line")
-    return assign_row_id(lines, "line_no").withColumn("line_no", F.col("line_no") + 1)
+    """Text lines with 1-based ``line_no`` in file order; files of a folder follow each other by name.
+
+    Spark packs splits into partitions by size, so the order comes from each
+    line's file, the start of its split and its place among the lines read.
+    """
+    lines = spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    ordered = assign_row_id(lines.orderBy("_file", "_block", "_at"), "line_no")
+    return ordered.select("line", (F.col("line_no") + 1).alias("line_no"))
 
 
 def read_topic_lines(spark: SparkSession, path: str) -> DataFrame:
