@@ -431,6 +431,20 @@ def outlier_score(spark, sf_dir):
                     F.round("outlier", 6).alias("outlier"))
 
 
+from gleaner.operators import chain as CH  # noqa: E402
+
+CHAIN_EPS = {5: 0.33, 10: 0.72}
+
+
+@query
+def cluster_chain(spark, sf_dir):
+    """Units -> vectors -> two reductions -> density clusters -> representatives -> ranked sheet."""
+    units = FX.phrases(spark, sf_dir).join(FX.vectors(spark, sf_dir).select("vec_id", "vec"), "vec_id")
+    clustered = stage(spark, sf_dir, "chain_units", lambda: CH.clustered_units(units, CHAIN_EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE))
+    r = CH.ranked_sheet(clustered, TOP_K, ALPHA, N_SAMPLES)
+    return r.withColumn("rep_cosine_sim", F.round("rep_cosine_sim", 6))
+
+
 # ------------------------------------------------------ embeddings, reduction
 from gleaner.operators import embed as EMB  # noqa: E402
 

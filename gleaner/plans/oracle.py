@@ -6,6 +6,8 @@ documents embeddings pages benchmark labels conversations.
 
 from __future__ import annotations
 
+import re
+
 from gleaner.plans import sqltext as S
 
 ORACLE: dict[str, str] = {}
@@ -413,6 +415,26 @@ def _proj(k: int) -> str:
             "GROUP BY e.vec_id, j.j")
 
 
+def _chain(k: int, eps: float) -> str:
+    """Brute-force labels and outliers of one reduced dimension (tables suffixed with k)."""
+    den = _DEN.replace("embeddings", f"red{k}").replace("1.2", str(eps)).replace(
+        "list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x", "x")
+    for t in ("pts", "pairs", "nn", "cnt", "core", "ce", "reach", "comp", "sizes", "rk", "lab"):
+        den = re.sub(rf"(?<![A-Za-z_]){t}(?![A-Za-z_])", f"{t}{k}", den)
+    proj = _proj(k).replace("round(sum(", "(sum(").replace(", 6) AS value", ") AS value")
+    return (f"red{k} AS (SELECT p.vec_id, list(value ORDER BY pos) AS x FROM ({proj}) p "
+            f"JOIN documents d ON d.doc_id = p.vec_id GROUP BY p.vec_id), {den}, "
+            f"j{k} AS (SELECT l.*, n.dist AS cd FROM lab{k} l LEFT JOIN nn{k} n ON n.src = l.vec_id AND n.rank = 4), "
+            f"cl{k} AS (SELECT {k} AS dim, j.vec_id, j.cluster_id, CASE WHEN j.cluster_id = -1 THEN 1.0 ELSE "
+            f"1 - greatest(m.d, 1e-12) / greatest(j.cd, 1e-12) END AS outlier, r.x AS vec FROM j{k} j JOIN red{k} r ON r.vec_id = j.vec_id "
+            f"LEFT JOIN (SELECT cluster_id, min(cd) AS d FROM j{k} GROUP BY cluster_id) m ON m.cluster_id = j.cluster_id)")
+
+
+ORACLE["cluster_chain"] = (
+    "WITH RECURSIVE " + _chain(5, 0.33) + ", " + _chain(10, 0.72) + ", cl AS (SELECT * FROM cl5 UNION ALL SELECT * FROM cl10), "
+    + _CLU[_CLU.index("u AS (SELECT cl.*"):] + " SELECT rk.dim, CAST(rk.top_n AS INTEGER) AS top_n, rk.cluster_id, rk.size, rk.rep_phrase, "
+    "round(reps.rep_cosine_sim, 6) AS rep_cosine_sim, rk.sample_phrases, rk.aspect_label FROM rk JOIN reps "
+    "ON reps.dim = rk.dim AND reps.cluster_id = rk.cluster_id")
 ORACLE["random_projection"] = " UNION ALL ".join(_proj(k) for k in (2, 3, 5, 10, 20, 50))
 ORACLE["reduce_manifest"] = (
     "SELECT dim_label, n_components, count(*) AS rows FROM (SELECT 'orig' AS dim_label, 64 AS n_components "
