@@ -17,7 +17,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -94,36 +94,78 @@ def hashing_encoder_factory(dim: int = 64) -> Callable[[], Callable]:
     return factory
 
 
-_MODELS: dict = {}
+_ENCODERS: dict = {}  # of this Python worker, by what the factory is, not by what it is called
 
 
-def embed_units(units: DataFrame, encoder_factory: Callable[[], Callable], model_name: str,
-                key_cols: Sequence[str] = ("review_id", "unit_pos"), text_col: str = "unit",
-                batch_size: int = 64) -> DataFrame:
-    """``(key..., model, vec ARRAY<DOUBLE>)`` from a pluggable batch encoder.
+def _encoder(key: str, factory: Callable[[], Callable]) -> Callable:
+    if key not in _ENCODERS:
+        _ENCODERS[key] = factory()
+    return _ENCODERS[key]
+
+
+def _factory_key(factory: Callable[[], Callable]) -> str:
+    """Digest of a factory with the parameters it holds."""
+    import hashlib
+
+    from pyspark import cloudpickle
+    return hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+
+
+#: Parts that the units of a model are dealt to, for each default partition of the session.
+PARTS_PER_CORE = 2
 
-    The encoder is created once per Python worker (cached by model name) and
-    called on Arrow batches; Spark partitions and schedules the work.
+
+def embed_models(units: DataFrame, models: Mapping[str, Callable[[], Callable]], key_cols: Sequence[str] = ("review_id", "unit_pos"),
+                 text_col: str = "unit", batch_size: int = 64, normalise: bool | Mapping[str, bool] = False) -> DataFrame:
+    """``(key..., model, vec ARRAY<DOUBLE>)``: every unit encoded by every model.
+
+    ``models`` gives an encoder factory for each name.  The names are joined to
+    the units as a table and the rows dealt by model, so a task loads one
+    encoder or few; encoders are kept by factory and parameters, so two calls
+    that use one name for different models do not share an encoder.
+    ``normalise`` (for all, or by name) scales vectors to unit length; a zero
+    vector stays as it is.
     """
     keys = list(key_cols)
+    spark = units.sparkSession
+    wanted = {name: (normalise if isinstance(normalise, bool) else bool(normalise.get(name, False))) for name in models}
+    plan = {name: (_factory_key(f), f, wanted[name]) for name, f in models.items()}
+    names = spark.createDataFrame([(n,) for n in sorted(models)], "model string")
+    parts = max(1, spark.sparkContext.defaultParallelism * PARTS_PER_CORE)
+    salt = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+    rows = units.select(*keys, text_col).crossJoin(F.broadcast(names))  # one row a model
+    if len(models) > 1:
+        rows = rows.withColumn("_salt", salt).repartition(parts * len(models), "model", "_salt").drop("_salt")
     fields = [f for f in units.schema.fields if f.name in keys]
     schema = Ty.StructType(fields + [Ty.StructField("model", Ty.StringType()),
                                      Ty.StructField("vec", Ty.ArrayType(Ty.DoubleType()))])
 
     def run(batches):
+        import numpy as np
         import pandas as pd
-        enc = _MODELS.get(model_name)
-        if enc is None:
-            enc = _MODELS[model_name] = encoder_factory()
         for pdf in batches:
-            # the encoder sees at most batch_size texts per call
-            mats = [enc(pdf[text_col].iloc[i:i + batch_size].tolist()) for i in range(0, len(pdf), batch_size)]
-            res = pdf[keys].copy()
-            res["model"] = model_name
-            res["vec"] = pd.Series([row for m in mats for row in m], index=pdf.index, dtype=object)
-            yield res
-
-    return units.select(*keys, text_col).mapInPandas(run, schema)
+            for name, part in pdf.groupby("model", sort=False):
+                key, factory, unit_length = plan[name]
+                encode = _encoder(key, factory)
+                # the encoder sees at most batch_size texts per call
+                mats = [np.asarray(encode(part[text_col].iloc[i:i + batch_size].tolist()), np.float64)
+                        for i in range(0, len(part), batch_size)]
+                vecs = np.concatenate(mats)
+                if unit_length:
+                    norm = np.sqrt((vecs * vecs).sum(axis=1, keepdims=True))
+                    vecs = vecs / np.where(norm > 0, norm, 1.0)
+                res = part[[*keys, "model"]].copy()
+                res["vec"] = pd.Series(list(vecs), index=part.index, dtype=object)
+                yield res
+
+    return rows.select(*keys, "model", text_col).mapInPandas(run, schema)
+
+
+def embed_units(units: DataFrame, encoder_factory: Callable[[], Callable], model_name: str,
+                key_cols: Sequence[str] = ("review_id", "unit_pos"), text_col: str = "unit",
+                batch_size: int = 64, normalise: bool = False) -> DataFrame:
+    """``embed_models`` with one model."""
+    return embed_models(units, {model_name: encoder_factory}, key_cols, text_col, batch_size, normalise)
 
 
 # ------------------------------------------------------- dimension reduction

@@ -477,6 +477,14 @@ def embed_units_plugin(spark, sf_dir):
     return _sparse(e, ["review_id", "unit_pos"])
 
 
+@query
+def embed_models(spark, sf_dir):
+    """Two encoders, one of them with unit-length vectors."""
+    models = {"hash32": EMB.hashing_encoder_factory(32), "hash64": EMB.hashing_encoder_factory(HASH_DIM)}
+    e = EMB.embed_models(mintoken_units(spark, sf_dir), models, normalise={"hash32": True})
+    return _sparse(e, ["review_id", "unit_pos", "model"])
+
+
 @query
 def random_projection(spark, sf_dir):
     vecs = FX.vectors(spark, sf_dir)

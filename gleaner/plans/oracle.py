@@ -408,6 +408,14 @@ ORACLE["embed_units_plugin"] = ORACLE["hash_embed"]
 ORACLE["hash_embed_dense"] = ORACLE["hash_embed"]
 
 
+ORACLE["embed_models"] = (
+    "WITH " + _units_dedup() + ", " + _HASH + ", " + _HASH.replace("hw AS", "hw2 AS").replace("FROM hw)", "FROM hw2)").replace(
+        "hb AS", "hb2 AS").replace("FROM hb ", "FROM hb2 ").replace("hv AS", "hv2 AS").replace("% 64", "% 32")
+    + ", n2 AS (SELECT review_id, unit_pos, sqrt(sum(value * value)) AS norm FROM hv2 GROUP BY ALL) "
+    "SELECT review_id, unit_pos, 'hash64' AS model, bucket, value FROM hv UNION ALL SELECT hv2.review_id, hv2.unit_pos, 'hash32', "
+    "bucket, round(value / norm, 6) FROM hv2 JOIN n2 ON n2.review_id = hv2.review_id AND n2.unit_pos = hv2.unit_pos")
+
+
 def _proj(k: int) -> str:
     return (f"SELECT e.vec_id, '{k}d' AS dim_label, CAST(j.j AS INTEGER) AS pos, round(sum(CAST(e.embedding[i.i + 1] AS DOUBLE) * "
             f"CASE WHEN ('0x' || substr(md5('42:' || CAST(i.i * {k} + j.j AS VARCHAR)), 1, 8))::UBIGINT % 2 = 0 "
