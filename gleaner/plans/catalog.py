@@ -215,6 +215,38 @@ def coherence_cv(spark, sf_dir):
     return cv.select("setting", F.col("topic").alias("cluster"), "n_words", F.round("c_v", 6).alias("c_v"))
 
 
+def external_words(spark, sf_dir, variant):
+    """(setting, topic, rank, word) read back from topic-word JSON files: the sets of the smaller top-k."""
+    path = scratch_path(spark, sf_dir, f"external_topics_{variant}")
+    small = setting_top_words(spark, sf_dir, variant).withColumnRenamed("cluster", "topic").filter(
+        F.col("setting").endswith(f"_top{min(TOPKS)}"))
+    IO.write_topic_words(small.select("setting", "topic", "rank", "word"), path, "topics")
+    return IO.read_topic_words(spark, path).select("setting", F.col("topic_id").cast("string").alias("topic"), "rank", "word")
+
+
+def by_source(spark, sf_dir, variant):
+    """Words of the clusters and of the external topics, told apart by ``source``."""
+    own = setting_top_words(spark, sf_dir, variant).select("setting", F.col("cluster").alias("topic"), "rank", "word")
+    return own.withColumn("source", F.lit("clusters")).unionByName(
+        external_words(spark, sf_dir, variant).withColumn("source", F.lit("external")))
+
+
+@query
+def irbo_sources(spark, sf_dir):
+    r = DIV.irbo(by_source(spark, sf_dir, "raw"), p=0.9, top_n=TOP_N_WORDS, setting_cols=["source", "setting"])
+    return r.select("source", "setting", "n_topics", F.round("irbo", 6).alias("irbo"))
+
+
+@query
+def coherence_sources(spark, sf_dir):
+    texts = COH.tokenised_texts(mintoken_units(spark, sf_dir))
+    words = by_source(spark, sf_dir, "l2")
+    keys = ["source", "setting"]
+    topics = COH.clean_topics(words, COH.present_terms(texts, words), setting_cols=keys)
+    s = COH.coherence_summary(COH.coherence_cv(texts, topics, setting_cols=keys), keys, settings=words)
+    return s.select("source", "setting", "k", F.round("avg_c_v", 6).alias("avg_c_v"))
+
+
 @query
 def coherence_summary(spark, sf_dir):
     texts, _, topics = coherence_inputs(spark, sf_dir)

@@ -183,6 +183,14 @@ ORACLE["coherence_summary"] = ("WITH " + _top_words_cte("l2") + ", " + _COH_CTE
                                " SELECT setting, count(*) AS k, round(avg(c_v), 6) AS avg_c_v FROM cv GROUP BY setting")
 
 
+ORACLE["irbo_sources"] = (
+    "WITH " + _top_words_cte("raw") + ", " + _RBO_CTE + ", o AS (SELECT setting, n_topics, round(irbo, 6) AS irbo FROM irbo) "
+    "SELECT 'clusters' AS source, * FROM o UNION ALL SELECT 'external' AS source, * FROM o WHERE ends_with(setting, '_top5')")
+ORACLE["coherence_sources"] = (
+    "WITH " + _top_words_cte("l2") + ", " + _COH_CTE + ", o AS (SELECT setting, count(*) AS k, round(avg(c_v), 6) AS avg_c_v FROM cv "
+    "GROUP BY setting) SELECT 'clusters' AS source, * FROM o UNION ALL SELECT 'external' AS source, * FROM o WHERE ends_with(setting, '_top5')")
+
+
 # ------------------------------------------ clusters, representatives, table
 _CLU = (
     "cl AS (SELECT 5 AS dim, vec_id, CASE WHEN label = 0 THEN -1 ELSE label END AS cluster_id, "
