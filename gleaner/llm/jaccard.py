@@ -11,7 +11,9 @@ n-grams.  Documents with equal n-gram sets collapse to one row (a node).
 * A longer column first pairs its rows with a few pivot rows of each size
   class.  The rows that this leaves outside the column's main component are
   then held, block by block, against all rows of other components; a block
-  gives only the pairs that the bounds below allow.
+  gives only the pairs that the bounds below allow, and leaves a pair to an
+  earlier column that holds both rows: each row brings the EARLIER columns
+  before this one, so a pair is always given by the first column it shares.
 * Pairs are discarded by size, then by parity bitmaps: the bits in which two
   bitmaps differ are a lower bound of the n-grams in which the sets differ.
 * The rest is multiplied in tiles, one row against a block of rows, counting
@@ -40,6 +42,8 @@ PIVOTS = 1
 TILE = 256
 #: Rows in a block of the second pass over a longer column.
 BLOCK = 512
+#: Earlier columns that a row brings into a block (8 bytes each); more only save repeated pairs.
+EARLIER = 32
 #: One text in SAMPLE is read for the order of columns; at most FREQUENT n-grams count as frequent (8 bytes each, broadcast).
 SAMPLE = 16
 FREQUENT = 1 << 18
@@ -237,10 +241,12 @@ def _links(cell: DataFrame, nodes: DataFrame, texts, percent: int, stages: Stage
     placed = stages.put("placed", long_.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part")))
     parts = placed.groupBy("key", "part").agg(F.count("*").alias("c"))
     main = parts.groupBy("key").agg(F.max(F.struct("c", "part")).getField("part").alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = stages.put("open", placed.join(main.select("key", "main"), "key").join(nodes.select("node", "bits"), "node"))
+    before = Window.partitionBy("node").orderBy("key").rowsBetween(-EARLIER, -1)  # the columns of one set
+    open_ = stages.put("open", placed.join(main.select("key", "main"), "key").withColumn("earlier", F.collect_list("key").over(before))
+                       .join(nodes.select("node", "bits"), "node"))
     blocks = open_.groupBy("key").agg(F.expr(f"count_if(part <> main) div {BLOCK} + 1").alias("ni"), F.expr(f"count(*) div {BLOCK} + 1").alias("nj"))
     dealt = open_.join(blocks, "key").select("*", F.xxhash64("node").alias("h"))
-    row = ["node", "n", "part", "bits", F.expr("part = main").alias("inside")]
+    row = ["node", "n", "part", "bits", "earlier", F.expr("part = main").alias("inside")]
     rest = dealt.where("part <> main").select("key", F.expr("pmod(h, ni)").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), F.lit(0).alias("side"), *row)
     every = dealt.select("key", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), F.expr("pmod(h, nj)").alias("j"), F.lit(1).alias("side"), *row)
     near = rest.unionByName(every).groupBy("key", "i", "j").applyInArrow(_close_blocks(percent), "a long, b long")
@@ -264,6 +270,7 @@ def _close_blocks(percent: int):
         side, node, size, part = (table[c].to_numpy() for c in ("side", "node", "n", "part"))
         inside = table["inside"].to_numpy()
         bits = table["bits"].to_pylist()
+        earlier = [frozenset(x) for x in table["earlier"].to_pylist()]
         width = np.array([len(x) for x in bits])
         found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for wa in np.unique(width[side == 0]):
@@ -276,8 +283,9 @@ def _close_blocks(percent: int):
                     apart = np.bitwise_count(right ^ left).sum(axis=1, dtype=np.int64)
                     close = (apart <= both * (100 - percent) // (100 + percent)) & (part[b] != part[i]) & (inside[b] | (node[i] < node[b]))
                     close &= 100 * np.minimum(size[b], size[i]) >= percent * np.maximum(size[b], size[i])
-                    found_a.append(np.minimum(node[b[close]], node[i]))
-                    found_b.append(np.maximum(node[b[close]], node[i]))
+                    first = [j for j in b[close].tolist() if earlier[i].isdisjoint(earlier[j])]  # an earlier column gives the others
+                    found_a.append(np.minimum(node[first], node[i]))
+                    found_b.append(np.maximum(node[first], node[i]))
         return pa.table({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
 
     return body

@@ -101,6 +101,35 @@ def test_groups_of_near_copies_and_shared_passages(spark, monkeypatch, n, percen
     assert len(set(want.values())) < len(texts) - 20
 
 
+def test_blocks_leave_pairs_to_an_earlier_column():
+    import pyarrow as pa
+
+    def near(earlier):
+        grams = np.arange(1, 41, dtype=np.uint64)
+        bits = [jaccard.bitmap(grams), jaccard.bitmap(grams[:-1])]
+        table = pa.table({"side": [0, 1], "node": [5, 9], "n": [40, 39], "part": [5, 9], "inside": [False, False],
+                          "bits": bits, "earlier": pa.array(earlier, pa.list_(pa.int64()))})
+        return jaccard._close_blocks(80)(table).to_pylist()
+
+    assert near([[], []]) == near([[1, 2], [3]]) == [{"a": 5, "b": 9}]
+    assert near([[1, 2], [2, 3]]) == []
+
+
+@pytest.mark.parametrize("earlier", [1, 32])
+def test_chains_of_sizes_with_few_earlier_columns(spark, monkeypatch, earlier):
+    monkeypatch.setattr(jaccard, "EARLIER", earlier)
+    rnd = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for _ in range(60):
+        near = list(base)
+        for _ in range(rnd.randint(0, 5)):
+            near[rnd.randrange(80)] = f"n{rnd.randrange(10 ** 6)}"
+        texts.append(" ".join(near))
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(_docs(spark, texts), n=5, percent=80).collect()}
+    assert got == _roots(texts, 5, 80)
+
+
 def test_scratch_removes_what_operators_opened(spark):
     import os
     with C.scratch() as opened:
