@@ -19,6 +19,8 @@ the pieces are distributed DataFrame jobs:
   points within ``eps`` are linked, components with fewer than
   ``min_cluster_size`` members and all border points are noise (-1).
   Cluster ids are size ranks (ties by smallest member).
+* ``reachability_tree`` - the exact minimum spanning tree of mutual
+  reachability: trees of tiles, then Boruvka rounds on the edge table.
 * ``outlier_score`` - ``1 - d_min / d`` with d the core distance and d_min
   the smallest core distance in the cluster (GLOSH with lambda = 1/d).
 """
@@ -371,6 +373,118 @@ def _mutual_reachability_edges(points: DataFrame, min_samples: int, k_graph: int
              .groupBy("u", "v").agg(F.min(F.greatest("dist", "cu", "cv")).alias("w")))
 
 
+def reachability_tree(points: DataFrame, min_samples: int = 5, id_col: str = "vec_id", vec: str = "x",
+                      rows: int = tiles.BLOCK_ROWS) -> DataFrame:
+    """``(u, v, w)``, u < v: the minimum spanning tree of mutual reachability, ties by (w, u, v).
+
+    w is the largest of both core distances (to the ``min_samples``-th point,
+    itself included) and the distance.  Null vectors take no part; equal
+    vectors hang on the smallest id of their group.  With fewer than
+    ``min_samples`` points there are no core distances and the tree is empty.
+
+    Each tile gives the spanning tree of its own pairs, at most one edge a
+    row: an edge of the whole tree is in the tree of its tile.  The pivots and
+    their cells span all points, so no edge of the tree is longer than the
+    longest of those, and cells further apart do not meet.  What the tiles
+    leave is reduced by Boruvka rounds on the edge table.
+    """
+    import pyarrow as pa
+
+    checkpoint_dir(points.sparkSession)
+    p = _vectors(points, id_col, vec)
+    id_type = dict(p.dtypes)["id"]
+    schema = f"u {id_type}, v {id_type}, w double"
+    groups = p.groupBy("x").agg(F.min("id").alias("rep"), F.count("*").alias("n")).checkpoint(eager=True)
+    near = knn(p.select(F.col("id").alias("vec_id"), "x"), min_samples, include_self=True)
+    core = near.filter(F.col("rank") == min_samples).select(F.col("src").alias("id"), F.col("dist").alias("core"))
+    core = core.checkpoint(eager=True)
+    reps = groups.select(F.col("rep").alias("id"), "x").join(core, "id").checkpoint(eager=True)
+    top = reps.agg(F.max("core").alias("core")).first()["core"]
+    if top is None:
+        return points.sparkSession.createDataFrame([], schema)
+    blocks = tiles.Blocks(reps, rows)
+    used = blocks.parts > 0
+    reach = max(top, float(blocks.radius.max()), _longest_link(blocks.pivots[used]))
+
+    def tree(table):
+        a, b, own = tiles.split(table)
+        x, ids, cores = tiles.matrix(table["x"]), table["id"].combine_chunks(), table["core"].to_numpy()
+        order = pa.compute.sort_indices(ids).to_numpy()
+        side = np.zeros(len(x), np.int8)
+        if not own:
+            side[b] = 1
+        i, j, w = _spanning_tree(x[order], cores[order], None if own else side[order])
+        return pa.table({"u": ids.take(pa.array(order[i])), "v": ids.take(pa.array(order[j])), "w": pa.array(w)})
+
+    local = blocks.tiles(reach).groupBy("lo", "hi").applyInArrow(tree, schema).checkpoint(eager=True)
+    copies = (_representatives(p, groups).filter(F.col("id") != F.col("rep"))
+              .join(core.withColumnRenamed("id", "rep"), "rep").select(F.col("rep").alias("u"), F.col("id").alias("v"), F.col("core").alias("w")))
+    return minimum_tree(local).unionByName(copies)
+
+
+def _longest_link(x: np.ndarray) -> float:
+    """Longest edge of the spanning tree of a few points."""
+    return float(_spanning_tree(x, np.zeros(len(x)), None)[2].max(initial=0.0))
+
+
+def _spanning_tree(x: np.ndarray, core: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges (i < j, w) of the minimum spanning tree of the rows, ties by (w, i, j); with ``side`` of pairs across only.
+
+    Grown from one row: one row of distances at a time, so memory is that of the rows.
+    """
+    n = len(x)
+    if n < 2 or side is not None and side.min() == side.max():
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    at = np.arange(n)
+    weight, source, open_ = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
+    found, now = [], 0
+    for _ in range(n - 1):
+        open_[now] = False
+        met = np.flatnonzero(open_ if side is None else open_ & (side != side[now]))
+        w = np.maximum(np.maximum(core[met], core[now]), tiles.exact(x[met], np.broadcast_to(x[now], (len(met), x.shape[1]))))
+        low, high = np.minimum(met, now), np.maximum(met, now)
+        old_low, old_high = np.minimum(met, source[met]), np.maximum(met, source[met])
+        better = (w < weight[met]) | (w == weight[met]) & ((low < old_low) | (low == old_low) & (high < old_high))
+        weight[met[better]], source[met[better]] = w[better], now
+        left = at[open_]
+        left = left[weight[left] == weight[left].min()]
+        now = int(left[np.lexsort((np.maximum(left, source[left]), np.minimum(left, source[left])))[0]])
+        found.append((min(now, source[now]), max(now, source[now]), weight[now]))
+    i, j, w = zip(*found)
+    return np.array(i, np.int64), np.array(j, np.int64), np.array(w, np.float64)
+
+
+def minimum_tree(edges: DataFrame) -> DataFrame:
+    """Minimum spanning forest of ``edges(u, v, w)``, ties by (w, u, v), by Boruvka rounds.
+
+    Each round every component takes its smallest edge.  Those edges hold one
+    pair of components that chose each other for each new component; its
+    smaller one is the root, the others find it by pointer doubling.  Rounds
+    halve the components at least.
+    """
+    live = edges.filter(F.col("u") != F.col("v")).select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")).checkpoint(eager=True)
+    found = edges.select("u", "v", "w").limit(0)
+    while live.limit(1).count():
+        both = live.unionByName(live.select("u", "v", "w", F.col("b").alias("a"), F.col("a").alias("b")))
+        best = both.groupBy("a").agg(F.min(F.struct("w", "u", "v", "b")).alias("m")).select("a", "m.*").checkpoint(eager=True)
+        found = found.unionByName(best.select("u", "v", "w").distinct()).checkpoint(eager=True)
+        back = best.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        to = best.join(back, "b").select(F.col("a").alias("node"), F.when((F.col("a") == F.col("c")) & (F.col("a") < F.col("b")), F.col("a"))
+                                         .otherwise(F.col("b")).alias("root")).checkpoint(eager=True)
+        while True:
+            step = to.join(to.select(F.col("node").alias("root"), F.col("root").alias("next")), "root") \
+                .select("node", "root", "next").checkpoint(eager=True)
+            to = step.select("node", F.col("next").alias("root"))
+            if not step.filter("root <> next").limit(1).count():
+                break
+        left, right = to.toDF("a", "ra"), to.toDF("b", "rb")
+        moved = live.join(left, "a").join(right, "b").filter(F.col("ra") != F.col("rb"))
+        # of the edges between two components only the smallest can be in the tree
+        live = (moved.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+                .agg(F.min(F.struct("w", "u", "v")).alias("m")).select("m.u", "m.v", "m.w", "a", "b").checkpoint(eager=True))
+    return found
+
+
 def density_hierarchy(points: DataFrame, min_samples: int = 5, min_cluster_size: int = 5, levels: int = 16,
                       k_graph: int | None = None, id_col: str = "vec_id",
                       vec: str = "x") -> DataFrame:

@@ -141,3 +141,43 @@ def test_many_copied_vectors_are_spread_over_salts(spark, monkeypatch):
     pts = [(0.0, 0.0)] * 30 + [(1.0, 0.0)] * 3 + [(5.0, 5.0)]
     got = {r.vec_id: r.cluster_id for r in DEN.density_cluster(_points(spark, pts), 0.5, 3, 3).collect()}
     assert got == _brute_dbscan(pts, 0.5, 3, 3)
+
+
+def _brute_tree(pts, min_samples):
+    n = len(pts)
+    core = [sorted(math.dist(p, q) for q in pts)[min_samples - 1] for p in pts]
+    edges = sorted((max(core[i], core[j], math.dist(pts[i], pts[j])), i, j) for i in range(n) for j in range(i + 1, n))
+    root, tree = list(range(n)), []
+    for w, i, j in edges:
+        a, b = root[i], root[j]
+        if a != b:
+            tree.append((w, i, j))
+            root = [a if r == b else r for r in root]
+    return tree
+
+
+def _parts(edges, n, limit):
+    root = list(range(n))
+    for w, i, j in edges:
+        if w <= limit and root[i] != root[j]:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    return root
+
+
+def test_reachability_tree_matches_brute_force(spark):
+    pts = _rand_pts(7, 120) + [(50.0, 50.0)]
+    got = sorted((round(r.w, 9), r.u, r.v) for r in DEN.reachability_tree(_points(spark, pts), 4, rows=16).collect())
+    assert got == sorted((round(w, 9), i, j) for w, i, j in _brute_tree(pts, 4))
+
+
+def test_reachability_tree_ties_copies_nulls_and_few_points(spark):
+    grid = [(float(x), float(y)) for x in range(6) for y in range(6)] + [(0.0, 0.0)] * 5 + [(20.0, 20.0)] * 3
+    got = [(r.w, r.u, r.v) for r in DEN.reachability_tree(_points(spark, grid).union(
+        spark.createDataFrame([(999, None)], "vec_id long, x array<double>")), 3, rows=8).collect()]
+    want = _brute_tree(grid, 3)
+    assert len(got) == len(grid) - 1 and sorted(w for w, *_ in got) == sorted(w for w, *_ in want)
+    for limit in (0.0, 1.0, 2.0, 30.0):
+        assert _parts(got, len(grid), limit) == _parts(want, len(grid), limit)
+    assert DEN.reachability_tree(_points(spark, [(0, 0), (1, 1)]), 3).count() == 0
+    assert DEN.reachability_tree(_points(spark, [(0, 0)]).limit(0), 3).count() == 0
