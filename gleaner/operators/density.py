@@ -422,6 +422,23 @@ def reachability_tree(points: DataFrame, min_samples: int = 5, id_col: str = "ve
     return minimum_tree(local).unionByName(copies)
 
 
+def tree_clusters(points: DataFrame, tree: DataFrame, eps: float, min_cluster_size: int = 5, id_col: str = "vec_id") -> DataFrame:
+    """``(vec_id, cluster_id)``: the clusters of a ``reachability_tree`` cut at ``eps``; -1 is noise.
+
+    The same as ``density_cluster`` with the tree's ``min_samples``, for any
+    number of ``eps`` from one tree.  ``min_cluster_size`` is at least 2.
+    """
+    if min_cluster_size < 2:
+        raise ValueError("min_cluster_size must be at least 2")
+    comp = connected_components(tree.filter(F.col("w") <= eps), src="u", dst="v")
+    big = comp.groupBy("component").agg(F.count("*").alias("size")).filter(F.col("size") >= min_cluster_size)
+    from gleaner.operators.reviews import assign_row_id
+    ranked = assign_row_id(big.orderBy(F.col("size").desc(), F.col("component")), "_rank")
+    labels = comp.join(ranked, "component").select(F.col("node").alias(id_col), F.col("_rank").cast("int").alias("cluster_id"))
+    return (points.select(id_col).join(labels, id_col, "left")
+                  .select(id_col, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")))
+
+
 def _longest_link(x: np.ndarray) -> float:
     """Longest edge of the spanning tree of a few points."""
     return float(_spanning_tree(x, np.zeros(len(x)), None)[2].max(initial=0.0))

@@ -453,6 +453,13 @@ def density_eps_cut(spark, sf_dir):
     return DEN.density_cluster(density_points(spark, sf_dir), EPS, MIN_SAMPLES, MIN_CLUSTER_SIZE)
 
 
+@query
+def density_tree_cut(spark, sf_dir):
+    """The clusters of ``density_eps_cut``, read off the spanning tree of mutual reachability."""
+    pts = density_points(spark, sf_dir)
+    return DEN.tree_clusters(pts, DEN.reachability_tree(pts, MIN_SAMPLES), EPS, MIN_CLUSTER_SIZE)
+
+
 @query
 def outlier_score(spark, sf_dir):
     pts = density_points(spark, sf_dir)

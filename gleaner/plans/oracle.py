@@ -395,6 +395,7 @@ ORACLE["knn_cosine"] = (
     "WHERE a.vec_id <> b.vec_id) SELECT src, dst, round(dist, 9) AS dist, CAST(rank AS INTEGER) AS rank FROM "
     "(SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM nn) WHERE rank <= 5")
 ORACLE["density_eps_cut"] = "WITH RECURSIVE " + _DEN + " SELECT vec_id, cluster_id FROM lab"
+ORACLE["density_tree_cut"] = ORACLE["density_eps_cut"]
 ORACLE["outlier_score"] = (
     "WITH RECURSIVE " + _DEN + ", cd AS (SELECT src AS vec_id, dist AS core_dist FROM nn WHERE rank = 4), "
     "j AS (SELECT lab.*, cd.core_dist FROM lab LEFT JOIN cd ON cd.vec_id = lab.vec_id), "

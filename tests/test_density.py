@@ -181,3 +181,13 @@ def test_reachability_tree_ties_copies_nulls_and_few_points(spark):
         assert _parts(got, len(grid), limit) == _parts(want, len(grid), limit)
     assert DEN.reachability_tree(_points(spark, [(0, 0), (1, 1)]), 3).count() == 0
     assert DEN.reachability_tree(_points(spark, [(0, 0)]).limit(0), 3).count() == 0
+
+
+def test_tree_cuts_are_density_clusters(spark):
+    pts = _rand_pts(2, 120)
+    df = _points(spark, pts)
+    tree = DEN.reachability_tree(df, 4).checkpoint()
+    for eps in (0.03, 0.06):
+        got = {r.vec_id: r.cluster_id for r in DEN.tree_clusters(df, tree, eps, 5).collect()}
+        assert got == _brute_dbscan(pts, eps, 4, 5) and max(got.values()) > 0
+    assert {r.cluster_id for r in DEN.tree_clusters(df, tree.limit(0), 1.0).collect()} == {-1}
