@@ -282,6 +282,16 @@ def topic_names(tree: DataFrame) -> DataFrame:
     return tree.select("name")
 
 
+def find_duplicates(tree: DataFrame, sought: DataFrame) -> DataFrame:
+    """``(sought, *tree columns)``: the nodes of the same level and, case aside, the same name.
+
+    ``sought`` is ``(lvl, name)``; repeated rows count once, a null name or
+    level finds nothing.  An equi-join, so a common name costs one row a node.
+    """
+    wanted = sought.select("lvl", F.col("name").alias("sought")).distinct().withColumn("_key", F.lower("sought"))
+    return tree.withColumn("_key", F.lower("name")).join(wanted, ["lvl", "_key"]).select("sought", *tree.columns)
+
+
 def remove_topic(tree: DataFrame, name: str, lvl: int) -> DataFrame:
     """Remove the first exact (name, lvl) match in pre-order, with its subtree."""
     t = with_paths(tree)

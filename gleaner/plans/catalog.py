@@ -402,6 +402,18 @@ def topic_outline(spark, sf_dir):
     return TP.topic_outline(topic_tree(spark, sf_dir)).select(F.element_at("path", -1).alias("node_id"), "line")
 
 
+@query
+def find_duplicates(spark, sf_dir):
+    """Every topic name of the tree, upper-cased, sought on its own level."""
+    tree = topic_tree(spark, sf_dir)
+    return TP.find_duplicates(tree, tree.select("lvl", F.upper("name").alias("name"))).select("sought", "lvl", "node_id", "name", "parent_id")
+
+
+@query
+def topic_names(spark, sf_dir):
+    return TP.topic_names(topic_tree(spark, sf_dir))
+
+
 @query
 def remove_topic(spark, sf_dir):
     return TP.remove_topic(topic_tree(spark, sf_dir), "LARGE", 1)

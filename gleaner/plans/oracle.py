@@ -344,6 +344,10 @@ ORACLE["topic_file_lines"] = (
     "WITH " + _TREE + " SELECT node_id, repeat('    ', lvl - 1) || " + _NODE +
     " || ' (Count: ' || CAST(count AS VARCHAR) || '): ' || \"desc\" AS line FROM tree WHERE length(\"desc\") > 0")
 ORACLE["topic_outline"] = "WITH " + _TREE + " SELECT node_id, repeat(chr(9), lvl - 1) || " + _NODE + " AS line FROM tree"
+ORACLE["find_duplicates"] = (
+    "WITH " + _TREE + " SELECT s.sought, t.lvl, t.node_id, t.name, t.parent_id FROM tree t JOIN "
+    "(SELECT DISTINCT lvl, upper(name) AS sought FROM tree) s ON s.lvl = t.lvl AND upper(t.name) = s.sought")
+ORACLE["topic_names"] = "WITH " + _TREE + " SELECT name FROM tree"
 ORACLE["remove_topic"] = (
     "WITH " + _TREE + ", v AS (SELECT min(node_id) AS id FROM tree WHERE name = 'LARGE' AND lvl = 1) "
     "SELECT * FROM tree WHERE node_id <> coalesce((SELECT id FROM v), -99) "

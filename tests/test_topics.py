@@ -131,3 +131,12 @@ def test_two_merges_and_third_level(spark):
 def test_rejects_end_at_the_failed_call(spark):
     resp = _resp(spark, ["None", "Error", "None"])
     assert [r.doc_pos for r in TP.topic_rejects(resp).orderBy("doc_pos").collect()] == [0, 1]
+
+
+def test_find_duplicates(spark):
+    tree = spark.createDataFrame([(1, 1, "Trade", 0), (2, 2, "Ports", 1), (3, 1, "Health", 0), (4, 2, "ports", 3), (5, 2, "Trade", 3)],
+                                 "node_id long, lvl int, name string, parent_id long")
+    sought = spark.createDataFrame([(2, "PORTS"), (2, "PORTS"), (1, "trade"), (3, "Trade"), (None, "Trade"), (1, None)], "lvl int, name string")
+    got = sorted((r.sought, r.node_id) for r in TP.find_duplicates(tree, sought).collect())
+    assert got == [("PORTS", 2), ("PORTS", 4), ("trade", 1)]
+    assert TP.find_duplicates(tree, sought.limit(0)).count() == 0
