@@ -355,24 +355,6 @@ def outlier_score(labels: DataFrame, neighbors: DataFrame, min_samples: int, id_
     return scored.unionByName(noise)
 
 
-# --------------------------------------------------------------------------
-# Approximate variable-density hierarchy (HDBSCAN*-style), fully distributed
-# --------------------------------------------------------------------------
-def _mutual_reachability_edges(points: DataFrame, min_samples: int, k_graph: int,
-                               id_col: str, vec: str) -> DataFrame:
-    """``(u, v, w)``: kNN-graph edges weighted by mutual reachability
-    ``max(core_u, core_v, d(u, v))``; core = distance to the min_samples-th
-    point (itself included)."""
-    nb = knn(points, max(k_graph, min_samples), id_col, vec, include_self=True)
-    core = nb.filter(F.col("rank") == min_samples).select(F.col("src").alias("node"), F.col("dist").alias("core"))
-    e = nb.filter(F.col("src") != F.col("dst")).select(
-        F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "dist")
-    cu = core.select(F.col("node").alias("u"), F.col("core").alias("cu"))
-    cv = core.select(F.col("node").alias("v"), F.col("core").alias("cv"))
-    return (e.join(cu, "u").join(cv, "v")
-             .groupBy("u", "v").agg(F.min(F.greatest("dist", "cu", "cv")).alias("w")))
-
-
 def reachability_tree(points: DataFrame, min_samples: int = 5, id_col: str = "vec_id", vec: str = "x",
                       rows: int = tiles.BLOCK_ROWS) -> DataFrame:
     """``(u, v, w)``, u < v: the minimum spanning tree of mutual reachability, ties by (w, u, v).
@@ -500,144 +482,3 @@ def minimum_tree(edges: DataFrame) -> DataFrame:
         live = (moved.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
                 .agg(F.min(F.struct("w", "u", "v")).alias("m")).select("m.u", "m.v", "m.w", "a", "b").checkpoint(eager=True))
     return found
-
-
-def density_hierarchy(points: DataFrame, min_samples: int = 5, min_cluster_size: int = 5, levels: int = 16,
-                      k_graph: int | None = None, id_col: str = "vec_id",
-                      vec: str = "x") -> DataFrame:
-    """Variable-density clusters ``(vec_id, cluster_id)``; -1 is noise.
-
-    Approximate HDBSCAN* (Campello et al. 2013) with every step a DataFrame job:
-
-    1. mutual-reachability weights on the exact kNN graph (``k_graph``
-       neighbours, default ``2 * min_samples``);
-    2. ``levels`` thresholds at weight quantiles; components of the edges
-       below each threshold, built level by level on the graph contracted by
-       the previous level (large-star/small-star per level);
-    3. condensed tree: a component of >= ``min_cluster_size`` points
-       continues its parent's cluster when it is the parent's only large
-       child, otherwise a new cluster is born (the all-points root is never
-       selected);
-    4. stability ``sum(size x (lambda_{l-1} - lambda_l))`` over a cluster's
-       levels (lambda = 1 / threshold), excess-of-mass selection bottom-up
-       and a top-down pass so no selected cluster has a selected ancestor;
-    5. points take the selected cluster whose birth component holds them;
-       ids are size ranks (ties by smallest member).
-
-    The resolution is the threshold grid: splits between two thresholds are
-    seen at the next one.  The thresholds (``levels`` numbers) are the only
-    values brought to the driver.
-
-    Status: experimental.  Results on separated blobs are right, but each
-    level runs a components job and the last levels are slow on local mode;
-    not registered as a driver query yet.
-    """
-    spark = points.sparkSession
-    checkpoint_dir(spark)
-    e = _mutual_reachability_edges(points, min_samples, k_graph or 2 * min_samples, id_col, vec) \
-        .checkpoint(eager=True)
-    probs = [i / levels for i in range(1, levels + 1)]
-    row = e.agg(F.percentile_approx("w", probs, 100000).alias("q"), F.min("w").alias("lo")).first()
-    if row["q"] is None:
-        return points.select(id_col, F.lit(-1).alias("cluster_id"))
-    thresholds = sorted(set(float(x) for x in row["q"]))
-    lam = [1.0 / max(float(row["lo"]), 1e-12)] + [1.0 / max(t, 1e-12) for t in thresholds]  # lam[0] = lambda_0
-    L = len(thresholds)
-
-    mapping = points.select(F.col(id_col).alias("node")).withColumn("comp", F.col("node"))
-    maps, sizes, links = {}, {}, {}
-    prev = None
-    for lvl, t in enumerate(thresholds, start=1):
-        band = e.filter(F.col("w") <= t) if prev is None else e.filter((F.col("w") > prev) & (F.col("w") <= t))
-        m1 = mapping.select(F.col("node").alias("u"), F.col("comp").alias("a"))
-        m2 = mapping.select(F.col("node").alias("v"), F.col("comp").alias("b"))
-        ce = band.join(m1, "u").join(m2, "v").select("a", "b").filter(F.col("a") != F.col("b")).distinct()
-        comps = mapping.select(F.col("comp").alias("c")).distinct()
-        cmap = connected_components(ce, comps, "a", "b")  # (node = previous comp, component = new comp)
-        links[lvl] = cmap.select(F.col("node").alias("child"), F.col("component").alias("parent")).persist()
-        mapping = (mapping.join(links[lvl].withColumnRenamed("child", "comp"), "comp")
-                          .select("node", F.col("parent").alias("comp")).checkpoint(eager=True))
-        maps[lvl] = mapping
-        sizes[lvl] = mapping.groupBy("comp").agg(F.count(F.lit(1)).alias("size")).persist()
-        prev = t
-
-    mcs = min_cluster_size
-    root = F.struct(F.lit(L + 1).alias("bl"), F.lit(-1).cast("long").alias("bc"))
-    # top-down: condensed-cluster id (struct of birth level and birth component)
-    nodes_by_level = {}
-    big_top = sizes[L].filter(F.col("size") >= mcs)
-    n_top = big_top.count()
-    cur = big_top.select("comp", "size", (F.when(F.lit(n_top) == 1, root)
-                                          .otherwise(F.struct(F.lit(L).alias("bl"), F.col("comp").alias("bc"))))
-                         .alias("cid"), root.alias("parent_cid"))
-    nodes_by_level[L] = cur.persist()
-    for lvl in range(L - 1, 0, -1):
-        big = sizes[lvl].filter(F.col("size") >= mcs)
-        # parent component one level up, and how many large children it has
-        up = links[lvl + 1].select(F.col("child").alias("comp"), F.col("parent").alias("pcomp"))
-        b = big.join(up, "comp")
-        nkids = b.groupBy("pcomp").agg(F.count(F.lit(1)).alias("nk"))
-        par = nodes_by_level[lvl + 1].select(F.col("comp").alias("pcomp"), F.col("cid").alias("pcid"))
-        b = b.join(nkids, "pcomp").join(par, "pcomp")
-        cid = F.when(F.col("nk") == 1, F.col("pcid")).otherwise(
-            F.struct(F.lit(lvl).alias("bl"), F.col("comp").alias("bc")))
-        parent_cid = F.when(F.col("nk") == 1, F.lit(None)).otherwise(F.col("pcid"))
-        nodes_by_level[lvl] = b.select("comp", "size", cid.alias("cid"),
-                                       parent_cid.alias("parent_cid")).persist()
-
-    # stability per condensed cluster; birth parent from its birth node
-    contrib = None
-    for lvl in range(1, L + 1):
-        part = nodes_by_level[lvl].select(
-            "cid", "parent_cid", F.lit(lvl).alias("lvl"),
-            (F.col("size") * F.lit(lam[lvl - 1] - lam[lvl])).alias("s"))
-        contrib = part if contrib is None else contrib.unionByName(part)
-    clusters = (contrib.groupBy("cid")
-                       .agg(F.sum("s").alias("stability"),
-                            F.max(F.struct("lvl", "parent_cid")).alias("_top"))
-                       .select("cid", "stability", F.col("_top.parent_cid").alias("parent_cid"))
-                       .filter(F.col("cid.bl") <= L))  # the root is never a candidate
-    clusters = clusters.withColumn("parent_cid", F.when(F.col("parent_cid.bl") > L, F.lit(None))
-                                                  .otherwise(F.col("parent_cid"))).checkpoint(eager=True)
-
-    # excess of mass, bottom-up by birth level
-    vals = None
-    for lvl in range(1, L + 1):
-        born = clusters.filter(F.col("cid.bl") == lvl)
-        if vals is not None:
-            kid = vals.groupBy(F.col("parent_cid").alias("cid")).agg(F.sum("value").alias("kids"))
-            born = born.join(kid, "cid", "left")
-        else:
-            born = born.withColumn("kids", F.lit(None).cast("double"))
-        born = born.select("cid", "parent_cid", "stability",
-                           (F.col("kids").isNull() | (F.col("stability") >= F.col("kids"))).alias("sel"),
-                           F.greatest("stability", F.coalesce("kids", F.lit(0.0))).alias("value"))
-        vals = born if vals is None else vals.unionByName(born)
-        vals = vals.checkpoint(eager=True) if lvl % 4 == 0 else vals.persist()
-    # top-down: keep a selected cluster only when no ancestor is kept
-    final = None
-    for lvl in range(L, 0, -1):
-        lev = vals.filter(F.col("cid.bl") == lvl)
-        if final is not None:
-            anc = final.select(F.col("cid").alias("parent_cid"), F.col("covered").alias("pcov"))
-            lev = lev.join(anc, "parent_cid", "left")
-        else:
-            lev = lev.withColumn("pcov", F.lit(False))
-        lev = lev.select("cid", (F.col("sel") & ~F.coalesce("pcov", F.lit(False))).alias("keep"),
-                         (F.coalesce("pcov", F.lit(False)) | F.col("sel")).alias("covered"))
-        final = lev if final is None else final.unionByName(lev)
-        final = final.checkpoint(eager=True) if lvl % 4 == 0 else final.persist()
-    keep = final.filter("keep").select(F.col("cid.bl").alias("bl"), F.col("cid.bc").alias("bc"))
-
-    members = None
-    for lvl in range(1, L + 1):
-        k = keep.filter(F.col("bl") == lvl).select(F.col("bc").alias("comp"))
-        m = maps[lvl].join(k, "comp").select(F.col("node").alias(id_col), F.col("comp").alias("_c"),
-                                             F.lit(lvl).alias("_l"))
-        members = m if members is None else members.unionByName(m)
-    sizes_sel = members.groupBy("_l", "_c").agg(F.count(F.lit(1)).alias("size"), F.min(id_col).alias("_min"))
-    from gleaner.operators.reviews import assign_row_id
-    ranked = assign_row_id(sizes_sel.orderBy(F.col("size").desc(), F.col("_min")), "_rank")
-    labels = members.join(ranked.select("_l", "_c", F.col("_rank").cast("int").alias("cluster_id")), ["_l", "_c"])
-    return (points.select(id_col).join(labels.select(id_col, "cluster_id"), id_col, "left")
-                  .select(id_col, F.coalesce("cluster_id", F.lit(-1)).alias("cluster_id")))

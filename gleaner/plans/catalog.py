@@ -472,6 +472,26 @@ def density_tree_cut(spark, sf_dir):
     return DEN.tree_clusters(pts, DEN.reachability_tree(pts, MIN_SAMPLES), EPS, MIN_CLUSTER_SIZE)
 
 
+from gleaner.operators import hierarchy as HI  # noqa: E402
+
+
+def _reach_tree(spark, sf_dir):
+    return stage(spark, sf_dir, "reach_tree", lambda: DEN.reachability_tree(density_points(spark, sf_dir), MIN_SAMPLES))
+
+
+@query
+def density_hierarchy(spark, sf_dir):
+    return HI.density_hierarchy(density_points(spark, sf_dir), MIN_SAMPLES, MIN_CLUSTER_SIZE, tree=_reach_tree(spark, sf_dir))
+
+
+@query
+def condensed_tree(spark, sf_dir):
+    """Every cluster of the hierarchy: where it starts, what it is a part of, its stability, whether it is picked."""
+    clusters, _ = HI.condensed_tree(*HI.merge_tree(_reach_tree(spark, sf_dir), MIN_CLUSTER_SIZE), MIN_CLUSTER_SIZE)
+    return clusters.select(F.col("rep").alias("smallest_id"), "size", F.col("prep").alias("parent_id"), F.col("psize").alias("parent_size"),
+                           F.round("birth", 6).alias("birth"), F.round("stability", 6).alias("stability"), "picked")
+
+
 @query
 def outlier_score(spark, sf_dir):
     pts = density_points(spark, sf_dir)

@@ -400,6 +400,55 @@ ORACLE["knn_cosine"] = (
     "(SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM nn) WHERE rank <= 5")
 ORACLE["density_eps_cut"] = "WITH RECURSIVE " + _DEN + " SELECT vec_id, cluster_id FROM lab"
 ORACLE["density_tree_cut"] = ORACLE["density_eps_cut"]
+
+
+# Spanning tree grown point by point; u is the largest weight on the path between two points, so two points are in one
+# merge from u on.  Merges, clusters and picks are then relations over the balls of u.
+_HIER = (
+    _DEN.split("cnt AS")[0] + "cdist AS (SELECT src AS id, dist AS core FROM nn WHERE rank = 4), "
+    "mr AS MATERIALIZED (SELECT src AS a, dst AS b, greatest(dist, x.core, y.core) AS w FROM pairs JOIN cdist x ON x.id = src "
+    "JOIN cdist y ON y.id = dst), "
+    "grown AS (SELECT 0 AS step, vec_id AS node, (SELECT min(vec_id) FROM pts) AS par, m.w, vec_id = (SELECT min(vec_id) FROM pts) AS done "
+    "FROM pts LEFT JOIN mr m ON m.a = (SELECT min(vec_id) FROM pts) AND m.b = vec_id UNION ALL "
+    "SELECT g.step + 1, g.node, CASE WHEN NOT g.done AND g.node <> k.node AND m.w < g.w THEN k.node ELSE g.par END, "
+    "CASE WHEN NOT g.done AND g.node <> k.node AND m.w < g.w THEN m.w ELSE g.w END, g.done OR g.node = k.node FROM grown g "
+    "JOIN (SELECT arg_min(node, w) AS node FROM grown WHERE NOT done) k ON k.node IS NOT NULL "
+    "LEFT JOIN mr m ON m.a = k.node AND m.b = g.node), "
+    "tree AS MATERIALIZED (SELECT node AS a, par AS b, w FROM grown WHERE step = (SELECT max(step) FROM grown) AND w IS NOT NULL), "
+    "sides AS MATERIALIZED (SELECT a, b, w FROM tree UNION ALL SELECT b, a, w FROM tree), "
+    "walk AS (SELECT vec_id AS i, vec_id AS pt, CAST(NULL AS BIGINT) AS prev, 0.0::DOUBLE AS u FROM pts UNION ALL "
+    "SELECT i, s.b, pt, greatest(u, s.w) FROM walk JOIN sides s ON s.a = pt WHERE prev IS NULL OR s.b <> prev), "
+    "ball AS MATERIALIZED (SELECT DISTINCT i, u AS h, count(*) OVER o AS size, min(pt) OVER o AS rep FROM walk "
+    "WINDOW o AS (PARTITION BY i ORDER BY u)), "
+    "big AS MATERIALIZED (SELECT rep, size, max(h) AS h FROM ball WHERE size >= 5 GROUP BY rep, size), "
+    "ups AS (SELECT i, size, lead(rep) OVER o AS prep, lead(size) OVER o AS psize FROM ball WINDOW o AS (PARTITION BY i ORDER BY size)), "
+    "linked AS MATERIALIZED (SELECT big.*, ups.prep, ups.psize FROM big JOIN ups ON ups.i = big.rep AND ups.size = big.size), "
+    "kids AS (SELECT prep, psize, count(*) AS kids FROM linked WHERE prep IS NOT NULL GROUP BY ALL), "
+    "node AS MATERIALIZED (SELECT l.*, l.prep IS NULL OR k.kids > 1 AS first, CASE WHEN p.h IS NULL THEN 0 ELSE 1 / greatest(p.h, 1e-12) END AS birth FROM linked l "
+    "LEFT JOIN kids k ON k.prep = l.prep AND k.psize = l.psize LEFT JOIN big p ON p.rep = l.prep AND p.size = l.psize), "
+    "chain AS (SELECT n.rep, n.size, n.h, n.birth, arg_min(f.rep, f.size) AS crep, min(f.size) AS csize FROM node n "
+    "JOIN ball b ON b.i = n.rep AND b.size >= n.size JOIN node f ON f.first AND f.rep = b.rep AND f.size = b.size GROUP BY ALL), "
+    "clus AS MATERIALIZED (SELECT c.crep AS rep, c.csize AS size, up.crep AS prep, up.csize AS psize, f.birth, s.stability FROM chain c "
+    "JOIN node f ON f.rep = c.rep AND f.size = c.size AND f.first JOIN (SELECT crep, csize, sum(size * (1 / greatest(h, 1e-12) - birth)) AS stability "
+    "FROM chain GROUP BY ALL) s ON s.crep = c.crep AND s.csize = c.csize LEFT JOIN chain up ON up.rep = f.prep AND up.size = f.psize), "
+    "eom AS (SELECT 0 AS step, c.*, CASE WHEN NOT EXISTS (SELECT 1 FROM clus k WHERE k.prep = c.rep AND k.psize = c.size) THEN stability END AS val, "
+    "true AS better FROM clus c UNION ALL SELECT e.step + 1, e.rep, e.size, e.prep, e.psize, e.birth, e.stability, "
+    "CASE WHEN e.val IS NOT NULL THEN e.val WHEN k.ready THEN CASE WHEN e.prep IS NOT NULL AND e.stability * (1 + 1e-9) >= k.parts THEN e.stability "
+    "ELSE k.parts END END, CASE WHEN e.val IS NULL AND k.ready THEN e.stability * (1 + 1e-9) >= k.parts ELSE e.better END FROM eom e "
+    "LEFT JOIN (SELECT prep, psize, sum(val) AS parts, bool_and(val IS NOT NULL) AS ready FROM eom GROUP BY ALL) k "
+    "ON k.prep = e.rep AND k.psize = e.size WHERE EXISTS (SELECT 1 FROM eom WHERE val IS NULL)), "
+    "better AS (SELECT * EXCLUDE (better), better AND prep IS NOT NULL AS better FROM eom WHERE step = (SELECT max(step) FROM eom)), "
+    "over AS (SELECT c.rep, c.size, max(o.size) AS top FROM better c JOIN ball b ON b.i = c.rep AND b.size >= c.size "
+    "JOIN better o ON o.better AND o.rep = b.rep AND o.size = b.size GROUP BY ALL), "
+    "final AS MATERIALIZED (SELECT c.*, coalesce(o.top = c.size, false) AS picked FROM better c LEFT JOIN over o ON o.rep = c.rep AND o.size = c.size)"
+)
+ORACLE["condensed_tree"] = (
+    "WITH RECURSIVE " + _HIER + " SELECT rep AS smallest_id, size, prep AS parent_id, psize AS parent_size, round(birth, 6) AS birth, "
+    "round(stability, 6) AS stability, picked FROM final")
+ORACLE["density_hierarchy"] = (
+    "WITH RECURSIVE " + _HIER + ", rk2 AS (SELECT rep, size, CAST(row_number() OVER (ORDER BY size DESC, rep) - 1 AS INTEGER) AS cluster_id "
+    "FROM final WHERE picked), mine AS (SELECT b.i, max(cluster_id) AS cluster_id FROM ball b JOIN rk2 ON rk2.rep = b.rep AND rk2.size = b.size "
+    "GROUP BY b.i) SELECT vec_id, coalesce(cluster_id, -1) AS cluster_id FROM pts LEFT JOIN mine ON mine.i = vec_id")
 ORACLE["outlier_score"] = (
     "WITH RECURSIVE " + _DEN + ", cd AS (SELECT src AS vec_id, dist AS core_dist FROM nn WHERE rank = 4), "
     "j AS (SELECT lab.*, cd.core_dist FROM lab LEFT JOIN cd ON cd.vec_id = lab.vec_id), "
