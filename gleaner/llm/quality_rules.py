@@ -3,14 +3,17 @@
 Each rule rejects a document when a share (symbols, capitals, repeated lines,
 repeated words) exceeds a cutoff.  Cutoffs come from the labelled documents:
 for every stratum, rule and cutoff of a fixed grid, ``n`` good documents of
-the stratum are the holdout and ``k`` of them would be rejected.  A cutoff is
-admissible if the exact binomial test rejects "the false rejection rate is at
+the stratum are the holdout and ``k`` of them would be rejected.  A cutoff
+passes if the exact binomial test rejects "the false rejection rate is at
 least alpha / rules", that is if P(Bin(n, alpha / rules) <= k) <= delta / m,
-with m the number of (stratum, rule, cutoff) tests (Bonferroni).  So with
-probability 1 - delta, in every stratum, all rules together reject at most
-``alpha`` of the good documents.  Of the admissible cutoffs each rule takes
-the one with the most bad minus good rejections, the loosest among equals;
-a rule without one rejects nothing there.
+with m the number of (stratum, rule) pairs.  The cutoffs of a pair are tested
+in fixed sequence, loosest first, up to the first that fails, so only the
+pairs need a correction (Bonferroni), not the grid.  With probability
+1 - delta, in every stratum, all rules together reject at most ``alpha`` of
+the good documents.  Of the cutoffs that pass each rule takes the one with
+the most bad minus good rejections, the loosest among equals; a rule without
+one rejects nothing there.  A stratum with fewer good documents than
+ln(delta / m) / ln(1 - alpha / rules) can have no cutoff (``strata_report``).
 """
 
 from __future__ import annotations
@@ -104,16 +107,28 @@ def cutoffs(counted: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> D
         F.struct(F.lit(r).alias("rule"), F.col(f"bin_{r}").alias("b")) for r in RULES])).alias("x")).select("stratum", "good", "x.*")
     hist = long.groupBy("stratum", "rule", "b").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     n = hist.groupBy("stratum", "rule").agg(F.sum("good").alias("n"))
-    tests = n.agg(F.count("*").alias("pairs")).select((F.greatest("pairs", F.lit(1)) * GRID).alias("m"))
+    tests = n.agg(F.greatest(F.count("*"), F.lit(1)).alias("m"))
     grid = (hist.where("b > 0").withColumn("j", F.explode(F.expr("sequence(0, b - 1)")))
             .groupBy("stratum", "rule", "j").agg(F.sum("good").alias("k"), F.sum("bad").alias("bad")))
     tail = binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES))
+    # k only grows from cutoff to tighter cutoff, and the tail with it: those that pass are those before the first failure
     sound = (grid.join(n, ["stratum", "rule"]).crossJoin(F.broadcast(tests))  # one row
              .where("n > 0 and bad > k").where(tail <= F.lit(delta) / F.col("m")))
     best = sound.groupBy("stratum", "rule").agg(F.max(F.struct((F.col("bad") - F.col("k")).alias("gain"), "j"))["j"].alias("j"))
     return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("j"))).alias(f"cut_{r}") for r in RULES])
 
 
+def strata_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", stratum: str | None = "lang",
+                  alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """(stratum, n, needed, usable): good documents of each stratum with labels, and how many it takes for any cutoff."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), _stratum(stratum).alias("stratum"))
+    good = labelled_good(labels)
+    n = rows.join(good, rows["doc_id"] == good["label_id"]).groupBy("stratum").agg(F.count_if("good").alias("n"))
+    pairs = n.agg((F.greatest(F.count("*"), F.lit(1)) * len(RULES)).alias("m"))
+    needed = F.ceil(F.log(F.lit(delta) / F.col("m")) / F.log(F.lit(1 - alpha / len(RULES))))
+    return n.crossJoin(F.broadcast(pairs)).select("stratum", "n", needed.alias("needed"), (F.col("n") >= needed).alias("usable"))  # one row
+
+
 def with_verdict(counted: DataFrame, cuts: DataFrame) -> DataFrame:
     """Add ``kept`` to counted(stratum, ...); ``cuts`` is a stored table."""
     small = cuts.limit(CUTOFF_ROWS + 1).count() <= CUTOFF_ROWS
