@@ -99,12 +99,15 @@ def test_all_points_equal(spark):
     assert set(labels.values()) == {0}
 
 
-def test_from_points_with_nulls_and_without_enough_points(spark):
+def test_from_points_with_nulls(spark):
     pts = _rand_pts(11, 60)
     df = _points(spark, pts).union(spark.createDataFrame([(777, None)], "vec_id long, x array<double>"))
     got = {r.vec_id: r.cluster_id for r in HI.density_hierarchy(df, 4, 5).collect()}
     want = _brute(_brute_tree(pts, 4), len(pts), 5)[1]
     assert got == {**want, 777: -1}
+
+
+def test_without_enough_points(spark):
     few = _points(spark, [(0, 0), (1, 1)])
     assert [r.cluster_id for r in HI.density_hierarchy(few, 4, 5).collect()] == [-1, -1]
     assert HI.density_hierarchy(few.limit(0), 4, 5).count() == 0
