@@ -3,9 +3,10 @@
 * ``hash_embed`` - the offline default encoder: signed feature hashing.  A
   word goes to bucket ``int(md5(word)[0:8], 16) % dim`` with sign ``+1`` when
   ``int(md5(word)[8:16], 16)`` is even, else ``-1``; a unit's vector is the
-  sum over its words.  Pure column expressions, no shuffle.
+  sum over its words.  Words are found by a column expression and summed
+  batch by batch in ``mapInArrow``, no shuffle.
 * ``embed_units`` - the plug-in path: any encoder (a factory returning a
-  ``texts -> matrix`` callable) runs in ``mapInPandas``; the model is built
+  ``texts -> matrix`` callable) runs in ``mapInArrow``; the model is built
   once per Python worker and fed Arrow batches of ``batch_size`` rows.
 * ``random_projection`` - seeded +-1/sqrt(k) projection; the sign matrix
   (d x k values, a parameter-sized table) is built by Spark and broadcast.
@@ -16,9 +17,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -35,61 +40,118 @@ def _hex_int(h: F.Column, start: int) -> F.Column:
     return F.conv(F.substring(h, start, 8), 16, 10).cast("long")
 
 
+def _word_hashes(words: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, sign) of each word."""
+    h = np.frombuffer(b"".join(hashlib.md5(w).digest()[:8] for w in words), ">u4").reshape(-1, 2)
+    return (h[:, 0] % dim).astype(np.int64), np.where(h[:, 1] % 2 == 0, 1.0, -1.0)
+
+
+def _hashed(tokens: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, sign) of each word of a batch; a word is hashed once a batch."""
+    row = pc.list_parent_indices(tokens).to_numpy().astype(np.int64)
+    words = pc.list_flatten(tokens).dictionary_encode()
+    bucket, sign = _word_hashes(words.dictionary.cast(pa.binary()).to_pylist(), dim)
+    at = words.indices.to_numpy(zero_copy_only=False)
+    return row, bucket[at], sign[at]
+
+
 def hash_embed(units: DataFrame, dim: int = 64, text_col: str = "unit", out: str = "vec",
                normalize: bool = False, tokens=vectorizer_tokens) -> DataFrame:
-    """Add ``vec ARRAY<DOUBLE>`` of length ``dim`` by signed feature hashing."""
-    pairs = F.transform(tokens(text_col), lambda w: F.struct(
-        F.pmod(_hex_int(F.md5(w), 1), F.lit(dim)).alias("b"),
-        F.when(F.pmod(_hex_int(F.md5(w), 9), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("s")))
-
-    def build(ps):
-        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                           lambda i: F.aggregate(ps, F.lit(0.0),
-                                                 lambda acc, p: acc + F.when(p["b"] == i, p["s"]).otherwise(0.0)))
-
-    from gleaner.functions.text import let
-    vec = let(pairs, build)
+    """Add ``vec ARRAY<DOUBLE>`` of length ``dim`` by signed feature hashing (of nulls where there is no text)."""
+    rest = [c for c in units.columns if c != out]
+    words = units.select(*[F.col(f"`{c}`") for c in rest], tokens(text_col).alias("_words"))
+    schema = Ty.StructType([f for f in units.schema.fields if f.name != out] + [Ty.StructField(out, Ty.ArrayType(Ty.DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            row, bucket, sign = _hashed(batch["_words"], dim)
+            flat = np.bincount(row * dim + bucket, weights=sign, minlength=n * dim) if len(row) else np.zeros(n * dim)
+            none = np.repeat(pc.is_null(batch["_words"]).to_numpy(zero_copy_only=False), dim)
+            vec = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(flat, mask=none))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in rest), vec], names=[*rest, out])
+
+    res = words.mapInArrow(run, schema)
     if normalize:
-        vec = normalize_vec(vec)
-    return units.withColumn(out, vec)
+        res = res.withColumn(out, normalize_vec(out))
+    return res.select(*[F.col(f"`{c}`") for c in units.columns], *([] if out in units.columns else [out]))
+
+
+def _new_keys(keys: pa.RecordBatch) -> np.ndarray:
+    """Whether each row's key differs from that of the row before (nulls are equal)."""
+    new = np.zeros(keys.num_rows, bool)
+    new[:1] = True
+    for column in keys.columns:
+        a, b = column[1:], column[:-1]
+        differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+        none = pc.xor(a.is_null(), b.is_null()).to_numpy(zero_copy_only=False)
+        new[1:] |= differ | none
+    return new
 
 
 def hash_embed_sparse(units: DataFrame, dim: int = 64, key_cols: Sequence[str] = ("review_id", "unit_pos"),
                       text_col: str = "unit", tokens=vectorizer_tokens) -> DataFrame:
     """The same signed feature hashing as sparse rows ``(key..., bucket, value)``
-    (non-zero buckets only).  Words are exploded and summed per
-    ``(key, bucket)``: a unit's words all sit in one input partition, so the
-    partial aggregation finishes each sum before the shuffle, which carries
-    only the non-zero entries.  O(words) instead of O(words x dim)."""
+    (non-zero buckets only).  Units are dealt and sorted by key; a task sums
+    the words of one key after the other, so it holds a batch and one vector.
+    O(words) instead of O(words x dim)."""
     keys = list(key_cols)
-    h = F.md5(F.col("_w"))
-    words = units.select(*keys, F.explode(tokens(text_col)).alias("_w"))
-    signed = words.select(*keys, F.pmod(_hex_int(h, 1), F.lit(dim)).cast("int").alias("bucket"),
-                          F.when(F.pmod(_hex_int(h, 9), F.lit(2)) == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("_s"))
-    return (signed.groupBy(*keys, "bucket").agg(F.sum("_s").alias("value"))
-                  .filter(F.col("value") != 0))
+    words = units.select(*keys, tokens(text_col).alias("_words")).filter(F.size("_words") > 0)
+    fields = {f.name: f for f in words.schema.fields}
+    schema = Ty.StructType([fields[k] for k in keys] + [Ty.StructField("bucket", Ty.IntegerType()), Ty.StructField("value", Ty.DoubleType())])
+
+    def run(batches):
+        def rows(keys_at, bucket, value):
+            kept = np.flatnonzero(value)
+            return pa.RecordBatch.from_arrays([*keys_at.take(pa.array(kept)).columns, pa.array(bucket[kept].astype(np.int32)), pa.array(value[kept])],
+                                              names=[*keys, "bucket", "value"])
+
+        last = None  # key, buckets and sums of the last key so far: the next batch may go on with it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = batch.select(keys)
+            row, bucket, value = _hashed(batch["_words"], dim)
+            if last is not None:
+                held = pa.concat_batches([last[0], held])
+                row, bucket, value = (np.concatenate(v) for v in ((np.zeros(len(last[1]), np.int64), row + 1), (last[1], bucket), (last[2], value)))
+            new = _new_keys(held)
+            first = np.flatnonzero(new)
+            code, at = np.unique((np.cumsum(new) - 1)[row] * dim + bucket, return_inverse=True)
+            total, group, bucket = np.bincount(at, weights=value, minlength=len(code)), code // dim, code % dim
+            done = group < len(first) - 1
+            yield rows(held.take(pa.array(first[group[done]])), bucket[done], total[done])
+            last = held.slice(int(first[-1]), 1), bucket[~done], total[~done]
+        if last is not None:
+            yield rows(last[0].take(pa.array(np.zeros(len(last[1]), np.int64))), last[1], last[2])
+
+    return words.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 # ------------------------------------------------------------- plug-in path
+#: Words whose hashes an encoder keeps before it starts anew.
+KNOWN_WORDS = 1 << 18
+
+
 def hashing_encoder_factory(dim: int = 64) -> Callable[[], Callable]:
     """Encoder factory equal to ``hash_embed`` (used to test the plug-in path)."""
     def factory():
-        import hashlib
         import re
 
-        import numpy as np
         # \w{2,} on lower-cased text: letters, digits (any script) and "_"
         tok = re.compile(r"\w{2,}", re.UNICODE)
+        known: dict[str, int] = {}  # word -> 2 * bucket, and 1 more for -1
 
         def encode(texts):
-            out = np.zeros((len(texts), dim), dtype=np.float64)
-            for r, t in enumerate(texts):
-                if t is None:
-                    continue
-                for w in tok.findall(t.lower()):
-                    h = hashlib.md5(w.encode("utf-8")).hexdigest()
-                    out[r, int(h[0:8], 16) % dim] += 1.0 if int(h[8:16], 16) % 2 == 0 else -1.0
-            return out
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            words = [tok.findall(t.lower()) if t is not None else () for t in texts]
+            fresh = list({w for ws in words for w in ws if w not in known})
+            bucket, sign = _word_hashes([w.encode("utf-8") for w in fresh], dim)
+            known.update(zip(fresh, (2 * bucket + (sign < 0)).tolist()))
+            code = np.array([known[w] for ws in words for w in ws], np.int64)
+            row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+            return np.bincount(row * dim + code // 2, weights=1.0 - 2.0 * (code % 2), minlength=len(texts) * dim).reshape(len(texts), dim)
         return encode
     return factory
 
@@ -141,24 +203,23 @@ def embed_models(units: DataFrame, models: Mapping[str, Callable[[], Callable]],
                                      Ty.StructField("vec", Ty.ArrayType(Ty.DoubleType()))])
 
     def run(batches):
-        import numpy as np
-        import pandas as pd
-        for pdf in batches:
-            for name, part in pdf.groupby("model", sort=False):
+        for batch in batches:
+            model = batch["model"]
+            for name in model.unique().to_pylist():
                 key, factory, unit_length = plan[name]
                 encode = _encoder(key, factory)
+                part = batch.filter(pc.equal(model, name))
+                texts = part[text_col].to_pylist()
                 # the encoder sees at most batch_size texts per call
-                mats = [np.asarray(encode(part[text_col].iloc[i:i + batch_size].tolist()), np.float64)
-                        for i in range(0, len(part), batch_size)]
-                vecs = np.concatenate(mats)
+                vecs = np.concatenate([np.asarray(encode(texts[i:i + batch_size]), np.float64) for i in range(0, len(texts), batch_size)])
                 if unit_length:
                     norm = np.sqrt((vecs * vecs).sum(axis=1, keepdims=True))
                     vecs = vecs / np.where(norm > 0, norm, 1.0)
-                res = part[[*keys, "model"]].copy()
-                res["vec"] = pd.Series(list(vecs), index=part.index, dtype=object)
-                yield res
+                ends = pa.array(np.arange(len(vecs) + 1, dtype=np.int32) * vecs.shape[1])
+                yield pa.RecordBatch.from_arrays([*(part[f.name] for f in fields), part["model"], pa.ListArray.from_arrays(ends, pa.array(vecs.ravel()))],
+                                                 names=schema.names)
 
-    return rows.select(*keys, "model", text_col).mapInPandas(run, schema)
+    return rows.select(*keys, "model", text_col).mapInArrow(run, schema)
 
 
 def embed_units(units: DataFrame, encoder_factory: Callable[[], Callable], model_name: str,
@@ -197,7 +258,6 @@ def random_projection(vectors: DataFrame, k: int, seed: int = 42, vec: str = "ve
 def pca_reduce(vectors: DataFrame, k: int, vec: str = "vec", out: str = "vec_k") -> DataFrame:
     """MLlib PCA to k components; each component's sign makes its
     largest-magnitude loading positive (deterministic output)."""
-    import numpy as np
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
