@@ -81,8 +81,9 @@ _SALTS = 32
 
 
 def _vectors(points: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """(id, x) with double vectors; null vectors and such with null or NaN parts are left out."""
-    p = points.select(F.col(id_col).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("x"))
+    """(id, x) with float or double vectors; null vectors and such with null or NaN parts are left out."""
+    x = F.col(vec) if dict(points.dtypes)[vec] == "array<float>" else F.transform(vec, lambda v: v.cast("double"))
+    p = points.select(F.col(id_col).alias("id"), x.alias("x"))
     return p.filter(F.col("x").isNotNull() & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
 
 
@@ -107,15 +108,17 @@ def _eps_by_tiles(points: DataFrame, eps: float, id_col: str, vec: str) -> DataF
     checkpoint_dir(points.sparkSession)
     blocks = tiles.Blocks(_vectors(points, id_col, vec))
     id_type = dict(points.dtypes)[id_col]
+    met = blocks.near(eps)
 
     def pairs(table):
         a, b, own = tiles.split(table)
-        x, ids = tiles.matrix(table["x"]), table["id"].combine_chunks()
+        x, ids, cell = tiles.matrix(table["x"]), table["id"].combine_chunks(), table["cell"].to_numpy()
         src, dst, dist = [], [], []
-        for i, j, d in tiles.close_pairs(x[a], x[b], float(eps)):
-            src.append(a[i]), dst.append(b[j]), dist.append(d)
-            if not own:
-                src.append(b[j]), dst.append(a[i]), dist.append(d)
+        for one, two in tiles.pieces(cell, a, b, met):
+            for i, j, d in tiles.close_pairs(x[one], x[two], float(eps)):
+                src.append(one[i]), dst.append(two[j]), dist.append(d)
+                if not own:
+                    src.append(two[j]), dst.append(one[i]), dist.append(d)
         src, dst, dist = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (src, dst, dist))
         keep = src != dst
         return pa.table({"src": ids.take(pa.array(src[keep])), "dst": ids.take(pa.array(dst[keep])), "dist": pa.array(dist[keep].astype(float))})
@@ -133,6 +136,7 @@ def knn(points: DataFrame, k: int, id_col: str = "vec_id", vec: str = "x", inclu
     checkpoint_dir(points.sparkSession)
     p = _vectors(points, id_col, vec)
     if metric == "cosine":
+        p = p.withColumn("x", F.transform("x", lambda v: v.cast("double")))
         norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v * v))
         p = p.withColumn("n", norm).filter("n > 0").select("id", F.transform("x", lambda v: v / F.col("n")).alias("x"))
     elif metric != "euclidean":
@@ -167,22 +171,25 @@ def _nearest_by_tiles(points: DataFrame, k: int, rows: int) -> DataFrame:
     blocks = tiles.Blocks(points, rows)
     id_type = dict(points.dtypes)["id"]
 
-    def search(table):
-        a, b, own = tiles.split(table)
-        x, ids = tiles.matrix(table["x"]), table["id"].combine_chunks()
-        order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-        src, dst, dist = [], [], []
-        for one, two in ((a, b),) if own else ((a, b), (b, a)):
-            if len(one) and len(two):
-                for i, j, d in tiles.nearest(x[one], x[two], order[two], k):
-                    src.append(one[i]), dst.append(two[j]), dist.append(d)
-        src, dst, dist = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (src, dst, dist))
-        return pa.table({"src": ids.take(pa.array(src)), "dst": ids.take(pa.array(dst)), "dist": pa.array(dist.astype(float))})
+    def search(near):
+        def body(table):
+            a, b, own = tiles.split(table)
+            x, ids, cell = tiles.matrix(table["x"]), table["id"].combine_chunks(), table["cell"].to_numpy()
+            order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+            src, dst, dist = [], [], []
+            for one, two in ((a, b),) if own else ((a, b), (b, a)):
+                for here, there in tiles.pieces(cell, one, two, near):
+                    if len(here) and len(there):
+                        for i, j, d in tiles.nearest(x[here], x[there], order[there], k):
+                            src.append(here[i]), dst.append(there[j]), dist.append(d)
+            src, dst, dist = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (src, dst, dist))
+            return pa.table({"src": ids.take(pa.array(src)), "dst": ids.take(pa.array(dst)), "dist": pa.array(dist.astype(float))})
+
+        return body
 
     schema = f"src {id_type}, dst {id_type}, dist double"
-    alone = blocks.table.drop("cell").select("*", F.col("block").alias("lo"), F.col("block").alias("hi"), F.lit(0).alias("side"))
-    first = alone.groupBy("lo", "hi").applyInArrow(search, schema).checkpoint(eager=True)
-    if blocks.parts.sum() == 1:
+    first = blocks.own_tiles().groupBy("lo", "hi").applyInArrow(search(None), schema).checkpoint(eager=True)
+    if blocks.groups == 1:
         return first
     # how far each cell has to look: the largest k-th distance of its points, unbounded where a block has fewer
     kth = first.groupBy("src").agg(F.count("*").alias("c"), F.max("dist").alias("d"))
@@ -191,24 +198,66 @@ def _nearest_by_tiles(points: DataFrame, k: int, rows: int) -> DataFrame:
         F.min("c").alias("c"), F.max("d").alias("d")).collect()  # one row a pivot
     for r in far:
         reach[r["cell"]] = r["d"] if r["c"] >= k else np.inf
-    more = blocks.tiles(reach, own=False).groupBy("lo", "hi").applyInArrow(search, schema)
+    more = blocks.tiles(reach, own=False).groupBy("lo", "hi").applyInArrow(search(blocks.near(reach)), schema)
     best = Window.partitionBy("src").orderBy("dist", "dst")
     return (first.unionByName(more).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
             .checkpoint(eager=True))
 
 
+#: Edges that one task takes; more take rounds of jobs.
+TASK_EDGES = 131_072
+
+
+def _find(root: list[int], x: int) -> int:
+    while root[x] != x:
+        root[x] = root[root[x]]
+        x = root[x]
+    return x
+
+
+def _numbers(u, v):
+    """(sorted ids, place of u, place of v) of two Arrow columns of ids."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    u, v = u.combine_chunks(), v.combine_chunks()
+    ids = pa.concat_arrays([u, v]).unique()
+    ids = ids.take(pc.sort_indices(ids))
+    return ids, pc.index_in(u, ids).to_pylist(), pc.index_in(v, ids).to_pylist()
+
+
+def _task_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of few edges(u, v), in one task."""
+    import pyarrow as pa
+
+    def body(table):
+        ids, u, v = _numbers(table["u"], table["v"])
+        root = list(range(len(ids)))
+        for a, b in zip(u, v):
+            a, b = _find(root, a), _find(root, b)
+            root[max(a, b)] = min(a, b)
+        return pa.table({"node": ids, "component": ids.take(pa.array([_find(root, x) for x in range(len(ids))], pa.int64()))})
+
+    kind = dict(edges.dtypes)["u"]
+    return edges.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(body, f"node {kind}, component {kind}")
+
+
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src: str = "src",
-                         dst: str = "dst", max_rounds: int | None = None) -> DataFrame:
+                         dst: str = "dst", max_rounds: int | None = None, task_edges: int = TASK_EDGES) -> DataFrame:
     """``(node, component)`` with component = smallest node id of its component.
 
     Large-star then small-star until the edge set stops changing; each
     round's edges are checkpointed (reliable, shared folder) so lineage stays
     short and a lost executor recomputes one round only.  ``max_rounds`` is a
-    guard: reaching it unconverged raises, it never cuts the result.
+    guard: reaching it unconverged raises, it never cuts the result.  Without
+    it at most ``task_edges`` edges are joined in one task instead: their
+    rounds are jobs over few rows, and every job costs the driver memory.
     """
     checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter(F.col("u") != F.col("v"))
     e = e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint(eager=True)
+    if max_rounds is None and not dict(e.dtypes)["u"].startswith("struct") and e.limit(task_edges + 1).count() <= task_edges:
+        return _with_singles(_task_components(e).checkpoint(eager=True), nodes)
     rounds = 0
     while True:
         if max_rounds is not None and rounds >= max_rounds:
@@ -239,7 +288,10 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
     comp = e.groupBy("v").agg(F.min("u").alias("component")).withColumnRenamed("v", "node")
     roots = e.select(F.col("u").alias("node")).distinct().withColumn("component", F.col("node"))
     comp = comp.unionByName(roots.join(comp.select("node"), "node", "left_anti"))
-    comp = comp.groupBy("node").agg(F.min("component").alias("component"))
+    return _with_singles(comp.groupBy("node").agg(F.min("component").alias("component")), nodes)
+
+
+def _with_singles(comp: DataFrame, nodes: DataFrame | None) -> DataFrame:
     if nodes is not None:
         singles = nodes.select(F.col(nodes.columns[0]).alias("node")).join(comp, "node", "left_anti") \
                        .withColumn("component", F.col("node"))
@@ -294,21 +346,23 @@ def _core_links(points: DataFrame, eps: float, min_samples: int, rows: int = til
 
     blocks = tiles.Blocks(points, rows)
     id_type = dict(points.dtypes)["id"]
+    met = blocks.near(eps)
 
     def count(table):
         a, b, own = tiles.split(table)
-        x, ids, n = tiles.matrix(table["x"]), table["id"].combine_chunks(), table["n"].to_numpy()
+        x, ids, n, cell = tiles.matrix(table["x"]), table["id"].combine_chunks(), table["n"].to_numpy(), table["cell"].to_numpy()
         total = np.zeros(len(x), np.int64)
-        for i, j, _ in tiles.close_pairs(x[a], x[b], float(eps)):
-            np.add.at(total, a[i], n[b[j]])
-            if not own:
-                np.add.at(total, b[j], n[a[i]])
+        for one, two in tiles.pieces(cell, a, b, met):
+            for i, j, _ in tiles.close_pairs(x[one], x[two], float(eps)):
+                np.add.at(total, one[i], n[two[j]])
+                if not own:
+                    np.add.at(total, two[j], n[one[i]])
         held = np.flatnonzero(total)
         return pa.table({"id": ids.take(pa.array(held)), "c": pa.array(total[held])})
 
     def forest(table):
         a, b, own = tiles.split(table)
-        x, ids = tiles.matrix(table["x"]), table["id"].combine_chunks()
+        x, ids, cell = tiles.matrix(table["x"]), table["id"].combine_chunks(), table["cell"].to_numpy()
         parent = list(range(len(x)))
 
         def find(v):
@@ -318,12 +372,13 @@ def _core_links(points: DataFrame, eps: float, min_samples: int, rows: int = til
             return v
 
         src, dst = [], []
-        for i, j, _ in tiles.close_pairs(x[a], x[b], float(eps), 64):
-            for u, v in zip(a[i].tolist(), b[j].tolist()):
-                p, q = find(u), find(v)
-                if p != q:
-                    parent[p] = q
-                    src.append(u), dst.append(v)
+        for one, two in tiles.pieces(cell, a, b, met):
+            for i, j, _ in tiles.close_pairs(x[one], x[two], float(eps), 64):
+                for u, v in zip(one[i].tolist(), two[j].tolist()):
+                    p, q = find(u), find(v)
+                    if p != q:
+                        parent[p] = q
+                        src.append(u), dst.append(v)
         return pa.table({"src": ids.take(pa.array(src, pa.int64())), "dst": ids.take(pa.array(dst, pa.int64()))})
 
     counts = blocks.tiles(eps).groupBy("lo", "hi").applyInArrow(count, f"id {id_type}, c long")
@@ -453,17 +508,39 @@ def _spanning_tree(x: np.ndarray, core: np.ndarray, side: np.ndarray | None) ->
     return np.array(i, np.int64), np.array(j, np.int64), np.array(w, np.float64)
 
 
-def minimum_tree(edges: DataFrame) -> DataFrame:
+def _task_tree(live: DataFrame) -> DataFrame:
+    """(u, v, w) of the spanning forest of few edges(u, v, w, a, b) between a and b, in one task."""
+    import pyarrow as pa
+
+    def body(table):
+        table = table.sort_by([("w", "ascending"), ("u", "ascending"), ("v", "ascending")])
+        ids, a, b = _numbers(table["a"], table["b"])
+        root, kept = list(range(len(ids))), []
+        for i, (x, y) in enumerate(zip(a, b)):
+            x, y = _find(root, x), _find(root, y)
+            if x != y:
+                root[x] = y
+                kept.append(i)
+        return table.select(["u", "v", "w"]).take(pa.array(kept, pa.int64()))
+
+    kind = dict(live.dtypes)
+    return live.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(body, f"u {kind['u']}, v {kind['v']}, w {kind['w']}")
+
+
+def minimum_tree(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """Minimum spanning forest of ``edges(u, v, w)``, ties by (w, u, v), by Boruvka rounds.
 
     Each round every component takes its smallest edge.  Those edges hold one
     pair of components that chose each other for each new component; its
     smaller one is the root, the others find it by pointer doubling.  Rounds
-    halve the components at least.
+    halve the components at least.  Once at most ``task_edges`` edges are left
+    between components, one task takes the rest.
     """
     live = edges.filter(F.col("u") != F.col("v")).select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")).checkpoint(eager=True)
     found = edges.select("u", "v", "w").limit(0)
-    while live.limit(1).count():
+    while left := live.limit(task_edges + 1).count():
+        if left <= task_edges:
+            return found.unionByName(_task_tree(live)).checkpoint(eager=True)
         both = live.unionByName(live.select("u", "v", "w", F.col("b").alias("a"), F.col("a").alias("b")))
         best = both.groupBy("a").agg(F.min(F.struct("w", "u", "v", "b")).alias("m")).select("a", "m.*").checkpoint(eager=True)
         found = found.unionByName(best.select("u", "v", "w").distinct()).checkpoint(eager=True)
@@ -476,8 +553,7 @@ def minimum_tree(edges: DataFrame) -> DataFrame:
             to = step.select("node", F.col("next").alias("root"))
             if not step.filter("root <> next").limit(1).count():
                 break
-        left, right = to.toDF("a", "ra"), to.toDF("b", "rb")
-        moved = live.join(left, "a").join(right, "b").filter(F.col("ra") != F.col("rb"))
+        moved = live.join(to.toDF("a", "ra"), "a").join(to.toDF("b", "rb"), "b").filter(F.col("ra") != F.col("rb"))
         # of the edges between two components only the smallest can be in the tree
         live = (moved.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
                 .agg(F.min(F.struct("w", "u", "v")).alias("m")).select("m.u", "m.v", "m.w", "a", "b").checkpoint(eager=True))

@@ -2,15 +2,19 @@
 
 * ``Blocks`` picks up to ``MAX_PIVOTS`` points as pivots (their vectors are the
   only ones on the driver), puts each point into the cell of its nearest pivot
-  and cuts large cells into blocks of bounded size.
+  and packs cells that are near each other into about ``GROUPS`` blocks; large
+  cells are cut.
 * By the triangle inequality two points of different cells are at least
   ``d(pivot, pivot) - radius - radius`` apart, so only cell pairs whose bound
-  reaches the wanted distance meet.  Every pair of their blocks is one tile:
-  the task holds both blocks as matrices and compares them by one product.
+  reaches the wanted distance meet.  Every pair of blocks with such cells is one
+  tile: the task holds both blocks as matrices and compares the cells that meet
+  by products of a bounded number of rows.
 * The product only proposes: it is off by rounding, so every candidate within
   the rounding error is measured again coordinate by coordinate.
 
-A block is copied once for each block it meets, never once for each point.
+A point is copied once for each block it meets: the number of blocks does not
+grow with the points, so what is shuffled grows as they do.  Only where a block
+of a ``GROUPS``-th of the points would exceed ``BLOCK_BYTES`` are there more.
 """
 
 from __future__ import annotations
@@ -22,7 +26,12 @@ from pyspark.sql import functions as F
 
 MAX_PIVOTS = 512
 BLOCK_ROWS = 2048
-_SUB = 1 << 24  # block number = cell * _SUB + part
+#: Blocks that the points are dealt to, about; fewer where they would hold under a quarter of the rows asked for.
+GROUPS = 16
+#: Largest matrix of a block.
+BLOCK_BYTES = 1 << 26
+_PRODUCT = 1 << 22  # values of one product
+_PAIRS = 1 << 16  # pairs measured again at once
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -30,7 +39,7 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     flat = rows.flatten().to_numpy(zero_copy_only=False)
     if len(rows) and len(flat) % len(rows):
         raise ValueError("vectors of different lengths")
-    return flat.reshape(len(rows), -1) if len(rows) else flat.reshape(0, 0)
+    return flat.reshape(len(rows), -1).astype(np.float64, copy=False) if len(rows) else np.empty((0, 0))
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -55,8 +64,7 @@ class Blocks:
     def __init__(self, points: DataFrame, rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS):
         n = points.count()
         self.columns = points.columns
-        self.rows = max(1, rows)
-        m = max(1, min(max_pivots, 2 * n // self.rows))
+        m = max(1, min(max_pivots, 4 * n // max(1, rows)))
         pivots = points.select("x").orderBy(F.xxhash64("id"), "id").limit(m).collect()
         self.pivots = np.array([r["x"] for r in pivots], np.float64).reshape(len(pivots), -1 if pivots else 0)
         pivots_here = self.pivots
@@ -74,37 +82,78 @@ class Blocks:
 
         placed = points.mapInArrow(assign, schema).checkpoint(eager=True)
         cells = placed.groupBy("cell").agg(F.count("*").alias("c"), F.max("r").alias("r")).collect()  # one row a pivot
-        self.radius, self.parts = np.zeros(len(self.pivots)), np.zeros(len(self.pivots), np.int64)
+        self.rows = max(1, min(max(rows // 4, -(-n // GROUPS)), BLOCK_BYTES // (8 * max(1, self.pivots.shape[1]))))
+        piece = max(1, self.rows // 4)
+        self.radius, count = np.zeros(len(self.pivots)), np.zeros(len(self.pivots), np.int64)
         for c in cells:
-            self.radius[c["cell"]], self.parts[c["cell"]] = c["r"], -(-c["c"] // self.rows)
-        sizes = points.sparkSession.createDataFrame([(i, int(k)) for i, k in enumerate(self.parts)], "cell int, parts int")
-        block = (F.col("cell").cast("long") * _SUB + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block")
-        self.table = placed.join(F.broadcast(sizes), "cell").select(*points.columns, "cell", block)
+            self.radius[c["cell"]], count[c["cell"]] = c["r"], c["c"]
+        self.parts = -(-count // piece)
+        dealt, self.groups, free = [], 0, 0
+        self._holds = [set() for _ in self.pivots]  # the blocks of each cell
+        for cell in _near_order(self.pivots):
+            for part in range(int(self.parts[cell])):
+                size = -(-int(count[cell]) // int(self.parts[cell]))
+                if size > free:
+                    self.groups, free = self.groups + 1, self.rows
+                free -= size
+                dealt.append((cell, part, self.groups - 1))
+                self._holds[cell].add(self.groups - 1)
+        spark = points.sparkSession
+        parts = spark.createDataFrame([(i, [g for c, _, g in dealt if c == i]) for i in range(len(self.pivots))], "cell int, parts array<long>")
+        block = F.expr("parts[cast(pmod(xxhash64(id), size(parts)) as int)]").alias("block")
+        self.table = placed.join(F.broadcast(parts), "cell").select(*points.columns, "cell", block)
+        self._apart = np.stack([exact(np.broadcast_to(p, self.pivots.shape), self.pivots) for p in self.pivots]) if len(self.pivots) else np.zeros((0, 0))
+
+    def near(self, reach: np.ndarray | float) -> np.ndarray:
+        """Whether two cells may hold points within ``reach`` (a number, or one for each cell) of each other."""
+        reach = np.broadcast_to(np.asarray(reach, np.float64), len(self.pivots))
+        low = (self._apart - self.radius[:, None] - self.radius) * (1 - 1e-9) - 1e-9
+        return (low <= np.maximum(reach[:, None], reach)) & (self.parts > 0) & (self.parts > 0)[:, None]
 
     def partners(self, reach: np.ndarray | float) -> DataFrame:
-        """(cell, other, parts): cells that may hold points within ``reach`` (a number, or one for each cell) of a cell's points."""
-        spark = self.table.sparkSession
-        reach = np.broadcast_to(np.asarray(reach, np.float64), len(self.pivots))
-        found = []
-        for i in range(len(self.pivots)):
-            if not self.parts[i]:
-                continue
-            apart = exact(np.broadcast_to(self.pivots[i], self.pivots.shape), self.pivots) if len(self.pivots) else []
-            low = (apart - self.radius[i] - self.radius) * (1 - 1e-9) - 1e-9
-            for j in np.flatnonzero((low <= np.maximum(reach[i], reach)) & (self.parts > 0)).tolist():
-                found.append((i, j, int(self.parts[j])))
-        return spark.createDataFrame(found, "cell int, other int, parts int")
+        """(cell, other): cells that may hold points within ``reach`` of a cell's points."""
+        return self.table.sparkSession.createDataFrame([(int(i), int(j)) for i, j in np.argwhere(self.near(reach))], "cell int, other int")
 
     def tiles(self, reach: np.ndarray | float, own: bool = True, table: DataFrame | None = None) -> DataFrame:
         """Rows with ``lo``, ``hi`` (the two blocks) and ``side``; a block's own tile has lo = hi and side 0."""
         table = self.table if table is None else table
-        near = (table.join(F.broadcast(self.partners(reach)), "cell")  # at most MAX_PIVOTS squared rows
-                .select("*", F.explode(F.expr(f"sequence(other * {_SUB}L, other * {_SUB}L + parts - 1)")).alias("met")))
-        near = near.where("met <> block").select(*[c for c in table.columns if c != "cell"], F.least("block", "met").alias("lo"),
+        met = [(i, sorted(set().union(*(self._holds[j] for j in np.flatnonzero(row))))) for i, row in enumerate(self.near(reach))]
+        met = self.table.sparkSession.createDataFrame(met, "cell int, mets array<long>")  # at most MAX_PIVOTS rows
+        near = table.join(F.broadcast(met), "cell").select(*table.columns, F.explode("mets").alias("met"))
+        near = near.where("met <> block").select(*table.columns, F.least("block", "met").alias("lo"),
                                                  F.greatest("block", "met").alias("hi"), F.expr("if(block < met, 0, 1)").alias("side"))
         if not own:
             return near
-        return near.unionByName(table.drop("cell").select("*", F.col("block").alias("lo"), F.col("block").alias("hi"), F.lit(0).alias("side")))
+        return near.unionByName(self.own_tiles(table))
+
+    def own_tiles(self, table: DataFrame | None = None) -> DataFrame:
+        """Each block with itself."""
+        return (self.table if table is None else table).select("*", F.col("block").alias("lo"), F.col("block").alias("hi"), F.lit(0).alias("side"))
+
+
+def _near_order(x: np.ndarray) -> list[int]:
+    """Row numbers, near rows mostly next to each other: halves along the widest axis."""
+    out, open_ = [], [np.arange(len(x))]
+    while open_:
+        rows = open_.pop()
+        if len(rows) < 2:
+            out += rows.tolist()
+            continue
+        axis = np.ptp(x[rows], axis=0).argmax() if x.shape[1] else 0
+        rows = rows[np.argsort(x[rows, axis], kind="stable")] if x.shape[1] else rows
+        open_ += [rows[len(rows) // 2:], rows[:len(rows) // 2]]
+    return out
+
+
+def pieces(cell: np.ndarray, a: np.ndarray, b: np.ndarray, near: np.ndarray | None):
+    """Pieces (rows of a, rows of b) of a tile that may be near each other; without ``near`` all."""
+    if near is None:
+        yield a, b
+        return
+    for c in np.unique(cell[a]):
+        met = b[near[c][cell[b]]]
+        if len(met):
+            yield a[cell[a] == c], met
 
 
 def split(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -117,16 +166,20 @@ def split(table: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
 
 def close_pairs(a: np.ndarray, b: np.ndarray, eps: float, step: int = 512):
     """Pieces (rows of a, rows of b, distance) of all pairs within eps."""
+    step = max(1, min(step, _PRODUCT // max(1, len(b))))
     for i in range(0, len(a), step):
         sq, error = squares(a[i:i + step], b)
         x, y = np.nonzero(sq <= eps * eps * (1 + 1e-12) + error)
-        d = exact(a[i + x], b[y])
-        ok = d <= eps
-        yield i + x[ok], y[ok], d[ok]
+        for at in range(0, len(x), _PAIRS):
+            p, q = i + x[at:at + _PAIRS], y[at:at + _PAIRS]
+            d = exact(a[p], b[q])
+            ok = d <= eps
+            yield p[ok], q[ok], d[ok]
 
 
 def nearest(a: np.ndarray, b: np.ndarray, order_b: np.ndarray, k: int, step: int = 512):
     """Pieces (rows of a, rows of b, distance) of the k nearest rows of b, ties by ``order_b``."""
+    step = max(1, min(step, _PRODUCT // max(1, len(b))))
     for i in range(0, len(a), step):
         sq, error = squares(a[i:i + step], b)
         if b.shape[0] > k:

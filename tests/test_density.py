@@ -191,3 +191,44 @@ def test_tree_cuts_are_density_clusters(spark):
         got = {r.vec_id: r.cluster_id for r in DEN.tree_clusters(df, tree, eps, 5).collect()}
         assert got == _brute_dbscan(pts, eps, 4, 5) and max(got.values()) > 0
     assert {r.cluster_id for r in DEN.tree_clusters(df, tree.limit(0), 1.0).collect()} == {-1}
+
+
+def test_few_edges_and_rounds_agree(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.randrange(60), rnd.randrange(60), float(rnd.randrange(9))) for _ in range(70)]
+    edges = spark.createDataFrame(rows, "u long, v long, w double").checkpoint()
+    sort = lambda df: sorted(tuple(r) for r in df.collect())
+    assert sort(DEN.minimum_tree(edges)) == sort(DEN.minimum_tree(edges, task_edges=10)) == sort(DEN.minimum_tree(edges, task_edges=0))
+    assert sort(DEN.connected_components(edges, src="u", dst="v")) == sort(DEN.connected_components(edges, src="u", dst="v", task_edges=0))
+
+
+def test_few_edges_take_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1, float(i % 7)) for i in range(100)], "u long, v long, w double").checkpoint()
+    spark.sparkContext.setJobGroup("few-edges", "tree and components of few edges")
+    try:
+        assert DEN.minimum_tree(edges).count() == 100
+        assert DEN.connected_components(edges, src="u", dst="v").count() == 101
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges")) < 20
+
+
+def test_copies_of_a_point_do_not_grow_with_the_points(spark):
+    from gleaner.operators import tiles
+    copies = []
+    for n in (2000, 16000):
+        df = spark.range(n).select("id", F.array(*[F.rand(i).cast("float") for i in range(12)]).alias("x")).checkpoint()
+        blocks = tiles.Blocks(df, 64)
+        copies.append(blocks.tiles(1e9).count() / n)
+        held = blocks.table.groupBy("block").count().agg(F.max("count")).first()[0]
+        assert blocks.groups <= 2 * tiles.GROUPS and held <= 2 * n / tiles.GROUPS
+        assert dict(blocks.table.dtypes)["x"] == "array<float>"
+    assert copies[1] <= copies[0] * 1.2 and copies[1] <= 2 * tiles.GROUPS
+
+
+def test_blocks_of_bounded_bytes(spark, monkeypatch):
+    from gleaner.operators import tiles
+    monkeypatch.setattr(tiles, "BLOCK_BYTES", 20 * 2 * 8)  # 20 rows
+    pts = _rand_pts(5, 200)
+    got = {(r.src, r.rank): r.dst for r in DEN.knn(_points(spark, pts), 3, slab_rows=500).collect()}
+    assert got == {(i, n): j for i in range(200) for n, (_, j) in enumerate(_nearest(pts, i, 3), 1)}
