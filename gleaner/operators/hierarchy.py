@@ -203,25 +203,97 @@ def _follow(to: DataFrame) -> DataFrame:
     return to
 
 
-def _pick(born: DataFrame, allow_single: bool) -> DataFrame:
-    """Add ``picked``: from the leaves up a cluster is better than its parts or not (one round a level of the
-    condensed tree), then the topmost better ones, by pointer doubling."""
-    key = ["rep", "size"]
-    live = born.select(*key, "prep", "psize", "stability", F.lit(0.0).alias("parts"))
-    known = None
+# A rule is what a cluster's value is, by that of a cluster below it: ``flat`` where that is at most ``most``, else ``more`` added to it.
+def _by(rule: Column, value: Column) -> Column:
+    return F.when(value <= rule["most"], rule["flat"]).otherwise(value + rule["more"])
+
+
+def _after(outer: Column, inner: Column) -> Column:
+    """The rule of ``outer`` applied to what ``inner`` gives (``flat`` is at most ``most + more`` in every rule, so this is one, too)."""
+    whole = outer["most"] - inner["more"] >= inner["most"]
+    return F.struct(F.when(whole, outer["flat"]).otherwise(_by(outer, inner["flat"])).alias("flat"),
+                    F.when(whole, outer["most"] - inner["more"]).otherwise(inner["most"]).alias("most"), (inner["more"] + outer["more"]).alias("more"))
+
+
+def _task_values(born: DataFrame, allow_single: bool) -> DataFrame:
+    """The same as ``_values`` for few clusters, in one task: parts before the clusters that hold them."""
+    import pyarrow as pa
+
+    def body(table):
+        table = table.sort_by("size")
+        parts, value = {}, []
+        for rep, size, prep, psize, own in zip(*(table[c].to_pylist() for c in ("rep", "size", "prep", "psize", "stability"))):
+            below = parts.get((rep, size), 0.0)
+            best = own if (prep is not None or allow_single) and own * (1 + 1e-9) >= below else below
+            parts[prep, psize] = parts.get((prep, psize), 0.0) + best
+            value.append(best)
+        return table.select(["rep", "size"]).append_column("value", pa.array(value, pa.float64()))
+
+    return (born.select("rep", "size", "prep", "psize", "stability").withColumn("task", F.lit(0)).groupBy("task")
+            .applyInArrow(body, f"rep {dict(born.dtypes)['rep']}, size long, value double").checkpoint(eager=True))
+
+
+def _values(born: DataFrame, allow_single: bool) -> DataFrame:
+    """(node, value): the largest total stability of clusters in each of born(rep, size, prep, psize, stability), none within another.
+
+    Each round takes the clusters without open parts, then puts the rule of a
+    whole line of clusters with one open part each in place of that line, by
+    doubling.  Of the rest each has two open parts at least, so that there are
+    log2(clusters) rounds, however deep the tree is.  The clusters of the lines
+    get their values afterwards, last round first.
+    """
+    up = F.when(F.col("prep").isNotNull(), F.struct(F.col("prep").alias("rep"), F.col("psize").alias("size")))
+    picks = F.lit(True) if allow_single else F.col("prep").isNotNull()
+    pass_on = F.struct(F.lit(0.0).alias("flat"), F.lit(float("-inf")).alias("most"), F.lit(0.0).alias("more"))
+    live = born.select(F.struct("rep", "size").alias("node"), up.alias("up"), F.when(picks, F.col("stability")).alias("own"),
+                       F.lit(0.0).alias("parts"), pass_on.alias("rule"))
+    known, lines = None, []
     while live.limit(1).count():
-        inner = live.filter(F.col("prep").isNotNull()).select(F.col("prep").alias("rep"), F.col("psize").alias("size")).distinct()
-        leaf = live.join(inner, key, "left_anti")
-        better = F.col("stability") * (1 + 1e-9) >= F.col("parts")
-        if not allow_single:
-            better = better & F.col("prep").isNotNull()
-        leaf = leaf.select(*key, "prep", "psize", better.alias("better"), F.when(better, F.col("stability")).otherwise(F.col("parts")).alias("value")).checkpoint(eager=True)
-        known = leaf if known is None else known.unionByName(leaf)
-        gain = leaf.groupBy(F.col("prep").alias("rep"), F.col("psize").alias("size")).agg(F.sum("value").alias("gain"))
-        live = (live.join(inner, key, "left_semi").join(gain, key, "left")
+        inner = live.filter(F.col("up").isNotNull()).select(F.col("up").alias("node")).distinct()
+        value = F.when(F.col("own") * (1 + 1e-9) >= F.col("parts"), F.col("own")).otherwise(F.col("parts"))
+        leaf = live.join(inner, "node", "left_anti").select("node", "up", "rule", value.alias("value")).checkpoint(eager=True)
+        known = leaf.select("node", "value") if known is None else known.unionByName(leaf.select("node", "value"))
+        gain = leaf.groupBy(F.col("up").alias("node")).agg(F.sum(_by(F.col("rule"), F.col("value"))).alias("gain"))
+        live = (live.join(inner, "node", "left_semi").join(gain, "node", "left")
                 .withColumn("parts", F.col("parts") + F.coalesce("gain", F.lit(0.0))).drop("gain").checkpoint(eager=True))
-    if known is None:
+        # lines: clusters with one open part
+        one = live.filter(F.col("up").isNotNull()).groupBy(F.col("up").alias("node")).agg(
+            F.count("*").alias("open"), F.min("node").alias("to"), F.min("rule").alias("below")).filter(F.col("open") == 1)
+        at = F.struct(F.coalesce("own", F.lit(0.0)).alias("flat"),
+                      F.coalesce(F.col("own") * (1 + 1e-9) - F.col("parts"), F.lit(float("-inf"))).alias("most"), F.col("parts").alias("more"))
+        line = live.join(one, "node").select("node", "to", "up", F.col("rule").alias("onto"), _after(at, F.col("below")).alias("rule")).checkpoint(eager=True)
+        ends = line.select(F.col("node").alias("to"), F.lit(False).alias("at_end"))
+        line = line.join(ends, "to", "left").withColumn("at_end", F.coalesce("at_end", F.lit(True))).checkpoint(eager=True)
+        while line.filter(~F.col("at_end")).limit(1).count():
+            onward = line.select(F.col("node").alias("to"), F.col("to").alias("next"), F.col("at_end").alias("end"), F.col("rule").alias("below"))
+            moved = line.filter(~F.col("at_end")).join(onward, "to").select(
+                "node", F.col("next").alias("to"), "up", "onto", _after(F.col("rule"), F.col("below")).alias("rule"), F.col("end").alias("at_end"))
+            line = line.filter("at_end").unionByName(moved.select(*line.columns)).checkpoint(eager=True)
+        lines.append(line.select("node", "to", "rule"))
+        held = line.select(F.col("node").alias("up"))
+        top = line.join(held, "up", "left_anti").select(F.col("to").alias("node"), F.col("up").alias("new_up"),
+                                                        _after(F.col("onto"), F.col("rule")).alias("new_rule"), F.lit(True).alias("moved"))
+        live = (live.join(held.withColumnRenamed("up", "node"), "node", "left_anti").join(top, "node", "left")
+                .select("node", F.when(F.col("moved"), F.col("new_up")).otherwise(F.col("up")).alias("up"), "own", "parts",
+                        F.when(F.col("moved"), F.col("new_rule")).otherwise(F.col("rule")).alias("rule")).checkpoint(eager=True))
+    for line in reversed(lines):
+        given = line.join(known.select(F.col("node").alias("to"), F.col("value").alias("below")), "to")
+        known = known.unionByName(given.select("node", _by(F.col("rule"), F.col("below")).alias("value"))).checkpoint(eager=True)
+    return known
+
+
+def _pick(born: DataFrame, allow_single: bool, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Add ``picked``: a cluster is better than its parts where its value is its own stability; of the better
+    ones the topmost, by pointer doubling.  Up to ``task_edges`` clusters get their values in one task."""
+    key = ["rep", "size"]
+    count = born.limit(task_edges + 1).count()
+    if not count:
         return born.withColumn("picked", F.lit(False)).withColumn("in_rep", F.col("rep")).withColumn("in_size", F.col("size"))
+    better = F.col("value") == F.col("stability")
+    if not allow_single:
+        better = better & F.col("prep").isNotNull()
+    values = _task_values(born, allow_single) if count <= task_edges else _values(born, allow_single).select("node.*", "value")
+    known = born.join(values, key).select(*key, "prep", "psize", better.alias("better"))
     # in_: the topmost better cluster known so far among this one and those that hold it
     own = F.when(F.col("better"), F.struct("rep", "size"))
     top = known.select(*key, "prep", "psize", own.alias("in_")).checkpoint(eager=True)

@@ -113,3 +113,38 @@ def test_without_enough_points(spark):
     assert HI.density_hierarchy(few.limit(0), 4, 5).count() == 0
     with pytest.raises(ValueError):
         HI.merge_tree(_frame(spark, [(1.0, 0, 1)]), 1)
+
+
+def _deep(spark, n, seed):
+    """A condensed tree as deep as it has clusters, and one with branches: (rep, size, prep, psize, birth, stability)."""
+    rnd = random.Random(seed)
+    up = {i: (i - 1 if seed % 2 else rnd.randrange(max(0, i - 6), i)) for i in range(1, n)}
+    own = {i: rnd.choice([0.0, 1.0, 2.0, rnd.random() * 4, 0.01]) * (1 if rnd.random() < 0.8 else n) for i in range(n)}
+    rows = [(i, n - i, up.get(i), n - up[i] if i else None, 0.0, own[i]) for i in range(n)]
+    return up, own, spark.createDataFrame(rows, "rep long, size long, prep long, psize long, birth double, stability double").checkpoint()
+
+
+def _brute_pick(up, own, allow_single):
+    value, better = {}, {}
+    for i in sorted(own, reverse=True):
+        parts = sum(value[j] for j in own if up.get(j) == i)
+        better[i] = (i > 0 or allow_single) and own[i] * (1 + 1e-9) >= parts
+        value[i] = own[i] if better[i] else parts
+    top = {}
+    for i in sorted(own):
+        top[i] = top.get(up.get(i)) if top.get(up.get(i)) is not None else (i if better[i] else None)
+    return top
+
+
+@pytest.mark.parametrize("seed, allow_single, task_edges", [(1, False, 0), (2, True, 0), (3, False, 1000)])
+def test_picks_of_deep_trees_in_few_jobs(spark, seed, allow_single, task_edges):
+    up, own, born = _deep(spark, 30, seed)
+    spark.sparkContext.setJobGroup(f"deep-{seed}", "picks of a deep tree")
+    try:
+        got = {r.rep: (r.picked, r.in_rep) for r in HI._pick(born, allow_single, task_edges).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = _brute_pick(up, own, allow_single)
+    assert got == {i: (want[i] == i, want[i]) for i in own}
+    if task_edges:  # a round a level would be several jobs for each of 30 levels
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"deep-{seed}")) < 60
