@@ -36,12 +36,17 @@ WINDOW = 110
 EPS = 1e-12
 # Topic words are broadcast only up to this many distinct words.
 BROADCAST_WORDS_LIMIT = 200_000
+# Up to this many words a plan holds the words themselves (one set a task, one look-up a token).
+LISTED_WORDS = 10_000
 
 
 def tokenised_texts(units: DataFrame, text_cols: Sequence[str] = ("review_id", "unit_pos"),
                     text_col: str = "unit") -> DataFrame:
-    """``(text_id..., tokens)`` with the coherence tokenizer."""
-    return units.select(*text_cols, coherence_tokens(text_col).alias("tokens"))
+    """``(text_id..., tokens)`` with the coherence tokenizer.
+
+    The generator makes a text be tokenised once a scan, however often a plan names ``tokens``.
+    """
+    return units.select(*text_cols, F.explode(F.array(coherence_tokens(text_col))).alias("tokens"))
 
 
 def vocabulary(texts: DataFrame, id_cols: Sequence[str] = ("review_id", "unit_pos")) -> DataFrame:
@@ -55,12 +60,18 @@ def present_terms(texts: DataFrame, topics: DataFrame) -> DataFrame:
     """``(term)``: the topic words (after re-tokenising) that occur in some text.
 
     Equivalent to the vocabulary for ``clean_topics``' membership test, but it
-    only intersects each text with the candidate list (one broadcast row,
-    bounded by the topic table) instead of aggregating every term."""
-    cand = (topics.select(F.explode(coherence_tokens("word")).alias("t")).distinct()
-                  .agg(F.collect_list("t").alias("_c")))
-    return (texts.crossJoin(F.broadcast(cand))  # one-row table
-                 .select(F.explode(F.array_intersect("tokens", "_c")).alias("term")).distinct())
+    only looks each token up among the candidates instead of aggregating every term."""
+    cand = topics.select(F.explode(coherence_tokens("word")).alias("word")).distinct()
+    known = _known_words(cand)
+    if known is not None:
+        return texts.select(F.explode(F.filter("tokens", lambda t: t.isin(known))).alias("term")).distinct()
+    return texts.select(F.explode("tokens").alias("term")).join(cand.select(F.col("word").alias("term")), "term", "left_semi").distinct()
+
+
+def _known_words(words: DataFrame) -> list[str] | None:
+    """The words of a table of up to ``LISTED_WORDS`` of them, else None."""
+    some = [r["word"] for r in words.limit(LISTED_WORDS + 1).collect()]
+    return some if len(some) <= LISTED_WORDS else None
 
 
 def clean_topics(topics: DataFrame, vocab: DataFrame, setting_cols: Sequence[str] = ("setting",),
@@ -79,10 +90,19 @@ def clean_topics(topics: DataFrame, vocab: DataFrame, setting_cols: Sequence[str
 
 
 def _occurrences(texts: DataFrame, words: DataFrame, id_cols: Sequence[str]) -> DataFrame:
-    """``(text..., L, i, word)``: positions of topic words (the only tokens C_v needs)."""
+    """``(text..., L, occ)``: the topic words of each text that holds any, with their places
+    (``array<struct<i, word>>``), the only tokens C_v needs."""
     ids = list(id_cols)
-    return (texts.select(*ids, F.size("tokens").alias("L"), F.posexplode("tokens").alias("i", "word"))
-                 .join(words, "word", "left_semi"))
+    places = F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t.alias("word")))
+    known = _known_words(words)
+    if known is not None:
+        occ = F.filter(places, lambda x: x["word"].isin(known))
+    else:
+        # one row of words; a text is cut to those it holds before its places are looked up
+        listed = words.agg(F.collect_list("word").alias("_tw"))
+        texts = texts.crossJoin(F.broadcast(listed)).withColumn("_tw", F.array_intersect("tokens", "_tw"))
+        occ = F.filter(places, lambda x: F.array_contains("_tw", x["word"]))
+    return texts.select(*ids, F.size("tokens").alias("L"), F.explode(F.array(occ)).alias("occ")).filter(F.size("occ") > 0)
 
 
 def _window_segments(occ: DataFrame, id_cols: Sequence[str]) -> DataFrame:
@@ -113,20 +133,15 @@ def _segment_word_sets(texts: DataFrame, topics: DataFrame, ids) -> DataFrame:
     """``(text..., L, seg, seg_len, ws)``: the sorted distinct topic words of
     every window segment.
 
-    A text of at most ``WINDOW`` tokens is one window: its word set is an
-    ``array_intersect`` with the topic-word list (one broadcast row), computed
-    row by row with no shuffle.  Longer texts go through occurrences and
-    change-point segments (``_window_segments``).
+    The texts are read once.  A text of at most ``WINDOW`` tokens is one window,
+    whose word set needs no shuffle.  Longer texts go through change-point
+    segments (``_window_segments``).
     """
-    words = topics.select("word").distinct()
-    word_list = words.agg(F.array_sort(F.collect_list("word")).alias("_tw"))  # one row
-    short = (texts.filter((F.size("tokens") > 0) & (F.size("tokens") <= WINDOW))
-                  .crossJoin(F.broadcast(word_list))
-                  .select(*ids, F.size("tokens").alias("L"), F.lit(0).alias("seg"), F.lit(1).alias("seg_len"),
-                          F.array_sort(F.array_intersect("tokens", "_tw")).alias("ws"))
-                  .filter(F.size("ws") > 0))
-    long_texts = texts.filter(F.size("tokens") > WINDOW)
-    occs = _occurrences(long_texts, F.broadcast(words), ids).checkpoint(eager=True)
+    held = _occurrences(texts, topics.select("word").distinct(), ids).checkpoint(eager=True)
+    short = held.filter(F.col("L") <= WINDOW).select(
+        *ids, "L", F.lit(0).alias("seg"), F.lit(1).alias("seg_len"),
+        F.array_sort(F.array_distinct(F.col("occ.word"))).alias("ws"))
+    occs = held.filter(F.col("L") > WINDOW).select(*ids, "L", F.inline("occ"))
     lengths = occs.select(*ids, "L").distinct()
     long_sets = (_window_segments(occs, ids)
                  .groupBy(*ids, "seg", "seg_len").agg(F.array_sort(F.collect_set("word")).alias("ws"))

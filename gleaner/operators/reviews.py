@@ -50,7 +50,9 @@ def dedup_reviews(df: DataFrame, keys=("course_id", "review"), order_col: str =
     keys = list(keys)
     others = [c for c in df.columns if c not in keys]
     first = F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order_col)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*df.columns)
+    # the hash comes first: groups are sorted by one number, and texts compared only where it is equal
+    hashed = df.groupBy(F.xxhash64(*keys).alias("_hash"), *keys)
+    return hashed.agg(first).select(*keys, "_first.*").select(*df.columns)
 
 
 def with_token_count(df: DataFrame, text_col: str = "review", out: str = "n_tokens") -> DataFrame:

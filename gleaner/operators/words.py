@@ -56,9 +56,20 @@ def _top_terms(terms: DataFrame, group: list[str], n: int, order: list) -> DataF
     return some.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= n).drop("_r")
 
 
+def _nth_largest(rows: DataFrame, group: list[str], value: str, n: int, out: str = "_nth") -> DataFrame:
+    """``(*group, out)``: the n-th largest value of each group, the smallest where it has fewer rows.
+
+    Only the distinct counts of a group are sorted, never its rows.
+    """
+    counts = rows.groupBy(*group, value).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*group).orderBy(F.col(value).desc())
+    above = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_c")
+    return counts.withColumn("_above", above).filter(F.col("_above") < n).groupBy(*group).agg(F.min(value).alias(out))
+
+
 def ctfidf(tf: DataFrame, clusters: DataFrame, setting_cols: Sequence[str] = ("setting",),
            cluster_col: str = "cluster", stopwords: Sequence[str] | None = None,
-           max_features: int | None = None, norm: str | None = None) -> DataFrame:
+           max_features: int | None = None, norm: str | None = None, top: int | None = None) -> DataFrame:
     """Class-based TF-IDF weights ``(*setting, cluster, term, tf, weight)``.
 
     ``idf = ln((1 + n) / (1 + df)) + 1`` with n the number of clusters of the
@@ -66,17 +77,33 @@ def ctfidf(tf: DataFrame, clusters: DataFrame, setting_cols: Sequence[str] = ("s
     and df the clusters containing the term.  ``stopwords`` drops terms;
     ``max_features`` keeps the most frequent terms of the setting (ties by
     term); ``norm='l2'`` scales each cluster's row to unit length.
+
+    ``top`` leaves out rows that cannot be among the ``top`` largest weights
+    of their cluster; the weights of the others are the same.  A weight is at
+    least ``tf`` and at most ``tf * (ln((1 + n) / 2) + 1)``, so counts alone
+    tell most of them, before terms are sorted or joined.  Norms need every row.
     """
     s = list(setting_cols)
     if stopwords:
         tf = tf.filter(~F.col("term").isin(list(stopwords)))
     if max_features is not None:
         totals = tf.groupBy(*s, "term").agg(F.sum("tf").alias("_tot"))
-        keep = _top_terms(totals, s, max_features, [F.col("_tot").desc(), F.col("term")])
+        # terms below the last count that is kept are not sorted
+        least = _nth_largest(totals, s, "_tot", max_features)
+        likely = totals.join(least, s).filter(F.col("_tot") >= F.col("_nth")).drop("_nth")
+        keep = _top_terms(likely, s, max_features, [F.col("_tot").desc(), F.col("term")])
         tf = tf.join(keep.select(*s, "term"), [*s, "term"], "left_semi")
     n = clusters.groupBy(*s).agg(F.countDistinct(cluster_col).alias("_n"))
+    rows = tf
+    if top is not None and norm is None:
+        key = [*s, cluster_col]
+        # the margin is far above what rounded weights differ by
+        bounds = _nth_largest(tf, key, "tf", top).join(n, s).withColumn(
+            "_least", F.col("_nth") / (F.log((1 + F.col("_n")) / 2) + 1) * (1 - 1e-6) - 1e-6).select(*key, "_least")
+        rows = tf.join(bounds, key).filter(F.col("tf") >= F.col("_least")).drop("_least")
+        tf = tf.join(rows.select(*s, "term").distinct(), [*s, "term"], "left_semi")
     df_ = tf.groupBy(*s, "term").agg(F.count(F.lit(1)).alias("_df"))
-    out = (tf.join(df_, [*s, "term"]).join(n, s)
+    out = (rows.join(df_, [*s, "term"]).join(n, s)
              .withColumn("weight", F.col("tf") * (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1)))
     if norm == "l2":
         norms = out.groupBy(*s, cluster_col).agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("_norm"))
@@ -127,7 +154,7 @@ def ctfidf_top_words(units: DataFrame, clusters: DataFrame, variant: str = "raw"
     chosen = units.join(clusters.select(*s, cluster_col), [*s, cluster_col], "left_semi")
     tf = cluster_term_counts(chosen, [*s, cluster_col], text_col)
     if variant == "raw":
-        weights = ctfidf(tf, clusters, s, cluster_col)
+        weights = ctfidf(tf, clusters, s, cluster_col, top=n)
     elif variant == "l2":
         sw = list(ENGLISH_STOPWORDS) if stopwords is None else list(stopwords)
         weights = ctfidf(tf, clusters, s, cluster_col, stopwords=sw, max_features=max_features, norm="l2")

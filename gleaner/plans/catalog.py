@@ -119,19 +119,21 @@ def chosen_table(spark, sf_dir):
 def term_counts(spark, sf_dir):
     """(view, cluster, term, tf) for the chosen clusters, written once.
 
-    Each unit is tokenised once and its tokens counted under every view; the
+    Each unit is tokenised once and its tokens counted once, by the columns of
+    all views together; the counts are then summed under every view.  The
     chosen-cluster table (views x k rows) is broadcast into a semi join.
     """
     def build():
         units = mintoken_units(spark, sf_dir)
         chosen = chosen_table(spark, sf_dir).select("view", "cluster").distinct()
+        cols = list(VIEWS.values())
+        counts = (units.select(*cols, F.explode(W.vectorizer_tokens("unit")).alias("term"))
+                       .groupBy(*cols, "term").agg(F.count(F.lit(1)).alias("tf")))
         views = F.array(*[F.struct(F.lit(v).alias("view"), F.col(c).cast("string").alias("cluster"))
                           for v, c in VIEWS.items()])
-        toks = units.select(W.vectorizer_tokens("unit").alias("_t"), F.explode(views).alias("_v")) \
-                    .select("_v.view", "_v.cluster", "_t")
-        picked = toks.join(F.broadcast(chosen), ["view", "cluster"], "left_semi")
-        return (picked.select("view", "cluster", F.explode("_t").alias("term"))
-                      .groupBy("view", "cluster", "term").agg(F.count(F.lit(1)).alias("tf")))
+        rows = counts.select("term", "tf", F.explode(views).alias("_v")).select("_v.view", "_v.cluster", "term", "tf")
+        return (rows.join(F.broadcast(chosen), ["view", "cluster"], "left_semi")
+                    .groupBy("view", "cluster", "term").agg(F.sum("tf").alias("tf")))
     return stage(spark, sf_dir, "term_counts", build)
 
 
@@ -146,7 +148,7 @@ def build_setting_top_words(spark, sf_dir, variant):
     tf = term_counts(spark, sf_dir).join(F.broadcast(chosen.select("setting", "view", "cluster")),
                                          ["view", "cluster"]).select("setting", "cluster", "term", "tf")
     if variant == "raw":
-        weights = W.ctfidf(tf, chosen, ["setting"], "cluster")
+        weights = W.ctfidf(tf, chosen, ["setting"], "cluster", top=TOP_N_WORDS)
     else:
         weights = W.ctfidf(tf, chosen, ["setting"], "cluster",
                            stopwords=list(W.ENGLISH_STOPWORDS), max_features=5000, norm="l2")

@@ -76,3 +76,26 @@ def test_matches_brute_force_with_long_texts(spark, denominator):
     exp = _brute(texts, topics, denominator)
     for k, e in enumerate(exp):
         assert got[f"t{k}"] == pytest.approx(e, abs=1e-9)
+
+
+def test_a_text_is_tokenised_once_a_scan(spark):
+    units = spark.range(3).selectExpr("id as review_id", "0 as unit_pos", "'Alpha beta of ' || id as unit")
+    texts = COH.tokenised_texts(units)
+    from pyspark.sql import functions as F
+    used = texts.filter(F.size("tokens") > 0).filter(F.size("tokens") <= COH.WINDOW).select("review_id", F.size("tokens"), "tokens")
+    assert used._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {tuple(r.tokens) for r in used.collect()} == {("alpha", "beta")}
+
+
+def test_more_words_than_a_plan_lists(spark, monkeypatch):
+    rnd = random.Random(12)
+    vocab = [f"w{i}" for i in range(20)]
+    texts = _texts(spark, [[rnd.choice(vocab) for _ in range(rnd.choice([0, 2, 9, 130]))] for _ in range(30)]).cache()
+    topics = _topics(spark, [vocab[:4], vocab[2:9], [vocab[0], vocab[0]]]).cache()
+    seen = COH.present_terms(texts, topics.withColumnRenamed("pos", "rank"))
+    first = sorted(COH.coherence_cv(texts, topics).collect()), sorted(seen.collect())
+    monkeypatch.setattr(COH, "LISTED_WORDS", 1)
+    seen = COH.present_terms(texts, topics.withColumnRenamed("pos", "rank"))
+    second = sorted(COH.coherence_cv(texts, topics).collect()), sorted(seen.collect())
+    assert [r[:3] for r in first[0]] == [r[:3] for r in second[0]] and first[1] == second[1]
+    assert [r.c_v for r in first[0]] == pytest.approx([r.c_v for r in second[0]], abs=1e-9)
