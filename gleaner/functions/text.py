@@ -61,16 +61,33 @@ def _is_stop(tok: Column, stopwords: Sequence[str]) -> Column:
     return tok.isin(list(stopwords))
 
 
-def stopword_fragments(sentence, stopwords: Sequence[str] | None = None) -> Column:
-    """Maximal runs of non-stopword tokens of one sentence, each joined by spaces."""
+def _marked_tokens(sentence, stopwords: Sequence[str] | None = None) -> Column:
+    """Tokens of one sentence joined by spaces, ``_SEP`` in the place of each stopword."""
     sw = segmentation_stopwords() if stopwords is None else list(stopwords)
     marked = F.transform(segment_tokens(sentence),
                          lambda t: F.when(_is_stop(t, sw), F.lit(_SEP)).otherwise(t))
-    joined = F.array_join(marked, " ")
-    frags = F.transform(F.split(joined, r"\|"), lambda f: F.trim(f))
+    return F.array_join(marked, " ")
+
+
+def stopword_fragments(sentence, stopwords: Sequence[str] | None = None) -> Column:
+    """Maximal runs of non-stopword tokens of one sentence, each joined by spaces."""
+    frags = F.transform(F.split(_marked_tokens(sentence, stopwords), r"\|"), lambda f: F.trim(f))
     return F.filter(frags, lambda f: f != F.lit(""))
 
 
+def _merged_units(marked: Column, min_tokens: int) -> Column:
+    """``merge_short_fragments`` of marked tokens, by one pattern: a unit is ``min_tokens`` tokens, what is
+    left of the fragment of the last one, and fewer than ``min_tokens`` tokens before the end; or all,
+    where there are fewer.  Possessive parts: no recursion, however long the sentence."""
+    k = max(1, min_tokens)
+    tok, gap = f"[^ {_SEP}]++", f"[ {_SEP}]++"
+    unit = f"(?:{tok}{gap}){{{k - 1}}}+{tok}(?: {tok})*+"
+    if k > 1:
+        unit += f"(?:(?:{gap}{tok}){{1,{k - 1}}}+$)?|^.++"
+    units = F.regexp_extract_all(F.btrim(marked, F.lit(" " + _SEP)), F.lit(unit), 0)
+    return F.transform(units, lambda u: F.replace(u, F.lit(" " + _SEP), F.lit("")))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
 
@@ -149,7 +166,7 @@ def segment_mintoken(col, min_tokens: int = 5, drop_if_short: int = 3,
     lower-cased sentence (stopwords included).
     """
     def per_sentence(s):
-        merged = merge_short_fragments(stopword_fragments(s, stopwords), min_tokens)
+        merged = _merged_units(_marked_tokens(s, stopwords), min_tokens)
         kept = F.filter(merged, lambda u: _n_tokens(u) >= F.lit(drop_if_short))
         return _with_fallback(kept, s)
 
