@@ -5,9 +5,9 @@ window), probabilities p(w) and p(w, w') as window fractions, NPMI with
 eps = 1e-12, and per topic the mean over its words of the cosine between
 the word's NPMI vector and the sum of all the topic's NPMI vectors.
 
-Windows are never materialised one by one.  A text of at most 110 tokens
-is a single window whose topic-word set is computed row by row
-(``array_intersect`` with the broadcast topic-word list, no shuffle).
+Windows are never materialised one by one.  The texts are read once for the
+places of their topic words (a look-up a token, no shuffle).  A text of at
+most 110 tokens is a single window, whose word set is what was found.
 Along a longer text the set of topic words inside the window only changes
 where a window starts 109 tokens before an occurrence or one token after
 it; those change points cut the window starts into *segments* of identical
