@@ -7,13 +7,18 @@ n-grams.  Documents with equal n-gram sets collapse to one row (a node).
   of a sample of the texts; any order is right, this one keeps columns short).
   Two sets of which one holds ``m`` n-grams reach the threshold only if they
   share one of the first ``m - ceil(t m) + 1`` of each, so only these columns
-  are multiplied.  A column of up to ``ROW_BLOCK`` rows gives all its pairs.
+  are multiplied.  The place of the first shared n-gram in a set bounds the
+  size of the other set; rows of a column in order of size are cut where no
+  pair can reach across, and each cut is a column of its own.  Rows alone in
+  theirs go.  A column of up to ``ROW_BLOCK`` rows gives all its pairs.
 * A longer column first pairs its rows with a few pivot rows of each size
   class.  The rows that this leaves outside the column's main component are
   then held, block by block, against all rows of other components; a block
   gives only the pairs that the bounds below allow, and leaves a pair to an
   earlier column that holds both rows: each row brings the EARLIER columns
   before this one, so a pair is always given by the first column it shares.
+  First a row gives its NEAREST pairs of a block; once these are linked, all
+  pairs that are still in different components.
 * Pairs are discarded by size, then by parity bitmaps: the bits in which two
   bitmaps differ are a lower bound of the n-grams in which the sets differ.
 * The rest is multiplied in tiles, one row against a block of rows, counting
@@ -44,6 +49,8 @@ TILE = 256
 BLOCK = 512
 #: Earlier columns that a row brings into a block (8 bytes each); more only save repeated pairs.
 EARLIER = 32
+#: Pairs of a row that a block gives before components are found again.
+NEAREST = 2
 #: One text in SAMPLE is read for the order of columns; at most FREQUENT n-grams count as frequent (8 bytes each, broadcast).
 SAMPLE = 16
 FREQUENT = 1 << 18
@@ -190,33 +197,57 @@ def _tile(percent: int):
     return body
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts, percent: int, stages: Stages, name: str, fold: bool, n: int) -> DataFrame:
-    """(a, b, distance) of the pairs (a, b) that link: bounds first, then tiles of whole sets."""
+def _close_pairs(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link."""
     left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    near = pairs.join(left, "a").join(right, "b").mapInArrow(_close_bitmaps(percent), "a long, b long")
-    near = stages.put(f"{name}-near", near)
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_close_bitmaps(percent), "a long, b long")
+
+
+def _verified(near: DataFrame, texts, percent: int, stages: Stages, name: str, fold: bool, n: int) -> DataFrame:
+    """(a, b, distance) of the distinct pairs (a, b) that link, by tiles of whole sets."""
+    place = F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1
+    near = stages.put(f"{name}-near", near.select("a", "b", F.floor(place / TILE).alias("tile")))
     needed = stages.put(f"{name}-needed", near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     sets = stages.put(f"{name}-sets", texts(needed).mapInArrow(_sets(n, fold), "node long, grams binary"))
-    tiles = near.groupBy("a").agg(F.expr(f"count(*) div {TILE} + 1").alias("tiles"))
-    dealt = stages.put(f"{name}-dealt", near.join(tiles, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("tiles")).alias("tile")))
-    own = dealt.select("a", "tile").distinct().select("a", "tile", F.lit(0).alias("side"), F.col("a").alias("node"))
-    rows = own.unionByName(dealt.select("a", "tile", F.lit(1).alias("side"), F.col("b").alias("node"))).join(sets, "node")
+    own = near.select("a", "tile").distinct().select("a", "tile", F.lit(0).alias("side"), F.col("a").alias("node"))
+    rows = own.unionByName(near.select("a", "tile", F.lit(1).alias("side"), F.col("b").alias("node"))).join(sets, "node")
     found = stages.put(name, rows.groupBy("a", "tile").applyInArrow(_tile(percent), "a long, b long, distance double"))
-    for key in ("near", "needed", "sets", "dealt"):
+    for key in ("near", "needed", "sets"):
         stages.drop(f"{name}-{key}")
     return found
 
 
+def _cells(sigs: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n): the columns, each cut by size where no pair links across; rows without a partner in size are left out.
+
+    Where the first n-gram that two sets share has p earlier ones in a set of
+    n, they share at most n - p, so the other set has at most ``most`` n-grams.
+    Copies of a set come next to each other and count once.
+    """
+    held = sigs.select(F.posexplode("columns").alias("pos", "key"), "node", F.col("n_shingles").alias("n"))
+    held = held.select("key", "node", "n", F.floor(100 * (F.col("n") - F.col("pos")) / F.lit(float(percent)) - F.col("pos") + 1e-6).alias("most"))
+    by_size = Window.partitionBy("key").orderBy("n", "node")
+    seen = by_size.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = by_size.rowsBetween(Window.unboundedPreceding, -1)
+    near = held.select("key", "node", "n", F.lag("node").over(by_size).alias("last"), F.lead("n").over(by_size).alias("next"),
+                       F.max("most").over(seen).alias("reach"), F.max("most").over(before).alias("reached"))
+    opens = F.expr("reached is null or n > reached")
+    kept = near.where(~(opens & F.expr("next is null or next > reach")) & F.expr("last is null or last <> node"))
+    cut = kept.select("key", "node", "n", opens.cast("long").alias("opens")).withColumn("cut", F.sum("opens").over(seen))
+    return cut.select(F.xxhash64("key", "cut").alias("key"), "node", "n")
+
+
 def _sizes_allow(percent: int):
     return F.expr(f"100 * least(na, nb) >= {int(percent)} * greatest(na, nb)")
 
 
 def _links(cell: DataFrame, nodes: DataFrame, texts, percent: int, stages: Stages, row_block: int, pivots: int, fold: bool, n: int) -> DataFrame:
     """Links (a, b) whose components are those of all links among the nodes; cell(key, node, n) is a stored table."""
+    verified = lambda near, name: _verified(near, texts, percent, stages, name, fold, n).select("a", "b")
     shared = cell.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
     # columns held by the same rows are one
-    one = stages.put("one", shared.groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c"))
+    one = stages.put("one", shared.where("c > 1").groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c"))
     cell = stages.put("once", cell.join(one, "key"))
     short = cell.where(F.col("c") <= row_block)
     members = short.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "n"))).alias("m"))  # at most row_block
@@ -232,12 +263,21 @@ def _links(cell: DataFrame, nodes: DataFrame, texts, percent: int, stages: Stage
     ordered = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
                           F.expr("if(a < b, na, nb)").alias("na"), F.expr("if(a < b, nb, na)").alias("nb"))
     pairs = pairs.unionByName(ordered).where(_sizes_allow(percent)).select("a", "b").distinct()
-    links = _verified(pairs, nodes, texts, percent, stages, "links1", fold, n)
+    links = verified(_close_pairs(pairs, nodes, percent), "links1")
     if not long_.limit(1).count():
-        return links.select("a", "b")
+        return links
 
     # rows outside the main component of a long column, against all its rows of other components
-    roots = components(links, stages, "round1")
+    for turn, most in ((1, NEAREST), (2, None)):
+        near = _outside(long_, nodes, components(links, stages, f"round{turn}"), percent, stages, most)
+        links = links.unionByName(verified(near.distinct(), f"links{turn + 1}"))
+    for key in ("one", "once", "long", "pivots", "placed", "open"):
+        stages.drop(key)
+    return links
+
+
+def _outside(long_: DataFrame, nodes: DataFrame, roots: DataFrame, percent: int, stages: Stages, most: int | None) -> DataFrame:
+    """Close pairs (a, b) of each column's rows outside its main component with its rows of other components, ``most`` a row and block if given."""
     placed = stages.put("placed", long_.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("part")))
     parts = placed.groupBy("key", "part").agg(F.count("*").alias("c"))
     main = parts.groupBy("key").agg(F.max(F.struct("c", "part")).getField("part").alias("main"), F.count("*").alias("parts")).where("parts > 1")
@@ -249,11 +289,7 @@ def _links(cell: DataFrame, nodes: DataFrame, texts, percent: int, stages: Stage
     row = ["node", "n", "part", "bits", "earlier", F.expr("part = main").alias("inside")]
     rest = dealt.where("part <> main").select("key", F.expr("pmod(h, ni)").alias("i"), F.explode(F.expr("sequence(0, nj - 1)")).alias("j"), F.lit(0).alias("side"), *row)
     every = dealt.select("key", F.explode(F.expr("sequence(0, ni - 1)")).alias("i"), F.expr("pmod(h, nj)").alias("j"), F.lit(1).alias("side"), *row)
-    near = rest.unionByName(every).groupBy("key", "i", "j").applyInArrow(_close_blocks(percent), "a long, b long")
-    links2 = _verified(near.distinct(), nodes, texts, percent, stages, "links2", fold, n)
-    for key in ("one", "once", "long", "pivots", "placed", "open"):
-        stages.drop(key)
-    return links.select("a", "b").unionByName(links2.select("a", "b"))
+    return rest.unionByName(every).groupBy("key", "i", "j").applyInArrow(_close_blocks(percent, most), "a long, b long")
 
 
 def _bit_rows(bits: list[bytes], to: int) -> np.ndarray:
@@ -264,15 +300,18 @@ def _bit_rows(bits: list[bytes], to: int) -> np.ndarray:
     return x
 
 
-def _close_blocks(percent: int):
-    """applyInArrow body: rows of a block outside the main component (side 0) against a block of all rows (side 1) -> close pairs."""
+def _close_blocks(percent: int, most: int | None = None):
+    """applyInArrow body: rows of a block outside the main component (side 0) against a block of all rows (side 1) -> close pairs.
+
+    ``most``: only so many pairs of a row of side 0, those with the closest bitmaps.
+    """
     def body(table: pa.Table) -> pa.Table:
         side, node, size, part = (table[c].to_numpy() for c in ("side", "node", "n", "part"))
         inside = table["inside"].to_numpy()
         bits = table["bits"].to_pylist()
         earlier = [frozenset(x) for x in table["earlier"].to_pylist()]
         width = np.array([len(x) for x in bits])
-        found_a, found_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        found = [np.empty((0, 3), np.int64)]
         for wa in np.unique(width[side == 0]):
             for wb in np.unique(width[side == 1]):
                 a, b = np.flatnonzero((side == 0) & (width == wa)), np.flatnonzero((side == 1) & (width == wb))
@@ -284,9 +323,17 @@ def _close_blocks(percent: int):
                     close = (apart <= both * (100 - percent) // (100 + percent)) & (part[b] != part[i]) & (inside[b] | (node[i] < node[b]))
                     close &= 100 * np.minimum(size[b], size[i]) >= percent * np.maximum(size[b], size[i])
                     first = [j for j in b[close].tolist() if earlier[i].isdisjoint(earlier[j])]  # an earlier column gives the others
-                    found_a.append(np.minimum(node[first], node[i]))
-                    found_b.append(np.maximum(node[first], node[i]))
-        return pa.table({"a": pa.array(np.concatenate(found_a)), "b": pa.array(np.concatenate(found_b))})
+                    if first:
+                        gap = apart[np.searchsorted(b, first)]
+                        found.append(np.column_stack([np.full(len(first), i), first, gap * 1_000_000 // both[np.searchsorted(b, first)]]))
+        i, j, gap = np.concatenate(found).T
+        if most is not None and len(i):
+            order = np.lexsort((node[j], gap, i))
+            i, j = i[order], j[order]
+            start = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+            near = np.arange(len(i)) - np.repeat(start, np.diff(np.r_[start, len(i)])) < most
+            i, j = i[near], j[near]
+        return pa.table({"a": pa.array(np.minimum(node[i], node[j])), "b": pa.array(np.maximum(node[i], node[j]))})
 
     return body
 
@@ -328,10 +375,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, s
         _signatures(n, percent, fold, frequent),
         f"doc_id {id_type}, k1 long, k2 long, n_shingles long, node long, bits binary, columns array<long>"))
 
-    held = sigs.select(F.explode("columns").alias("key"), "node", F.col("n_shingles").alias("n"))
-    shared = held.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    shared = stages.put("shared", shared)
-    cell = stages.put("cells", C.keep_keys(held, shared, ["key"]).distinct())
+    cell = stages.put("cells", _cells(sigs, percent))
     partners = cell.select("node").distinct()
     nodes = stages.put("nodes", sigs.join(partners, "node", "left_semi").groupBy("node").agg(
         F.min("n_shingles").alias("n"), F.min("bits").alias("bits")))
@@ -351,7 +395,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, s
     named = stages.put("named", named)
     smallest = stages.put("smallest", named.groupBy("root").agg(F.min("first").alias("component_id")))
     where = stages.put("where", named.join(smallest, "root").select("node", "root", "component_id"))
-    for key in ("chosen", "shared", "cells", "nodes", "links1", "links2", "linked", "named", "smallest"):
+    for key in ("chosen", "cells", "nodes", "links1", "links2", "links3", "linked", "named", "smallest"):
         stages.drop(key)
     return (sigs.select("doc_id", "n_shingles", "node", "k1", "k2").join(where, "node", "left")
             .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "root", "k1", "k2"))

@@ -136,3 +136,35 @@ def test_scratch_removes_what_operators_opened(spark):
         out = jaccard.keep_one(_docs(spark, ["a b c d e f"] * 3)).count()
     assert out == 1 and opened
     assert not any(os.path.exists(s.root.removeprefix("file:")) for s in opened)
+
+
+def test_columns_cut_by_size_hold_all_linked_pairs(spark):
+    rnd = random.Random(8)
+    for n, percent in ((40, 80), (40, 90), (15, 50)):
+        sets = [set(rnd.sample(range(3 * n), rnd.randint(2, n))) for _ in range(40)]
+        sets += [{x for x in s if rnd.random() < 0.95} | {rnd.randrange(3 * n)} for s in sets]
+        sets = [*{frozenset(s) for s in sets if s}, frozenset({0}), frozenset(range(1000))]  # the last two: no partner in size
+        rows = [(i, len(s), sorted(s)[:jaccard.prefix_length(len(s), percent)]) for i, s in enumerate(sets)]
+        sigs = spark.createDataFrame([*rows, *rows[:9]], "node long, n_shingles long, columns array<long>")
+        got = [(r.key, r.node) for r in jaccard._cells(sigs, percent).collect()]
+        assert len(got) == len(set(got)) < sum(len(r[2]) for r in rows)
+        columns = {}
+        for key, node in got:
+            columns.setdefault(node, set()).add(key)
+        assert len(sets) - 1 not in columns
+        for a, x in enumerate(sets):
+            for b in range(a):
+                if 100 * len(x & sets[b]) >= percent * len(x | sets[b]):
+                    assert columns[a] & columns[b], (percent, x, sets[b])
+
+
+def test_blocks_give_the_nearest_pairs_first():
+    import pyarrow as pa
+
+    grams = np.arange(1, 101, dtype=np.uint64)
+    sets = [grams[:-1], *(grams[:-1 - k] for k in range(1, 9))]  # the first against ever smaller ones
+    table = pa.table({"side": [0] + [1] * 8, "node": list(range(9)), "n": [len(x) for x in sets], "part": list(range(9)), "inside": [False] * 9,
+                      "bits": [jaccard.bitmap(x) for x in sets], "earlier": pa.array([[]] * 9, pa.list_(pa.int64()))})
+    pairs = lambda most: [(r["a"], r["b"]) for r in jaccard._close_blocks(80, most)(table).to_pylist()]
+    assert pairs(2) == [(0, 1), (0, 2)]
+    assert sorted(pairs(None)) == [(0, b) for b in range(1, 9)]
