@@ -171,34 +171,28 @@ def _nearest_by_tiles(points: DataFrame, k: int, rows: int) -> DataFrame:
     blocks = tiles.Blocks(points, rows)
     id_type = dict(points.dtypes)["id"]
 
-    def search(near):
-        def body(table):
-            a, b, own = tiles.split(table)
-            x, ids, cell = tiles.matrix(table["x"]), table["id"].combine_chunks(), table["cell"].to_numpy()
-            order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-            src, dst, dist = [], [], []
-            for one, two in ((a, b),) if own else ((a, b), (b, a)):
-                for here, there in tiles.pieces(cell, one, two, near):
-                    if len(here) and len(there):
-                        for i, j, d in tiles.nearest(x[here], x[there], order[there], k):
-                            src.append(here[i]), dst.append(there[j]), dist.append(d)
-            src, dst, dist = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (src, dst, dist))
-            return pa.table({"src": ids.take(pa.array(src)), "dst": ids.take(pa.array(dst)), "dist": pa.array(dist.astype(float))})
-
-        return body
+    def search(table):
+        a, b, own = tiles.split(table)
+        x, ids = tiles.matrix(table["x"]), table["id"].combine_chunks()
+        order = np.argsort(np.argsort(ids.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        bound = None if own else table["bound"].to_numpy()
+        sides = ((a, b),) if own else ((a, b), (b, a))
+        found = [piece for one, two in sides for piece in tiles.nearest(x, one, two, order, k, bound)]
+        src, dst, dist = (np.concatenate(v) for v in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        return pa.table({"src": ids.take(pa.array(src)), "dst": ids.take(pa.array(dst)), "dist": pa.array(dist.astype(float))})
 
     schema = f"src {id_type}, dst {id_type}, dist double"
-    first = blocks.own_tiles().groupBy("lo", "hi").applyInArrow(search(None), schema).checkpoint(eager=True)
+    first = blocks.own_tiles().groupBy("lo", "hi").applyInArrow(search, schema).checkpoint(eager=True)
     if blocks.groups == 1:
         return first
-    # how far each cell has to look: the largest k-th distance of its points, unbounded where a block has fewer
-    kth = first.groupBy("src").agg(F.count("*").alias("c"), F.max("dist").alias("d"))
+    # how far each point has to look, and its cell: the k-th distance, unbounded where a block has fewer
+    kth = first.groupBy(F.col("src").alias("id")).agg(
+        F.when(F.count("*") >= k, F.max("dist")).otherwise(F.lit(float("inf"))).alias("bound"))
+    table = blocks.table.join(kth, "id").select(*blocks.table.columns, "bound").checkpoint(eager=True)
     reach = np.full(len(blocks.pivots), 0.0)
-    far = blocks.table.select(F.col("id").alias("src"), "cell").join(kth, "src").groupBy("cell").agg(
-        F.min("c").alias("c"), F.max("d").alias("d")).collect()  # one row a pivot
-    for r in far:
-        reach[r["cell"]] = r["d"] if r["c"] >= k else np.inf
-    more = blocks.tiles(reach, own=False).groupBy("lo", "hi").applyInArrow(search(blocks.near(reach)), schema)
+    for r in table.groupBy("cell").agg(F.max("bound").alias("d")).collect():  # one row a pivot
+        reach[r["cell"]] = r["d"]
+    more = blocks.tiles(reach, own=False, table=table).groupBy("lo", "hi").applyInArrow(search, schema)
     best = Window.partitionBy("src").orderBy("dist", "dst")
     return (first.unionByName(more).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
             .checkpoint(eager=True))
@@ -339,53 +333,65 @@ def density_cluster(points: DataFrame, eps: float, min_samples: int = 5, min_clu
 def _core_links(points: DataFrame, eps: float, min_samples: int, rows: int = tiles.BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(core ids, links (src, dst) whose components are those of all core pairs within eps) of points(id, x, n).
 
-    A tile gives one count a row, then, among core points, a spanning forest:
-    at most as many links as it has rows, however dense the region is.
+    Blocks are counted alone first; only rows that lack neighbours there look
+    further.  Core points get the smallest id they hang together with in their
+    block; then tiles of two blocks link those ids, so there is at most one
+    link a row besides the few that join blocks, however dense the region is.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     blocks = tiles.Blocks(points, rows)
     id_type = dict(points.dtypes)["id"]
-    met = blocks.near(eps)
+    columns, schema = blocks.table.columns, ", ".join(f"`{c}` {t}" for c, t in blocks.table.dtypes)
 
     def count(table):
         a, b, own = tiles.split(table)
-        x, ids, n, cell = tiles.matrix(table["x"]), table["id"].combine_chunks(), table["n"].to_numpy(), table["cell"].to_numpy()
-        total = np.zeros(len(x), np.int64)
-        for one, two in tiles.pieces(cell, a, b, met):
-            for i, j, _ in tiles.close_pairs(x[one], x[two], float(eps)):
-                np.add.at(total, one[i], n[two[j]])
-                if not own:
-                    np.add.at(total, two[j], n[one[i]])
-        held = np.flatnonzero(total)
-        return pa.table({"id": ids.take(pa.array(held)), "c": pa.array(total[held])})
-
-    def forest(table):
-        a, b, own = tiles.split(table)
-        x, ids, cell = tiles.matrix(table["x"]), table["id"].combine_chunks(), table["cell"].to_numpy()
-        parent = list(range(len(x)))
-
-        def find(v):
-            while parent[v] != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        src, dst = [], []
-        for one, two in tiles.pieces(cell, a, b, met):
-            for i, j, _ in tiles.close_pairs(x[one], x[two], float(eps), 64):
-                for u, v in zip(one[i].tolist(), two[j].tolist()):
-                    p, q = find(u), find(v)
-                    if p != q:
-                        parent[p] = q
-                        src.append(u), dst.append(v)
-        return pa.table({"src": ids.take(pa.array(src, pa.int64())), "dst": ids.take(pa.array(dst, pa.int64()))})
-
-    counts = blocks.tiles(eps).groupBy("lo", "hi").applyInArrow(count, f"id {id_type}, c long")
-    core = counts.groupBy("id").agg(F.sum("c").alias("c")).filter(F.col("c") >= min_samples).select("id").checkpoint(eager=True)
-    kept = blocks.table.join(core, "id", "left_semi").select(*blocks.table.columns)
-    links = blocks.tiles(eps, table=kept).groupBy("lo", "hi").applyInArrow(forest, f"src {id_type}, dst {id_type}").checkpoint(eager=True)
-    return core, links
+        x, n = tiles.matrix(table["x"]), table["n"].to_numpy()
+        before = np.zeros(len(x), np.int64) if own else table["c"].to_numpy()
+        held = before.copy()
+        tiles.add_close(x, a, b, n, float(eps), min_samples, held)
+        if own:
+            return table.select(columns).append_column("c", pa.array(held))
+        tiles.add_close(x, b, a, n, float(eps), min_samples, held)
+        more = np.flatnonzero(held > before)
+        return pa.table({"id": table["id"].combine_chunks().take(pa.array(more)), "c": pa.array((held - before)[more])})
+
+    def hang(table):
+        table = table.sort_by("id")
+        x, ids = tiles.matrix(table["x"]), table["id"].combine_chunks()
+        at = np.arange(len(x))
+        return table.select(columns).append_column("label", ids.take(pa.array(tiles.linked(x, at, at, at, float(eps)))))
+
+    def join(table):
+        a, b, _ = tiles.split(table)
+        labels = table["label"].combine_chunks()
+        names = labels.unique()
+        names = names.take(pc.sort_indices(names))
+        root = tiles.linked(tiles.matrix(table["x"]), a, b, pc.index_in(labels, names).to_numpy().astype(np.int64), float(eps))
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"src": names.take(pa.array(root[moved])), "dst": names.take(pa.array(moved))})
+
+    held = blocks.own_tiles().groupBy("lo", "hi").applyInArrow(count, schema + ", c long").checkpoint(eager=True)
+    core = held.filter(F.col("c") >= min_samples)
+    if blocks.groups > 1:
+        # only cells with rows that lack neighbours look into other blocks
+        reach = np.full(len(blocks.pivots), -np.inf)
+        for r in held.groupBy("cell").agg(F.min("c").alias("c")).collect():  # one row a pivot
+            if r["c"] < min_samples:
+                reach[r["cell"]] = eps
+        more = blocks.tiles(reach, own=False, table=held).groupBy("lo", "hi").applyInArrow(count, f"id {id_type}, c long")
+        few = held.filter(F.col("c") < min_samples)
+        late = (few.select("id", "c").unionByName(more).groupBy("id").agg(F.sum("c").alias("c"))
+                .filter(F.col("c") >= min_samples).select("id"))
+        core = core.unionByName(few.join(late, "id", "left_semi").select(*held.columns))
+    core = core.select(*columns).checkpoint(eager=True)
+    known = blocks.own_tiles(core).groupBy("lo", "hi").applyInArrow(hang, f"{schema}, label {id_type}").checkpoint(eager=True)
+    links = known.filter(F.col("label") != F.col("id")).select(F.col("label").alias("src"), F.col("id").alias("dst"))
+    if blocks.groups > 1:
+        links = links.unionByName(blocks.tiles(eps, own=False, table=known).groupBy("lo", "hi")
+                                  .applyInArrow(join, f"src {id_type}, dst {id_type}"))
+    return core.select("id"), links.checkpoint(eager=True)
 
 
 def outlier_score(labels: DataFrame, neighbors: DataFrame, min_samples: int, id_col: str = "vec_id",

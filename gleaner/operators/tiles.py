@@ -9,6 +9,10 @@
   reaches the wanted distance meet.  Every pair of blocks with such cells is one
   tile: the task holds both blocks as matrices and compares the cells that meet
   by products of a bounded number of rows.
+* Inside a tile, rows lie in leaves of near rows with the box that holds them: a
+  leaf meets only rows whose distance from its box reaches the wanted one, near
+  leaves first, and stops where nothing can change any more (all neighbours
+  bounded, rows dense enough, rows in one component already).
 * The product only proposes: it is off by rounding, so every candidate within
   the rounding error is measured again coordinate by coordinate.
 
@@ -32,6 +36,8 @@ GROUPS = 16
 BLOCK_BYTES = 1 << 26
 _PRODUCT = 1 << 22  # values of one product
 _PAIRS = 1 << 16  # pairs measured again at once
+LEAF_ROWS = 128
+_LEAF_PRODUCT = 1 << 16  # values of one product of a leaf
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -177,18 +183,130 @@ def close_pairs(a: np.ndarray, b: np.ndarray, eps: float, step: int = 512):
             yield p[ok], q[ok], d[ok]
 
 
-def nearest(a: np.ndarray, b: np.ndarray, order_b: np.ndarray, k: int, step: int = 512):
-    """Pieces (rows of a, rows of b, distance) of the k nearest rows of b, ties by ``order_b``."""
-    step = max(1, min(step, _PRODUCT // max(1, len(b))))
-    for i in range(0, len(a), step):
-        sq, error = squares(a[i:i + step], b)
-        if b.shape[0] > k:
-            bound = np.partition(sq + error, k - 1, axis=1)[:, k - 1]
-            x, y = np.nonzero(sq - error <= bound[:, None])
-        else:
-            x, y = np.nonzero(np.ones_like(sq, bool))
-        d = exact(a[i + x], b[y])
-        order = np.lexsort((order_b[y], d, x))
-        x, y, d = x[order], y[order], d[order]
-        rank = np.arange(len(x)) - np.searchsorted(x, x)
-        yield i + x[rank < k], y[rank < k], d[rank < k]
+def _apart(low: np.ndarray, high: np.ndarray, from_low: np.ndarray, from_high: np.ndarray) -> np.ndarray:
+    """Squared distances of boxes (columns of low and high) from one box, low by the rounding error."""
+    total = np.zeros(low.shape[1])
+    for a, b, c, d in zip(low, high, from_low, from_high):
+        gap = np.maximum(np.maximum(c - b, a - d), 0)
+        total += gap * gap
+    return total * (1 - 1e-9)
+
+
+def _may_reach(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of a, rows of b): all pairs whose squared distance may be at most ``far`` of a's row, by one product."""
+    x, y = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    error = (x + y.max(initial=0.0)) * (8e-16 * (a.shape[1] + 8))
+    # |a - b|^2 <= far, with |a|^2 and half of it on one side
+    product = np.hstack([-a, np.ones((len(a), 1))]) @ np.hstack([b, y[:, None] / 2]).T
+    met = product <= ((far * (1 + 1e-12) + error - x) / 2)[:, None]
+    at = np.flatnonzero(met | np.isinf(far)[:, None] if np.isinf(far).any() else met)
+    return at // max(1, len(b)), at % max(1, len(b))
+
+
+class Leaves:
+    """``rows`` of a matrix in leaves of near rows, each with the box that holds it."""
+
+    def __init__(self, x: np.ndarray, rows: np.ndarray):
+        self.columns = np.ascontiguousarray(x.T)
+        self.rows, open_ = [], [rows] if len(rows) else []
+        while open_:
+            at = open_.pop()
+            if len(at) <= LEAF_ROWS or not x.shape[1]:
+                self.rows.append(at)
+                continue
+            here, half = x.take(at, axis=0), len(at) // 2
+            at = at[np.argpartition(here[:, np.ptp(here, axis=0).argmax()], half)]
+            open_ += [at[half:], at[:half]]
+        self.low, self.high = (np.array([f(x[at], axis=0) for at in self.rows]).reshape(len(self.rows), x.shape[1]).T for f in (np.min, np.max))
+
+    def __iter__(self):
+        return zip(self.rows, self.low.T, self.high.T)
+
+    def around(self, low: np.ndarray, high: np.ndarray, far: float, leaves: int | None = None) -> np.ndarray:
+        """Rows whose squared distance from a box may reach ``far``, near leaves first; of the nearest ``leaves`` only."""
+        gap = _apart(self.low, self.high, low, high)
+        near = np.flatnonzero(~(gap > far))
+        near = near[np.argsort(gap[near], kind="stable")][:leaves]
+        rows = np.concatenate([self.rows[i] for i in near]) if len(near) else np.empty(0, np.int64)
+        points = self.columns.take(rows, axis=1)
+        return rows[~(_apart(points, points, low, high) > far)]
+
+
+def nearest(x: np.ndarray, a: np.ndarray, b: np.ndarray, order: np.ndarray, k: int, bound: np.ndarray | None = None):
+    """Pieces (rows of a, rows of b, distance) of the k nearest rows of b, ties by ``order``.
+
+    ``bound``: distances within which each row already has k neighbours; what is farther may be left out.
+    """
+    there = Leaves(x, b)
+    for here, low, high in Leaves(x, a):
+        far = np.full(len(here), np.inf) if bound is None else bound[here] ** 2 * (1 + 1e-12)
+        if not np.isfinite(far).all():
+            some = there.around(low, high, np.inf, 4 + k // LEAF_ROWS * 2)
+            if len(some) >= k:
+                sq, error = squares(x.take(here, axis=0), x.take(some, axis=0))
+                far = np.fmin(far, np.partition(sq + error, k - 1, axis=1)[:, k - 1] * (1 + 1e-12))
+        met = there.around(low, high, far.max())
+        step, found = max(1, _LEAF_PRODUCT // len(here)), []
+        for at in range(0, len(met), step):
+            some = met[at:at + step]
+            i, j = _may_reach(x.take(here, axis=0), x.take(some, axis=0), far)
+            found.append((i, some[j], exact(x[here[i]], x[some[j]])))
+        if found:
+            i, j, d = (np.concatenate(v) for v in zip(*found))
+            by = np.lexsort((order[j], d, i))
+            i, j, d = i[by], j[by], d[by]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < k
+            yield here[i[kept]], j[kept], d[kept]
+
+
+def add_close(x: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray, eps: float, need: int, held: np.ndarray) -> None:
+    """Adds to ``held`` of the rows of a the weights of the rows of b within eps, all or until ``need`` is reached."""
+    there, limit = Leaves(x, b), eps * eps
+    for here, low, high in Leaves(x, a):
+        met, at, step = there.around(low, high, limit * (1 + 1e-9)), 0, 4 * LEAF_ROWS
+        while at < len(met) and len(here := here[held[here] < need]):
+            some = met[at:at + step]
+            at, step = at + step, min(2 * step, _LEAF_PRODUCT // LEAF_ROWS)
+            sq, error = squares(x.take(here, axis=0), x.take(some, axis=0))
+            sure = sq + error <= limit * (1 - 1e-12)
+            held[here] += (sure @ weight[some].astype(np.float64)).astype(np.int64)
+            i, j = np.nonzero(~sure & (sq <= limit * (1 + 1e-12) + error))
+            ok = exact(x[here[i]], x[some[j]]) <= eps
+            np.add.at(held, here[i[ok]], weight[some[j[ok]]])
+
+
+def _roots(root: np.ndarray, at: np.ndarray) -> np.ndarray:
+    while (root[at] != at).any():
+        at = root[at]
+    return at
+
+
+def linked(x: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray, eps: float) -> np.ndarray:
+    """The smallest label that each label hangs together with by rows of a and b within eps.
+
+    Rows that hang together already are not measured, so a dense region costs no more than its rows.
+    """
+    root, there, limit = np.arange(label.max(initial=-1) + 1), Leaves(x, b), eps * eps
+    leaves = list(Leaves(x, a))
+    for most in (4, None):  # the nearest first
+        for here, low, high in leaves:
+            met = there.around(low, high, limit * (1 + 1e-9), most)
+            step = _LEAF_PRODUCT // LEAF_ROWS
+            for some in (met[at:at + step] for at in range(0, len(met), step)):
+                p, q = _roots(root, label[here]), _roots(root, label[some])
+                names, count = np.unique(p, return_counts=True)
+                main = names[count.argmax()]
+                for u, v in ((here, some[q != main]), (here[p != main], some[q == main])):
+                    if not len(u) or not len(v):
+                        continue
+                    i, j = _may_reach(x.take(u, axis=0), x.take(v, axis=0), np.full(len(u), limit))
+                    s, t = _roots(root, label[u])[i], _roots(root, label[v])[j]
+                    ok = s != t
+                    ok[ok] = exact(x[u[i[ok]]], x[v[j[ok]]]) <= eps
+                    s, t = s[ok], t[ok]
+                    while len(s):
+                        np.minimum.at(root, np.maximum(s, t), np.minimum(s, t))
+                        s, t = _roots(root, s), _roots(root, t)
+                        s, t = s[s != t], t[s != t]
+                        root[:] = root[root]
+    return _roots(root, root)

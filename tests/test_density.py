@@ -232,3 +232,47 @@ def test_blocks_of_bounded_bytes(spark, monkeypatch):
     pts = _rand_pts(5, 200)
     got = {(r.src, r.rank): r.dst for r in DEN.knn(_points(spark, pts), 3, slab_rows=500).collect()}
     assert got == {(i, n): j for i in range(200) for n, (_, j) in enumerate(_nearest(pts, i, 3), 1)}
+
+
+def _measured(monkeypatch, n):
+    """(pairs that a search, a count and a join of n points measure; whether all agree with brute force)."""
+    import numpy as np
+
+    from gleaner.operators import tiles
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 3)) * np.where(rng.random(n) < 0.5, 0.3, 1.0)[:, None]
+    pairs = [0]
+    may, squares = tiles._may_reach, tiles.squares
+    monkeypatch.setattr(tiles, "_may_reach", lambda a, b, far: (pairs.__setitem__(0, pairs[0] + len(a) * len(b)), may(a, b, far))[1])
+    monkeypatch.setattr(tiles, "squares", lambda a, b: (pairs.__setitem__(0, pairs[0] + len(a) * len(b)), squares(a, b))[1])
+    rows, eps, need = np.arange(n), 0.2, 5
+    held = np.zeros(n, np.int64)
+    tiles.add_close(x, rows, rows, np.ones(n, np.int64), eps, need, held)
+    near = {}
+    for i, j, d in tiles.nearest(x, rows, rows, rows, need):
+        for a, b, c in zip(i.tolist(), j.tolist(), d.tolist()):
+            near.setdefault(a, []).append((c, b))
+    root = tiles.linked(x, rows, rows, rows, eps)
+    monkeypatch.undo()
+    apart = np.stack([tiles.exact(np.broadcast_to(p, x.shape), x) for p in x])
+    best = np.argsort(apart, axis=1, kind="stable")[:, :need]
+    right = near == {i: [(float(apart[i, j]), int(j)) for j in best[i]] for i in range(n)}
+    right &= bool(((held >= need) == ((apart <= eps).sum(axis=1) >= need)).all())
+    label, old = rows, None
+    while old is None or (label != old).any():
+        old, label = label, np.where(apart <= eps, label[None, :], n).min(axis=1)
+    return pairs[0], right and bool((label == root).all())
+
+
+def test_tiles_measure_few_of_all_pairs(monkeypatch):
+    few, right = _measured(monkeypatch, 1000)
+    many, also = _measured(monkeypatch, 4000)
+    assert right and also
+    assert many < 9 * few  # all pairs: 16 times
+
+
+def test_links_do_not_grow_with_the_tiles(spark):
+    """Dense points in many blocks: one link a point and one for each pair of blocks, not one for each tile of a point."""
+    pts = spark.range(4000).select("id", F.array(*[F.rand(i) / 100 for i in range(4)]).alias("x"), F.lit(1).cast("long").alias("n")).checkpoint()
+    core, links = DEN._core_links(pts, 0.5, 5, 500)
+    assert core.count() == 4000 and links.count() <= 4000 + 32 * 32 / 2
