@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.stopwords import ENGLISH_STOPWORDS
 from gleaner.functions.text import vectorizer_tokens
+from gleaner.session import checkpoint_dir
 
 
 def top_k_clusters(labels: DataFrame, k: int | None = 10, group_cols: Sequence[str] = ("setting",),
@@ -43,6 +44,9 @@ def cluster_term_counts(units: DataFrame, group_cols: Sequence[str] = ("setting"
                  .groupBy(*g, "term").agg(F.count(F.lit(1)).alias("tf")))
 
 
+#: Kept terms of all settings are broadcast up to this many.
+BROADCAST_TERMS = 200_000
+
 #: Parts of a setting's vocabulary that are cut to ``n`` terms each before the final cut.
 _PARTS = 64
 
@@ -92,7 +96,11 @@ def ctfidf(tf: DataFrame, clusters: DataFrame, setting_cols: Sequence[str] = ("s
         least = _nth_largest(totals, s, "_tot", max_features)
         likely = totals.join(least, s).filter(F.col("_tot") >= F.col("_nth")).drop("_nth")
         keep = _top_terms(likely, s, max_features, [F.col("_tot").desc(), F.col("term")])
-        tf = tf.join(keep.select(*s, "term"), [*s, "term"], "left_semi")
+        # at most max_features rows a setting: counted once, then met without a shuffle of the counts
+        checkpoint_dir(tf.sparkSession)
+        keep = keep.select(*s, "term").checkpoint(eager=True)
+        few = F.broadcast(keep) if keep.count() <= BROADCAST_TERMS else keep
+        tf = tf.join(few, [*s, "term"], "left_semi").checkpoint(eager=True)  # read for documents, norms and weights
     n = clusters.groupBy(*s).agg(F.countDistinct(cluster_col).alias("_n"))
     rows = tf
     if top is not None and norm is None:
