@@ -13,14 +13,15 @@ the pieces are distributed DataFrame jobs:
   met.  With many dimensions and no structure every exact search compares most
   pairs; work per task stays bounded by two blocks.
 * ``connected_components`` - large-star / small-star rounds (Kiveris et al.
-  2014) on an edge table, each round checkpointed to the shared folder.
+  2014) on an edge table, each round stored in the shared folder.
 * ``density_cluster`` - DBSCAN* on core points: a point with at least
   ``min_samples`` points (itself included) within ``eps`` is core, core
   points within ``eps`` are linked, components with fewer than
   ``min_cluster_size`` members and all border points are noise (-1).
   Cluster ids are size ranks (ties by smallest member).
 * ``reachability_tree`` - the exact minimum spanning tree of mutual
-  reachability: trees of tiles, then Boruvka rounds on the edge table.
+  reachability: trees of blocks, joined two by two (``spanning``), then
+  Boruvka rounds on the edge table.
 * ``outlier_score`` - ``1 - d_min / d`` with d the core distance and d_min
   the smallest core distance in the cluster (GLOSH with lambda = 1/d).
 """
@@ -33,8 +34,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.operators import tiles
-from gleaner.session import checkpoint_dir
+from gleaner.operators import spanning, tiles
+from gleaner.session import checkpoint_dir, stored
 
 
 def _offsets(d: int, r: int) -> F.Column:
@@ -241,17 +242,17 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
     """``(node, component)`` with component = smallest node id of its component.
 
     Large-star then small-star until the edge set stops changing; each
-    round's edges are checkpointed (reliable, shared folder) so lineage stays
-    short and a lost executor recomputes one round only.  ``max_rounds`` is a
+    round's edges are stored (shared folder) so lineage stays short and a lost
+    executor recomputes one round only.  ``max_rounds`` is a
     guard: reaching it unconverged raises, it never cuts the result.  Without
     it at most ``task_edges`` edges are joined in one task instead: their
     rounds are jobs over few rows, and every job costs the driver memory.
     """
     checkpoint_dir(edges.sparkSession)
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter(F.col("u") != F.col("v"))
-    e = e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().checkpoint(eager=True)
+    e = stored(e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     if max_rounds is None and not dict(e.dtypes)["u"].startswith("struct") and e.limit(task_edges + 1).count() <= task_edges:
-        return _with_singles(_task_components(e).checkpoint(eager=True), nodes)
+        return _with_singles(stored(_task_components(e)), nodes)
     rounds = 0
     while True:
         if max_rounds is not None and rounds >= max_rounds:
@@ -269,9 +270,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, src:
         m2 = down.groupBy("u").agg(F.min("v").alias("m"))
         ss = down.join(m2, "u").select(F.col("v").alias("a"), F.col("m").alias("b")) \
                  .unionByName(m2.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        ss = ss.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")) \
-               .filter(F.col("u") != F.col("v")).distinct().checkpoint(eager=True)
-        e = ss
+        e = stored(ss.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+                   .filter(F.col("u") != F.col("v")).distinct())
         # converged when the edges form a star forest: no node is both a
         # centre (u) and a leaf (v), and every leaf hangs on one centre only
         centre_is_leaf = e.join(e.select(F.col("v").alias("u")), "u", "left_semi").limit(1).count() > 0
@@ -425,13 +425,16 @@ def reachability_tree(points: DataFrame, min_samples: int = 5, id_col: str = "ve
     vectors hang on the smallest id of their group.  With fewer than
     ``min_samples`` points there are no core distances and the tree is empty.
 
-    Each tile gives the spanning tree of its own pairs, at most one edge a
-    row: an edge of the whole tree is in the tree of its tile.  The pivots and
-    their cells span all points, so no edge of the tree is longer than the
-    longest of those, and cells further apart do not meet.  What the tiles
-    leave is reduced by Boruvka rounds on the edge table.
+    Each block gives the spanning tree of its own pairs, kept with its rows as
+    a chain; then each tile joins the trees of two blocks and gives the edges
+    across, less than one a row: an edge of the whole tree is in the tree of
+    any blocks that hold it.  The pivots and their cells span all points, so no
+    edge of the tree is longer than the longest of those, and blocks of which
+    all cells are further apart do not meet.  What the tiles leave is reduced
+    by Boruvka rounds on the edge table.
     """
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     checkpoint_dir(points.sparkSession)
     p = _vectors(points, id_col, vec)
@@ -449,17 +452,38 @@ def reachability_tree(points: DataFrame, min_samples: int = 5, id_col: str = "ve
     used = blocks.parts > 0
     reach = max(top, float(blocks.radius.max()), _longest_link(blocks.pivots[used]))
 
-    def tree(table):
-        a, b, own = tiles.split(table)
-        x, ids, cores = tiles.matrix(table["x"]), table["id"].combine_chunks(), table["core"].to_numpy()
-        order = pa.compute.sort_indices(ids).to_numpy()
-        side = np.zeros(len(x), np.int8)
-        if not own:
-            side[b] = 1
-        i, j, w = _spanning_tree(x[order], cores[order], None if own else side[order])
-        return pa.table({"u": ids.take(pa.array(order[i])), "v": ids.take(pa.array(order[j])), "w": pa.array(w)})
-
-    local = blocks.tiles(reach).groupBy("lo", "hi").applyInArrow(tree, schema).checkpoint(eager=True)
+    columns = blocks.table.columns
+    kept = schema.replace("u ", "gu ").replace(", v ", ", gv ").replace(", w ", ", gw ")
+
+    def own_tree(table):
+        table = table.sort_by("id")
+        x, ids = tiles.matrix(table["x"]), table["id"].combine_chunks()
+        chain = spanning.whole(x, table["core"].to_numpy(), np.arange(len(x)))
+        ends = [ids.take(pa.array(end, mask=end < 0)) for end in (chain.u, chain.v)]
+        held = table.select(columns).take(pa.array(chain.rows))
+        for name, column in (("place", pa.array(np.arange(len(x)))), ("gu", ends[0]), ("gv", ends[1]), ("gw", pa.array(chain.w))):
+            held = held.append_column(name, column)
+        return held
+
+    def across(table):
+        table = table.sort_by("id")
+        a, b, _ = tiles.split(table)
+        x, ids, cores, places = tiles.matrix(table["x"]), table["id"].combine_chunks(), table["core"].to_numpy(), table["place"].to_numpy()
+        u, v = (pc.fill_null(pc.index_in(table[end].combine_chunks(), ids, skip_nulls=True), -1).to_numpy().astype(np.int64) for end in ("gu", "gv"))
+        w, sides = table["gw"].to_numpy(), []
+        for side in (a, b):
+            side = side[np.argsort(places[side])]
+            sides.append(spanning.Chain(side, w[side], u[side], v[side]))
+        chain = spanning.joined(x, cores, *sides)
+        _, _, w, u, v = chain.edges()
+        new = np.isin(u, a) != np.isin(v, a)
+        return pa.table({"u": ids.take(pa.array(u[new])), "v": ids.take(pa.array(v[new])), "w": pa.array(w[new])})
+
+    known = blocks.own_tiles().groupBy("lo", "hi").applyInArrow(
+        own_tree, ", ".join(f"`{c}` {t}" for c, t in blocks.table.dtypes) + f", place long, {kept}").checkpoint(eager=True)
+    local = known.filter(F.col("gu").isNotNull()).select(F.col("gu").alias("u"), F.col("gv").alias("v"), F.col("gw").alias("w"))
+    if blocks.groups > 1:
+        local = local.unionByName(blocks.tiles(reach, own=False, table=known, whole=True).groupBy("lo", "hi").applyInArrow(across, schema)).checkpoint(eager=True)
     copies = (_representatives(p, groups).filter(F.col("id") != F.col("rep"))
               .join(core.withColumnRenamed("id", "rep"), "rep").select(F.col("rep").alias("u"), F.col("id").alias("v"), F.col("core").alias("w")))
     return minimum_tree(local).unionByName(copies)
@@ -484,34 +508,7 @@ def tree_clusters(points: DataFrame, tree: DataFrame, eps: float, min_cluster_si
 
 def _longest_link(x: np.ndarray) -> float:
     """Longest edge of the spanning tree of a few points."""
-    return float(_spanning_tree(x, np.zeros(len(x)), None)[2].max(initial=0.0))
-
-
-def _spanning_tree(x: np.ndarray, core: np.ndarray, side: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (i < j, w) of the minimum spanning tree of the rows, ties by (w, i, j); with ``side`` of pairs across only.
-
-    Grown from one row: one row of distances at a time, so memory is that of the rows.
-    """
-    n = len(x)
-    if n < 2 or side is not None and side.min() == side.max():
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-    at = np.arange(n)
-    weight, source, open_ = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
-    found, now = [], 0
-    for _ in range(n - 1):
-        open_[now] = False
-        met = np.flatnonzero(open_ if side is None else open_ & (side != side[now]))
-        w = np.maximum(np.maximum(core[met], core[now]), tiles.exact(x[met], np.broadcast_to(x[now], (len(met), x.shape[1]))))
-        low, high = np.minimum(met, now), np.maximum(met, now)
-        old_low, old_high = np.minimum(met, source[met]), np.maximum(met, source[met])
-        better = (w < weight[met]) | (w == weight[met]) & ((low < old_low) | (low == old_low) & (high < old_high))
-        weight[met[better]], source[met[better]] = w[better], now
-        left = at[open_]
-        left = left[weight[left] == weight[left].min()]
-        now = int(left[np.lexsort((np.maximum(left, source[left]), np.minimum(left, source[left])))[0]])
-        found.append((min(now, source[now]), max(now, source[now]), weight[now]))
-    i, j, w = zip(*found)
-    return np.array(i, np.int64), np.array(j, np.int64), np.array(w, np.float64)
+    return float(spanning.whole(x, np.zeros(len(x)), np.arange(len(x))).edges()[2].max(initial=0.0))
 
 
 def _task_tree(live: DataFrame) -> DataFrame:
@@ -542,25 +539,25 @@ def minimum_tree(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     halve the components at least.  Once at most ``task_edges`` edges are left
     between components, one task takes the rest.
     """
-    live = edges.filter(F.col("u") != F.col("v")).select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")).checkpoint(eager=True)
-    found = edges.select("u", "v", "w").limit(0)
+    checkpoint_dir(edges.sparkSession)
+    live = stored(edges.filter(F.col("u") != F.col("v")).select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")))
+    found = live.select("u", "v", "w").limit(0)
     while left := live.limit(task_edges + 1).count():
         if left <= task_edges:
-            return found.unionByName(_task_tree(live)).checkpoint(eager=True)
+            return stored(found.unionByName(_task_tree(live)))
         both = live.unionByName(live.select("u", "v", "w", F.col("b").alias("a"), F.col("a").alias("b")))
-        best = both.groupBy("a").agg(F.min(F.struct("w", "u", "v", "b")).alias("m")).select("a", "m.*").checkpoint(eager=True)
-        found = found.unionByName(best.select("u", "v", "w").distinct()).checkpoint(eager=True)
+        best = stored(both.groupBy("a").agg(F.min(F.struct("w", "u", "v", "b")).alias("m")).select("a", "m.*"))
+        found = stored(found.unionByName(best.select("u", "v", "w").distinct()))
         back = best.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        to = best.join(back, "b").select(F.col("a").alias("node"), F.when((F.col("a") == F.col("c")) & (F.col("a") < F.col("b")), F.col("a"))
-                                         .otherwise(F.col("b")).alias("root")).checkpoint(eager=True)
+        to = stored(best.join(back, "b").select(F.col("a").alias("node"), F.when((F.col("a") == F.col("c")) & (F.col("a") < F.col("b")), F.col("a"))
+                                                .otherwise(F.col("b")).alias("root")))
         while True:
-            step = to.join(to.select(F.col("node").alias("root"), F.col("root").alias("next")), "root") \
-                .select("node", "root", "next").checkpoint(eager=True)
+            step = stored(to.join(to.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", "root", "next"))
             to = step.select("node", F.col("next").alias("root"))
             if not step.filter("root <> next").limit(1).count():
                 break
         moved = live.join(to.toDF("a", "ra"), "a").join(to.toDF("b", "rb"), "b").filter(F.col("ra") != F.col("rb"))
         # of the edges between two components only the smallest can be in the tree
-        live = (moved.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-                .agg(F.min(F.struct("w", "u", "v")).alias("m")).select("m.u", "m.v", "m.w", "a", "b").checkpoint(eager=True))
+        live = stored(moved.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
+                      .agg(F.min(F.struct("w", "u", "v")).alias("m")).select("m.u", "m.v", "m.w", "a", "b"))
     return found

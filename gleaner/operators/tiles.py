@@ -120,12 +120,23 @@ class Blocks:
         """(cell, other): cells that may hold points within ``reach`` of a cell's points."""
         return self.table.sparkSession.createDataFrame([(int(i), int(j)) for i, j in np.argwhere(self.near(reach))], "cell int, other int")
 
-    def tiles(self, reach: np.ndarray | float, own: bool = True, table: DataFrame | None = None) -> DataFrame:
-        """Rows with ``lo``, ``hi`` (the two blocks) and ``side``; a block's own tile has lo = hi and side 0."""
+    def tiles(self, reach: np.ndarray | float, own: bool = True, table: DataFrame | None = None, whole: bool = False) -> DataFrame:
+        """Rows with ``lo``, ``hi`` (the two blocks) and ``side``; a block's own tile has lo = hi and side 0.
+
+        With ``whole`` blocks of which any cells meet have all their rows in the tile.
+        """
         table = self.table if table is None else table
-        met = [(i, sorted(set().union(*(self._holds[j] for j in np.flatnonzero(row))))) for i, row in enumerate(self.near(reach))]
-        met = self.table.sparkSession.createDataFrame(met, "cell int, mets array<long>")  # at most MAX_PIVOTS rows
-        near = table.join(F.broadcast(met), "cell").select(*table.columns, F.explode("mets").alias("met"))
+        met = [set().union(*(self._holds[j] for j in np.flatnonzero(row))) for row in self.near(reach)]
+        key = "cell"
+        if whole:
+            key, cells = "block", met
+            met = [set() for _ in range(self.groups)]
+            for cell, blocks in enumerate(cells):
+                for block in self._holds[cell]:
+                    met[block] |= blocks
+        met = [(i, sorted(blocks)) for i, blocks in enumerate(met)]
+        met = self.table.sparkSession.createDataFrame(met, f"`{key}` {dict(table.dtypes)[key]}, mets array<long>")  # at most MAX_PIVOTS rows, or one a block
+        near = table.join(F.broadcast(met), key).select(*table.columns, F.explode("mets").alias("met"))
         near = near.where("met <> block").select(*table.columns, F.least("block", "met").alias("lo"),
                                                  F.greatest("block", "met").alias("hi"), F.expr("if(block < met, 0, 1)").alias("side"))
         if not own:

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
@@ -52,3 +53,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="gleaner-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written under the shared checkpoint folder and read again, for rounds of jobs.
+
+    ``checkpoint`` cuts the lineage but keeps its estimated size.  A join's is
+    the product of its sides, so each round of joining a table with itself
+    would double the digits of that number until the driver does little else.
+    A stored table has the size of its files.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/gleaner-rounds/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

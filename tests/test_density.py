@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import density as DEN
@@ -276,3 +277,56 @@ def test_links_do_not_grow_with_the_tiles(spark):
     pts = spark.range(4000).select("id", F.array(*[F.rand(i) / 100 for i in range(4)]).alias("x"), F.lit(1).cast("long").alias("n")).checkpoint()
     core, links = DEN._core_links(pts, 0.5, 5, 500)
     assert core.count() == 4000 and links.count() <= 4000 + 32 * 32 / 2
+
+
+def _estimate(df):
+    return float(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+
+
+def test_rounds_keep_the_estimated_size(spark):
+    """A join's estimated size is the product of its sides: carried on through rounds it would be a number of thousands of digits."""
+    edges = spark.createDataFrame([(i, i + 1, float(i % 7)) for i in range(100)], "u long, v long, w double").checkpoint()
+    assert _estimate(DEN.minimum_tree(edges, task_edges=0)) < 64
+    assert _estimate(DEN.connected_components(edges, src="u", dst="v", task_edges=0)) < 256
+
+
+@pytest.mark.parametrize("kind", ["blobs", "grid", "equal distances", "far from zero"])
+def test_joined_trees_are_the_spanning_tree(kind, monkeypatch):
+    """Trees of halves, joined over and over, give the same edges as Kruskal over all pairs, ties included, from few measured pairs."""
+    import numpy as np
+
+    from gleaner.operators import spanning, tiles
+    rng = np.random.default_rng(3)
+    x = {"blobs": lambda: np.concatenate([rng.normal(size=(150, 8)) * s + c for c, s in ((0, 1), (9, 0.1), (9.5, 0.5))]),
+         "grid": lambda: np.array([(i, j) for i in range(18) for j in range(18)], float),
+         "equal distances": lambda: np.eye(200), "far from zero": lambda: rng.random((300, 3)) * 1e5 + 1e8}[kind]()
+    n = len(x)
+    i, j = np.triu_indices(n, 1)
+    d = tiles.exact(x[i], x[j])
+    apart = np.zeros((n, n))
+    apart[i, j] = apart[j, i] = d
+    core = np.sort(apart, axis=1)[:, 4]
+    w = np.maximum(np.maximum(core[i], core[j]), d)
+    root, want = np.arange(n), []
+    for e in np.lexsort((j, i, w)):
+        if root[i[e]] != root[j[e]]:
+            want.append((w[e], i[e], j[e]))
+            root[root == root[j[e]]] = root[i[e]]
+    measured = [0]
+    exact = tiles.exact
+    monkeypatch.setattr(tiles, "exact", lambda a, b: (measured.__setitem__(0, measured[0] + len(a)), exact(a, b))[1])
+    _, _, w, u, v = spanning.whole(x, core, rng.permutation(n)).edges()
+    assert sorted(zip(w, u, v)) == want
+    if kind == "blobs":
+        assert measured[0] < n * (n - 1) / 4
+
+
+def test_tiles_have_whole_blocks(spark):
+    """Blocks that meet in one pair of cells have all rows in their tile."""
+    from gleaner.operators import tiles
+    df = spark.range(2000).select("id", F.array(*[F.rand(i) for i in range(2)]).alias("x")).checkpoint()
+    blocks = tiles.Blocks(df, 64)
+    size = {r["block"]: r["count"] for r in blocks.table.groupBy("block").count().collect()}
+    met = blocks.tiles(0.05, own=False, whole=True).groupBy("lo", "hi", "side").count().collect()
+    assert 0 < len(met) < blocks.groups * (blocks.groups - 1)
+    assert all(r["count"] == size[(r["lo"], r["hi"])[r["side"]]] for r in met)
