@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from gleaner.operators import hierarchy as HI
 from tests.test_density import _brute_tree, _points, _rand_pts
@@ -148,3 +149,36 @@ def test_picks_of_deep_trees_in_few_jobs(spark, seed, allow_single, task_edges):
     assert got == {i: (want[i] == i, want[i]) for i in own}
     if task_edges:  # a round a level would be several jobs for each of 30 levels
         assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"deep-{seed}")) < 60
+
+
+def _jobs(spark, group, what):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        what()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def _line(spark, n=120):
+    """A tree of which every point drops off at a weight of its own, but for one split."""
+    return _frame(spark, [(float(i + 1), i, i + 1) for i in range(n)] + [(n + 1.0, 0, n + 1)] + [(i + 0.5, n + i, n + i + 1) for i in range(1, n)]).checkpoint()
+
+
+def test_condensed_tree_of_few_merges_in_few_jobs(spark):
+    frame = _line(spark)
+    got = {}
+
+    def run(**rounds):
+        clusters, nodes = HI.condensed_tree(*HI.merge_tree(frame, 5), 5, **rounds)
+        got[bool(rounds)] = [sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect()), key=str) for df in (clusters, nodes)]
+    assert _jobs(spark, "condensed", run) < 60
+    run(task_edges=0)
+    assert got[False] == got[True] and len(got[False][0]) == 3 and len(got[False][1]) > 200
+
+
+def test_rounds_keep_the_estimated_size(spark):
+    """A join's estimated size is the product of its sides: carried on through rounds it would be a number of thousands of digits."""
+    clusters, nodes = HI.condensed_tree(*HI.merge_tree(_line(spark), 5), 5, task_edges=0)
+    for df in (clusters, nodes):
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 256
