@@ -358,8 +358,8 @@ def density_hierarchy(points: DataFrame, min_samples: int = 5, min_cluster_size:
     if tree is None:
         tree = reachability_tree(points, min_samples, id_col, vec)
     edges, links = merge_tree(tree, min_cluster_size, task_edges)
-    clusters, nodes = condensed_tree(edges, links, min_cluster_size, allow_single)
-    clusters = clusters.checkpoint(eager=True)
+    clusters, nodes = condensed_tree(edges, links, min_cluster_size, allow_single, task_edges)
+    clusters = stored(clusters)
     picked = assign_row_id(clusters.filter("picked").orderBy(F.col("size").desc(), "rep"), "_rank")
 
     picked = picked.select(F.col("rep").alias("in_rep"), F.col("size").alias("in_size"), F.col("_rank").cast("int").alias("cluster_id"))
@@ -368,7 +368,7 @@ def density_hierarchy(points: DataFrame, min_samples: int = 5, min_cluster_size:
 
     # edges inside picked clusters, and those of small merges: their components are the clusters and what fell off
     inside = edges.join(named, ["rep", "size"], "left").filter(F.col("cluster_id").isNotNull() | (F.col("size") < min_cluster_size))
-    inside = inside.select("u", "v", "cluster_id").checkpoint(eager=True)
+    inside = stored(inside.select("u", "v", "cluster_id"))
     comp = connected_components(inside, src="u", dst="v")
     name = (inside.filter(F.col("cluster_id").isNotNull()).select(F.col("u").alias("node"), "cluster_id").join(comp, "node")
             .groupBy("component").agg(F.min("cluster_id").alias("cluster_id")))

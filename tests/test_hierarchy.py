@@ -182,3 +182,11 @@ def test_rounds_keep_the_estimated_size(spark):
     clusters, nodes = HI.condensed_tree(*HI.merge_tree(_line(spark), 5), 5, task_edges=0)
     for df in (clusters, nodes):
         assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 256
+
+
+def test_labels_of_few_points_in_few_jobs(spark):
+    frame = _line(spark)
+    points = spark.range(240).select(F.col("id").alias("vec_id"), F.array(F.lit(0.0)).alias("x"))
+    rows = []
+    assert _jobs(spark, "labels", lambda: rows.extend(HI.density_hierarchy(points, 5, 5, tree=frame).collect())) < 100
+    assert len(rows) == 240 and {r.cluster_id for r in rows} == {0, 1}
